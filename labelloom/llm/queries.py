@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from labelloom.llm import chat, mixing, quality, sharding
+from labelloom.llm import chat, decontaminate, mixing, quality, sharding, simhash
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
+    "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
     "op6_quality_rules": quality.op6_quality_rules,
     "op8_source_mixing": mixing.op8_source_mixing,
     "op9_sharding": sharding.op9_sharding,
+    "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
 }
 
 SQL = {
