@@ -10,6 +10,7 @@ import hashlib
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,3 +67,14 @@ def stored(df: DataFrame) -> DataFrame:
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used yet."""
     return f"{shared_dir(spark)}/{name}-{os.getpid()}-{uuid.uuid4().hex[:12]}"
+
+
+def bounded(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A table of one row per source or the like: stored, and broadcast if it has no more than ``rows`` rows."""
+    kept = stored(df)
+    return F.broadcast(kept) if kept.count() <= rows else kept
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often body uses it and wherever the optimizer moves it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import stored, table, words_of
+from labelloom.llm.common import bounded, let, stored, table, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
 SPREAD = 3
@@ -32,39 +32,39 @@ RULES = {"symbol_rate": 60, "dup_line_rate": 150, "repeat_rate": 60, "word_lengt
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the base measures of every whole text as long columns."""
-    lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    a = docs.select("*", words_of(F.col(text)).alias("__words"), lines.alias("__lines"))
-    w, n = F.col("__words"), F.size("__words")
-    hashes = F.when(n >= 5, F.transform(F.sequence(F.lit(0), n - 5), lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(5)))))
-    b = a.select(
-        *docs.columns,
-        "__words",
-        hashes.alias("__hashes"),
-        n.cast("long").alias("n_words"),
-        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-        (F.length(F.col(text)) - F.length(F.regexp_replace(F.col(text), SYMBOLS, ""))).alias("__symbols"),
-        F.size("__lines").cast("long").alias("n_lines"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-    )
-    c = b.select("*", F.when(F.size(F.array_distinct("__hashes")) < F.size("__hashes"), F.array_sort(F.transform("__hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("__sorted"))
-    s = F.col("__sorted")
-    d = c.select("*", F.array_sort(F.transform(F.filter(s, lambda x, k: (F.get(s, k - 1)["h"] == x["h"]) | (F.get(s, k + 1)["h"] == x["h"])), lambda x: x["i"])).alias("__starts"))
-    covered = F.aggregate(
-        "__starts",
-        F.struct(F.lit(-5).alias("last"), F.lit(0).cast("long").alias("sum")),
-        lambda acc, i: F.struct(i.alias("last"), (acc["sum"] + F.least(F.lit(5), i - acc["last"])).alias("sum")),
+def words_in_repeats(words: Column, n: int = 5) -> Column:
+    """How many words lie in n-word windows that occur twice or more.
+
+    Windows are compared by their 64-bit hashes. Sorting (hash, start) pairs puts
+    equal windows side by side; the starts of those, sorted, give the words covered.
+    """
+    hashes = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(n))))
+    paired = lambda h: F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    again = lambda s: F.filter(s, lambda x, k: (F.get(s, k - 1)["h"] == x["h"]) | (F.get(s, k + 1)["h"] == x["h"]))
+    covered = lambda r: F.aggregate(
+        F.array_sort(F.transform(r, lambda x: x["i"])),
+        F.struct(F.lit(-n).alias("last"), F.lit(0).cast("long").alias("sum")),
+        lambda acc, i: F.struct(i.alias("last"), (acc["sum"] + F.least(F.lit(n), i - acc["last"])).alias("sum")),
         lambda acc: acc["sum"],
     )
-    return d.select(
+    counted = lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(let(paired(h), lambda s: let(again(s), covered)))
+    return F.when(F.size(words) < n, 0).otherwise(let(words, lambda w: let(hashes(w), counted))).cast("long")
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """Adds the base measures of every whole text as long columns; columns of these names are replaced."""
+    docs = docs.drop(*BASE, "n_lines")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    a = docs.select("*", words_of(F.col("text")).alias("__words"), lines.alias("__lines"))
+    return a.select(
         *docs.columns,
-        "n_words",
-        "word_chars",
-        F.coalesce(F.col("__symbols").cast("long"), F.lit(0).cast("long")).alias("n_symbols"),
-        "n_dup_lines",
-        F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"),
-        "n_lines",
+        F.size("__words").cast("long").alias("n_words"),
+        F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
+        (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
+        words_in_repeats(F.col("__words")).alias("n_repeat_words"),
+        F.size("__lines").cast("long").alias("n_lines"),
     )
 
 
@@ -137,7 +137,7 @@ def verdict(rules: dict[str, int] | None = None) -> Column:
 def judged(measures: DataFrame, limits: DataFrame) -> DataFrame:
     """Adds base_failed and kept by the fences of each row's language and source."""
     f = limits.withColumnsRenamed({"lang": "__lang", "source": "__source"})
-    both = measures.join(f, measures["lang"].eqNullSafe(f["__lang"]) & measures["source"].eqNullSafe(f["__source"]), "left")
+    both = measures.join(bounded(f), measures["lang"].eqNullSafe(f["__lang"]) & measures["source"].eqNullSafe(f["__source"]), "left")
     return both.select(*(measures[c] for c in measures.columns), base_failed().alias("base_failed"), verdict().alias("kept"))
 
 
