@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from labelloom.llm import chat, decontaminate, mixing, quality, sharding, simhash
+from labelloom.llm import chat, decontaminate, mixing, quality, scoring, sharding, simhash, substrings
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
+    "op2_lm_scoring": scoring.op2_lm_scoring,
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+    "op5_substring_dedup": substrings.op5_substring_dedup,
     "op6_quality_rules": quality.op6_quality_rules,
     "op8_source_mixing": mixing.op8_source_mixing,
     "op9_sharding": sharding.op9_sharding,
@@ -15,6 +17,8 @@ QUERIES = {
 
 SQL = {
     "op1_chat_formatting": chat.OP1_SQL,
+    "op2_lm_scoring": scoring.OP2_SQL,
+    "op5_substring_dedup": substrings.OP5_SQL,
     "op6_quality_rules": quality.OP6_SQL,
     "op8_source_mixing": mixing.OP8_SQL,
     "op9_sharding": sharding.OP9_SQL,
