@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from labelloom.llm import chat, decontaminate, mixing, quality, scoring, sharding, simhash, substrings
+from labelloom.llm import chat, decontaminate, langid, mixing, quality, scoring, sharding, simhash, substrings
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
     "op2_lm_scoring": scoring.op2_lm_scoring,
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+    "op4_language_id": langid.op4_language_id,
     "op5_substring_dedup": substrings.op5_substring_dedup,
     "op6_quality_rules": quality.op6_quality_rules,
     "op8_source_mixing": mixing.op8_source_mixing,
