@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from labelloom.llm import chat, decontaminate, langid, mixing, quality, scoring, sharding, simhash, substrings
+from labelloom.llm import chat, decontaminate, langid, mixing, quality, scoring, sharding, simhash, substrings, tokens
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_language_id": langid.op4_language_id,
     "op5_substring_dedup": substrings.op5_substring_dedup,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op7_token_output": tokens.op7_token_output,
     "op8_source_mixing": mixing.op8_source_mixing,
     "op9_sharding": sharding.op9_sharding,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
