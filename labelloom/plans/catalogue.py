@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from labelloom.plans import facts
+
+QUERIES: dict = {**facts.QUERIES}
+SQL: dict = {**facts.SQL}
