@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from labelloom.plans import facts
+from labelloom.plans import facts, labels
 
-QUERIES: dict = {**facts.QUERIES}
-SQL: dict = {**facts.SQL}
+PARTS = (facts, labels)
+QUERIES: dict = {k: f for part in PARTS for k, f in part.QUERIES.items()}
+SQL: dict = {k: s for part in PARTS for k, s in part.SQL.items()}

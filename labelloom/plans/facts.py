@@ -8,25 +8,13 @@ from labelloom.operators import dashboards as D
 from labelloom.operators import scoring as S
 from labelloom.operators import selection as X
 from labelloom.operators import timeline as T
-from labelloom.sources.views import frame, with_views
+from labelloom.plans.registry import Registry
+from labelloom.sources.views import frame
 
 AS_OF_DAY = "2001-08-01"
 AS_OF = "2024-01-31 00:00:00"
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
-    """Registers a query and its SQL over the named views."""
-
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = with_views(sql, *views)
-        return f
-
-    return keep
+QUERIES, SQL, query = Registry.new()
 
 
 def _scores(spark, d):

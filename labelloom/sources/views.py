@@ -100,10 +100,10 @@ VIEWS["label_truth"] = """
 VIEWS["label_text"] = """
     SELECT label_id, concat_ws(chr(10), product_name, concat('Brand: ', brand),
       CASE WHEN price IS NOT NULL THEN concat('MRP Rs. ', CAST(price AS STRING), CASE WHEN label_id % 2 = 0 THEN ' incl. of all taxes' ELSE '' END) ELSE 'MRP Rs.' END,
-      concat('Net Qty: ', coalesce(concat(CAST(amount AS STRING), ' ', unit), 'several zz')),
+      concat('Net Qty: ', coalesce(CAST(amount AS STRING) || ' ' || unit, 'several zz')),
       concat('Manufactured by: ', maker, ', Plot ', CAST(supplier_id % 90 + 1 AS STRING), ', Industrial Estate, Surat', CASE WHEN label_id % 6 <> 0 THEN concat(' - ', pin) ELSE '' END),
-      concat('FSSAI Lic. No. ', licence), concat('Mfg Date: ', made), coalesce(concat('Best Before: ', best_before), 'Best before 12 months from manufacture'), concat('Batch No: ', batch),
-      concat('Customer care: ', phone, ', ', email), concat('Country of Origin: ', origin), concat('Ingredients: ', ingredients),
+      'FSSAI Lic. No. ' || licence, concat('Mfg Date: ', made), coalesce('Best Before: ' || best_before, 'Best before 12 months from manufacture'), concat('Batch No: ', batch),
+      concat('Customer care: ', phone, ', ', email), 'Country of Origin: ' || origin, 'Ingredients: ' || ingredients,
       CASE WHEN is_food THEN concat('Nutrition Facts per 100 g: Protein ', CAST(protein AS STRING), ' g, Sugar ', CAST(sugar AS STRING), ' g, Total Fat ', CAST(fat AS STRING), ' g') END,
       CASE label_id % 9 WHEN 1 THEN 'No preservatives' WHEN 2 THEN 'No added sugar' WHEN 3 THEN 'High protein' WHEN 4 THEN '100% natural' WHEN 5 THEN 'Immunity booster' WHEN 6 THEN 'Low fat' WHEN 7 THEN 'Made in India' END) AS text
     FROM {label_truth}"""
