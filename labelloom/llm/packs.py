@@ -6,18 +6,17 @@ their counts, split into buckets by the key's leading bits. (2) Each bucket
 gathers its slices of all packs, answers every slice, and sends the answers back
 in the order asked. (3) Packs and answers meet by pack number.
 
-A key costs seven bytes in the shuffle (the eighth is implied by the bucket),
-stored plane by plane in sorted order so that the leading planes compress to
-almost nothing. However often a key occurs, it is one entry of each pack, so no
+Texts travel compressed, those of one pack and Arrow batch together. Keys travel
+as differences of sorted numbers, byte plane by byte plane, compressed; the bits
+that the bucket implies are left out, and ``bits`` of the rest are kept. However often a key occurs, it is one entry of each pack, so no
 key is hot; a bucket holds about BUCKET_KEYS keys.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +27,7 @@ LEAST_BITS = 8
 #: Odd multipliers of the rolling hash of bytes and of words; 3 mod 8, of full order.
 BYTE_BASE = 0x9E3779B97F4A7C15 & ~7 | 3
 WORD_BASE = 0xC2B2AE3D27D4EB4F & ~7 | 3
+DEALT = "pack int, ids binary, sizes binary, texts binary"
 ASKED = "bucket int, pack int, n int, planes binary, counts binary"
 ANSWERED = "bucket int, pack int, answer binary"
 U64 = np.uint64
@@ -71,19 +71,63 @@ def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def _planes(keys: np.ndarray) -> bytes:
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].T).tobytes()
+    """Sorted keys as compressed byte planes of their differences."""
+    steps = np.diff(keys, prepend=U64(0)).astype("<u8")
+    return pa.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True)
 
 
 def _unplaned(planes: bytes, n: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :7] = np.frombuffer(planes, np.uint8).reshape(7, n).T
-    return out.view("<u8").reshape(n)
+    raw = np.frombuffer(pa.decompress(planes, 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(raw.T).view("<u8").ravel(), dtype=U64)
+
+
+def squeezed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unsqueezed(b: bytes) -> bytes:
+    return pa.decompress(b[8:], int.from_bytes(b[:8], "little"), "zstd", asbytes=True)
+
+
+def _dealt(cuts: list[int]):
+    """Rows (doc_id, text) to one row for each pack in a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.array(cuts, np.int64)
+        for b in batches:
+            ids = b.column(0).cast(pa.int64())
+            null = ids.is_null().to_numpy(zero_copy_only=False)
+            number = ids.fill_null(0).to_numpy(zero_copy_only=False)
+            pack = np.where(null, -1, np.searchsorted(edges, number))  # equal ids share a pack; ids grow from pack to pack
+            texts, rows = b.column(1).cast(pa.binary()), []
+            for p in np.unique(pack).tolist():
+                at = np.flatnonzero(pack == p)
+                own = [texts[i].as_py() for i in at.tolist()]
+                sizes = np.array([-1 if t is None else len(t) for t in own], "<i8")
+                rows.append((p, number[at].astype("<i8").tobytes(), sizes.tobytes(), pa.compress(b"".join(t or b"" for t in own), "zstd", asbytes=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _schema(DEALT), strict=True)], schema=_schema(DEALT)) if rows else pa.RecordBatch.from_pylist([], schema=_schema(DEALT))
+
+    return run
+
+
+def documents(pack: pa.Table) -> tuple[list[int | None], list[bytes | None]]:
+    """Ids and texts of a pack's rows."""
+    ids: list[int | None] = []
+    texts: list[bytes | None] = []
+    for number, own, size, packed in zip(*(pack.column(c).to_pylist() for c in ("pack", "ids", "sizes", "texts")), strict=True):
+        ids += [None] * (len(own) // 8) if number < 0 else np.frombuffer(own, "<i8").tolist()
+        sizes = np.frombuffer(size, "<i8").tolist()
+        raw, at = pa.decompress(packed, sum(max(0, n) for n in sizes), "zstd", asbytes=True), 0
+        for n in sizes:
+            texts.append(None if n < 0 else raw[at : at + n])
+            at += max(0, n)
+    return ids, texts
 
 
 class Packed:
     """Documents in packs, and the size of the bucket space."""
 
-    def __init__(self, docs: DataFrame, keys_per_byte: float, pack_bytes: int = PACK_BYTES, bucket_keys: int = BUCKET_KEYS):
+    def __init__(self, docs: DataFrame, keys_per_byte: float, kept_bits: int = 64, pack_bytes: int = PACK_BYTES, bucket_keys: int = BUCKET_KEYS):
         spark = docs.sparkSession
         size, rows = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
         n = max(1, min(rows, max(-(-size // pack_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))))
@@ -91,30 +135,30 @@ class Packed:
         cuts = docs.agg(F.percentile_approx("doc_id", parts, 100 * n)).first()[0] if parts and rows else []
         self.cuts = sorted(set(cuts or []))  # 8 bytes for each pack
         self.bits = max(LEAST_BITS, int(np.ceil(np.log2(max(1, size * keys_per_byte / bucket_keys)))))
-        cuts = self.cuts
-
-        @F.pandas_udf("int")
-        def pack_of(doc_id: pd.Series) -> pd.Series:
-            # Equal ids share a pack; ids grow from pack to pack.
-            return pd.Series(np.searchsorted(np.array(cuts, np.int64), doc_id.to_numpy(np.int64)).astype("int32"))
+        self.dropped = max(0, 64 - self.bits - kept_bits)
+        self.docs = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_dealt(self.cuts), DEALT)
 
-        pack = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(pack_of(F.coalesce("doc_id", F.lit(0)).cast("long")))
-        self.docs = docs.select(pack.alias("pack"), "doc_id", "text")
+    @property
+    def cut(self) -> Callable[[np.ndarray], np.ndarray]:
+        """Takes keys to the bits that are compared."""
+        dropped = self.dropped
+        return lambda keys: keys >> U64(dropped)
 
-    def asked(self, keys_of: Callable[[list[bytes | None]], tuple[np.ndarray, np.ndarray]], counted: bool) -> DataFrame:
-        """Slices (ASKED) of each pack's distinct keys. keys_of: texts to sorted distinct keys and their counts."""
-        bits = self.bits
+    def asked(self, keys_of: Callable[[list[bytes | None]], tuple[np.ndarray, np.ndarray]], counted: bool, skip_null: bool = False) -> DataFrame:
+        """Slices (ASKED) of each pack's distinct keys. keys_of: texts to sorted distinct keys, after cut(), and their counts."""
+        top = 64 - self.bits - self.dropped
 
         def run(pack: pa.Table) -> pa.Table:
             number = pack.column("pack")[0].as_py()
-            if number < 0:
+            if skip_null and number < 0:
                 return pa.table([[]] * 5, schema=_schema(ASKED))
-            keys, counts = keys_of(pack.column("text").cast(pa.binary()).to_pylist())
-            bucket = (keys >> U64(64 - bits)).astype(np.int64)
+            keys, counts = keys_of(documents(pack)[1])
+            bucket = (keys >> U64(top)).astype(np.int64)
             edge = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist() + [len(keys)]
             part = list(zip(edge[:-1], edge[1:], strict=True))
-            c = [counts[a:b].astype("<i4").tobytes() if counted else None for a, b in part]
-            return pa.table([[int(bucket[a]) for a, _ in part], [number] * len(part), [b - a for a, b in part], [_planes(keys[a:b]) for a, b in part], c], schema=_schema(ASKED))
+            low = keys & U64((1 << top) - 1)
+            c = [squeezed(counts[a:b].astype("<i4").tobytes()) if counted else None for a, b in part]
+            return pa.table([[int(bucket[a]) for a, _ in part], [number] * len(part), [b - a for a, b in part], [_planes(low[a:b]) for a, b in part], c], schema=_schema(ASKED))
 
         return self.docs.groupBy("pack").applyInArrow(run, ASKED)
 
@@ -126,13 +170,13 @@ class Packed:
             size = [r["n"] for r in rows]
             keys = np.concatenate([_unplaned(r["planes"], r["n"]) for r in rows])
             packs = np.repeat([r["pack"] for r in rows], size)
-            counts = None if rows[0]["counts"] is None else np.concatenate([np.frombuffer(r["counts"], "<i4") for r in rows])
+            counts = None if rows[0]["counts"] is None else np.concatenate([np.frombuffer(unsqueezed(r["counts"]), "<i4") for r in rows])
             order = np.argsort(keys, kind="stable")  # ties stay in the order of packs
             value = answer(keys[order], packs[order], None if counts is None else counts[order])
             back = np.empty(len(keys), value.dtype)
             back[order] = value
             cut = np.cumsum(size)[:-1]
-            return pa.table([[r["bucket"] for r in rows], [r["pack"] for r in rows], [form(x) for x in np.split(back, cut)]], schema=_schema(ANSWERED))
+            return pa.table([[r["bucket"] for r in rows], [r["pack"] for r in rows], [squeezed(form(x)) for x in np.split(back, cut)]], schema=_schema(ANSWERED))
 
         return asked.groupBy("bucket").applyInArrow(run, ANSWERED)
 
@@ -141,7 +185,7 @@ class Packed:
 
         def run(pack: pa.Table, got: pa.Table) -> pa.Table:
             rows = sorted(zip(got.column("bucket").to_pylist(), got.column("answer").to_pylist(), strict=True), key=lambda r: r[0])
-            return finish(pack, [r[1] for r in rows])
+            return finish(pack, [unsqueezed(r[1]) for r in rows])
 
         return self.docs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(run, schema)
 

@@ -16,18 +16,23 @@ table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.llm.common import table
-from labelloom.llm.packs import U64, Packed, window_hashes, word_hashes
+from labelloom.llm.packs import U64, Packed, documents, window_hashes, word_hashes
 from labelloom.llm.packs import _schema as arrow_schema
 
 ORDER = 3
 BACKOFF = 0.4
 LEAST = 2
+#: Bits of a gram's hash that are kept below its bucket's: with at least 8 bucket bits, and one more whenever the
+#: corpus doubles, a gram shares its hash with another with a chance of about 2 ** -29.
+KEPT_BITS = 48
 RESULT = "doc_id long, n_words long, micro long, n_backed_off long"
 #: Stands for "any word": its count is the number of words.
 ANY = U64(0)
@@ -42,12 +47,13 @@ def _grams(texts: list[bytes | None]) -> list[list[np.ndarray]]:
     return out
 
 
-def _keys(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    grams = _grams(texts)
-    flat = np.concatenate([g for x in grams for g in x] or [np.zeros(0, U64)])
-    keys, counts = np.unique(flat, return_counts=True)
-    n = sum(len(x[0]) for x in grams)
-    return np.concatenate(([ANY], keys)), np.concatenate(([n], counts)).astype(np.int64)
+def _keys(cut: Callable[[np.ndarray], np.ndarray]):
+    def run(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        grams = _grams(texts)
+        keys, counts = np.unique(cut(np.concatenate([g for x in grams for g in x] or [np.zeros(0, U64)])), return_counts=True)
+        return np.concatenate(([ANY], keys)), np.concatenate(([sum(len(x[0]) for x in grams)], counts)).astype(np.int64)
+
+    return run
 
 
 def _totals(keys: np.ndarray, packs: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -70,10 +76,16 @@ def _unformed(b: bytes) -> np.ndarray:
     return out
 
 
-def _finish(pack: pa.Table, answers: list[bytes]) -> pa.Table:
-    ids = pack.column("doc_id").to_pylist()
-    grams = _grams(pack.column("text").cast(pa.binary()).to_pylist())
-    flat = np.concatenate([g for x in grams for g in x] or [np.zeros(0, U64)])
+def _finish(cut: Callable[[np.ndarray], np.ndarray]):
+    def run(pack: pa.Table, answers: list[bytes]) -> pa.Table:
+        ids, texts = documents(pack)
+        return _pack_scores(ids, _grams(texts), cut, answers)
+
+    return run
+
+
+def _pack_scores(ids: list[int | None], grams: list[list[np.ndarray]], cut: Callable[[np.ndarray], np.ndarray], answers: list[bytes]) -> pa.Table:
+    flat = cut(np.concatenate([g for x in grams for g in x] or [np.zeros(0, U64)]))
     _, at = np.unique(flat, return_inverse=True)
     totals = np.concatenate([_unformed(a) for a in answers])
     count, words = totals[1:][at] if len(at) else np.zeros(0, np.int64), int(totals[0])
@@ -98,10 +110,10 @@ def _finish(pack: pa.Table, answers: list[bytes]) -> pa.Table:
 
 def scored(docs: DataFrame, **how) -> DataFrame:
     """doc_id, n_words, score (natural logarithm), mean_score and n_backed_off for every row."""
-    packed = Packed(docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "text"), 0.4, **how)
-    raw = packed.resolved(packed.answered(packed.asked(_keys, True), _totals, _form), _finish, RESULT)
-    own = F.when(F.col("doc_id") != F.lit(-(2**63)), F.col("doc_id"))
-    return raw.select(own.alias("doc_id"), "n_words", (F.col("micro") / 1e6).alias("score"), F.when(F.col("n_words") > 0, F.col("micro") / 1e6 / F.col("n_words")).alias("mean_score"), "n_backed_off")
+    packed = Packed(docs.select("doc_id", "text"), 0.4, kept_bits=KEPT_BITS, **how)
+    asked = packed.asked(_keys(packed.cut), True)
+    raw = packed.resolved(packed.answered(asked, _totals, _form), _finish(packed.cut), RESULT)
+    return raw.select("doc_id", "n_words", (F.col("micro") / 1e6).alias("score"), F.when(F.col("n_words") > 0, F.col("micro") / 1e6 / F.col("n_words")).alias("mean_score"), "n_backed_off")
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from labelloom.llm.common import table
-from labelloom.llm.packs import U64, Packed, window_hashes, word_hashes
+from labelloom.llm.packs import U64, Packed, documents, window_hashes, word_hashes
 from labelloom.llm.packs import _schema as arrow_schema
 
 WINDOW = 13
@@ -46,8 +46,7 @@ def _in_earlier_pack(keys: np.ndarray, packs: np.ndarray, counts: np.ndarray | N
 
 def _finish(window: int, with_text: bool):
     def run(pack: pa.Table, answers: list[bytes]) -> pa.Table:
-        ids = pack.column("doc_id").to_pylist()
-        texts = pack.column("text").cast(pa.binary()).to_pylist()
+        ids, texts = documents(pack)
         words = [(t or b"").split() for t in texts]
         hashes = [window_hashes(word_hashes(w), window) for w in words]
         known = [k for k, i in enumerate(ids) if i is not None]
@@ -88,7 +87,7 @@ def _bits(flags: np.ndarray) -> bytes:
 def without_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True, **how) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and the kept words joined by one space, for every row."""
     packed = Packed(docs.select("doc_id", "text"), 0.2, **how)
-    answers = packed.answered(packed.asked(_keys(window), False), _in_earlier_pack, _bits)
+    answers = packed.answered(packed.asked(_keys(window), False, skip_null=True), _in_earlier_pack, _bits)
     return packed.resolved(answers, _finish(window, with_text), RESULT)
 
 
