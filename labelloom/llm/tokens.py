@@ -2,23 +2,24 @@
 
 Each document is tokenised with a public byte-level BPE vocabulary, ends with
 END, and is cut into sequences of ``length`` tokens, the last one filled with
-END. Sequences are numbered without gaps. A keyed Feistel
-permutation with cycle walking gives every number its slot; shard files hold
-``per_shard`` consecutive slots each, one record of fixed size a slot, so slot s
-is at byte stride * (s % per_shard) of file s // per_shard, and reading can
-start or resume anywhere by arithmetic alone.
+END. A byte-level vocabulary makes at most one token of a byte, so a document of
+n bytes is given the (n + 1) / length numbers, rounded up, that its sequences
+could need; a keyed Feistel permutation with cycle walking over all these
+numbers gives every sequence its place. Each range of ``per_shard`` places is a
+shard file, which holds its sequences in the order of their places, one record
+of fixed size each. With the shards' counts (``manifest``) slot s of the whole
+order is found by arithmetic alone, so reading can start or resume anywhere.
 
 A record: doc_id int64 (NO_ID for null), part int32, number of real tokens
 int32, then ``length`` token ids as uint16, all little-endian.
 
-Sequences are numbered in the order of the input files and of the rows in them.
-Each split of a file (a range of bytes that one task reads whole, in order) is
-counted in a first scan; prefix sums over these counts, one for each split, give
-every split its first number, and a running count in the second scan does the
-rest, whatever the splits are and however often a task is repeated. Rows are
-dealt to shards by range partitioning. A task writes its shards under
-temporary names and renames them, so a lost or repeated task leaves the same
-files.
+Numbers follow the order of the input files and of the rows in them. Bytes are
+summed for each split of a file (a range that one task reads whole, in order);
+prefix sums over the splits give each its first number, and a running count in
+the scan does the rest, whatever the splits are and however often a task is
+repeated. Rows are dealt to shards by range partitioning; the ranges are known,
+so nothing is sampled. A task writes its shards under temporary names and
+renames them, so a lost or repeated task leaves the same files.
 
 Defined results: a null or empty text is one sequence of END alone with no real
 tokens; repeated rows are written each; an empty table writes no file; other
@@ -28,6 +29,7 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+import struct
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,9 +38,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import new_path
+from labelloom.llm.common import bounded, new_path
 from labelloom.llm.permute import permuted
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -47,15 +50,20 @@ LENGTH = 256
 PER_SHARD = 16_384
 KEY = "training-order-1"
 NO_ID = -(2**63)
-MEMO = 200_000
-#: A coarsening of the vocabulary's own split: no token spans two of these pieces.
-PIECE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: Entries of each of a tokenizer's two tables.
+MEMO = 500_000
+#: Pieces between which the vocabulary's own split always cuts; so they can be encoded one by one.
+PIECE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?![^\W\d_])| ?\S+|\s+(?!\S)|\s+")
 #: Fixed value: the split pattern of the public byte-level BPE vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Tokenizer:
-    """Encodes and decodes with a ranks file; pieces seen before are looked up."""
+    """Encodes and decodes with a ranks file; words and pieces seen before are looked up.
+
+    A single space between other characters always starts a new token, so texts
+    without double spaces are cut there first, which is cheaper than the pattern.
+    """
 
     def __init__(self, path: str):
         import base64
@@ -65,17 +73,32 @@ class Tokenizer:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.own = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-        self.memo: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # keys have lost the space in front
 
     def _piece(self, piece: str) -> bytes:
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        out = self.memo[piece] = np.array(self.own.encode_ordinary(piece), "<u2").tobytes()
+        if len(self.pieces) >= MEMO:
+            self.pieces.clear()
+        ids = self.own.encode_ordinary(piece)
+        out = self.pieces[piece] = struct.pack(f"<{len(ids)}H", *ids)
+        return out
+
+    def _pieces(self, text: str) -> bytes:
+        get, new = self.pieces.get, self._piece
+        return b"".join([get(x) or new(x) for x in PIECE.findall(text)])
+
+    def _word(self, word: str) -> bytes:
+        if len(self.words) >= MEMO:
+            self.words.clear()
+        out = self.words[word] = self._pieces(" " + word)
         return out
 
     def encode(self, text: str) -> bytes:
-        get, piece = self.memo.get, self._piece
-        return b"".join([get(x) or piece(x) for x in PIECE.findall(text)])
+        first, *words = text.split(" ")
+        if not first or not all(words):
+            return self._pieces(text)
+        get, new = self.words.get, self._word
+        return self._pieces(first) + b"".join([get(x) or new(x) for x in words])
 
     def decode(self, tokens: bytes) -> str:
         return self.own.decode(np.frombuffer(tokens, "<u2").tolist())
@@ -95,16 +118,9 @@ def sequences(n_tokens: int, length: int) -> int:
     return -(-(n_tokens + 1) // length)
 
 
-def _counted(vocabulary: str, length: int):
-    """Rows (text, file, start) to the number of sequences in each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(vocabulary)
-        for b in batches:
-            n = [sequences(len(t.encode(x or "")) // 2, length) for x in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(n, pa.int64())], names=["file", "start", "n"])
-
-    return run
+def numbers(n_bytes: int, length: int) -> int:
+    """How many sequences a document of n bytes can need."""
+    return -(-(n_bytes + 1) // length)
 
 
 def _cut(vocabulary: str, length: int, first: dict[tuple[str, int], int]):
@@ -116,10 +132,9 @@ def _cut(vocabulary: str, length: int, first: dict[tuple[str, int], int]):
             out = []
             for doc_id, text, file, start in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 full = np.frombuffer(t.encode(text or ""), np.uint8).reshape(-1, 2)
-                n = sequences(len(full), length)
                 number = at.setdefault((file, start), first[file, start])
-                at[file, start] = number + n
-                out += [(number + k, doc_id, k, full[k * length : (k + 1) * length].T.tobytes()) for k in range(n)]
+                at[file, start] = number + numbers(len((text or "").encode()), length)
+                out += [(number + k, doc_id, k, full[k * length : (k + 1) * length].T.tobytes()) for k in range(sequences(len(full), length))]
             yield pa.RecordBatch.from_pylist([dict(zip(("number", "doc_id", "part", "planes"), r, strict=True)) for r in out], schema=pa.schema([("number", pa.int64()), ("doc_id", pa.int64()), ("part", pa.int32()), ("planes", pa.binary())]))
 
     return run
@@ -170,8 +185,8 @@ def write_shards(spark: SparkSession, documents: str, path: str, vocabulary: str
     fs.create_dir(root, recursive=True)
     source = ("_metadata.file_path", "_metadata.file_block_start")
     rows = spark.read.parquet(documents).select(F.col("doc_id").cast("long"), "text", *source).toDF("doc_id", "text", "file", "start")
-    counts = rows.select("text", "file", "start").mapInArrow(_counted(vocabulary, length), "file string, start long, n long")
-    splits = counts.groupBy("file", "start").agg(F.sum("n").alias("n")).collect()  # one row for each split of the input files
+    most = F.floor((F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + length) / length)
+    splits = rows.groupBy("file", "start").agg(F.sum(most).alias("n")).collect()  # one row for each split of the input files
     first, total = {}, 0
     for file, start, n in sorted(map(tuple, splits)):
         first[file, start] = total
@@ -179,12 +194,20 @@ def write_shards(spark: SparkSession, documents: str, path: str, vocabulary: str
     cut = rows.mapInArrow(_cut(vocabulary, length, first), "number long, doc_id long, part int, planes binary")
     placed = cut.select(permuted(F.col("number"), max(total, 1), key).alias("slot"), "doc_id", "part", "planes")
     shards = max(1, -(-total // per_shard))
-    # Ranges of whole shards: a file never has two writers.
-    spread = placed.withColumn("shard", F.expr(f"slot div {per_shard}L")).repartitionByRange(min(shards, 10_000), "shard").sortWithinPartitions("slot")
+    # Slots are evenly spread, so the ranges are known without sampling; they hold whole shards: a file never has two writers.
+    parts = min(shards, 10_000)
+    spread = placed.repartitionById(parts, F.expr(f"CAST((slot div {per_shard}L) * {parts} div {shards} AS INT)")).sortWithinPartitions("slot")
     return spread.select("slot", "doc_id", "part", "planes").mapInArrow(_writer(path, length, per_shard), "shard long, records long, bytes long")
 
 
-def read_shards(spark: SparkSession, path: str, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
+def manifest(spark: SparkSession, path: str, length: int = LENGTH) -> DataFrame:
+    """shard, first_slot and records of every shard, from the files' sizes."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.bin").load(path)
+    sizes = files.select(F.regexp_extract("path", r"shard-(\d+)\.bin$", 1).cast("long").alias("shard"), F.floor(F.col("length") / stride(length)).alias("records"))
+    return sizes.select("shard", (F.sum("records").over(W.orderBy("shard")) - F.col("records")).alias("first_slot"), "records")  # a row for each file
+
+
+def read_shards(spark: SparkSession, path: str, length: int = LENGTH) -> DataFrame:
     """slot, shard, byte_offset, doc_id, part, n_tokens and tokens of every record, read from the files."""
     size = stride(length)
 
@@ -198,12 +221,14 @@ def read_shards(spark: SparkSession, path: str, length: int = LENGTH, per_shard:
                 at = np.arange(len(rows))
                 tokens = [bytes(r[16 : 16 + 2 * n]) for r, n in zip(rows, nums[:, 1].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard * per_shard + at), pa.array(np.full(len(at), shard), pa.int64()), pa.array(at * size), pa.array([None if i == NO_ID else i for i in ids.tolist()], pa.int64()), pa.array(nums[:, 0].astype(np.int64)), pa.array(nums[:, 1].astype(np.int64)), pa.array(tokens, pa.binary())],
-                    names=["slot", "shard", "byte_offset", "doc_id", "part", "n_tokens", "tokens"],
+                    [pa.array(np.full(len(at), shard), pa.int64()), pa.array(at * size), pa.array([None if i == NO_ID else i for i in ids.tolist()], pa.int64()), pa.array(nums[:, 0].astype(np.int64)), pa.array(nums[:, 1].astype(np.int64)), pa.array(tokens, pa.binary())],
+                    names=["shard", "byte_offset", "doc_id", "part", "n_tokens", "tokens"],
                 )
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.bin").load(path).select("path", "content")
-    return files.mapInArrow(run, "slot long, shard long, byte_offset long, doc_id long, part long, n_tokens long, tokens binary")
+    rows = files.mapInArrow(run, "shard long, byte_offset long, doc_id long, part long, n_tokens long, tokens binary")
+    first = manifest(spark, path, length).select("shard", "first_slot")
+    return rows.join(bounded(first), "shard").select((F.col("first_slot") + F.floor(F.col("byte_offset") / size)).alias("slot"), "shard", "byte_offset", "doc_id", "part", "n_tokens", "tokens")
 
 
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
