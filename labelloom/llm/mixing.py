@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import key_bucket, row_key, stored, table, words_of
+from labelloom.llm.common import bounded, key_bucket, row_key, stored, table, words_of
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -57,6 +57,7 @@ def source_targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: in
 
 def cuts(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """targets with cut_key: a source's keys up to it are taken once more than ``epochs``. Null: none."""
+    targets = bounded(targets)
     t = targets.select(F.col("source").alias("__source"), "rest")
     sums = rows.groupBy("source", key_bucket(F.col("key")).alias("bucket")).agg(F.sum("size").alias("sum"))
     sums = sums.withColumn("before", F.coalesce(F.sum("sum").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
@@ -73,7 +74,7 @@ def cuts(rows: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def _with_copies(docs: DataFrame, plan: DataFrame, source: str, key: str) -> DataFrame:
-    p = plan.withColumnsRenamed({c: f"__p_{c}" for c in plan.columns})
+    p = bounded(plan).withColumnsRenamed({c: f"__p_{c}" for c in plan.columns})
     copies = F.col("__p_epochs") + F.when(docs[key] <= F.col("__p_cut_key"), 1).otherwise(0)
     return docs.join(p, docs[source].eqNullSafe(p["__p_source"])).withColumn("__copies", copies)
 
