@@ -36,6 +36,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -129,21 +130,39 @@ def _cut(vocabulary: str, length: int, first: dict[tuple[str, int], int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, at = tokenizer(vocabulary), dict[tuple[str, int], int]()
         for b in batches:
-            out = []
-            for doc_id, text, file, start in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            ids, texts, files, starts = (c.to_pylist() for c in b.columns)
+            sizes = pc.fill_null(pc.binary_length(b.column(1).cast(pa.binary())), 0).to_pylist()
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            for doc_id, text, file, start, size in zip(ids, texts, files, starts, sizes, strict=True):
                 full = np.frombuffer(t.encode(text or ""), np.uint8).reshape(-1, 2)
                 number = at.setdefault((file, start), first[file, start])
-                at[file, start] = number + numbers(len((text or "").encode()), length)
-                out += [(number + k, doc_id, k, full[k * length : (k + 1) * length].T.tobytes()) for k in range(sequences(len(full), length))]
-            yield pa.RecordBatch.from_pylist([dict(zip(("number", "doc_id", "part", "planes"), r, strict=True)) for r in out], schema=pa.schema([("number", pa.int64()), ("doc_id", pa.int64()), ("part", pa.int32()), ("planes", pa.binary())]))
+                at[file, start] = number + numbers(size, length)
+                n = sequences(len(full), length)
+                out[0].extend(range(number, number + n))
+                out[1].extend([doc_id] * n)
+                out[2].extend(range(n))
+                out[3].extend([full[k * length : (k + 1) * length].T.tobytes() for k in range(n)])
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["number", "doc_id", "part", "planes"])
 
     return run
 
 
-def _record(doc_id: int | None, part: int, planes: bytes, length: int) -> bytes:
-    own = np.frombuffer(planes, np.uint8).reshape(2, -1).T
-    head = np.array([NO_ID if doc_id is None else doc_id], "<i8").tobytes() + np.array([part, len(own)], "<i4").tobytes()
-    return head + own.tobytes() + np.full(length - len(own), END, "<u2").tobytes()
+def _records(ids: np.ndarray, parts: np.ndarray, planes: list[bytes], length: int) -> np.ndarray:
+    """Records as rows of bytes."""
+    out = np.empty((len(planes), stride(length)), np.uint8)
+    n = np.array([len(p) // 2 for p in planes], "<i4")
+    out[:, :8] = ids.astype("<i8").view(np.uint8).reshape(-1, 8)
+    out[:, 8:12] = parts.astype("<i4").view(np.uint8).reshape(-1, 4)
+    out[:, 12:16] = n.view(np.uint8).reshape(-1, 4)
+    tokens = out[:, 16:].reshape(len(planes), length, 2)
+    tokens[:] = np.array([END], "<u2").view(np.uint8)
+    whole = np.flatnonzero(n == length)
+    if len(whole):
+        tokens[whole] = np.frombuffer(b"".join([planes[i] for i in whole.tolist()]), np.uint8).reshape(len(whole), 2, length).transpose(0, 2, 1)
+    for i in np.flatnonzero(n < length).tolist():
+        tokens[i, : n[i]] = np.frombuffer(planes[i], np.uint8).reshape(2, -1).T
+    return out
 
 
 def _writer(path: str, length: int, per_shard: int):
@@ -162,14 +181,19 @@ def _writer(path: str, length: int, per_shard: int):
                 out = None
 
         for b in batches:
-            for slot, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if slot // per_shard != now:
+            if not b.num_rows:
+                continue
+            shard = b.column(0).to_numpy() // per_shard
+            rows = _records(b.column(1).fill_null(NO_ID).to_numpy(), b.column(2).to_numpy(), b.column(3).to_pylist(), length)
+            edge = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            for a, z in zip(edge[:-1], edge[1:], strict=True):
+                if shard[a] != now:
                     close()
-                    now, count = slot // per_shard, 0
+                    now, count = int(shard[a]), 0
                     tmp = f"{root}/_part-{now:08d}-{uuid.uuid4().hex}"
                     out = fs.open_output_stream(tmp)
-                out.write(_record(*rest, length))
-                count += 1
+                out.write(rows[a:z].tobytes())
+                count += z - a
         close()
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], pa.int64()) for i in range(3)], names=["shard", "records", "bytes"])
 
