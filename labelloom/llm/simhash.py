@@ -253,8 +253,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     keyed = own.withColumn("__key", row_key(c["doc_id"], c["text"]))
     prints = stored(with_fingerprint(keyed.select(c["doc_id"].alias("doc_id"), c["text"].alias("text"), "__key"), "doc_id", "__key"))
     of, _ = grouped(prints)
-    member = prints.join(of.select(F.col("fp").alias("__fp"), "component"), F.col("fp") == F.col("__fp"))
-    best = member.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")).alias("best"))
+    first = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")).alias("best"))  # copies meet here, before any join
+    best = first.join(of.select("fp", "component"), "fp").groupBy("component").agg(F.min("best").alias("best"))
     keep = best.select(F.col("best.__key").alias("__key"))
     return keyed.dropDuplicates(["__key"]).join(keep, "__key", "left_semi").select(*(c[name].alias(name) for name in docs.columns))
 
