@@ -28,8 +28,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-import re
-import struct
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -51,19 +49,18 @@ LENGTH = 256
 PER_SHARD = 16_384
 KEY = "training-order-1"
 NO_ID = -(2**63)
-#: Entries of each of a tokenizer's two tables.
-MEMO = 500_000
-#: Pieces between which the vocabulary's own split always cuts; so they can be encoded one by one.
-PIECE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?![^\W\d_])| ?\S+|\s+(?!\S)|\s+")
+#: Words that a tokenizer remembers.
+MEMO = 700_000
 #: Fixed value: the split pattern of the public byte-level BPE vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Tokenizer:
-    """Encodes and decodes with a ranks file; words and pieces seen before are looked up.
+    """Encodes and decodes with a ranks file; words seen before are looked up.
 
     A single space between other characters always starts a new token, so texts
-    without double spaces are cut there first, which is cheaper than the pattern.
+    without double spaces are cut there; words that are new are encoded together,
+    and their tokens come apart again where a token starts with a space.
     """
 
     def __init__(self, path: str):
@@ -74,32 +71,29 @@ class Tokenizer:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.own = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-        self.pieces: dict[str, bytes] = {}
+        self.spaced = np.zeros(max(ranks.values()) + 1, bool)
+        self.spaced[[i for b, i in ranks.items() if b.startswith(b" ")]] = True
         self.words: dict[str, bytes] = {}  # keys have lost the space in front
 
-    def _piece(self, piece: str) -> bytes:
-        if len(self.pieces) >= MEMO:
-            self.pieces.clear()
-        ids = self.own.encode_ordinary(piece)
-        out = self.pieces[piece] = struct.pack(f"<{len(ids)}H", *ids)
-        return out
+    def _plain(self, text: str) -> bytes:
+        return np.array(self.own.encode_ordinary(text), "<u2").tobytes()
 
-    def _pieces(self, text: str) -> bytes:
-        get, new = self.pieces.get, self._piece
-        return b"".join([get(x) or new(x) for x in PIECE.findall(text)])
-
-    def _word(self, word: str) -> bytes:
-        if len(self.words) >= MEMO:
-            self.words.clear()
-        out = self.words[word] = self._pieces(" " + word)
-        return out
+    def _learn(self, words: list[str]) -> None:
+        ids = np.array(self.own.encode_ordinary(" " + " ".join(words)), "<u2")
+        raw, cut = ids.tobytes(), (2 * np.flatnonzero(self.spaced[ids])).tolist()
+        for w, a, b in zip(words, cut, [*cut[1:], len(raw)], strict=True):
+            self.words[w] = raw[a:b]
 
     def encode(self, text: str) -> bytes:
         first, *words = text.split(" ")
         if not first or not all(words):
-            return self._pieces(text)
-        get, new = self.words.get, self._word
-        return self._pieces(first) + b"".join([get(x) or new(x) for x in words])
+            return self._plain(text)
+        if len(self.words) >= MEMO:
+            self.words.clear()
+        table = self.words
+        if new := {w for w in words if w not in table}:
+            self._learn(list(new))
+        return self._plain(first) + b"".join([table[w] for w in words])
 
     def decode(self, tokens: bytes) -> str:
         return self.own.decode(np.frombuffer(tokens, "<u2").tolist())
