@@ -31,6 +31,18 @@ def _found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.trim(F.regexp_extract(text, pattern, group)), F.lit(""))
 
 
+def _any(text: Column, words: tuple[str, ...]) -> Column:
+    low, out = F.lower(text), F.lit(False)
+    for w in words:
+        out = out | low.contains(w)
+    return out
+
+
+def _found_by(text: Column, words: tuple[str, ...], pattern: str) -> Column:
+    """_found, tried only where the text has one of the words that the pattern can't do without."""
+    return F.when(_any(text, words), _found(text, pattern))
+
+
 def _candidate(field: str, raw: Column, value: Column, confidence: float | Column, method: str) -> Column:
     c = confidence if isinstance(confidence, Column) else F.lit(float(confidence))
     return F.struct(F.lit(field).alias("field"), raw.alias("raw"), value.cast("string").alias("value"), c.cast("double").alias("confidence"), F.lit(method).alias("method"))
@@ -39,32 +51,32 @@ def _candidate(field: str, raw: Column, value: Column, confidence: float | Colum
 def candidates(labels: DataFrame) -> DataFrame:
     """All candidates of all fields. labels: label_id, text."""
     x = F.col("content")
-    mrp = _found(x, r"(?i)(?:mrp|m\.r\.p\.?|maximum\s*retail\s*price)[^0-9]{0,15}(\d+(?:[.,]\d{1,2})?)")
-    loose = _found(x, r"(?i)(?:₹|rs\.?)\s*(\d+(?:\.\d{1,2})?)")
-    q_anchor = _found(x, r"(?i)net\s*(?:qty|quantity|wt|weight|content)[^0-9]{0,10}(\d+(?:\.\d+)?\s*(?:kg|mg|g|gm|ml|l|ltr|pcs|n)\b)")
+    mrp = _found_by(x, ("mrp", "m.r.p", "retail",), r"(?i)(?:mrp|m\.r\.p\.?|maximum\s*retail\s*price)[^0-9]{0,15}(\d+(?:[.,]\d{1,2})?)")
+    loose = _found_by(x, ("rs", "₹",), r"(?i)(?:₹|rs\.?)\s*(\d+(?:\.\d{1,2})?)")
+    q_anchor = _found_by(x, ("net",), r"(?i)net\s*(?:qty|quantity|wt|weight|content)[^0-9]{0,10}(\d+(?:\.\d+)?\s*(?:kg|mg|g|gm|ml|l|ltr|pcs|n)\b)")
     q_loose = F.when(~x.rlike(SERVING), _found(x, r"(?i)\b(\d+(?:\.\d+)?\s*(?:kg|g|gm|ml|l|ltr)\b)"))
-    lic = C.repaired_licence(x)
-    maker = _found(x, r"(?i)(?:manufactured|mfd\.?|mfg\.?)\s*by\s*:?\s*([^,\n]+)")
-    packer = _found(x, r"(?i)packed\s*by\s*:?\s*([^,\n]+)")
-    marketer = _found(x, r"(?i)(?:marketed|mktd\.?)\s*by\s*:?\s*([^,\n]+)")
-    importer = _found(x, r"(?i)imported\s*by\s*:?\s*([^,\n]+)")
+    lic = F.when(_any(x, ("fssai", "lic")) | x.rlike(r"\d{14}"), C.repaired_licence(x))
+    maker = _found_by(x, ("by",), r"(?i)(?:manufactured|mfd\.?|mfg\.?)\s*by\s*:?\s*([^,\n]+)")
+    packer = _found_by(x, ("packed",), r"(?i)packed\s*by\s*:?\s*([^,\n]+)")
+    marketer = _found_by(x, ("marketed", "mktd",), r"(?i)(?:marketed|mktd\.?)\s*by\s*:?\s*([^,\n]+)")
+    importer = _found_by(x, ("imported",), r"(?i)imported\s*by\s*:?\s*([^,\n]+)")
     date = r"(\d{1,2}[/\-.]\d{2,4}(?:[/\-.]\d{2,4})?)"
-    made = _found(x, rf"(?i)(?:mfg|mfd|pkd|packed\s*on|manufactured\s*on|date\s*of\s*mfg)\.?\s*(?:date)?\s*:?\s*{date}")
-    before = _found(x, rf"(?i)(?:best\s*before|exp(?:iry)?\.?\s*(?:date)?|use\s*by)\s*:?\s*{date}")
-    life = _found(x, r"(?i)best\s*before\s*:?\s*(\d+\s*(?:months?|days?|years?)\s*from\s*\w+)")
-    batch = F.when(x.rlike(r"(?i)\b(?:batch|lot)\b"), F.nullif(C.repaired_batch(x), F.lit("")))
-    email = _found(x, r"([A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,})")
-    tollfree = _found(x, r"\b(1800[\-\s]?\d{3}[\-\s]?\d{3,4})\b")
-    mobile = F.when(x.rlike(r"(?i)care|contact|phone|helpline|call"), _found(x, r"(?:^|\D)([6-9]\d{9})(?:\D|$)"))
-    origin = _found(x, r"(?i)country\s*of\s*origin\s*:?\s*([A-Za-z ]+)")
-    made_in = _found(x, r"(?i)(?:made\s*in|product\s*of)\s+([A-Za-z]+)")
-    ingredients = _found(x, r"(?i)^\s*in[gqo]redients?\s*:?\s*(.{8,350})")
-    allergen = _found(x, r"(?i)(?:allergen[^:]*:|contains\s*:)\s*(.{3,150})")
-    brand = _found(x, r"(?i)^\s*brand\s*:\s*(.+)$")
+    made = _found_by(x, ("mfg", "mfd", "pkd", "packed", "manufactured",), rf"(?i)(?:mfg|mfd|pkd|packed\s*on|manufactured\s*on|date\s*of\s*mfg)\.?\s*(?:date)?\s*:?\s*{date}")
+    before = _found_by(x, ("best", "exp", "use",), rf"(?i)(?:best\s*before|exp(?:iry)?\.?\s*(?:date)?|use\s*by)\s*:?\s*{date}")
+    life = _found_by(x, ("best",), r"(?i)best\s*before\s*:?\s*(\d+\s*(?:months?|days?|years?)\s*from\s*\w+)")
+    batch = F.when(_any(x, ("batch", "lot")) & x.rlike(r"(?i)\b(?:batch|lot)\b"), F.nullif(C.repaired_batch(x), F.lit("")))
+    email = _found_by(x, ("@",), r"([A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,})")
+    tollfree = _found_by(x, ("1800",), r"\b(1800[\-\s]?\d{3}[\-\s]?\d{3,4})\b")
+    mobile = F.when(_any(x, ("care", "contact", "phone", "helpline", "call")), _found(x, r"(?:^|\D)([6-9]\d{9})(?:\D|$)"))
+    origin = _found_by(x, ("origin",), r"(?i)country\s*of\s*origin\s*:?\s*([A-Za-z ]+)")
+    made_in = _found_by(x, ("made", "product",), r"(?i)(?:made\s*in|product\s*of)\s+([A-Za-z]+)")
+    ingredients = _found_by(x, ("redient",), r"(?i)^\s*in[gqo]redients?\s*:?\s*(.{8,350})")
+    allergen = _found_by(x, ("allergen", "contains",), r"(?i)(?:allergen[^:]*:|contains\s*:)\s*(.{3,150})")
+    brand = _found_by(x, ("brand",), r"(?i)^\s*brand\s*:\s*(.+)$")
     nutrition = F.when(x.rlike(r"(?i)nutrition"), F.lit("Panel detected"))
-    usp = _found(x, r"(?i)((?:unit\s*sale\s*price|usp)[^0-9]{0,10}\d+(?:\.\d+)?\s*(?:per|/)\s*\d*\s*(?:g|kg|ml|l|unit))")
-    code = _found(x, r"(?i)(?:barcode|ean|gtin)\D{0,5}(\d{12,14})\b")
-    digits = F.when(lic.isNull(), _found(x, r"(?:^|\D)(890\d{10})(?:\D|$)"))
+    usp = _found_by(x, ("usp", "unit",), r"(?i)((?:unit\s*sale\s*price|usp)[^0-9]{0,10}\d+(?:\.\d+)?\s*(?:per|/)\s*\d*\s*(?:g|kg|ml|l|unit))")
+    code = _found_by(x, ("barcode", "ean", "gtin",), r"(?i)(?:barcode|ean|gtin)\D{0,5}(\d{12,14})\b")
+    digits = F.when(lic.isNull() & x.contains("890"), _found(x, r"(?:^|\D)(890\d{10})(?:\D|$)"))
     # Each pattern runs once a line; the candidates below refer to its result.
     raw = {"mrp": mrp, "loose": loose, "q_anchor": q_anchor, "q_loose": q_loose, "lic": lic, "maker": maker, "packer": packer, "marketer": marketer, "importer": importer, "made": made, "before": before, "life": life, "batch": batch, "email": email, "tollfree": tollfree, "mobile": mobile, "origin": origin, "made_in": made_in, "ingredients": ingredients, "allergen": allergen, "brand": brand, "nutrition": nutrition, "usp": usp, "code": code, "digits": digits}
     lines = lines_of(labels).select("label_id", "line", "content", *(c.alias(f"__{n}") for n, c in raw.items()))
@@ -132,8 +144,14 @@ def conflicts(found: DataFrame) -> DataFrame:
     return g.filter((F.size("values") > 1) & (F.coalesce("spread", F.lit(1.0)) > 0.01)).select("label_id", "field", "values")
 
 
+def spread(labels: DataFrame) -> DataFrame:
+    """Labels dealt by their id. Windows, groups and joins by label keep this partitioning, so nothing is dealt again."""
+    return labels.repartition(int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions")), "label_id")
+
+
 def declarations(labels: DataFrame) -> DataFrame:
     """One row per label: text, a column for each field's best value, and map confidences."""
+    labels = spread(labels)
     top = best(candidates(labels))
     extra = ("packer", "marketed_by", "importer", "relative_shelf_life", "allergens", "unit_sale_price", "barcode")
     wide = top.groupBy("label_id").agg(

@@ -25,7 +25,7 @@ def _declared(spark, d):
 def _field(name: str, field: str, truth: str):
     @query(name, f"SELECT label_id, CAST({truth} AS VARCHAR) AS value FROM label_truth WHERE {truth} IS NOT NULL", ("label_truth",))
     def run(spark, d):
-        return E.best(E.candidates(_labels(spark, d))).filter(F.col("field") == field).select("label_id", "value")
+        return E.best(E.candidates(E.spread(_labels(spark, d)))).filter(F.col("field") == field).select("label_id", "value")
 
 
 _field("d01_licence", "fssai_license", "licence")
@@ -55,7 +55,7 @@ def d12(spark, d):
 
 @query("d15_category", "SELECT label_id, CASE kind WHEN 0 THEN 'cereal' WHEN 1 THEN 'beverage' WHEN 2 THEN 'noodles' WHEN 4 THEN 'bakery' END AS category FROM label_truth WHERE kind <> 3", ("label_truth",))
 def d15(spark, d):
-    return E.best(E.candidates(_labels(spark, d))).filter("field = 'product_name'").select("label_id", E.category(F.col("value")).alias("category")).filter("category IS NOT NULL")
+    return E.best(E.candidates(E.spread(_labels(spark, d)))).filter("field = 'product_name'").select("label_id", E.category(F.col("value")).alias("category")).filter("category IS NOT NULL")
 
 
 @query("d16_field_status", """SELECT label_id, field, CASE WHEN v THEN 'FOUND' WHEN NOT is_food AND field IN ('fssai_license', 'ingredients', 'nutrition_facts', 'best_before') THEN 'NOT_APPLICABLE' ELSE 'NOT_FOUND' END AS status FROM (
@@ -87,7 +87,7 @@ def d20(spark, d):
 
 @query("g01_best_candidates", "SELECT count(*) AS labels, count(price) AS prices, count(licence) AS licences FROM label_truth", ("label_truth",))
 def g01(spark, d):
-    b = E.best(E.candidates(_labels(spark, d)))
+    b = E.best(E.candidates(E.spread(_labels(spark, d))))
     return b.agg(F.count_if(F.col("field") == "product_name").alias("labels"), F.count_if(F.col("field") == "mrp").alias("prices"), F.count_if(F.col("field") == "fssai_license").alias("licences"))
 
 
