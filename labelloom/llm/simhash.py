@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelloom.llm import alike
 from labelloom.llm.common import row_key, stored, table
 from labelloom.llm.graph import components
 
@@ -247,14 +248,14 @@ def near_duplicates(prints: DataFrame, most: int = MOST, **how) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id, with the columns it came with."""
+    """One document of each group of alike texts (see alike), the one with the smallest doc_id, with the columns it came with."""
     own = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     c = {name: own[f"c{i}"] for i, name in enumerate(docs.columns)}
     keyed = own.withColumn("__key", row_key(c["doc_id"], c["text"]))
-    prints = stored(with_fingerprint(keyed.select(c["doc_id"].alias("doc_id"), c["text"].alias("text"), "__key"), "doc_id", "__key"))
-    of, _ = grouped(prints)
-    first = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")).alias("best"))  # copies meet here, before any join
-    best = first.join(of.select("fp", "component"), "fp").groupBy("component").agg(F.min("best").alias("best"))
+    prints = stored(alike.with_signature(keyed.select(c["doc_id"].alias("doc_id"), c["text"].alias("text"), "__key"), "doc_id", "__key"))
+    of = alike.grouped(prints, keyed.select("__key", c["text"].alias("text")))
+    first = prints.groupBy("set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")).alias("best"))  # copies meet here, before any join
+    best = first.join(of, "set", "left").groupBy(F.coalesce("component", "set").alias("component")).agg(F.min("best").alias("best"))
     keep = best.select(F.col("best.__key").alias("__key"))
     return keyed.dropDuplicates(["__key"]).join(keep, "__key", "left_semi").select(*(c[name].alias(name) for name in docs.columns))
 
