@@ -39,22 +39,36 @@ def graded(score: Column, match: float, partial: float) -> Column:
 
 
 def best_match(left: DataFrame, right: DataFrame) -> DataFrame:
-    """For each left row (id, name) the right row (id, name) of the best score; only rows that share a token are scored.
+    """For each left row (id, name) the right row (id, name) of the best score among those that share a token; null without one.
 
-    Tokens that more than MOST_SHARED right names have are no blocking keys unless a name has no other.
+    Tokens of up to MOST_SHARED right names are joined first. A score is at most 0.7 and half the Jaccard, so a pair that
+    reaches the best score so far shares a least part of the left name's tokens, and thus one of its rarest few; of
+    these the common ones are joined as well, salted. No pair that could be the best is left out.
     """
     tokens = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), F.col("name").alias(f"{p}_name"), F.explode(F.array_distinct(F.split(C.entity_name(F.col("name")), " "))).alias("token")).filter("token <> ''")
     r = tokens(right, "r")
-    rare = r.groupBy("token").agg(F.count("*").alias("n"))
-    r = r.join(rare, "token").withColumn("least", F.min("n").over(W.partitionBy("r_id"))).filter((F.col("n") <= MOST_SHARED) | (F.col("n") == F.col("least")))
-    pairs = tokens(left, "l").join(r.select("token", "r_id", "r_name"), "token").select("l_id", "l_name", "r_id", "r_name").distinct()
-    scored = pairs.withColumn("score", similarity(F.col("l_name"), F.col("r_name")))
-    best = scored.groupBy("l_id").agg(F.max(F.struct("score", (-F.col("r_id")).alias("k"), "r_name")).alias("b"))
+    shared = r.groupBy("token").agg(F.count("*").alias("n"))
+    own = tokens(left, "l").distinct().join(shared, "token", "left").na.fill(0, ["n"])
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        return pairs.select("l_id", "l_name", "r_id", "r_name").distinct().withColumn("score", similarity(F.col("l_name"), F.col("r_name")))
+
+    rare = scored(own.filter(F.col("n") <= MOST_SHARED).join(r, "token"))
+    so_far = rare.groupBy(F.col("l_id").alias("of_id"), F.col("l_name").alias("of_name")).agg(F.max("score").alias("s"))
+    name = W.partitionBy("l_id", "l_name")
+    ranked = own.withColumn("size", F.count("*").over(name)).withColumn("place", F.row_number().over(name.orderBy("n", "token"))).filter(F.col("n") > MOST_SHARED)
+    part = F.greatest(F.lit(0.0), 2 * (F.coalesce("s", F.lit(0.0)) - 0.7005))  # scores are rounded to 0.001
+    more = ranked.join(so_far, F.col("l_id").eqNullSafe(F.col("of_id")) & (F.col("l_name") == F.col("of_name")), "left").filter(F.col("place") <= F.col("size") - F.ceil(part * F.col("size") - 1e-9) + 1)
+    salted = more.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    common = scored(salted.join(r.withColumn("salt", F.pmod(F.xxhash64("r_id", "r_name"), F.lit(SALTS)).cast("int")), ["token", "salt"]))
+    found = rare.unionByName(common).select("l_id", F.struct("score", (-F.col("r_id")).alias("k"), "r_name").alias("b"))
+    best = found.unionByName(left.select(F.col("id").alias("l_id")), allowMissingColumns=True).groupBy("l_id").agg(F.max("b").alias("b"))
     return best.select(F.col("l_id").alias("id"), (-F.col("b.k")).alias("match_id"), F.col("b.r_name").alias("match_name"), F.col("b.score").alias("score"))
 
 
-#: Names that may share a token before it stops being a blocking key.
+#: Right names that may share a token before it is joined only where it can decide, and the parts such a token is dealt to.
 MOST_SHARED = 100
+SALTS = 16
 
 
 def rule_diff(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
