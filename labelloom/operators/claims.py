@@ -69,13 +69,25 @@ def _word(p: Column) -> Column:
     return F.concat(F.lit(r"(?:^|[^a-z0-9])"), F.regexp_replace(p, r"([^a-zA-Z0-9 ])", r"\\$1"), F.lit(r"(?:[^a-z0-9]|$)"))
 
 
+#: Patterns up to which one alternation tries a text; more are joined by their first run of letters and digits.
+ALTERNATION = 5000
+
+
 def find_claims(texts: DataFrame, rules: DataFrame) -> DataFrame:
     """Claims per text and rule: the first pattern of the rule that the text has. texts: label_id, text."""
     patterns = rules.select("rule_id", "claim_type", "category", "risk_level", "ord", F.posexplode("patterns").alias("p_ord", "pattern"))
-    every = "|".join(re.sub(r"([^a-zA-Z0-9 ])", r"\\\1", r[0]) for r in patterns.select("pattern").distinct().orderBy("pattern").limit(5000).collect())  # a dimension
-    low = F.lower("text")
-    some = texts.select("label_id", low.alias("low")).filter(F.col("low").rlike(f"(?:{every})")) if every else texts.select("label_id", low.alias("low")).limit(0)
-    hits = some.join(small(patterns), F.col("low").contains(F.col("pattern")) & F.rlike("low", _word(F.col("pattern"))))
+    known = [r[0] for r in patterns.select("pattern").distinct().limit(ALTERNATION + 1).collect()]
+    some = texts.select("label_id", F.lower("text").alias("low"))
+    has = F.col("low").contains(F.col("pattern")) & F.rlike("low", _word(F.col("pattern")))
+    if len(known) > ALTERNATION:  # a border before and after makes a pattern's first run of letters and digits a whole one of the text
+        patterns = patterns.withColumn("run", F.regexp_extract("pattern", "[a-z0-9]+", 0))
+        runs = some.select("label_id", "low", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit("[a-z0-9]+"), F.lit(0)))).alias("run"))
+        hits = runs.join(patterns.filter("run <> ''"), "run").filter(has).drop("run")
+        hits = hits.unionByName(some.join(small(patterns.filter("run = ''").drop("run")), has))
+    else:
+        every = "|".join(re.sub(r"([^a-zA-Z0-9 ])", r"\\\1", p) for p in sorted(p for p in known if p is not None))
+        some = some.filter(F.col("low").rlike(f"(?:{every})")) if every else some.limit(0)
+        hits = some.join(small(patterns), has)
     first = F.row_number().over(W.partitionBy("label_id", "rule_id").orderBy("p_ord"))
     return hits.withColumn("rn", first).filter("rn = 1").select("label_id", "rule_id", "claim_type", "category", "risk_level", "ord", F.col("pattern").alias("claim"))
 
