@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from labelloom.operators import claims as K
@@ -13,18 +10,13 @@ from labelloom.plans.facts import SQL as FACTS_SQL
 from labelloom.plans.joins import _claims
 from labelloom.plans.registry import Registry
 from labelloom.sources import exports as X
+from labelloom.sources.shared import new_path
 from labelloom.sources.views import frame
 from labelloom.streaming import jobs as J
 
 QUERIES, SQL, query = Registry.new()
 
 
-def _place(spark, name: str) -> str:
-    """A new folder that driver and executors share."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-flow-")
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def _events(spark, d):
     return J.stream_of(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -32,7 +24,7 @@ def _events(spark, d):
 @query("k01_limiter")
 def k01(spark, d):
     e = _events(spark, d).filter("event_type IN ('error', 'signup')").select("event_id", F.col("user_id").alias("key"), "ts", (F.col("event_type") == "error").alias("failure"), (F.col("event_type") == "signup").alias("success"))
-    return J.replayed(J.limiter(e, 6 * 3600, 5), _place(spark, "k01"))
+    return J.replayed(J.limiter(e, 6 * 3600, 5), new_path(spark, "k01"))
 
 
 SQL["k01_limiter"] = FACTS_SQL["g11_attempts"]
@@ -41,7 +33,7 @@ SQL["k01_limiter"] = FACTS_SQL["g11_attempts"]
 @query("k02_cache", "SELECT event_id, identifier_type, identifier_value, cached_at, ttl FROM cache_rows QUALIFY row_number() OVER (PARTITION BY identifier_type, identifier_value ORDER BY cached_at DESC, event_id DESC) = 1", ("cache_rows",))
 def k02(spark, d):
     rows = _events(spark, d).select("event_id", F.col("event_type").alias("identifier_type"), (F.col("user_id") % 100).cast("string").alias("identifier_value"), F.col("ts").alias("cached_at"), F.floor(F.coalesce("value", F.lit(0.0))).cast("long").alias("ttl"))
-    out = J.replayed(J.cache(rows), _place(spark, "k02"), "update")
+    out = J.replayed(J.cache(rows), new_path(spark, "k02"), "update")
     from labelloom.operators.selection import latest
 
     return latest(out, ["identifier_type", "identifier_value"], "cached_at", "event_id")
@@ -52,7 +44,7 @@ def k03(spark, d):
     kind = F.col("event_type")
     status = F.when(kind == "view", "PENDING_REVIEW").when(kind == "click", "UNDER_REVIEW").when(kind == "purchase", "VERIFIED_COMPLIANT").when(kind == "error", "RESCAN_REQUESTED").otherwise("VERIFIED_NON_COMPLIANT")
     log = _events(spark, d).select("event_id", F.col("user_id").alias("review_id"), "ts", status.alias("status"))
-    return J.replayed(J.review_workflow(log), _place(spark, "k03"))
+    return J.replayed(J.review_workflow(log), new_path(spark, "k03"))
 
 
 SQL["k03_review_workflow"] = f"SELECT event_id, review_id, status, before, legal FROM ({FACTS_SQL['g12_review_transitions']}) g"
@@ -61,7 +53,7 @@ SQL["k03_review_workflow"] = f"SELECT event_id, review_id, status, before, legal
 @query("k04_screening", "SELECT label_id, 14 AS n FROM label_truth", ("label_truth",))
 def k04(spark, d):
     labels = frame(spark, d, "label_text")
-    path = _place(spark, "k04")
+    path = new_path(spark, "k04")
     labels.write.parquet(f"{path}/labels")
     stream = spark.readStream.schema(labels.schema).parquet(f"{path}/labels")
     out = J.replayed(stream, path, each=J.screening)
@@ -70,7 +62,7 @@ def k04(spark, d):
 
 @query("k05_daily_trend", "SELECT CAST(ts AS DATE) AS day, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY 1")
 def k05(spark, d):
-    return J.replayed(J.daily_trend(_events(spark, d)), _place(spark, "k05"), "complete")
+    return J.replayed(J.daily_trend(_events(spark, d)), new_path(spark, "k05"), "complete")
 
 
 @query("a01_a02_read_screenings", """SELECT screening_id AS id, CASE WHEN screening_id % 10 = 0 THEN 0 WHEN screening_id % 10 = 1 THEN 3 ELSE count(*) FILTER (WHERE status = 'PASS') END AS passed,
@@ -78,7 +70,7 @@ CASE WHEN screening_id % 10 < 2 THEN 0 ELSE count(*) FILTER (WHERE status = 'FAI
 def a01(spark, d):
     c = frame(spark, d, "rule_checks").groupBy(F.col("screening_id").alias("id")).agg(F.collect_list(F.struct("rule_id", "status", "severity")).alias("checks"))
     text = F.when(F.col("id") % 10 == 0, "{broken").when(F.col("id") % 10 == 1, '{"passed_rules": 3}').otherwise(F.to_json(F.struct("checks")))
-    path = _place(spark, "a01")
+    path = new_path(spark, "a01")
     c.select("id", text.alias("compliance_result")).write.parquet(path)
     s = X.read_screenings(spark, path)
     n = X.checks_of(s).groupBy("id").agg(F.count("*").alias("n"))
@@ -87,7 +79,7 @@ def a01(spark, d):
 
 @query("a07_write_findings", "SELECT label_id, 1 AS n FROM label_truth WHERE label_id % 9 IN (1, 2, 3, 4, 5, 6, 7)", ("label_truth",))
 def a07(spark, d):
-    path = _place(spark, "a07")
+    path = new_path(spark, "a07")
     _claims(spark, d).write.parquet(f"{path}/assessments")
     findings, edges = K.split_findings(spark.read.parquet(f"{path}/assessments"))
     X.write_findings(findings, edges, path)
@@ -98,7 +90,7 @@ def a07(spark, d):
 
 @query("a08_a10_export_csv", "SELECT section, count(*) AS n FROM (SELECT 'summary' AS section FROM screenings UNION ALL SELECT 'summary' FROM screenings UNION ALL SELECT 'rules' FROM checks UNION ALL SELECT 'actions' FROM checks) GROUP BY 1", ("screenings", "checks"))
 def a08(spark, d):
-    path = _place(spark, "a08")
+    path = new_path(spark, "a08")
     checks = frame(spark, d, "checks")
     actions = recommendations(checks)
     X.export_csv(X.report_sections(frame(spark, d, "screenings"), checks, actions), path)
@@ -107,6 +99,6 @@ def a08(spark, d):
 
 @query("a09_a11_export_json", "SELECT version_a, version_b, score_a, score_b FROM pairs", ("pairs",))
 def a09(spark, d):
-    path = _place(spark, "a09")
+    path = new_path(spark, "a09")
     X.export_comparison(frame(spark, d, "pairs"), path, "json")
     return spark.read.schema("version_a long, version_b long, score_a double, score_b double").json(path)
