@@ -1,19 +1,24 @@
 """Groups of texts whose five-word shingles overlap by four fifths or more.
 
 Texts with one set of shingles are one set. Sets are linked if their Jaccard
-similarity is 0.8 or more, which is computed from the whole sets. Only pairs
-that share a MinHash band are compared: a pair of similarity s shares none of
-32 bands of 4 rows with a chance of (1 - s**4)**32, that is 5e-8 at 0.8 and
-3e-15 at 0.9.
+similarity is 0.8 or more, which is computed from the whole sets; pairs to compare
+come from two indexes.
 
-A band's members are compared pair by pair. Where that is too much (a large
-group of near copies), each round first compares one member of each band with
-the others and leaves out the pairs that it has brought together; the pairs
-still apart in the end are all compared, so no link between groups is lost.
+The first is the Gray-order index of SimHash (see simhash): its links, at MOST
+differing bits, find most copies, but a pair at 0.8 differs in ten bits on average.
+The second completes it exactly, by prefixes: put all shingles in one order, the
+same for every set; two sets of similarity t share a shingle among the first
+n - ceil(t * n) + 1 of their n. The order has common shingles last, by their counts
+in a bounded sample of documents, so a passage that many documents share is no key
+of theirs. The sample decides how many pairs are compared, never which are found.
+
+A key's members are not compared pair by pair: each round compares two of each key
+with the others and leaves out the pairs that it has brought together. Where few
+pairs are still apart these are all compared, so no link between groups is lost.
 
 Sets are known by 64-bit hashes; an error has a chance of n*n/2**65 over n sets.
-A text without words, or null, has the empty set; fewer words than a shingle
-make one shingle.
+A text without words, or null, has the empty set; fewer words than a shingle make
+one shingle.
 """
 
 from __future__ import annotations
@@ -25,79 +30,82 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import bounded, seeded, stored
+from labelloom.llm.common import bounded, stored
 from labelloom.llm.graph import components
+from labelloom.llm.simhash import links, majority, shingle_hashes
 
 SHINGLE = 5
-BANDS, ROWS = 32, 4
-#: Pairs for each member of a band that are compared without further rounds.
+#: Pairs for each member of the keys that are compared without further rounds.
 PAIRS = 4
 ROUNDS = 6
-WORDS_AT_ONCE = 200_000
-_TIMES = np.array(seeded("alike-times", BANDS * ROWS, 2**64), np.uint64) | np.uint64(1)
-_PLUS = np.array(seeded("alike-plus", BANDS * ROWS, 2**64), np.uint64)
-
-
-def shingles(text: bytes | None) -> np.ndarray:
-    """Sorted distinct XXH64 hashes (seed 42) of a UTF-8 text's shingles, lower-cased in A-Z."""
-    from xxhash import xxh64_digest
-
-    words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    size, out = min(SHINGLE, len(words)), []
-    for i in range(0, len(words) - size + 1, WORDS_AT_ONCE):
-        part = words[i : i + WORDS_AT_ONCE + size - 1]
-        joined = b" ".join(part)
-        ends = np.cumsum([len(w) + 1 for w in part])
-        starts = np.concatenate(([0], ends[:-1]))
-        m = len(part) - size + 1
-        out.append(np.frombuffer(b"".join([xxh64_digest(joined[a:b], 42) for a, b in zip(starts[:m].tolist(), (ends[size - 1 :] - 1).tolist(), strict=True)]), ">u8").astype(np.uint64))
-    return np.unique(np.concatenate(out))
-
-
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """One hash of each band of the MinHash signature; none for the empty set."""
-    if not len(hashes):
-        return hashes
-    least = np.full(BANDS * ROWS, ~np.uint64(0))
-    for i in range(0, len(hashes), 1024):
-        np.minimum(least, (hashes[i : i + 1024, None] * _TIMES + _PLUS).min(axis=0), out=least)
-    out = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for row in least.reshape(BANDS, ROWS).T:
-        out = (out ^ row) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return out
+#: Documents whose shingles are counted for the order, the least count that makes one common, and the most of them.
+SAMPLE, COMMON, MOST_COMMON = 10_000, 4, 200_000
+SIGNED = "n long, set long, fp long, prefix array<long>"
 
 
-def _long_lists(parts: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)))
+def shingles(parts: list[np.ndarray]) -> np.ndarray:
+    """Sorted distinct hashes."""
+    return np.unique(np.concatenate(parts).astype(np.uint64)) if parts else np.zeros(0, np.uint64)
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from xxhash import xxh64_intdigest
+def prefix(hashes: np.ndarray, common: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The first hashes of a set, of which a set of similarity 0.8 shares one. common: sorted hashes that come last, by place."""
+    n = len(hashes)
+    most = n - (4 * n + 4) // 5 + 1 if n else 0
+    if not n or not len(common):
+        return hashes[:most]
+    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+    order = np.where(common[at] == hashes, place[at], 0)
+    return hashes[np.argsort(order, kind="stable")[:most]]
 
-    for b in batches:
-        n, sets, lists = [], [], []
-        for t in b.column(b.num_columns - 1).cast(pa.binary()):
-            h = shingles(t.as_py())
-            n.append(len(h))
-            sets.append(xxh64_intdigest(h.tobytes(), 42))
-            lists.append(bands(h))
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.array(n, np.int64)), pa.array(np.array(sets, np.uint64).view(np.int64)), _long_lists(lists)], names=[*b.schema.names[:-1], "n", "set", "bands"])
 
-
-def with_signature(df: DataFrame, *keep: str) -> DataFrame:
-    """The columns ``keep`` and of text: n shingles, set (their hash) and the hashes of its bands."""
-    kept = df.select(*keep, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(_signed, f"{schema}, n long, set long, bands array<long>")
+def _long_lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)))
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), _long_lists([shingles(t.as_py()) for t in b.column(1).cast(pa.binary())])], names=["set", "h"])
+        lists = _long_lists([shingles(list(shingle_hashes(t.as_py(), SHINGLE))) for t in b.column(b.num_columns - 1).cast(pa.binary())])
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists], names=[*b.schema.names[:-1], "h"])
+
+
+def common_shingles(texts: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that several documents of a sample have, and their places in the order of counts. texts: __key, text."""
+    n = texts.count()
+    part = texts.filter(F.substring("__key", 1, 8) < f"{min(2**32 - 1, 2**32 * sample // max(n, 1)):08x}") if n > sample else texts
+    counted = part.select("text").mapInArrow(_listed, "h array<long>").select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    top = counted.filter(F.col("n") >= COMMON).orderBy(F.desc("n"), "h").limit(MOST_COMMON).toArrow()  # MOST_COMMON rows at most
+    h, count = top["h"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    order = np.argsort(h)
+    return h[order], count[order].astype(np.int64)
+
+
+def _signed(common: np.ndarray, place: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for b in batches:
+            n, sets, fps, lists = [], [], [], []
+            for t in b.column(b.num_columns - 1).cast(pa.binary()):
+                parts = list(shingle_hashes(t.as_py(), SHINGLE))
+                h = shingles(parts)
+                n.append(len(h))
+                sets.append(xxh64_intdigest(h.tobytes(), 42))
+                fps.append(majority(parts))
+                lists.append(prefix(h, common, place))
+            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.array(n, np.int64)), signed(sets), signed(fps), _long_lists(lists)], names=[*b.schema.names[:-1], "n", "set", "fp", "prefix"])
+
+    return run
+
+
+def with_signature(df: DataFrame, *keep: str, sample: int = SAMPLE) -> DataFrame:
+    """The columns ``keep`` and of text: n shingles, set (their hash), fp (SimHash of them) and prefix. df: with __key."""
+    common, place = common_shingles(df.select("__key", "text"), sample)
+    kept = df.select(*keep, "text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
+    return kept.mapInArrow(_signed(common, place), f"{schema}, {SIGNED}")
 
 
 def _close(a: str, b: str) -> str:
@@ -105,44 +113,65 @@ def _close(a: str, b: str) -> str:
     return f"5 * least({a}, {b}) >= 4 * greatest({a}, {b})"
 
 
-def _compared(pairs: DataFrame, lists: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets whose similarity is 0.8 or more."""
-    j = pairs.join(lists.toDF("a", "ha"), "a").join(lists.toDF("b", "hb"), "b")
-    return j.filter(9 * F.size(F.array_intersect("ha", "hb")) >= 4 * (F.size("ha") + F.size("hb"))).select("a", "b")
+def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    return pairs.filter(f"{a} <> {b}").select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+
+
+class _Compared:
+    """Compares pairs of sets; each pair once. sets: set, n, __key (of one row with that text); texts: __key, text."""
+
+    def __init__(self, sets: DataFrame, texts: DataFrame):
+        self.sizes, self.sets, self.texts = sets.select("set", "n"), sets, texts
+        self.tried = self.links = sets.sparkSession.createDataFrame([], "a long, b long")
+
+    def add(self, pairs: DataFrame) -> None:
+        """pairs: a, b; repeats are welcome."""
+        j = pairs.distinct().join(self.tried, ["a", "b"], "left_anti")
+        j = j.join(self.sizes.toDF("a", "na"), "a").join(self.sizes.toDF("b", "nb"), "b").filter(_close("na", "nb"))
+        now = stored(j.select("a", "b"))
+        keys = now.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(self.sets.select("set", "__key"), "set")
+        lists = stored(self.texts.join(bounded(keys), "__key").dropDuplicates(["set"]).select("set", "text").mapInArrow(_listed, "set long, h array<long>"))
+        both = now.join(lists.toDF("a", "ha"), "a").join(lists.toDF("b", "hb"), "b")
+        alike = both.filter(9 * F.size(F.array_intersect("ha", "hb")) >= 4 * (F.size("ha") + F.size("hb"))).select("a", "b")
+        self.links, self.tried = stored(self.links.unionByName(alike)), self.tried.unionByName(now)
 
 
 def _apart(members: DataFrame) -> tuple[int, int]:
-    """Pairs inside bands that are not in one component yet, and the members of such bands."""
-    n = members.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count("*").alias("c")).filter("c > 1")
+    """Pairs of a key that are not in one component yet, and the members of such keys."""
+    n = members.groupBy("h", "component").agg(F.count("*").alias("n")).groupBy("h").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count("*").alias("c")).filter("c > 1")
     r = n.agg(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2), F.sum("n")).first()
     return int(r[0] or 0), int(r[1] or 0)
 
 
 def grouped(prints: DataFrame, texts: DataFrame, pairs_each: int = PAIRS) -> DataFrame:
     """set and component of the sets that are linked. prints: with_signature's rows with __key; texts: __key, text."""
-    sets = stored(prints.filter("n > 0").groupBy("set").agg(F.min("n").alias("n"), F.first("bands").alias("bands"), F.min("__key").alias("__key")))
-    rows = sets.select("set", "n", F.explode("bands").alias("band"))
-    several = rows.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1").select("band")
-    members = stored(rows.join(several, "band").select("band", "set", "n", F.col("set").alias("component")))
-    keys = bounded(members.select("set").distinct().join(sets.select("set", "__key"), "set"))
-    lists = stored(texts.join(keys, "__key").dropDuplicates(["__key"]).select("set", "text").mapInArrow(_listed, "set long, h array<long>"))
-    links = tried = lists.select(F.col("set").alias("a"), F.col("set").alias("b")).limit(0)
-    nodes = components(links)
+    some = prints.filter("n > 0")
+    sets = stored(some.groupBy("set").agg(F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("__key").alias("__key")))
+    compared = _Compared(sets, texts)
+    heads = sets.groupBy("fp").agg(F.min("set").alias("head"))
+    near = links(heads.select("fp")).join(heads.toDF("a", "sa"), "a").join(heads.toDF("b", "sb"), "b")
+    found = _ordered(sets.join(heads, "fp"), "set", "head").unionByName(_ordered(near, "sa", "sb"))
+    rows = some.select("set", F.explode("prefix").alias("h"))
+    keys = rows.groupBy("h").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).filter("lo <> hi")
+    members = stored(rows.join(keys, "h").select("h", "set", "lo", "hi").distinct())
+    pairs = members.select("set", F.explode(F.array("lo", "hi")).alias("other"))
+    compared.add(found.unionByName(_ordered(pairs, "set", "other")))
+    members = members.select("h", "set")
     for k in range(ROUNDS + 1):
-        apart, of = _apart(members)
+        nodes = stored(components(compared.links))
+        at = stored(members.join(nodes.withColumnRenamed("node", "set"), "set", "left").select("h", "set", F.coalesce("component", "set").alias("component")))
+        apart, of = _apart(at)
         if not apart:
             break
         last = k == ROUNDS or apart <= pairs_each * of
-        other = members.toDF("band", "set2", "n2", "component2")
-        if not last:
-            other = other.groupBy("band").agg(F.min_by(F.struct("set2", "n2", "component2"), F.xxhash64("set2", F.lit(k))).alias("o")).select("band", "o.*")
-        pairs = members.join(other, "band").filter(f"component <> component2 AND {_close('n', 'n2')}")
-        pairs = pairs.select(F.least("set", "set2").alias("a"), F.greatest("set", "set2").alias("b")).distinct()
-        now = stored(pairs.join(tried, ["a", "b"], "left_anti"))
-        links = stored(links.unionByName(_compared(now, lists)))
-        nodes = stored(components(links))
         if last:
+            other = at.toDF("h", "set2", "component2")
+        else:
+            by = F.xxhash64("set", F.lit(k))
+            two = at.groupBy("h").agg(F.array(F.min_by(F.struct("set", "component"), by), F.max_by(F.struct("set", "component"), by)).alias("two"))
+            other = two.select("h", F.explode("two").alias("o")).select("h", F.col("o.set").alias("set2"), F.col("o.component").alias("component2"))
+        compared.add(_ordered(at.join(other, "h").filter("component <> component2"), "set", "set2"))
+        if last:
+            nodes = stored(components(compared.links))
             break
-        tried = stored(tried.unionByName(now))
-        members = stored(members.drop("component").join(nodes.withColumnRenamed("node", "set"), "set", "left").select("band", "set", "n", F.coalesce("component", "set").alias("component")))
     return nodes.select(F.col("node").alias("set"), "component")

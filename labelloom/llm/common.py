@@ -7,14 +7,15 @@ text has no words.
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelloom.sources.shared import new_path, stored
+
+__all__ = ["bounded", "let", "new_path", "row_key", "seeded", "stored", "table", "words_of"]
+
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -44,31 +45,6 @@ def seeded(seed: str, n: int, below: int) -> list[int]:
     return [int.from_bytes(hashlib.sha256(f"{seed}/{i}".encode()).digest()[:8], "big") % (below - 1) + 1 for i in range(n)]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        known = spark.sparkContext.getCheckpointDir()
-        if known:
-            return known.rstrip("/")
-        conf = "file://" + tempfile.mkdtemp(prefix="spark-ckpt-")
-        spark.sparkContext.setCheckpointDir(conf)
-    return conf.rstrip("/")
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut by a checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    if not df.sparkSession.sparkContext.getCheckpointDir():
-        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/{name}-{os.getpid()}-{uuid.uuid4().hex[:12]}"
-
-
 def bounded(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """A table of one row per source or the like: stored, and broadcast if it has no more than ``rows`` rows."""
     kept = stored(df)
