@@ -137,7 +137,7 @@ def verdict(rules: dict[str, int] | None = None) -> Column:
 def judged(measures: DataFrame, limits: DataFrame) -> DataFrame:
     """Adds base_failed and kept by the fences of each row's language and source."""
     f = limits.withColumnsRenamed({"lang": "__lang", "source": "__source"})
-    both = measures.join(bounded(f), measures["lang"].eqNullSafe(f["__lang"]) & measures["source"].eqNullSafe(f["__source"]), "left")
+    both = measures.join(bounded(f), measures["lang"].eqNullSafe(F.col("__lang")) & measures["source"].eqNullSafe(F.col("__source")), "left")
     return both.select(*(measures[c] for c in measures.columns), base_failed().alias("base_failed"), verdict().alias("kept"))
 
 
