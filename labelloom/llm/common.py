@@ -35,9 +35,18 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("-")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
 
 
-def key_bucket(key: Column) -> Column:
-    """One of 4096 equally likely prefixes of a key; prefixes sort as their keys do."""
-    return F.substring(key, 1, 3)
+#: Rows that share a prefix of a key, about, and hex digits of a prefix at least.
+BUCKET_ROWS, LEAST_DIGITS = 50_000, 3
+
+
+def digits_for(rows: int) -> int:
+    """Hex digits of a key whose prefixes have BUCKET_ROWS rows or fewer, about."""
+    return max(LEAST_DIGITS, -(-max(0, (rows // BUCKET_ROWS).bit_length()) // 4))
+
+
+def key_bucket(key: Column, digits: int) -> Column:
+    """One of 16 ** digits equally likely prefixes of a key; prefixes sort as their keys do."""
+    return F.substring(key, 1, digits)
 
 
 def seeded(seed: str, n: int, below: int) -> list[int]:

@@ -1,20 +1,22 @@
 """Benchmark decontamination with one Aho-Corasick automaton over test windows.
 
 Texts are lower-cased (A-Z), cut into words of ASCII letters, digits and all
-characters beyond ASCII, and scanned once, joined by single spaces, by an
-automaton of all ``window``-word windows of the items (an item of fewer words is
-one window). A word inside an occurrence is hit; runs of hit words are mapped
-back to character offsets of the original text.
+characters beyond ASCII, and scanned once by an automaton of all ``window``-word
+windows of the items (an item of fewer words is one window). The automaton reads
+word numbers of a fixed width in bytes, so it has two nodes for a word of a window
+where the items have up to 65,024 words; words that no item has are all zeros. A
+word inside an occurrence is hit; runs of hit words are mapped back to character
+offsets of the original text.
 
-The items are a stated query set: they are read in blocks of about
-``block_bytes`` and every block is one pass over the documents, so an
-automaton's memory is bounded however many items there are. One block is the
-usual case.
+The items are a stated query set. Up to ``block_bytes`` of them make one automaton,
+of about 300 bytes of memory for each byte; a larger set is read in blocks of that
+size, each one more pass over the documents, so that memory stays bounded.
 
 Defined results: a null text has no words and no hits; a null or wordless item
 has no window; a null item_id counts as the empty string; rows repeated among
-the items count once; an empty table of items hits nothing; columns that the
-documents came with are passed on.
+the items count once, and among the documents are scanned each; texts are scanned
+whole, however long; an empty table of items hits nothing; columns that the
+documents came with are passed on, whatever their names (scanned() replaces __scan).
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import types as T
 from labelloom.llm.common import table
 
 WINDOW = 13
-BLOCK_BYTES = 256_000
+BLOCK_BYTES = 800_000
 #: Every byte that ends a word becomes a space; A-Z become a-z.
 TO_WORDS = bytes((c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32) for c in range(256))
 ORIGINAL_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -48,39 +50,50 @@ SCAN = T.StructType(
 )
 
 
+class Windows:
+    """An automaton over the items' windows; a window's value is (words, item ids)."""
+
+    def __init__(self, items: tuple[tuple[str, bytes], ...], window: int):
+        import ahocorasick
+
+        owners: dict[tuple[bytes, ...], set[str]] = {}
+        for item_id, text in items:
+            words = text.split()
+            for i in range(max(1, len(words) - window + 1)) if words else ():
+                owners.setdefault(tuple(words[i : i + window]), set()).add(item_id)
+        known = sorted({w for key in owners for w in key})
+        self.width = 1
+        while 255**self.width <= len(known):
+            self.width += 1
+        self.codes = {w: bytes(n // 255**k % 255 + 1 for k in range(self.width)) for n, w in enumerate(known)}
+        self.unknown = bytes(self.width)
+        self.automaton = ahocorasick.Automaton()
+        for key, ids in owners.items():
+            self.automaton.add_word(b"".join([self.codes[w] for w in key]).decode("latin-1"), (len(key), tuple(ids)))
+        if owners:
+            self.automaton.make_automaton()
+
+    def found(self, words: list[bytes]) -> Iterator[tuple[int, int, tuple[str, ...]]]:
+        """First word, word after the last, and items of every occurrence."""
+        if not self.codes:
+            return
+        get, unknown, width = self.codes.get, self.unknown, self.width
+        for end, (n, ids) in self.automaton.iter(b"".join([get(w, unknown) for w in words]).decode("latin-1")):
+            if (end + 1) % width == 0:  # a match that starts inside a word's number is none
+                yield (end + 1) // width - n, (end + 1) // width, ids
+
+
 @lru_cache(maxsize=2)
-def _automaton(items: tuple[tuple[str, bytes], ...], window: int):
-    """Automaton over the items' windows; a key's value is (length with both spaces, words, item ids)."""
-    import ahocorasick
+def _windows(items: tuple[tuple[str, bytes], ...], window: int) -> Windows:
+    return Windows(items, window)
 
-    owners: dict[str, tuple[int, set[str]]] = {}
-    for item_id, text in items:
-        words = text.split()
-        for i in range(max(1, len(words) - window + 1)) if words else ():
-            part = words[i : i + window]
-            key = f" {b' '.join(part).decode('latin-1')} "
-            owners.setdefault(key, (len(part), set()))[1].add(item_id)
-    if not owners:
-        return None
-    a = ahocorasick.Automaton()
-    for key, (n, ids) in owners.items():
-        a.add_word(key, (len(key), n, tuple(ids)))
-    a.make_automaton()
-    return a
-
-
-def scan_text(text: bytes | None, automaton) -> tuple[int, list[int], set[str], np.ndarray | None]:
+
+def scan_text(text: bytes | None, windows: Windows) -> tuple[int, list[int], set[str], np.ndarray | None]:
     """Words, hit word ranges as pairs, items found, and for texts with hits a flag for each word."""
     words = (text or b"").translate(TO_WORDS).split()
-    if not words or automaton is None:
-        return len(words), [], set(), None
-    joined = b" " + b" ".join(words) + b" "
-    pairs, items, spaces = [], set(), None
-    for end, (length, n, ids) in automaton.iter(joined.decode("latin-1")):
-        if spaces is None:
-            spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-        first = int(np.searchsorted(spaces, end - length + 1))
-        pairs.append((first, first + n))
+    pairs, items = [], set()
+    for first, last, ids in windows.found(words):
+        pairs.append((first, last))
         items.update(ids)
     if not pairs:
         return len(words), [], set(), None
@@ -106,14 +119,14 @@ def offsets(text: str, ranges: list[int]) -> list[int]:
 
 def _pass(items: tuple[tuple[str, bytes], ...], window: int, text_at: int, first: bool, last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(items, window)
+        windows = _windows(items, window)
         for batch in batches:
             texts = batch.column(text_at).cast(pa.binary())
             before = None if first else batch.column(batch.num_columns - 1).to_pylist()
             out = []
             for k in range(batch.num_rows):
                 text = texts[k].as_py()
-                n, ranges, ids, hit = scan_text(text, automaton)
+                n, ranges, ids, hit = scan_text(text, windows)
                 if before and before[k]["hits"]:
                     old = before[k]["hits"]
                     ranges, ids, hit = _merged([*zip(old[::2], old[1::2], strict=True), *zip(ranges[::2], ranges[1::2], strict=True)], n, ids | set(before[k]["items"]))
@@ -128,6 +141,7 @@ def _pass(items: tuple[tuple[str, bytes], ...], window: int, text_at: int, first
 
 def scanned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs and a struct column __scan (see SCAN)."""
+    docs = docs.drop("__scan")
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").filter("text is not null").distinct()
     blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
     items = items.withColumn("block", F.expr(f"pmod(xxhash64(item_id, text), {blocks}L)"))
@@ -148,7 +162,8 @@ def contaminated() -> F.Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with the columns they came with."""
-    return scanned(docs, benchmark).filter(~contaminated()).select(*docs.columns)
+    names = ["text" if c == "text" else f"in_{i}" for i, c in enumerate(docs.columns)]
+    return scanned(docs.toDF(*names), benchmark).filter(~contaminated()).select(*names).toDF(*docs.columns)
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

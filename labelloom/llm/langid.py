@@ -7,12 +7,16 @@ byte with probabilities of the learned languages; a document's probabilities are
 the mean over all its bytes. Prediction reads whole texts and nothing else.
 
 The sample: for each language the SAMPLE_DOCS labelled documents with the least
-md5 of doc_id, and of each WINDOWS stretches at fixed places spread over the
-text. At most MOST_LANGUAGES languages are learned; more raise an error.
+md5 of doc_id and text, rows that agree in both counting once, and of each WINDOWS
+stretches at fixed places spread over the text. Only rows below a bound of the md5,
+which follows from an estimate of a language's distinct rows, are ranked. At most
+``most_languages`` languages are learned; more raise an error.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0;
-so is every text if there is nothing to learn from; repeated rows are predicted
-one by one; an empty table gives no rows.
+so is every text if there is nothing to learn from; a null doc_id is learned from
+like any other; repeated rows are predicted one by one; texts are read whole,
+however long; columns lang_pred and score that the documents came with are
+replaced, others passed on; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from labelloom.llm.common import table
+from labelloom.llm.common import row_key, table
 
 HIDDEN = 8
 STRETCH = 64
@@ -159,27 +164,43 @@ def held_out() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def learned(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, **how) -> Network | None:
+def sampled(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, most_languages: int = MOST_LANGUAGES) -> DataFrame | None:
+    """lang, key and parts (WINDOWS stretches) of each language's sample; None if no row has both text and lang."""
+    rows = docs.filter(~held_out() & F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text", row_key(F.col("doc_id"), F.col("text")).alias("key"))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("key", 0.05).alias("n")).limit(most_languages + 1).collect()
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    if not sizes:
+        return None
+    # Three times the sample's share of a language's keys; all of them where that is not clearly less.
+    bounds = {r["lang"]: f"{int(2**32 * 3 * sample_docs / r['n']):08x}" for r in sizes if r["n"] > 4 * sample_docs}
+    if bounds:
+        bound = F.create_map(*(F.lit(x) for pair in bounds.items() for x in pair))
+        rows = rows.filter(F.substring("key", 1, 8) < F.coalesce(F.try_element_at(bound, F.col("lang")), F.lit("g")))
+    n = F.length("text")
+    parts = F.array(*(F.substr("text", F.floor(n * i / WINDOWS).cast("int") + 1, F.lit(STRETCH)) for i in range(WINDOWS)))
+    once = rows.select("lang", "key", parts.alias("parts")).groupBy("lang", "key").agg(F.min("parts").alias("parts"))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("key"))
+    return once.withColumn("rank", rank).filter(F.col("rank") <= sample_docs).drop("rank")
+
+
+def learned(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, most_languages: int = MOST_LANGUAGES, **how) -> Network | None:
     """A network from a bounded sample of docs (doc_id, text, lang); None if no row has both text and lang."""
-    rows = docs.filter(~held_out() & F.col("lang").isNotNull() & (F.length("text") > 0))
-    languages = sorted(r[0] for r in rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not languages:
+    sample = sampled(docs, sample_docs, most_languages)
+    if sample is None:
         return None
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id"))
-    chosen = rows.select("lang", "doc_id").withColumn("rank", rank).filter(F.col("rank") <= sample_docs).select(F.col("lang").alias("__lang"), F.col("doc_id").alias("__id"))
-    sample = rows.join(F.broadcast(chosen), rows["doc_id"].eqNullSafe(F.col("__id")) & (rows["lang"] == F.col("__lang")))  # MOST_LANGUAGES * sample_docs rows at most
-    places = F.array(*(F.struct(F.lit(i).alias("i"), (F.floor(F.length("text") * i / WINDOWS)).cast("int").alias("at")) for i in range(WINDOWS)))
-    cut = sample.select("lang", "doc_id", F.explode(places).alias("w"), "text").select("lang", "doc_id", "w.i", F.substr("text", F.col("w.at") + 1, F.lit(STRETCH)).alias("part"))
-    got = cut.orderBy("lang", "doc_id", "i", "part").limit(MOST_LANGUAGES * sample_docs * WINDOWS).collect()
-    data = np.frombuffer(b"".join(stretched(r["part"].encode()[:STRETCH]) for r in got), np.uint8).reshape(-1, STRETCH)
-    return train(data, np.array([languages.index(r["lang"]) for r in got]), languages, **how)
+    got = sample.orderBy("lang", "key").collect()  # most_languages * sample_docs rows at most
+    languages = sorted({r["lang"] for r in got})
+    parts = [(languages.index(r["lang"]), p) for r in got for p in r["parts"]]
+    data = np.frombuffer(b"".join(stretched(p.encode()[:STRETCH]) for _, p in parts), np.uint8).reshape(-1, STRETCH)
+    return train(data, np.array([k for k, _ in parts]), languages, **how)
 
 
 def predicted(docs: DataFrame, network: Network | None) -> DataFrame:
-    """Adds lang_pred and score to the columns of docs; the last column must be text, and is dropped."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1]) + ", lang_pred string, score double"
+    """Adds lang_pred and score to the columns of docs, but for text."""
+    keep = [c for c in docs.columns if c not in ("text", "lang_pred", "score")]
+    own = docs.select(*keep, "text").toDF(*(f"c{i}" for i in range(len(keep) + 1)))
+    schema = T.StructType([*own.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -201,7 +222,7 @@ def predicted(docs: DataFrame, network: Network | None) -> DataFrame:
                     lang[i], score[i] = network.languages[best], min(1.0, s)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang), pa.array(score)], names=[*b.schema.names[:-1], "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return own.mapInArrow(run, schema).toDF(*keep, "lang_pred", "score")
 
 
 def _portions(rows: list[int], size: list[int], most: int = STRETCH * TOGETHER) -> Iterator[list[int]]:

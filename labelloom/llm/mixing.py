@@ -8,15 +8,16 @@ lambda is the largest value over the sources, in order of size per weight, of
 (all - capped before) / (weights from here on).
 
 A source's whole epochs are target // size. The rest is cut from its documents
-in the order of a hash-random key: sizes are summed by the key's prefix, prefix
-sums over these few thousand sums find the prefix in which the budget runs out,
-and only that prefix's rows are sorted. A document is taken if its middle lies
+in the order of a hash-random key: sizes are summed by the key's prefix, whose
+length follows the number of rows, prefix sums over these sums find the prefix in
+which the budget runs out, and only that prefix's rows are sorted. A document is taken if its middle lies
 within the budget, so a source misses its target by half a document at most.
 No window or group ever holds a whole source.
 
 Defined results: a null text has size 0 and is never taken; a null source is the
 last source; a null doc_id is a key of its text; rows with equal id and text
-share a key and are taken together; an empty table gives no rows.
+share a key and are taken together; further columns are passed on, whatever their
+names; texts are sized whole, however long; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import bounded, key_bucket, row_key, stored, table, words_of
+from labelloom.llm.common import bounded, digits_for, key_bucket, row_key, stored, table, words_of
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -57,13 +58,13 @@ def source_targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: in
 
 def cuts(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """targets with cut_key: a source's keys up to it are taken once more than ``epochs``. Null: none."""
-    targets = bounded(targets)
+    targets, digits = bounded(targets), digits_for(rows.count())
     t = targets.select(F.col("source").alias("__source"), "rest")
-    sums = rows.groupBy("source", key_bucket(F.col("key")).alias("bucket")).agg(F.sum("size").alias("sum"))
+    sums = rows.groupBy("source", key_bucket(F.col("key"), digits).alias("bucket")).agg(F.sum("size").alias("sum"))
     sums = sums.withColumn("before", F.coalesce(F.sum("sum").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     at = sums.join(t, F.col("source").eqNullSafe(F.col("__source"))).filter((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("sum")))
     at = at.select("__source", F.col("bucket").alias("__bucket"), "before", "rest")
-    near = rows.join(at, rows["source"].eqNullSafe(at["__source"]) & (key_bucket(rows["key"]) == at["__bucket"]))
+    near = rows.join(at, rows["source"].eqNullSafe(at["__source"]) & (key_bucket(rows["key"], digits) == at["__bucket"]))
     near = near.groupBy("source", "key", "__bucket", "before", "rest").agg(F.sum("size").alias("size"))
     run = F.sum("size").over(W.partitionBy("source").orderBy("key")) + F.col("before")
     last = near.withColumn("upto", run).groupBy("source").agg(F.max(F.when(2 * F.col("upto") - F.col("size") <= 2 * F.col("rest"), F.col("key"))).alias("last"))
@@ -73,26 +74,32 @@ def cuts(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return out.select(*(targets[c] for c in targets.columns), F.coalesce("last", "__bucket").alias("cut_key"))
 
 
-def _with_copies(docs: DataFrame, plan: DataFrame, source: str, key: str) -> DataFrame:
-    p = bounded(plan).withColumnsRenamed({c: f"__p_{c}" for c in plan.columns})
-    copies = F.col("__p_epochs") + F.when(docs[key] <= F.col("__p_cut_key"), 1).otherwise(0)
-    return docs.join(p, docs[source].eqNullSafe(p["__p_source"])).withColumn("__copies", copies)
+def _with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows (source, key and others) with the plan's columns as p_* and copies, the number of times the mix takes each."""
+    p = bounded(plan)
+    p = p.withColumnsRenamed({c: f"p_{c}" for c in p.columns})
+    copies = F.col("p_epochs") + F.when(F.col("key") <= F.col("p_cut_key"), 1).otherwise(0)
+    return rows.join(p, F.col("source").eqNullSafe(F.col("p_source"))).withColumn("copies", copies)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The mixed documents: each row as often as the mix takes it, with the columns it came with."""
     rows = stored(sized(docs))
     plan = cuts(rows, source_targets(rows, weights, most))
-    keyed = docs.withColumn("__key", row_key(F.col("doc_id"), F.col("text"))).withColumn("__has", F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
-    taken = _with_copies(keyed, plan, "source", "__key").filter(F.col("__has") & (F.col("__copies") > 0))
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    own = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    c = {name: own[f"c{i}"] for i, name in enumerate(docs.columns)}
+    has = F.coalesce(c["text"].rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = own.select("*", c["source"].alias("source"), row_key(c["doc_id"], c["text"]).alias("key"), has.alias("has"))
+    taken = _with_copies(keyed, plan).filter(F.col("has") & (F.col("copies") > 0))
+    repeated = taken.select(*own.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    return repeated.drop("copy").toDF(*docs.columns)
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stored(sized(table(spark, sf_dir, "documents", "doc_id", "text", "source")))
     plan = cuts(rows, source_targets(rows))
-    out = _with_copies(rows, plan, "source", "key")
-    return out.select("doc_id", "size", F.col("__p_source_size").alias("source_size"), F.col("__p_target").alias("target"), (F.col("size") * F.col("__copies")).alias("taken"))
+    out = _with_copies(rows, plan)
+    return out.select("doc_id", "size", F.col("p_source_size").alias("source_size"), F.col("p_target").alias("target"), (F.col("size") * F.col("copies")).alias("taken"))
 
 
 OP8_SQL = r"""

@@ -8,12 +8,22 @@ in the order asked. (3) Packs and answers meet by pack number.
 
 Texts travel compressed, those of one pack and Arrow batch together. Keys travel
 as differences of sorted numbers, byte plane by byte plane, compressed; the bits
-that the bucket implies are left out, and ``bits`` of the rest are kept. However often a key occurs, it is one entry of each pack, so no
-key is hot; a bucket holds about BUCKET_KEYS keys.
+that the bucket implies are left out, and ``bits`` of the rest are kept. However
+often a key occurs, it is one entry of each pack, so no key is hot.
+
+A bucket holds about BUCKET_KEYS keys. Packs grow from PACK_BYTES with the number of
+buckets, so that a slice keeps SLICE_KEYS keys; at MOST_PACK_BYTES, that is from
+some 80 GB of text on, slices become smaller, and from a few terabytes on a second
+level of buckets would be due.
+
+A pack's number is its place in the order of doc_id shifted by SUB bits, plus a part:
+rows without an id, and those of an id with more rows than a pack should have, are
+dealt to several parts of one place.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,15 +31,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PACK_BYTES = 8_000_000
-BUCKET_KEYS = 1_000_000
+PACK_BYTES, MOST_PACK_BYTES = 8_000_000, 32_000_000
+BUCKET_KEYS, SLICE_KEYS = 4_000_000, 1500
 LEAST_BITS = 8
+#: Bits of a pack's number that tell its part, and the most cuts of doc_id; between two cuts ids are divided evenly.
+SUB = 20
+MOST_CUTS = 4096
 #: Odd multipliers of the rolling hash of bytes and of words; 3 mod 8, of full order.
 BYTE_BASE = 0x9E3779B97F4A7C15 & ~7 | 3
 WORD_BASE = 0xC2B2AE3D27D4EB4F & ~7 | 3
-DEALT = "pack int, ids binary, sizes binary, texts binary"
-ASKED = "bucket int, pack int, n int, planes binary, counts binary"
-ANSWERED = "bucket int, pack int, answer binary"
+DEALT = "pack long, ids binary, sizes binary, texts binary"
+ASKED = "bucket int, pack long, n int, planes binary, counts binary"
+ANSWERED = "bucket int, pack long, answer binary"
 U64 = np.uint64
 
 
@@ -89,16 +102,33 @@ def unsqueezed(b: bytes) -> bytes:
     return pa.decompress(b[8:], int.from_bytes(b[:8], "little"), "zstd", asbytes=True)
 
 
-def _dealt(cuts: list[int]):
-    """Rows (doc_id, text) to one row for each pack in a batch."""
+def _places(number: np.ndarray, edges: np.ndarray, inner: int) -> np.ndarray:
+    """Places of ids in the order of packs; equal ids share one, and greater ids never come before."""
+    at = np.searchsorted(edges, number)
+    if inner == 1 or len(edges) < 2:
+        return at * inner
+    low, high = edges[np.clip(at - 1, 0, None)].astype(np.float64), edges[np.clip(at, None, len(edges) - 1)].astype(np.float64)
+    share = np.clip((number.astype(np.float64) - low) / np.maximum(high - low, 1.0), 0.0, 1.0)
+    share[(at == 0) | (at == len(edges))] = 0.0
+    return at * inner + np.minimum((share * inner).astype(np.int64), inner - 1)
+
+
+def _dealt(edges: np.ndarray, inner: int, hot: np.ndarray, parts: np.ndarray, null_parts: int):
+    """Rows (doc_id, text) to one row for each pack in a batch. hot: sorted ids that are alone in their place, with their parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.array(cuts, np.int64)
+        seen = 0
         for b in batches:
             ids = b.column(0).cast(pa.int64())
             null = ids.is_null().to_numpy(zero_copy_only=False)
             number = ids.fill_null(0).to_numpy(zero_copy_only=False)
-            pack = np.where(null, -1, np.searchsorted(edges, number))  # equal ids share a pack; ids grow from pack to pack
+            row = seen + np.arange(len(number))  # a task's rows come in one order, so a repeated task deals alike
+            seen += len(number)
+            part = np.where(null, row % null_parts, 0)
+            if len(hot):
+                k = np.minimum(np.searchsorted(hot, number), len(hot) - 1)
+                part = np.where(~null & (hot[k] == number), row % parts[k], part)
+            pack = (np.where(null, -1, _places(number, edges, inner)) << SUB) + part
             texts, rows = b.column(1).cast(pa.binary()), []
             for p in np.unique(pack).tolist():
                 at = np.flatnonzero(pack == p)
@@ -127,16 +157,24 @@ def documents(pack: pa.Table) -> tuple[list[int | None], list[bytes | None]]:
 class Packed:
     """Documents in packs, and the size of the bucket space."""
 
-    def __init__(self, docs: DataFrame, keys_per_byte: float, kept_bits: int = 64, pack_bytes: int = PACK_BYTES, bucket_keys: int = BUCKET_KEYS):
+    def __init__(self, docs: DataFrame, keys_per_byte: float, kept_bits: int = 64, pack_bytes: int | None = None, bucket_keys: int = BUCKET_KEYS):
         spark = docs.sparkSession
-        size, rows = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+        docs = docs.select(F.col("doc_id").cast("long"), "text")
+        size, rows, known = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*"), F.count("doc_id")).first()
+        buckets = max(1, size * keys_per_byte / bucket_keys)
+        pack_bytes = pack_bytes or int(min(MOST_PACK_BYTES, max(PACK_BYTES, SLICE_KEYS * buckets / keys_per_byte)))
         n = max(1, min(rows, max(-(-size // pack_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))))
-        parts = [i / n for i in range(1, n)]
-        cuts = docs.agg(F.percentile_approx("doc_id", parts, 100 * n)).first()[0] if parts and rows else []
-        self.cuts = sorted(set(cuts or []))  # 8 bytes for each pack
-        self.bits = max(LEAST_BITS, int(np.ceil(np.log2(max(1, size * keys_per_byte / bucket_keys)))))
+        cuts = min(n, MOST_CUTS)
+        shares = [i / cuts for i in range(1, cuts)]
+        found = (docs.agg(F.percentile_approx("doc_id", shares, 100 * cuts)).first()[0] if shares and known else None) or []
+        often = {v: k for v, k in Counter(found).items() if k > 1}  # an id with the rows of several packs
+        edges = np.array(sorted({*found, *(max(v - 1, -(2**63)) for v in often)}), np.int64)
+        hot = np.array(sorted(often), np.int64)
+        parts = np.array([often[v] * -(-n // cuts) + 1 for v in sorted(often)], np.int64)
+        self.bits = max(LEAST_BITS, int(np.ceil(np.log2(buckets))))
         self.dropped = max(0, 64 - self.bits - kept_bits)
-        self.docs = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_dealt(self.cuts), DEALT)
+        null_parts = max(1, -(-n * (rows - known) // max(1, rows)))
+        self.docs = docs.mapInArrow(_dealt(edges, -(-n // cuts), hot, parts, null_parts), DEALT)
 
     @property
     def cut(self) -> Callable[[np.ndarray], np.ndarray]:
@@ -163,13 +201,13 @@ class Packed:
         return self.docs.groupBy("pack").applyInArrow(run, ASKED)
 
     def answered(self, asked: DataFrame, answer: Callable[[np.ndarray, np.ndarray, np.ndarray | None], np.ndarray], form: Callable[[np.ndarray], bytes]) -> DataFrame:
-        """Answers (ANSWERED) in the order asked. answer: sorted keys of a bucket, their packs and counts to a value each."""
+        """Answers (ANSWERED) in the order asked. answer: sorted keys of a bucket, the places of their packs and counts to a value each."""
 
         def run(bucket: pa.Table) -> pa.Table:
             rows = sorted(bucket.to_pylist(), key=lambda r: r["pack"])
             size = [r["n"] for r in rows]
             keys = np.concatenate([_unplaned(r["planes"], r["n"]) for r in rows])
-            packs = np.repeat([r["pack"] for r in rows], size)
+            packs = np.repeat(np.array([r["pack"] >> SUB for r in rows], np.int64), size)
             counts = None if rows[0]["counts"] is None else np.concatenate([np.frombuffer(unsqueezed(r["counts"]), "<i4") for r in rows])
             order = np.argsort(keys, kind="stable")  # ties stay in the order of packs
             value = answer(keys[order], packs[order], None if counts is None else counts[order])

@@ -3,16 +3,19 @@
 Per (lang, source) and rule a quantile sketch is built: values are rounded down
 to six significant bits and counted. Such a histogram has a relative error below
 1/32, is the same whatever the partitioning, and two of them merge by adding
-counts. Groups of fewer than ``min_docs`` documents use the merged sketch of
-their language, and languages that small the merged sketch of all documents.
+counts. Every group's sketch is merged with its language's, and that with the
+sketch of all documents: the wider one counts as ``weight`` documents, by POINTS
+bins at even quantiles. So a large group is judged by itself, a small one by its
+language, and those between by both.
 
 A document fails a rule if its value lies beyond an outer fence of its group:
 above q75 + spread * max(q75 - q25, least), or for word length also below
 q25 minus the same.
 
 Defined results: a null text has no words and fails the base rule; null lang or
-source form groups of their own; repeated rows are judged one by one; an empty
-table gives no rows.
+source form groups of their own; repeated rows are judged one by one; texts are
+measured whole, however long; columns of the measures' names are replaced by
+them in measured() and kept by quality_filter(); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +28,8 @@ from labelloom.llm.common import bounded, let, stored, table, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
 SPREAD = 3
-MIN_DOCS = 100
+#: Documents that the wider sketch counts as, and the bins that stand for it; each is WEIGHT / POINTS documents.
+WEIGHT, POINTS = 100, 20
 QUARTILES = (25, 75)
 #: rule: least interquartile range, in thousandths.
 RULES = {"symbol_rate": 60, "dup_line_rate": 150, "repeat_rate": 60, "word_length": 500}
@@ -84,43 +88,51 @@ def sketched(value: Column) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", value, drop), drop)
 
 
-def fences(measures: DataFrame, spread: int = SPREAD, min_docs: int = MIN_DOCS, rules: dict[str, int] | None = None) -> DataFrame:
+def _ranked(sketch: DataFrame, by: tuple[str, ...], numbers: list[tuple[int, int]]) -> DataFrame:
+    """For each group and rule the bins at the given quantiles (numerator, denominator), as array q."""
+    w = W.partitionBy(*by, "rule")
+    upto, every = F.col("__upto"), F.col("__all")
+    q = sketch.select("*", F.sum("n").over(w.orderBy("bin")).alias("__upto"), F.sum("n").over(w).alias("__all"))
+    return q.groupBy(*by, "rule").agg(F.array(*(F.min(F.when(d * upto >= p * every, F.col("bin"))) for p, d in numbers)).alias("q"))
+
+
+def _merged(groups: DataFrame, sketch: DataFrame, by: tuple[str, ...], wider: DataFrame, over: tuple[str, ...], rules: dict[str, int], weight: int) -> DataFrame:
+    """Each group's own sketch and the wider one's points. wider: columns over, rule, q."""
+    every = groups.select(*by, F.explode(F.array(*map(F.lit, rules))).alias("rule"))
+    p = wider.withColumnsRenamed({c: f"__{c}" for c in (*over, "rule")})
+    on = every["rule"] == F.col("__rule")
+    for c in over:
+        on = on & every[c].eqNullSafe(F.col(f"__{c}"))
+    points = every.join(p, on).select(*by, "rule", F.explode("q").alias("bin"), F.lit(weight // POINTS).cast("long").alias("n"))
+    return sketch.unionByName(points).groupBy(*by, "rule", "bin").agg(F.sum("n").alias("n"))
+
+
+def fences(measures: DataFrame, spread: int = SPREAD, weight: int = WEIGHT, rules: dict[str, int] | None = None) -> DataFrame:
     """One row per (lang, source): low_<rule> and high_<rule>.
 
     measures: lang, source and the columns of measured(). Only documents that pass
     the base rule shape a sketch.
     """
     rules = RULES if rules is None else rules
-    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), v.alias("value")) for k, v in rates().items())))
-    sketch = (
+    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), v.alias("value")) for k, v in rates().items() if k in rules)))
+    own = (
         measures.filter(~base_failed())
         .select("lang", "source", pairs.alias("p"))
         .groupBy("lang", "source", "p.rule", sketched(F.col("p.value")).alias("bin"))
         .agg(F.count("*").alias("n"))
     )
-    # Every group's own sketch and the merged ones above it, each as a level; a group reads the first that is large enough.
-    levels = [("lang", "source"), ("lang",), ()]
-    found = measures.select("lang", "source").distinct()
-    for i, by in enumerate(levels):
-        merged = sketch.groupBy(*by, "rule", "bin").agg(F.sum("n").alias("n"))
-        w = W.partitionBy(*by, "rule")
-        q = merged.select("*", F.sum("n").over(w.orderBy("bin")).alias("__upto"), F.sum("n").over(w).alias("__all"))
-        q = q.groupBy(*by, "rule").agg(
-            F.first("__all").alias("docs"),
-            *(F.min(F.when(100 * F.col("__upto") >= p * F.col("__all"), F.col("bin"))).alias(f"q{p}") for p in QUARTILES),
-        )
-        q = q.groupBy(*by).agg(*(F.first(F.when(F.col("rule") == r, F.struct("docs", *(f"q{p}" for p in QUARTILES))), ignorenulls=True).alias(f"{r}_{i}") for r in rules))
-        q = q.select(*(F.col(c).alias(f"__{c}") for c in by), *(f"{r}_{i}" for r in rules))
-        on = F.lit(True)
-        for c in by:
-            on = on & found[c].eqNullSafe(q[f"__{c}"])
-        found = (found.join(q, on, "left") if by else found.join(F.broadcast(q), on, "left")).drop(*(f"__{c}" for c in by))  # the last is one row
-    out = [F.col("lang"), F.col("source")]
-    for r, least in rules.items():
-        s = F.coalesce(*(F.when(F.col(f"{r}_{i}")["docs"] >= min_docs, F.col(f"{r}_{i}")) for i in (0, 1)), F.col(f"{r}_2"))
-        iqr = F.greatest(s["q75"] - s["q25"], F.lit(least))
-        out += [(s["q25"] - spread * iqr).alias(f"low_{r}"), (s["q75"] + spread * iqr).alias(f"high_{r}")]
-    return found.select(*out)
+    own = stored(own)  # a row for each bin of each group and rule
+    groups = stored(measures.select("lang", "source").distinct())
+    even = [(2 * j + 1, 2 * POINTS) for j in range(POINTS)]
+    of_all = _ranked(own.groupBy("rule", "bin").agg(F.sum("n").alias("n")), (), even)
+    by_lang = own.groupBy("lang", "rule", "bin").agg(F.sum("n").alias("n"))
+    of_lang = _ranked(_merged(groups.select("lang").distinct(), by_lang, ("lang",), of_all, (), rules, weight), ("lang",), even)
+    q = _ranked(_merged(groups, own, ("lang", "source"), of_lang, ("lang",), rules, weight), ("lang", "source"), [(p, 100) for p in QUARTILES])
+    low, high = F.get("q", F.lit(0)), F.get("q", F.lit(1))
+    least = F.coalesce(*(F.when(F.col("rule") == r, F.lit(v)) for r, v in rules.items()))
+    q = q.select("lang", "source", "rule", low.alias("low"), high.alias("high"), (spread * F.greatest(high - low, least)).alias("reach"))
+    pick = lambda r, c: F.max(F.when(F.col("rule") == r, c))
+    return q.groupBy("lang", "source").agg(*(c for r in rules for c in (pick(r, F.col("low") - F.col("reach")).alias(f"low_{r}"), pick(r, F.col("high") + F.col("reach")).alias(f"high_{r}"))))
 
 
 def verdict(rules: dict[str, int] | None = None) -> Column:
@@ -142,12 +154,15 @@ def judged(measures: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with the columns they came with."""
-    measures = stored(measured(docs.select("text", "lang", "source")).drop("text"))
-    plain = docs.withColumnsRenamed({c: f"__in_{i}" for i, c in enumerate(docs.columns)})
-    at = {c: f"__in_{i}" for i, c in enumerate(docs.columns)}
-    with_own = plain.select("*", F.col(at["text"]).alias("text"), F.col(at["lang"]).alias("lang"), F.col(at["source"]).alias("source"))
-    return judged(measured(with_own), fences(measures)).filter("kept").select(*(F.col(at[c]).alias(c) for c in docs.columns))
+    """The documents that pass, with the columns they came with.
+
+    The documents are written with their measures and read again, so that each text is measured once.
+    """
+    at = {c: f"in_{i}" for i, c in enumerate(docs.columns)}
+    own = docs.toDF(*at.values())
+    with_own = own.select("*", *(F.col(at[c]).alias(c) for c in ("text", "lang", "source")))
+    measures = stored(measured(with_own).drop("text"))
+    return judged(measures, fences(measures)).filter("kept").select(*(F.col(at[c]).alias(c) for c in docs.columns))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,10 +175,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = r"""
 WITH d AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS text,
-    list_filter(string_split_regex(coalesce(text, ''), '[ 	-
-]+'), lambda x: x <> '') AS w,
-    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-
-]')) AS l
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
   FROM documents
 ), g AS (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5),
 s AS (SELECT doc_id, i, list_aggregate(w[i:i+4], 'string_agg', ' ') AS g FROM g),
@@ -181,20 +194,26 @@ m AS (
   FROM m
 ), u AS (UNPIVOT b ON symbol_rate, dup_line_rate, repeat_rate, word_length INTO NAME rule VALUE v),
 k AS (
-  SELECT *, (v >> e) << e AS bin FROM (SELECT *, greatest(length(bin(v)) - 6, 0)::INT AS e FROM u) WHERE NOT base_failed
-), q AS (
-  SELECT lang, source, rule, grouping(lang, source) AS level, count(*) AS docs,
-    quantile_disc(bin, 0.25) AS q25, quantile_disc(bin, 0.75) AS q75
-  FROM k GROUP BY GROUPING SETS ((lang, source, rule), (lang, rule), (rule))
-), f AS (
-  SELECT u.doc_id, u.rule, u.v,
-    CASE WHEN a.docs >= 100 THEN a.q25 WHEN h.docs >= 100 THEN h.q25 ELSE o.q25 END AS q25,
-    CASE WHEN a.docs >= 100 THEN a.q75 WHEN h.docs >= 100 THEN h.q75 ELSE o.q75 END AS q75,
-    CASE u.rule WHEN 'symbol_rate' THEN 60 WHEN 'dup_line_rate' THEN 150 WHEN 'repeat_rate' THEN 60 ELSE 500 END AS least
-  FROM u
-  LEFT JOIN q a ON a.level = 0 AND a.lang IS NOT DISTINCT FROM u.lang AND a.source IS NOT DISTINCT FROM u.source AND a.rule = u.rule
-  LEFT JOIN q h ON h.level = 1 AND h.lang IS NOT DISTINCT FROM u.lang AND h.rule = u.rule
-  LEFT JOIN q o ON o.level = 3 AND o.rule = u.rule
+  SELECT lang, source, rule, (v >> e) << e AS bin, count(*) AS n
+  FROM (SELECT *, greatest(length(bin(v)) - 6, 0)::INT AS e FROM u) WHERE NOT base_failed GROUP BY ALL
+), p(j) AS (SELECT unnest(range(20))),
+-- Twenty even quantiles of all documents count as 5 documents each in every language, and so a language's in its groups.
+a AS (SELECT rule, bin, sum(n) OVER (PARTITION BY rule ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY rule) AS total FROM (SELECT rule, bin, sum(n) AS n FROM k GROUP BY ALL)),
+ap AS (SELECT rule, j, min(bin) AS bin FROM a, p WHERE 40 * upto >= (2 * j + 1) * total GROUP BY ALL),
+l AS (
+  SELECT lang, rule, bin, sum(n) AS n FROM (
+    SELECT lang, rule, bin, n FROM k UNION ALL SELECT lang, rule, bin, 5 FROM (SELECT DISTINCT lang FROM d), ap) GROUP BY ALL
+), lc AS (SELECT *, sum(n) OVER (PARTITION BY lang, rule ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lang, rule) AS total FROM l),
+lp AS (SELECT lang, rule, j, min(bin) AS bin FROM lc, p WHERE 40 * upto >= (2 * j + 1) * total GROUP BY ALL),
+s2 AS (
+  SELECT lang, source, rule, bin, sum(n) AS n FROM (
+    SELECT * FROM k UNION ALL
+    SELECT x.lang, x.source, lp.rule, lp.bin, 5 FROM (SELECT DISTINCT lang, source FROM d) x JOIN lp ON x.lang IS NOT DISTINCT FROM lp.lang) GROUP BY ALL
+), sc AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, rule ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lang, source, rule) AS total FROM s2),
+q AS (SELECT lang, source, rule, min(bin) FILTER (WHERE 100 * upto >= 25 * total) AS q25, min(bin) FILTER (WHERE 100 * upto >= 75 * total) AS q75 FROM sc GROUP BY ALL),
+f AS (
+  SELECT u.doc_id, u.rule, u.v, q25, q75, CASE u.rule WHEN 'symbol_rate' THEN 60 WHEN 'dup_line_rate' THEN 150 WHEN 'repeat_rate' THEN 60 ELSE 500 END AS least
+  FROM u LEFT JOIN q ON q.lang IS NOT DISTINCT FROM u.lang AND q.source IS NOT DISTINCT FROM u.source AND q.rule = u.rule
 ), out_ AS (
   SELECT doc_id, bool_or(v > q75 + 3 * greatest(q75 - q25, least) OR rule = 'word_length' AND v < q25 - 3 * greatest(q75 - q25, least)) AS beyond
   FROM f GROUP BY doc_id

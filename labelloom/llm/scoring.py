@@ -1,7 +1,8 @@
 """Stupid-backoff scores of documents under the trigram model of all documents.
 
 Count tables of 1-, 2- and 3-grams over the whole corpus are partitioned by hash.
-Grams that occur once are cut from the 2- and 3-gram tables. A word's score is
+Grams of fewer than ``least`` occurrences are cut from the 2- and 3-gram tables;
+``least`` = 1 keeps every gram. A word's score is
 count(trigram) / count(its first two words) if the trigram is in its table, else
 BACKOFF times the bigram's, else BACKOFF times BACKOFF times count(word) / all
 words; a document's first words have shorter grams. Each pack of documents is
@@ -10,8 +11,10 @@ bucket; the counts come back to the pack and the logarithms are summed per
 document, in whole millionths so that sums don't depend on order.
 
 Defined results: a null text has no words, score 0 and mean null; a null doc_id
-is scored like any other; repeated rows count and are scored each; an empty
-table gives no rows.
+is scored like any other; repeated rows count and are scored each; texts are
+scored whole, however long; other columns are ignored; an empty table gives no
+rows. Grams are known by hashes: two share one with a chance of about 2 ** -29
+each, and then have the sum of their counts.
 """
 
 from __future__ import annotations
@@ -76,15 +79,15 @@ def _unformed(b: bytes) -> np.ndarray:
     return out
 
 
-def _finish(cut: Callable[[np.ndarray], np.ndarray]):
+def _finish(cut: Callable[[np.ndarray], np.ndarray], least: int):
     def run(pack: pa.Table, answers: list[bytes]) -> pa.Table:
         ids, texts = documents(pack)
-        return _pack_scores(ids, _grams(texts), cut, answers)
+        return _pack_scores(ids, _grams(texts), cut, answers, least)
 
     return run
 
 
-def _pack_scores(ids: list[int | None], grams: list[list[np.ndarray]], cut: Callable[[np.ndarray], np.ndarray], answers: list[bytes]) -> pa.Table:
+def _pack_scores(ids: list[int | None], grams: list[list[np.ndarray]], cut: Callable[[np.ndarray], np.ndarray], answers: list[bytes], least: int) -> pa.Table:
     flat = cut(np.concatenate([g for x in grams for g in x] or [np.zeros(0, U64)]))
     _, at = np.unique(flat, return_inverse=True)
     totals = np.concatenate([_unformed(a) for a in answers])
@@ -100,7 +103,7 @@ def _pack_scores(ids: list[int | None], grams: list[list[np.ndarray]], cut: Call
         depth = np.zeros(n, np.int64)  # orders below the highest that the word's place allows
         for k in range(1, ORDER):
             if n > k:
-                seen = c[k] >= LEAST
+                seen = c[k] >= least
                 higher = np.log(np.where(seen, c[k], 1) / c[k - 1][: n - k])
                 ln[k:] = np.where(seen, higher, np.log(BACKOFF) + ln[k:])
                 depth[k:] = np.where(seen, 0, depth[k:] + 1)
@@ -108,11 +111,11 @@ def _pack_scores(ids: list[int | None], grams: list[list[np.ndarray]], cut: Call
     return pa.table(list(zip(*out, strict=True)) if out else [[]] * 4, schema=arrow_schema(RESULT))
 
 
-def scored(docs: DataFrame, **how) -> DataFrame:
+def scored(docs: DataFrame, least: int = LEAST, **how) -> DataFrame:
     """doc_id, n_words, score (natural logarithm), mean_score and n_backed_off for every row."""
     packed = Packed(docs.select("doc_id", "text"), 0.4, kept_bits=KEPT_BITS, **how)
     asked = packed.asked(_keys(packed.cut), True)
-    raw = packed.resolved(packed.answered(asked, _totals, _form), _finish(packed.cut), RESULT)
+    raw = packed.resolved(packed.answered(asked, _totals, _form), _finish(packed.cut, least), RESULT)
     return raw.select("doc_id", "n_words", (F.col("micro") / 1e6).alias("score"), F.when(F.col("n_words") > 0, F.col("micro") / 1e6 / F.col("n_words")).alias("mean_score"), "n_backed_off")
 
 

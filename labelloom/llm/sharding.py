@@ -1,14 +1,15 @@
 """Sharding by a keyed permutation of global row numbers. DataFrame functions only.
 
 Rows are numbered without gaps in the order of a hash-random key: counts by key
-prefix (4096 of them) give every prefix its first number, and row numbers inside
-a prefix do the rest. A Feistel permutation with cycle walking takes the number
+prefix, whose length follows the number of rows, give every prefix its first
+number, and row numbers inside a prefix do the rest. A Feistel permutation with cycle walking takes the number
 to a position; the position's remainder by the shard count is the shard, its
 quotient the slot. The law is ``rows``: counts differ by one at most.
 
 Defined results: a null text has size 1 and checksum 0; rows with equal id and
-text are told apart by their order only, which changes no count; an empty table
-gives no rows.
+text are told apart by their order only, which changes no count; columns shard and
+slot that the documents came with are replaced, others passed on, whatever their
+names; texts of any length are passed on; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import key_bucket, row_key, table
+from labelloom.llm.common import bounded, digits_for, key_bucket, row_key, stored, table
 from labelloom.llm.permute import permuted, permuted_sql
 
 SHARDS = 16
@@ -25,35 +26,36 @@ KEY = "sharding-1"
 
 
 def numbered(df: DataFrame, key: str, out: str) -> tuple[DataFrame, int]:
-    """Adds a gapless number from 0 in the order of column key (a hex string), and gives the count."""
-    counts = df.groupBy(key_bucket(F.col(key)).alias("__b")).agg(F.count("*").alias("__n"))
-    first = counts.select("__b", (F.sum("__n").over(W.orderBy("__b")) - F.col("__n")).alias("__first"), "__n")
-    rows = first.collect()  # 4096 at most
-    n = sum(r["__n"] for r in rows)
-    starts = df.sparkSession.createDataFrame([(r["__b"], r["__first"]) for r in rows], "__b string, __first long")
-    within = F.row_number().over(W.partitionBy("__b").orderBy(key)) - 1
-    keyed = df.withColumn("__b", key_bucket(F.col(key))).withColumn("__i", within)
-    return keyed.join(F.broadcast(starts), "__b").withColumn(out, F.col("__first") + F.col("__i")).drop("__b", "__i", "__first"), n
+    """Adds a gapless number from 0 in the order of column key (a hex string), and gives the count. Column names b, i and first are taken."""
+    digits = digits_for(df.count())
+    counts = stored(df.groupBy(key_bucket(F.col(key), digits).alias("b")).agg(F.count("*").alias("n")))
+    n = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    starts = bounded(counts.select(F.col("b").alias("b0"), (F.sum("n").over(W.orderBy("b")) - F.col("n")).alias("first")))  # a row for each prefix
+    within = F.row_number().over(W.partitionBy("b").orderBy(key)) - 1
+    keyed = df.withColumn("b", key_bucket(F.col(key), digits)).withColumn("i", within)
+    return keyed.join(starts, F.col("b") == F.col("b0")).select(*(F.col(c) for c in df.columns), (F.col("first") + F.col("i")).alias(out)), n
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, key: str = KEY) -> DataFrame:
     """The documents with shard int and slot long."""
-    out = docs.drop("shard", "slot")
-    rows, n = numbered(out.withColumn("__key", row_key(F.col("doc_id"), F.col("text"))), "__key", "__number")
-    at = permuted(F.col("__number"), max(n, 1), key)
-    placed = rows.withColumn("__at", at)
-    return placed.select(*out.columns, (F.col("__at") % shards).cast("int").alias("shard"), ((F.col("__at") - F.col("__at") % shards) / shards).cast("long").alias("slot"))
+    docs = docs.drop("shard", "slot")
+    own = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    c = {name: own[f"c{i}"] for i, name in enumerate(docs.columns)}
+    rows, n = numbered(own.withColumn("key", row_key(c["doc_id"], c["text"])), "key", "number")
+    at = F.col("at")
+    placed = rows.withColumn("at", permuted(F.col("number"), max(n, 1), key))
+    return placed.select(*own.columns, (at % shards).cast("int").alias("shard"), ((at - at % shards) / shards).cast("long").alias("slot")).toDF(*docs.columns, "shard", "slot")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     text = F.coalesce(F.col("text"), F.lit(""))
     narrow = docs.select(
-        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), row_key(F.col("doc_id"), F.col("text")).alias("__key")
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), row_key(F.col("doc_id"), F.col("text")).alias("key")
     )
-    rows, n = numbered(narrow, "__key", "__number")
-    rows = rows.withColumn("__at", permuted(F.col("__number"), max(n, 1), KEY))
-    at = F.col("__at")
+    rows, n = numbered(narrow, "key", "number")
+    rows = rows.withColumn("at", permuted(F.col("number"), max(n, 1), KEY))
+    at = F.col("at")
     return rows.select(
         "doc_id",
         "size",

@@ -45,7 +45,7 @@ SHINGLE = 4
 MOST = 4
 FANOUT = 4
 #: Fingerprints of a node, on average, and at most before it is split.
-NODE, HOT = 4096, 32_768
+NODE, HOT = 2048, 32_768
 #: Node pairs that are expanded together; bounds a task's memory.
 PAIRS = 8192
 WORDS_AT_ONCE = 200_000

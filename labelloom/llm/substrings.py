@@ -11,8 +11,8 @@ windows share one is below n * n / 2 ** 65.
 
 Defined results: a null text has no words; rows with a null doc_id are neither
 removed from nor a cause of removal; rows with equal doc_id don't remove from
-each other; a document of fewer words than a window is kept; an empty table
-gives no rows.
+each other; a document of fewer words than a window is kept; texts are read whole,
+however long; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,8 +40,11 @@ def _keys(window: int):
 
 
 def _in_earlier_pack(keys: np.ndarray, packs: np.ndarray, counts: np.ndarray | None) -> np.ndarray:
-    """keys sorted, equal ones by pack: all but the first of each run."""
-    return np.concatenate(([False], keys[1:] == keys[:-1])) if len(keys) else np.zeros(0, bool)
+    """keys sorted, equal ones by pack: those whose pack has a place after the first of their run."""
+    if not len(keys):
+        return np.zeros(0, bool)
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return packs > np.repeat(packs[first], np.diff(np.append(first, len(keys))))
 
 
 def _finish(window: int, with_text: bool):

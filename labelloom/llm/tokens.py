@@ -1,8 +1,8 @@
 """Token-ID output: documents as fixed-stride binary shards in a permuted training order.
 
-Each document is tokenised with a public byte-level BPE vocabulary, ends with
-END, and is cut into sequences of ``length`` tokens, the last one filled with
-END. A byte-level vocabulary makes at most one token of a byte, so a document of
+Each document is tokenised with a public byte-level BPE vocabulary of up to 65,535
+tokens, ends with an end token, the number after the vocabulary's last, and is cut
+into sequences of ``length`` tokens, the last one filled with end tokens. A byte-level vocabulary makes at most one token of a byte, so a document of
 n bytes is given the (n + 1) / length numbers, rounded up, that its sequences
 could need; a keyed Feistel permutation with cycle walking over all these
 numbers gives every sequence its place. Each range of ``per_shard`` places is a
@@ -21,9 +21,10 @@ repeated. Rows are dealt to shards by range partitioning; the ranges are known,
 so nothing is sampled. A task writes its shards under temporary names and
 renames them, so a lost or repeated task leaves the same files.
 
-Defined results: a null or empty text is one sequence of END alone with no real
-tokens; repeated rows are written each; an empty table writes no file; other
-columns are ignored.
+Defined results: a null or empty text is one sequence of end tokens alone with no
+real tokens; repeated rows, and equal texts, are written each; a long text has as
+many sequences as it needs; an empty table writes no file; other columns are
+ignored; a vocabulary of more tokens raises an error.
 """
 
 from __future__ import annotations
@@ -40,11 +41,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import bounded, new_path
+from labelloom.llm.common import bounded, new_path, stored
 from labelloom.llm.permute import permuted
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-END = 50256
+#: Splits of the input up to which their numbers are broadcast; more are joined by a shuffle that keeps the rows' order.
+MOST_SPLITS = 200_000
 LENGTH = 256
 PER_SHARD = 16_384
 KEY = "training-order-1"
@@ -70,8 +72,11 @@ class Tokenizer:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.end = max(ranks.values()) + 1
+        if self.end >= 2**16:
+            raise ValueError("the vocabulary has more tokens than two bytes can tell apart")
         self.own = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-        self.spaced = np.zeros(max(ranks.values()) + 1, bool)
+        self.spaced = np.zeros(self.end, bool)
         self.spaced[[i for b, i in ranks.items() if b.startswith(b" ")]] = True
         self.words: dict[str, bytes] = {}  # keys have lost the space in front
 
@@ -118,18 +123,18 @@ def numbers(n_bytes: int, length: int) -> int:
     return -(-(n_bytes + 1) // length)
 
 
-def _cut(vocabulary: str, length: int, first: dict[tuple[str, int], int]):
-    """Rows (doc_id, text, file, start) to a row for each sequence: number, doc_id, part, low and high bytes of its tokens."""
+def _cut(vocabulary: str, length: int):
+    """Rows (doc_id, text, file, start, first) to a row for each sequence: number, doc_id, part, low and high bytes of its tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, at = tokenizer(vocabulary), dict[tuple[str, int], int]()
         for b in batches:
-            ids, texts, files, starts = (c.to_pylist() for c in b.columns)
+            ids, texts, files, starts, firsts = (c.to_pylist() for c in b.columns)
             sizes = pc.fill_null(pc.binary_length(b.column(1).cast(pa.binary())), 0).to_pylist()
             out: tuple[list, list, list, list] = ([], [], [], [])
-            for doc_id, text, file, start, size in zip(ids, texts, files, starts, sizes, strict=True):
+            for doc_id, text, file, start, first, size in zip(ids, texts, files, starts, firsts, sizes, strict=True):
                 full = np.frombuffer(t.encode(text or ""), np.uint8).reshape(-1, 2)
-                number = at.setdefault((file, start), first[file, start])
+                number = at.setdefault((file, start), first)
                 at[file, start] = number + numbers(size, length)
                 n = sequences(len(full), length)
                 out[0].extend(range(number, number + n))
@@ -142,7 +147,7 @@ def _cut(vocabulary: str, length: int, first: dict[tuple[str, int], int]):
     return run
 
 
-def _records(ids: np.ndarray, parts: np.ndarray, planes: list[bytes], length: int) -> np.ndarray:
+def _records(ids: np.ndarray, parts: np.ndarray, planes: list[bytes], length: int, end: int) -> np.ndarray:
     """Records as rows of bytes."""
     out = np.empty((len(planes), stride(length)), np.uint8)
     n = np.array([len(p) // 2 for p in planes], "<i4")
@@ -150,7 +155,7 @@ def _records(ids: np.ndarray, parts: np.ndarray, planes: list[bytes], length: in
     out[:, 8:12] = parts.astype("<i4").view(np.uint8).reshape(-1, 4)
     out[:, 12:16] = n.view(np.uint8).reshape(-1, 4)
     tokens = out[:, 16:].reshape(len(planes), length, 2)
-    tokens[:] = np.array([END], "<u2").view(np.uint8)
+    tokens[:] = np.array([end], "<u2").view(np.uint8)
     whole = np.flatnonzero(n == length)
     if len(whole):
         tokens[whole] = np.frombuffer(b"".join([planes[i] for i in whole.tolist()]), np.uint8).reshape(len(whole), 2, length).transpose(0, 2, 1)
@@ -159,7 +164,7 @@ def _records(ids: np.ndarray, parts: np.ndarray, planes: list[bytes], length: in
     return out
 
 
-def _writer(path: str, length: int, per_shard: int):
+def _writer(path: str, length: int, per_shard: int, end: int):
     """Rows (slot, doc_id, part, planes) in the order of slots to shard files; a row for each file: shard, records, bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +183,7 @@ def _writer(path: str, length: int, per_shard: int):
             if not b.num_rows:
                 continue
             shard = b.column(0).to_numpy() // per_shard
-            rows = _records(b.column(1).fill_null(NO_ID).to_numpy(), b.column(2).to_numpy(), b.column(3).to_pylist(), length)
+            rows = _records(b.column(1).fill_null(NO_ID).to_numpy(), b.column(2).to_numpy(), b.column(3).to_pylist(), length, end)
             edge = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
             for a, z in zip(edge[:-1], edge[1:], strict=True):
                 if shard[a] != now:
@@ -201,21 +206,24 @@ def write_shards(spark: SparkSession, documents: str, path: str, vocabulary: str
     """
     fs, root = pyarrow.fs.FileSystem.from_uri(path)
     fs.create_dir(root, recursive=True)
-    source = ("_metadata.file_path", "_metadata.file_block_start")
-    rows = spark.read.parquet(documents).select(F.col("doc_id").cast("long"), "text", *source).toDF("doc_id", "text", "file", "start")
+    source = ("_metadata.file_path", "_metadata.file_block_start", "_metadata.row_index")
+    rows = spark.read.parquet(documents).select(F.col("doc_id").cast("long"), "text", *source).toDF("doc_id", "text", "file", "start", "row")
     most = F.floor((F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + length) / length)
-    splits = rows.groupBy("file", "start").agg(F.sum(most).alias("n")).collect()  # one row for each split of the input files
-    first, total = {}, 0
-    for file, start, n in sorted(map(tuple, splits)):
-        first[file, start] = total
-        total += n
-    cut = rows.mapInArrow(_cut(vocabulary, length, first), "number long, doc_id long, part int, planes binary")
+    splits = rows.groupBy("file", "start").agg(F.sum(most).alias("n"))  # one row for each split of the input files
+    firsts = stored(splits.select("file", "start", "n", (F.sum("n").over(W.orderBy("file", "start")) - F.col("n")).alias("first")))
+    n_splits, total = firsts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    firsts = firsts.drop("n")
+    if n_splits <= MOST_SPLITS:
+        known = rows.join(F.broadcast(firsts), ["file", "start"])  # a task reads its splits' rows in their order
+    else:
+        known = rows.join(firsts, ["file", "start"]).repartition("file", "start").sortWithinPartitions("file", "start", "row")
+    cut = known.select("doc_id", "text", "file", "start", "first").mapInArrow(_cut(vocabulary, length), "number long, doc_id long, part int, planes binary")
     placed = cut.select(permuted(F.col("number"), max(total, 1), key).alias("slot"), "doc_id", "part", "planes")
     shards = max(1, -(-total // per_shard))
     # Slots are evenly spread, so the ranges are known without sampling; they hold whole shards: a file never has two writers.
     parts = min(shards, 10_000)
     spread = placed.repartitionById(parts, F.expr(f"CAST((slot div {per_shard}L) * {parts} div {shards} AS INT)")).sortWithinPartitions("slot")
-    return spread.select("slot", "doc_id", "part", "planes").mapInArrow(_writer(path, length, per_shard), "shard long, records long, bytes long")
+    return spread.select("slot", "doc_id", "part", "planes").mapInArrow(_writer(path, length, per_shard, tokenizer(vocabulary).end), "shard long, records long, bytes long")
 
 
 def manifest(spark: SparkSession, path: str, length: int = LENGTH) -> DataFrame:
