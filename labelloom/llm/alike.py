@@ -12,9 +12,9 @@ at 0.9, while texts that have only passages in common hardly ever meet: 0.4 % of
 them at 0.3. Two bits of 128 minima make a sketch, and pairs that agree in fewer
 than LEAST_SAME are left out; at 0.8 that is one in ten million.
 
-A band's members are not compared pair by pair: each round compares two of each
-band with the others and leaves out the pairs that it has brought together. Where
-few pairs are still apart these are all compared, so no link between groups is lost.
+The members of a band are compared pair by pair up to FEW. Of more, each round compares
+two with the others and leaves out the pairs that it has brought together; where few
+pairs are still apart these are all compared, so no link between groups is lost.
 
 Sets are known by 64-bit hashes; an error has a chance of n*n/2**65 over n sets.
 A text without words, or null, has the empty set; fewer words than a shingle make
@@ -38,9 +38,9 @@ SHINGLE = 5
 BANDS, ROWS = 64, 8
 #: Minima of which the sketch keeps two bits, and how many must agree.
 SKETCH, LEAST_SAME = 128, 85
-#: Pairs for each member of the bands that are compared without further rounds.
-PAIRS = 4
-ROUNDS = 6
+#: Members of a band that are all compared at once, and pairs for each member of larger ones that are compared without further rounds.
+FEW, PAIRS = 12, 4
+ROUNDS = 4
 SIGNED = "n long, set long, fp long, bands array<long>, sketch array<long>"
 _TIMES = np.array(seeded("alike-times", BANDS * ROWS, 2**64), np.uint64) | np.uint64(1)
 _PLUS = np.array(seeded("alike-plus", BANDS * ROWS, 2**64), np.uint64)
@@ -153,7 +153,7 @@ def _apart(members: DataFrame) -> tuple[int, int]:
     return int(r[0] or 0), int(r[1] or 0)
 
 
-def grouped(prints: DataFrame, texts: DataFrame, pairs_each: int = PAIRS) -> DataFrame:
+def grouped(prints: DataFrame, texts: DataFrame, pairs_each: int = PAIRS, few: int = FEW) -> DataFrame:
     """set and component of the sets that are linked. prints: with_signature's rows with __key; texts: __key, text."""
     some = prints.filter("n > 0")
     sets = stored(some.groupBy("set").agg(F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch"), F.min("__key").alias("__key")))
@@ -162,11 +162,13 @@ def grouped(prints: DataFrame, texts: DataFrame, pairs_each: int = PAIRS) -> Dat
     near = links(heads.select("fp")).join(heads.toDF("a", "sa"), "a").join(heads.toDF("b", "sb"), "b")
     found = _ordered(sets.join(heads, "fp"), "set", "head").unionByName(_ordered(near, "sa", "sb"))
     rows = some.select("set", F.explode("bands").alias("h"))
-    keys = rows.groupBy("h").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).filter("lo <> hi")
-    members = stored(rows.join(keys, "h").select("h", "set", "lo", "hi").distinct())
-    pairs = members.select("set", F.explode(F.array("lo", "hi")).alias("other"))
-    compared.add(found.unionByName(_ordered(pairs, "set", "other")))
-    members = members.select("h", "set")
+    keys = rows.groupBy("h").agg(F.min("set").alias("lo"), F.max("set").alias("hi"), F.count("*").alias("m")).filter("lo <> hi")
+    members = stored(rows.join(keys, "h").select("h", "set", "lo", "hi", "m").distinct())  # m counts copies of a text as well
+    few, many = members.filter(f"m <= {few}"), members.filter(f"m > {few}")
+    every = few.select("h", "set").join(few.select("h", F.col("set").alias("other")), "h").filter("set < other")
+    two = many.select("set", F.explode(F.array("lo", "hi")).alias("other"))
+    compared.add(found.unionByName(_ordered(every, "set", "other")).unionByName(_ordered(two, "set", "other")))
+    members = many.select("h", "set")
     for k in range(ROUNDS + 1):
         nodes = stored(components(compared.links))
         at = stored(members.join(nodes.withColumnRenamed("node", "set"), "set", "left").select("h", "set", F.coalesce("component", "set").alias("component")))

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.llm.common import bounded, row_key, stored, table
-from labelloom.llm.graph import components
+from labelloom.llm.graph import Forest, components
 
 SHINGLE = 4
 MOST = 4
@@ -156,40 +156,12 @@ def _expanded(left: np.ndarray, right: np.ndarray, first: np.ndarray) -> tuple[n
     return a[keep], b[keep], pair[keep]
 
 
-class _Forest:
-    """Labels of positions; joins report which edges connected something."""
-
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def roots(self, x: np.ndarray) -> np.ndarray:
-        r = self.up[x]
-        while True:
-            nxt = self.up[r]
-            if (nxt == r).all():
-                return r
-            r = nxt
-
-    def join(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        used_a, used_b = [], []
-        while len(a):
-            ra, rb = self.roots(a), self.roots(b)
-            open_ = ra != rb
-            a, b, lo, hi = a[open_], b[open_], np.minimum(ra, rb)[open_], np.maximum(ra, rb)[open_]
-            _, pick = np.unique(hi, return_index=True)  # one edge for each root that gets a parent
-            self.up[hi[pick]] = lo[pick]
-            used_a.append(a[pick])
-            used_b.append(b[pick])
-        self.up = self.roots(np.arange(len(self.up)))
-        return (np.concatenate(used_a), np.concatenate(used_b)) if used_a else (a, b)
-
-
 def linked(fp: np.ndarray, group: np.ndarray, most: int = MOST, seen: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Positions of a spanning forest of all links inside groups. fp: sorted by group and then Gray rank.
 
     seen: gets (level, pairs, pairs left) of each step.
     """
-    levels, forest, out_a, out_b = _levels(fp, group), _Forest(len(fp)), [], []
+    levels, forest, out_a, out_b = _levels(fp, group), Forest(len(fp)), [], []
     top = len(levels) - 1
     roots = np.arange(len(levels[top][0]))
 
