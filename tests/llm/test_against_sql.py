@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from labelloom.llm import decontaminate, langid, permute, simhash, substrings, tokens
 from labelloom.llm.queries import QUERIES, SQL
+from tests.llm.test_alike import kept as one_of_each
 from tests.oracle import connection, spark_rows, sql_rows
 
 
@@ -141,13 +142,12 @@ def plain_quality(duck):
 
 
 def test_pipeline_equals_brute_force(spark, sf_dir, duck):
-    """Each stage on its predecessor's rows, by plain Python."""
+    """Each stage on its predecessor's rows, by plain Python; near copies by a similarity of 0.8 of five-word shingles."""
     import xxhash  # noqa: F401
 
     docs = {r[0]: r for r in duck.sql("SELECT doc_id, text, source FROM documents").fetchall()}
     keep = plain_quality(duck)
-    first = groups_of([(i, print_of(docs[i][1])) for i in sorted(keep)])
-    keep = set(first.values())
+    keep = set(one_of_each([(i, docs[i][1]) for i in keep]))
     bad = {r[0] for r in decontaminate.brute_force([(i, docs[i][1]) for i in keep], duck.sql("SELECT item_id, text FROM benchmark").fetchall()) if r[5]}
     keep -= bad
     size = {i: len((docs[i][1] or "").encode().split()) for i in keep}
