@@ -9,12 +9,15 @@ differing bits, find most copies, but a pair at 0.8 differs in ten bits on avera
 The second completes it with MinHash: a pair of similarity s shares none of BANDS
 bands of ROWS minima with a chance of (1 - s**8)**64, that is 8e-6 at 0.8 and 1e-15
 at 0.9, while texts that have only passages in common hardly ever meet: 0.4 % of
-them at 0.3. Two bits of 128 minima make a sketch, and pairs that agree in fewer
-than LEAST_SAME are left out; at 0.8 that is one in ten million.
+them at 0.3. Two bits of every minimum make a sketch, and pairs that agree in fewer
+than LEAST_SAME are left out; at 0.8 that is two in a million.
 
-The members of a band are compared pair by pair up to FEW. Of more, each round compares
-two with the others and leaves out the pairs that it has brought together; where few
-pairs are still apart these are all compared, so no link between groups is lost.
+The members of a band are compared pair by pair up to FEW. In a larger band all are
+first compared with its hub, the member that meets most others, which brings most of
+a group of near copies together. What is still apart is compared by sketches inside
+tasks, in parts of PART members, and a task hands on a spanning forest of the pairs
+that are surely alike (SURE) and the doubtful pairs between its trees: never all
+pairs of a group.
 
 Sets are known by 64-bit hashes; an error has a chance of n*n/2**65 over n sets.
 A text without words, or null, has the empty set; fewer words than a shingle make
@@ -31,16 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.llm.common import bounded, seeded, stored
-from labelloom.llm.graph import components
+from labelloom.llm.graph import Forest, components
 from labelloom.llm.simhash import links, majority, shingle_hashes
 
 SHINGLE = 5
 BANDS, ROWS = 64, 8
-#: Minima of which the sketch keeps two bits, and how many must agree.
-SKETCH, LEAST_SAME = 128, 85
-#: Members of a band that are all compared at once, and pairs for each member of larger ones that are compared without further rounds.
-FEW, PAIRS = 12, 4
-ROUNDS = 4
+#: Of the 512 minima, how many must agree in their two bits, and how many make a pair surely alike (0.88, by five deviations).
+LEAST_SAME, SURE = 397, 466
+#: Members of a band that are all compared at once, and of a part of a larger one.
+FEW, PART = 12, 2048
 SIGNED = "n long, set long, fp long, bands array<long>, sketch array<long>"
 _TIMES = np.array(seeded("alike-times", BANDS * ROWS, 2**64), np.uint64) | np.uint64(1)
 _PLUS = np.array(seeded("alike-plus", BANDS * ROWS, 2**64), np.uint64)
@@ -69,15 +71,17 @@ def bands(least: np.ndarray) -> np.ndarray:
 
 
 def sketch(least: np.ndarray) -> np.ndarray:
-    """Two upper bits of each of the first SKETCH minima, 32 in a word."""
-    two = (least[:SKETCH] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(62)
+    """Two upper bits of each minimum, 32 in a word."""
+    two = (least * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(62)
     return (two.reshape(-1, 32) << np.arange(0, 64, 2, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
+_LOW = 0x5555555555555555
+
+
 def same(a: str, b: str) -> str:
     """How many minima agree in two sketches, in SQL."""
-    x = f"zip_with({a}, {b}, (p, q) -> p ^ q)"
-    return f"{SKETCH} - aggregate({x}, 0, (n, v) -> n + bit_count((v | shiftright(v, 1)) & 6148914691236517205L))"
+    return f"{BANDS * ROWS} - aggregate(zip_with({a}, {b}, (p, q) -> p ^ q), 0, (n, v) -> n + bit_count((v | shiftright(v, 1)) & {_LOW}L))"
 
 
 def _long_lists(parts: list[np.ndarray]) -> pa.Array:
@@ -146,14 +150,86 @@ class _Compared:
         self.links, self.tried = stored(self.links.unionByName(alike)), self.tried.unionByName(now)
 
 
-def _apart(members: DataFrame) -> tuple[int, int]:
-    """Pairs of a band that are not in one component yet, and the members of such bands."""
-    n = members.groupBy("h", "component").agg(F.count("*").alias("n")).groupBy("h").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count("*").alias("c")).filter("c > 1")
-    r = n.agg(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2), F.sum("n")).first()
-    return int(r[0] or 0), int(r[1] or 0)
-
-
-def grouped(prints: DataFrame, texts: DataFrame, pairs_each: int = PAIRS, few: int = FEW) -> DataFrame:
+def _block(h: int, sets: np.ndarray, component: np.ndarray, own: np.ndarray, sketches: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one part of a band to compare: a forest of the sure ones and the doubtful ones between its trees."""
+    n, inside = len(sets), (own == own[0]).all()
+    _, at, size = np.unique(component, return_inverse=True, return_counts=True)
+    if len(size) < 2:
+        return sets[:0], sets[:0]
+    rest = np.flatnonzero(at != size.argmax())  # pairs inside the largest component are done
+    place = np.full(n, -1)
+    place[rest] = np.arange(len(rest))
+    found: list[tuple[np.ndarray, ...]] = []
+    step = max(1, 250_000 // n)
+    for i in range(0, len(rest), step):
+        some = rest[i : i + step]
+        agree = np.full((len(some), n), BANDS * ROWS, np.int32)
+        for w in range(sketches.shape[1]):
+            x = sketches[some, w][:, None] ^ sketches[None, :, w]
+            agree -= np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(_LOW))
+        near = (agree >= LEAST_SAME) & (at[some][:, None] != at[None, :]) & (place[None, :] < place[some][:, None])
+        if not inside:
+            near &= own[some][:, None] != own[None, :]
+        r, c = np.nonzero(near)
+        a = some[r]
+        shared = keys[a] == keys[c]
+        first = keys[a, shared.argmax(axis=1)] == h  # a pair is looked at in the first band that it shares
+        found.append((a[first], c[first], agree[r, c][first]))
+    a, b, agree = (np.concatenate(x) for x in zip(*found, strict=True))
+    forest, sure = Forest(n), agree >= SURE
+    fa, fb = forest.join(a[sure], b[sure])
+    a, b = a[~sure], b[~sure]
+    doubtful = forest.up[a] != forest.up[b]
+    return sets[np.concatenate([fa, a[doubtful]])], sets[np.concatenate([fb, b[doubtful]])]
+
+
+def _doubtful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (h, part, set, component, own, sketch, bands) sorted by h and part: pairs a, b of every part."""
+
+    def matrix(c: pa.Array) -> np.ndarray:
+        return c.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(c), -1)
+
+    def flush(rows: list) -> Iterator[pa.RecordBatch]:
+        if rows:
+            h, _, sets, component, own, sketches, keys = (np.concatenate(x) for x in zip(*rows, strict=True))
+            a, b = _block(np.uint64(h[:1].view(np.uint64)[0]), sets, component, own, sketches, keys)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)] + [matrix(batch.column(i)) for i in (5, 6)]
+        turn = (np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])) + 1).tolist()
+        if held and (held[-1][0][-1] != rows[0][0] or held[-1][1][-1] != rows[1][0]):
+            yield from flush(held)
+            held = []
+        edges = [0, *turn, batch.num_rows]
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            held.append([r[i:j] for r in rows])
+            if j < batch.num_rows:
+                yield from flush(held)
+                held = []
+    yield from flush(held)
+
+
+def _still_apart(members: DataFrame, nodes: DataFrame, prints: DataFrame, part: int) -> DataFrame:
+    """Pairs (a, b) of different components that larger bands leave to compare. members: h, set."""
+    at = members.join(nodes.toDF("set", "component"), "set", "left").select("h", "set", F.coalesce("component", "set").alias("component"))
+    open_ = at.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).filter("lo <> hi")
+    k = F.ceil(2 * F.col("m") / part).cast("int")  # parts of which each two make a block
+    whole = F.col("m") <= part
+    rows = at.join(open_.select("h", F.when(whole, 1).otherwise(k).alias("k")), "h")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("set"), F.col("k")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    rows = rows.withColumn("part", F.least("own", "with") * F.col("k") + F.greatest("own", "with"))
+    need = bounded(rows.select("set").distinct())
+    kept = prints.join(need, "set", "left_semi").groupBy("set").agg(F.min("sketch").alias("sketch"), F.min("bands").alias("bands"))
+    rows = rows.select("h", "part", "set", "component", "own").join(kept, "set").select("h", "part", "set", "component", "own", "sketch", "bands")
+    return rows.repartition("h", "part").sortWithinPartitions("h", "part").mapInArrow(_doubtful, "a long, b long")
+
+
+def grouped(prints: DataFrame, texts: DataFrame, few: int = FEW, part: int = PART) -> DataFrame:
     """set and component of the sets that are linked. prints: with_signature's rows with __key; texts: __key, text."""
     some = prints.filter("n > 0")
     sets = stored(some.groupBy("set").agg(F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch"), F.min("__key").alias("__key")))
@@ -163,27 +239,15 @@ def grouped(prints: DataFrame, texts: DataFrame, pairs_each: int = PAIRS, few: i
     found = _ordered(sets.join(heads, "fp"), "set", "head").unionByName(_ordered(near, "sa", "sb"))
     rows = some.select("set", F.explode("bands").alias("h"))
     keys = rows.groupBy("h").agg(F.min("set").alias("lo"), F.max("set").alias("hi"), F.count("*").alias("m")).filter("lo <> hi")
-    members = stored(rows.join(keys, "h").select("h", "set", "lo", "hi", "m").distinct())  # m counts copies of a text as well
-    few, many = members.filter(f"m <= {few}"), members.filter(f"m > {few}")
-    every = few.select("h", "set").join(few.select("h", F.col("set").alias("other")), "h").filter("set < other")
-    two = many.select("set", F.explode(F.array("lo", "hi")).alias("other"))
-    compared.add(found.unionByName(_ordered(every, "set", "other")).unionByName(_ordered(two, "set", "other")))
-    members = many.select("h", "set")
-    for k in range(ROUNDS + 1):
+    members = stored(rows.join(keys, "h").select("h", "set", "m").distinct())  # m counts copies of a text as well
+    small, large = members.filter(F.col("m") <= few), members.filter(F.col("m") > few)
+    every = small.select("h", "set").join(small.select("h", F.col("set").alias("other")), "h").filter("set < other")
+    met = large.join(large.groupBy("set").agg(F.sum("m").alias("met")), "set")
+    hubs = met.groupBy("h").agg(F.max(F.struct("met", "set")).alias("hub")).select("h", F.col("hub.set").alias("hub"))
+    compared.add(found.unionByName(_ordered(every, "set", "other")).unionByName(_ordered(large.join(hubs, "h"), "set", "hub")))
+    nodes = stored(components(compared.links))
+    apart = stored(_still_apart(large.select("h", "set"), nodes, prints, part))
+    if not apart.isEmpty():
+        compared.add(_ordered(apart, "a", "b"))
         nodes = stored(components(compared.links))
-        at = stored(members.join(nodes.withColumnRenamed("node", "set"), "set", "left").select("h", "set", F.coalesce("component", "set").alias("component")))
-        apart, of = _apart(at)
-        if not apart:
-            break
-        last = k == ROUNDS or apart <= pairs_each * of
-        if last:
-            other = at.toDF("h", "set2", "component2")
-        else:
-            by = F.xxhash64("set", F.lit(k))
-            two = at.groupBy("h").agg(F.array(F.min_by(F.struct("set", "component"), by), F.max_by(F.struct("set", "component"), by)).alias("two"))
-            other = two.select("h", F.explode("two").alias("o")).select("h", F.col("o.set").alias("set2"), F.col("o.component").alias("component2"))
-        compared.add(_ordered(at.join(other, "h").filter("component <> component2"), "set", "set2"))
-        if last:
-            nodes = stored(components(compared.links))
-            break
     return nodes.select(F.col("node").alias("set"), "component")
