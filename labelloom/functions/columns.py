@@ -191,14 +191,25 @@ def india_time(ts: Column) -> Column:
 
 
 def quality_score(method: Column, confidence: Column, status: Column) -> Column:
-    """Evidence quality by match method, reading confidence and status, 0 to 100."""
-    base = F.when(method == "EXACT", 95).when(method == "LINE", 85).when(method == "CLUSTER", 70).when(method == "PANEL", 50).otherwise(30)
-    cut = F.when(status == "FAIL", 15).when(status.isin("NEEDS_REVIEW", "WARNING"), 5).otherwise(0)
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), base * 0.6 + confidence * 0.4 - cut)), 1)
-
-
-def quality_tier(score: Column) -> Column:
-    return F.when(score >= 85, "EXCELLENT").when(score >= 70, "GOOD").when(score >= 50, "FAIR").otherwise("POOR")
+    """Evidence quality by match method, reading confidence and evidence status, 0 to 100."""
+    within = lambda low, high, c: F.round(F.least(F.lit(high), F.greatest(F.lit(low), c)), 1)
+    score = (
+        F.when(status.isin("NOT_APPLICABLE", "UNAVAILABLE", "NO_EVIDENCE"), 0.0)
+        .when(method == "DIRECT_OCR", within(85.0, 100.0, confidence))
+        .when(method == "MULTI_TOKEN_OCR", within(75.0, 95.0, confidence))
+        .when(method == "CONTEXTUAL_OCR", within(60.0, 75.0, confidence * 0.8))
+        .when(method == "SEMANTIC_PANEL", 40.0)
+        .when(method == "TOKEN_SEQUENCE", within(70.0, 90.0, confidence))
+    )
+    return F.coalesce(score, F.lit(0.0))
+
+
+def reliability(method: Column, confidence: Column, status: Column) -> tuple[Column, Column]:
+    """How far evidence can be relied on, 0 to 100, and its tier: reviews are held down, strong verified evidence is lifted."""
+    q = quality_score(method, confidence, status)
+    none = status.isin("NOT_APPLICABLE", "UNAVAILABLE", "NO_EVIDENCE")
+    score = F.when(none, 0.0).when(status == "NEEDS_REVIEW", F.least(q, F.lit(65.0))).when((status == "VERIFIED") & (q >= 85), F.greatest(q, F.lit(90.0))).otherwise(q)
+    return score, F.when(none, "NOT_APPLICABLE").when(score >= 85, "HIGH").when(score >= 70, "MEDIUM").when(score >= 50, "LOW").otherwise("NEEDS_VERIFICATION")
 
 
 def letter_height(grams: Column) -> Column:
@@ -226,3 +237,25 @@ def iou(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     w = F.greatest(F.lit(0), F.least(a[0] + a[2], b[0] + b[2]) - F.greatest(a[0], b[0]))
     h = F.greatest(F.lit(0), F.least(a[1] + a[3], b[1] + b[3]) - F.greatest(a[1], b[1]))
     return F.try_divide(w * h, a[2] * a[3] + b[2] * b[3] - w * h)
+
+
+def clipped(box: tuple[Column, ...], width: Column, height: Column) -> tuple[Column, ...]:
+    """A box (left, top, right, bottom) inside an image."""
+    zero = F.lit(0)
+    return F.greatest(zero, box[0]), F.greatest(zero, box[1]), F.least(width, box[2]), F.least(height, box[3])
+
+
+def padded(box: tuple[Column, ...], across: int, down: int, width: Column, height: Column) -> tuple[Column, ...]:
+    """A box made larger, inside an image."""
+    return clipped((box[0] - across, box[1] - down, box[2] + across, box[3] + down), width, height)
+
+
+def normalised_box(box: tuple[Column, ...], width: Column, height: Column) -> tuple[Column, ...]:
+    """A box as shares of an image, 0 to 1, to four places; zeros for an image without a size."""
+    share = lambda v, of: F.when((width > 0) & (height > 0), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), v / of)), 4)).otherwise(0.0)
+    return share(box[0], width), share(box[1], height), share(box[2], width), share(box[3], height)
+
+
+def pixel_box(shares: tuple[Column, ...], width: Column, height: Column) -> tuple[Column, ...]:
+    """Shares of an image as whole pixels."""
+    return tuple(F.bround(s * of).cast("int") for s, of in zip(shares, (width, height, width, height), strict=True))

@@ -1,8 +1,12 @@
 """Marketing claims: found in label texts, set against ingredients and nutrition, scored and summed.
 
 claim rules: rule_id, claim_type, category, risk_level, patterns, contradictions,
-ord. A text is first tested once against an alternation of all patterns; only
-texts with a hit meet the (small, broadcast) rule table.
+is_absolute, is_comparative, is_high_risk, ord. A text is first tested once against
+an alternation of all patterns; only texts with a hit meet the (small, broadcast)
+rule table, where each rule gives its first pattern without a further shuffle.
+
+Statuses: SUPPORTED, INSUFFICIENT_EVIDENCE, POTENTIAL_CONTRADICTION,
+HIGH_RISK_REVIEW, NOT_ASSESSABLE; all but the first ask for a human review.
 """
 
 from __future__ import annotations
@@ -43,25 +47,44 @@ CLAIM_RULES = (
     ("CLAIM-RULE-QLT-001", "100_PERCENT_PURE", "QUALITY", "HIGH", ("100% pure", "guaranteed purity", "pure quality", "purest"), ()),
     ("CLAIM-RULE-QLT-002", "PREMIUM_QUALITY", "QUALITY", "LOW", ("premium quality", "superior quality", "finest quality"), ()),
 )
-ABSOLUTE = ("100%", "zero", "completely", "guaranteed", "all natural", "no ")
-COMPARATIVE = ("best", "no. 1", "#1", "most trusted", "leading", "superior")
-HIGH_RISK = ("cure", "treat", "immunity", "cancer", "diabetes", "weight loss", "clinically")
-MARKINGS = ("jaivik bharat", "npop", "pgs-india", "usda organic")
+#: Rules that are absolute, comparative or of high risk whatever their pattern.
+ABSOLUTE_RULES = ("CLAIM-RULE-CMP-001", "CLAIM-RULE-ENV-001", "CLAIM-RULE-ING-002", "CLAIM-RULE-ING-004", "CLAIM-RULE-QLT-001")
+COMPARATIVE_RULES = ("CLAIM-RULE-CMP-001",)
+HIGH_RISK_RULES = ("CLAIM-RULE-HLT-001", "CLAIM-RULE-HLT-002", "CLAIM-RULE-MED-001", "CLAIM-RULE-MED-002")
+#: Substrings that make a claim absolute, comparative or of high risk.
+ABSOLUTE = ("100%", "100 percent", "zero", "0%", "no", "free", "pure", "only", "best", "number 1", "no. 1", "no 1", "#1", "completely", "guaranteed", "all")
+COMPARATIVE = ("no. 1", "no 1", "number 1", "#1", "best", "better", "superior", "leading", "most trusted", "more than", "highest")
+HIGH_RISK = ("cure", "cures", "treat", "treats", "prevent", "prevents", "disease", "cancer", "diabetes", "anti-covid", "anti covid", "infection", "clinically proven", "scientifically proven", "doctor recommended", "doctor's choice", "guaranteed weight loss", "burns fat", "100% disease protection")
+#: Marks that support an organic claim, and nutrients that support an immunity claim.
+MARKINGS = ("jaivik bharat", "npop", "pgs-india", "usda organic", "eu organic", "organic india")
+IMMUNITY_NUTRIENTS = ("vitamin c", "zinc", "vitamin d", "vitamin a", "iron", "copper", "selenium", "protein")
+#: Grammars of claims that no rule lists: category, flags (absolute, comparative, high risk), pattern.
+OPEN = (
+    ("ABSOLUTE", True, False, False, r"(?i)\b(100%\s+[a-zA-Z]{3,20}|zero\s+[a-zA-Z]{3,20}|completely\s+[a-zA-Z]{3,20})\b"),
+    ("COMPARATIVE", True, True, False, r"(?i)\b(no\.?\s*1\s+[a-zA-Z]{3,20}|best\s+(?:in|for)\s+[a-zA-Z]{3,20})\b"),
+    ("MEDICAL", False, False, True, r"(?i)\b(cures?\s+[a-zA-Z]{3,20}|prevents?\s+[a-zA-Z]{3,20}|treats?\s+[a-zA-Z]{3,20})\b"),
+)
+FLAGS = ("is_absolute", "is_comparative", "is_high_risk")
+#: Reading confidence of a claim found in plain text, and of an ingredient list whose words carry none.
+TEXT_CONFIDENCE, LIST_CONFIDENCE = 90.0, 85.0
+#: Open claims are numbered after those of the rules.
+OPEN_ORD = 1_000_000
 
 
 def claim_rules(spark) -> DataFrame:
-    rows = [(*r[:4], list(r[4]), list(r[5]), i) for i, r in enumerate(CLAIM_RULES)]
-    return spark.createDataFrame(rows, "rule_id string, claim_type string, category string, risk_level string, patterns array<string>, contradictions array<string>, ord int")
+    rows = [(*r[:4], list(r[4]), list(r[5]), r[0] in ABSOLUTE_RULES, r[0] in COMPARATIVE_RULES, r[0] in HIGH_RISK_RULES, i) for i, r in enumerate(CLAIM_RULES)]
+    return spark.createDataFrame(rows, "rule_id string, claim_type string, category string, risk_level string, patterns array<string>, contradictions array<string>, is_absolute boolean, is_comparative boolean, is_high_risk boolean, ord int")
 
 
 def read_claim_rules(spark, path: str) -> DataFrame:
     """Claim rules of a folder of JSON arrays: enabled ones, the last file by name winning for a rule id."""
-    schema = "rule_id string, claim_type string, category string, risk_level string, enabled boolean, patterns array<string>, contradiction_ingredients array<string>"
+    schema = "rule_id string, claim_type string, category string, risk_level string, enabled boolean, patterns array<string>, contradiction_ingredients array<string>, is_absolute boolean, is_comparative boolean, is_high_risk boolean"
     rows = spark.read.schema(schema).option("multiLine", True).json(path).select("*", F.col("_metadata.file_name").alias("file"))
     last = rows.withColumn("rn", F.row_number().over(W.partitionBy("rule_id").orderBy(F.desc("file")))).filter("rn = 1 AND coalesce(enabled, true)")
     empty = F.array().cast("array<string>")
     n = F.row_number().over(W.orderBy("file", "rule_id")) - 1  # a few dozen rules
-    return last.select("rule_id", "claim_type", "category", "risk_level", F.coalesce("patterns", empty).alias("patterns"), F.coalesce("contradiction_ingredients", empty).alias("contradictions"), n.alias("ord"))
+    lists = (F.coalesce("patterns", empty).alias("patterns"), F.coalesce("contradiction_ingredients", empty).alias("contradictions"))
+    return last.select("rule_id", "claim_type", "category", "risk_level", *lists, *(F.coalesce(f, F.lit(False)).alias(f) for f in FLAGS), n.alias("ord"))
 
 
 def _word(p: Column) -> Column:
@@ -74,42 +97,54 @@ ALTERNATION = 5000
 
 
 def find_claims(texts: DataFrame, rules: DataFrame) -> DataFrame:
-    """Claims per text and rule: the first pattern of the rule that the text has. texts: label_id, text."""
-    patterns = rules.select("rule_id", "claim_type", "category", "risk_level", "ord", F.posexplode("patterns").alias("p_ord", "pattern"))
-    known = [r[0] for r in patterns.select("pattern").distinct().limit(ALTERNATION + 1).collect()]
+    """Claims per text and rule: the first pattern of the rule that the text has, with the rule's flags. texts: label_id, text."""
+    known = [r[0] for r in rules.select(F.explode("patterns").alias("pattern")).distinct().limit(ALTERNATION + 1).collect()]
     some = texts.select("label_id", F.lower("text").alias("low"))
-    has = F.col("low").contains(F.col("pattern")) & F.rlike("low", _word(F.col("pattern")))
+    rules = _flagged(rules)
+    has = lambda p: F.col("low").contains(p) & F.rlike("low", _word(p))
+    keep = ("label_id", "rule_id", "claim_type", "category", "risk_level", *FLAGS, "ord")
     if len(known) > ALTERNATION:  # a border before and after makes a pattern's first run of letters and digits a whole one of the text
-        patterns = patterns.withColumn("run", F.regexp_extract("pattern", "[a-z0-9]+", 0))
+        patterns = rules.select(*keep[1:], F.posexplode("patterns").alias("p_ord", "pattern")).withColumn("run", F.regexp_extract("pattern", "[a-z0-9]+", 0))
         runs = some.select("label_id", "low", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit("[a-z0-9]+"), F.lit(0)))).alias("run"))
-        hits = runs.join(patterns.filter("run <> ''"), "run").filter(has).drop("run")
-        hits = hits.unionByName(some.join(small(patterns.filter("run = ''").drop("run")), has))
+        hits = runs.join(patterns.filter("run <> ''"), "run").filter(has(F.col("pattern"))).drop("run")
+        hits = hits.unionByName(some.join(small(patterns.filter("run = ''").drop("run")), has(F.col("pattern"))))
+        found = hits.groupBy(*keep).agg(F.min_by("pattern", "p_ord").alias("claim"))
     else:
         every = "|".join(re.sub(r"([^a-zA-Z0-9 ])", r"\\\1", p) for p in sorted(p for p in known if p is not None))
         some = some.filter(F.col("low").rlike(f"(?:{every})")) if every else some.limit(0)
-        hits = some.join(small(patterns), has)
-    first = F.row_number().over(W.partitionBy("label_id", "rule_id").orderBy("p_ord"))
-    return hits.withColumn("rn", first).filter("rn = 1").select("label_id", "rule_id", "claim_type", "category", "risk_level", "ord", F.col("pattern").alias("claim"))
+        hits = some.join(small(rules), F.exists("patterns", has)).withColumn("claim", F.get(F.filter("patterns", has), F.lit(0)))
+        found = hits.select(*keep, "claim")
+    return found.select("label_id", "rule_id", "claim_type", "category", "risk_level", "ord", "claim", *FLAGS)
+
 
+def _flagged(rules: DataFrame) -> DataFrame:
+    """Rules with the three flags, false where the table has none."""
+    return rules.withColumns({f: F.coalesce(f, F.lit(False)) if f in rules.columns else F.lit(False) for f in FLAGS})
 
-#: Three grammars of claims that no rule lists.
-OPEN = (r"(?i)\b(?:free\s+from|no\s+added|without)\s+[a-z]+\b", r"(?i)\b(?:rich\s+in|high\s+in|source\s+of)\s+[a-z]+\b", r"(?i)\b\d{1,3}%\s+[a-z]+\b")
 
+def open_claims(texts: DataFrame, rules: DataFrame) -> DataFrame:
+    """Claims by the open grammars that no rule's pattern holds or is held by; a claim once, at its first place.
 
-def open_claims(texts: DataFrame, known: DataFrame) -> DataFrame:
-    """Claims by the open grammars that no found claim covers, numbered in text order."""
-    found = F.flatten(F.array(*(F.regexp_extract_all("text", F.lit(p), F.lit(0)) for p in OPEN)))
-    rows = texts.select("label_id", F.col("text").alias("t"), F.explode(F.array_distinct(F.transform(found, lambda x: F.lower(F.regexp_replace(x, r"\s+", " "))))).alias("claim"))
-    k = known.select("label_id", F.col("claim").alias("k"))
-    left = rows.join(k, (rows["label_id"] == k["label_id"]) & (F.col("claim").contains(F.col("k")) | F.col("k").contains(F.col("claim"))), "left_anti")
-    at = F.expr("position(claim, lower(t))")
-    return left.select("label_id", "claim", F.row_number().over(W.partitionBy("label_id").orderBy(at, "claim")).alias("n"))
+    Columns as find_claims gives them; ord follows grammar and place.
+    """
+    def found(at: int, category: str, flags: tuple[bool, ...], pattern: str) -> Column:
+        once = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), lambda x: F.lower(F.trim(x))))
+        fixed = [F.lit(category).alias("category"), *(F.lit(v).alias(n) for n, v in zip(FLAGS, flags, strict=True))]
+        return F.transform(once, lambda x, i: F.struct(*fixed, (F.lit(OPEN_ORD * (at + 1)) + i).alias("ord"), x.alias("claim")))
+
+    every = F.concat(*(found(k, category, tuple(flags), pattern) for k, (category, *flags, pattern) in enumerate(OPEN)))
+    rows = texts.select("label_id", F.explode(every).alias("c")).select("label_id", "c.*")
+    p = small(rules.select(F.explode("patterns").alias("p")))
+    left = rows.join(p, F.col("claim").contains(F.col("p")) | F.col("p").contains(F.col("claim")), "left_anti")
+    none = F.lit(None).cast("string")
+    return left.select("label_id", none.alias("rule_id"), none.alias("claim_type"), "category", none.alias("risk_level"), "ord", "claim", *FLAGS)
 
 
 def deduplicated(claims: DataFrame) -> DataFrame:
     """The first of equal claims of a label by panel and rule order. claims: with panel."""
-    rn = F.row_number().over(W.partitionBy("label_id", F.lower(F.trim("claim"))).orderBy("panel", "ord"))
-    return claims.withColumn("rn", rn).filter("rn = 1").drop("rn")
+    key, rest = F.lower(F.trim("claim")).alias("__claim"), [c for c in claims.columns if c != "label_id"]
+    first = claims.groupBy("label_id", key).agg(F.min_by(F.struct(*rest), F.struct("panel", "ord")).alias("c"))
+    return first.select("label_id", *(F.col(f"c.{c}").alias(c) for c in rest)).select(*claims.columns)
 
 
 def numbered(claims: DataFrame) -> DataFrame:
@@ -125,133 +160,184 @@ def matching_rule(claims: DataFrame, rules: DataFrame) -> DataFrame:
     return j.groupBy(*keys).agg(F.min_by("rule_id", "ord").alias("rule_id"))
 
 
+def _hits(bad: Column, ingredients: Column) -> Column:
+    """Those of an array of words that stand in an ingredient list, in their order; null if none."""
+    low = F.lower(F.coalesce(ingredients, F.lit("")))
+    found = F.filter(bad, lambda b: low.contains(b) & F.rlike(low, _word(b)))
+    return F.when(F.size(found) > 0, F.array_join(found, ", "))
+
+
 def contradictions(claims: DataFrame, rules: DataFrame, ingredients: DataFrame) -> DataFrame:
-    """Ingredients of a label that contradict a claim's rule, as sorted text. ingredients: label_id, ingredients."""
-    c = claims.select("label_id", "rule_id").join(small(rules.select("rule_id", F.explode("contradictions").alias("bad"))), "rule_id")
-    j = c.join(ingredients, "label_id").filter(F.rlike(F.lower("ingredients"), _word(F.col("bad"))))
-    return j.groupBy("label_id", "rule_id").agg(F.array_join(F.array_sort(F.collect_set("bad")), ", ").alias("hits"))
+    """Ingredients of a label that contradict a claim's rule, in the rule's order. ingredients: label_id, ingredients."""
+    c = claims.select("label_id", "rule_id").join(small(rules.select("rule_id", "contradictions").filter("size(contradictions) > 0")), "rule_id")
+    return c.join(ingredients, "label_id").select("label_id", "rule_id", _hits(F.col("contradictions"), F.col("ingredients")).alias("hits")).filter("hits IS NOT NULL")
 
 
-def _out(status: str, why: str) -> Column:
-    return F.struct(F.lit(status).alias("status"), F.lit(why).alias("why"))
+def _out(status: str, why: str, evidence: Column | float | None = None) -> Column:
+    """evidence: confidence of the evidence; 0 for evidence that carries none, null without evidence."""
+    e = evidence if isinstance(evidence, Column) else F.lit(evidence)
+    return F.struct(F.lit(status).alias("status"), F.lit(why).alias("why"), e.cast("double").alias("evidence"))
 
 
-_SUPPORTED = ("SUPPORTED", "Evidence agrees")
+def _no_list() -> Column:
+    return F.coalesce(F.trim("ingredients"), F.lit("")) == ""
 
 
-def _by_ingredients(otherwise: tuple[str, str]) -> Callable[[], Column]:
-    def build() -> Column:
-        return F.when(F.col("hits").isNotNull(), _out("CONTRADICTION", "An ingredient contradicts the claim")).when(F.col("ingredients").isNull(), _out("INSUFFICIENT_EVIDENCE", "No ingredients")).otherwise(_out(*otherwise))
+def _low() -> Column:
+    return F.lower(F.coalesce("text", F.lit("")))
 
-    return build
 
+def _contradicted() -> Column:
+    return _out("POTENTIAL_CONTRADICTION", "An ingredient contradicts the claim", F.col("ingredients_confidence"))
+
+
+def _no_preservatives() -> Column:
+    none = _no_list() & ~_low().contains("preservative")
+    return F.when(none, _out("INSUFFICIENT_EVIDENCE", "No ingredients", 0)).when(F.col("hits").isNotNull(), _contradicted()).otherwise(_out("SUPPORTED", "Evidence agrees", F.col("ingredients_confidence")))
+
+
+def _by_fact(value: Callable[[], Column], what: str, least: float | None = None, most: float | None = None, evidence: tuple[float | None, float, float] = (None, 0, 0)) -> Callable[[], Column]:
+    """evidence: confidences where the value is missing, agrees and contradicts."""
 
-def _by_fact(nutrient: str, least: float | None = None, most: float | None = None) -> Callable[[], Column]:
     def build() -> Column:
-        v = F.try_element_at("facts", F.lit(nutrient))
+        v = value()
         ok = (v >= least) if least is not None else (v <= most)
-        return F.when(v.isNull(), _out("INSUFFICIENT_EVIDENCE", f"No value of {nutrient}")).when(ok, _out(*_SUPPORTED)).otherwise(_out("CONTRADICTION", f"The value of {nutrient} contradicts the claim"))
+        missing, agrees, against = evidence
+        return (
+            F.when(v.isNull(), _out("INSUFFICIENT_EVIDENCE", f"No value of {what}", missing))
+            .when(ok, _out("SUPPORTED", f"The value of {what} agrees", agrees))
+            .otherwise(_out("POTENTIAL_CONTRADICTION", f"The value of {what} contradicts the claim", against))
+        )
 
     return build
 
 
-def _sugar_free() -> Column:
-    v = F.try_element_at("facts", F.lit("sugar"))
+def _fact(*names: str) -> Column:
+    return F.coalesce(*(F.try_element_at("facts", F.lit(n)) for n in names))
+
+
+def _protein() -> Column:
+    """The declared value, else the first number after the word in the text."""
+    return F.coalesce(_fact("protein"), F.regexp_extract(F.regexp_extract(_low(), r"protein[\s.:\-a-z]*([\d.]+)", 1), r"(\d+(?:\.\d+)?)", 1).try_cast("double"))
+
+
+def _sugar() -> Column:
+    v, free = _fact("sugar"), F.col("claim_type") == "SUGAR_FREE"
     return (
-        F.when(F.col("hits").isNotNull(), _out("CONTRADICTION", "An ingredient contradicts the claim"))
-        .when(v > 0.5, _out("CONTRADICTION", "The value of sugar contradicts the claim"))
-        .when(v.isNotNull() | F.col("ingredients").isNotNull(), _out(*_SUPPORTED))
-        .otherwise(_out("INSUFFICIENT_EVIDENCE", "No ingredients and no facts"))
+        F.when(F.col("hits").isNotNull(), _contradicted())
+        .when(free & (v > 0.5), _out("POTENTIAL_CONTRADICTION", "The value of sugar contradicts the claim", 0))
+        .when(free & v.isNotNull(), _out("SUPPORTED", "The value of sugar agrees", 0))
+        .when(_no_list() & (F.coalesce(F.size("facts"), F.lit(0)) <= 0), _out("INSUFFICIENT_EVIDENCE", "No ingredients and no facts", 0))
+        .otherwise(_out("SUPPORTED", "Evidence agrees", 0))
     )
 
 
-def _no_added_sugar() -> Column:
-    none = F.col("ingredients").isNull() & (F.size("facts") <= 0)
-    return F.when(F.col("hits").isNotNull(), _out("CONTRADICTION", "An ingredient contradicts the claim")).when(none, _out("INSUFFICIENT_EVIDENCE", "No ingredients and no facts")).otherwise(_out(*_SUPPORTED))
+def _natural() -> Column:
+    return F.when(_no_list(), _out("INSUFFICIENT_EVIDENCE", "No ingredients", 0)).when(F.col("hits").isNotNull(), _contradicted()).otherwise(_out("HIGH_RISK_REVIEW", "No contradiction, but the claim is absolute", 0))
+
+
+def _no_colours() -> Column:
+    return F.when(_no_list(), _out("INSUFFICIENT_EVIDENCE", "No ingredients")).when(F.col("hits").isNotNull(), _contradicted()).otherwise(_out("SUPPORTED", "Evidence agrees", 0))
 
 
 def _origin() -> Column:
-    o = F.lower(F.coalesce("country_of_origin", F.lit("")))
-    return F.when(o == "", _out("INSUFFICIENT_EVIDENCE", "No origin declared")).when(o.contains("india"), _out(*_SUPPORTED)).otherwise(_out("CONTRADICTION", "Another origin is declared"))
+    in_text = _low().contains("made in india") | _low().contains("product of india") | _low().contains("country of origin: india")
+    o = F.coalesce(F.nullif(F.lower("country_of_origin"), F.lit("")), F.when(in_text, "india"))
+    return F.when(o.isNull(), _out("INSUFFICIENT_EVIDENCE", "No origin declared")).when(o.contains("india"), _out("SUPPORTED", "Evidence agrees", 0)).otherwise(_out("POTENTIAL_CONTRADICTION", "Another origin is declared", 0))
+
+
+def _any_of(text: Column, words: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | text.contains(w)
+    return out
 
 
 def _organic() -> Column:
-    t, seen = F.lower("text"), F.lit(False)
-    for m in MARKINGS:
-        seen = seen | t.contains(m)
-    return F.when(seen, _out(*_SUPPORTED)).otherwise(_out("HUMAN_REVIEW", "No certification mark"))
+    return F.when(_any_of(_low(), MARKINGS), _out("SUPPORTED", "A certification mark was seen", 0)).otherwise(_out("INSUFFICIENT_EVIDENCE", "No certification mark", 0))
+
+
+def _immunity() -> Column:
+    return F.when(_any_of(_low(), IMMUNITY_NUTRIENTS), _out("HIGH_RISK_REVIEW", "Health claim with nutrients that may support it", 0)).otherwise(_out("HIGH_RISK_REVIEW", "Health claim without supporting nutrients", 0))
 
 
 def _pure() -> Column:
-    i = F.col("ingredients")
-    return F.when(i.isNull(), _out("INSUFFICIENT_EVIDENCE", "No ingredients")).when(i.rlike(r"(?i)[,;]|\badded\b"), _out("CONTRADICTION", "Several ingredients")).otherwise(_out(*_SUPPORTED))
+    several = _any_of(F.lower(F.coalesce("ingredients", F.lit(""))), (",", ";", "added"))
+    return F.when(several, _out("POTENTIAL_CONTRADICTION", "Several ingredients", F.col("ingredients_confidence"))).when(_no_list(), _out("INSUFFICIENT_EVIDENCE", "No ingredients")).otherwise(_out("SUPPORTED", "One ingredient", 0))
 
 
 def _review(why: str) -> Callable[[], Column]:
-    return lambda: _out("HUMAN_REVIEW", why)
+    return lambda: _out("HIGH_RISK_REVIEW", why, F.col("ocr_confidence"))
 
 
-#: Evaluator of each claim type; a user adds one. Types without an evaluator go by risk.
+#: Evaluator of each claim type; a user adds one.
 EVALUATORS: dict[str, Callable[[], Column]] = {
-    "NO_PRESERVATIVES": _by_ingredients(_SUPPORTED),
-    "NO_ADDED_SUGAR": _no_added_sugar,
-    "SUGAR_FREE": _sugar_free,
-    "HIGH_PROTEIN": _by_fact("protein", least=12),
-    "LOW_FAT": _by_fact("fat", most=3),
-    "ZERO_CHOLESTEROL": _by_fact("cholesterol", most=5),
-    "NATURAL_QUALITY": _by_ingredients(("HUMAN_REVIEW", "No contradiction, but the claim is absolute")),
-    "NO_ARTIFICIAL_COLOURS": _by_ingredients(_SUPPORTED),
+    "NO_PRESERVATIVES": _no_preservatives,
+    "NO_ADDED_SUGAR": _sugar,
+    "SUGAR_FREE": _sugar,
+    "HIGH_PROTEIN": _by_fact(_protein, "protein", least=12, evidence=(0, 92, 90)),
+    "LOW_FAT": _by_fact(lambda: _fact("total_fat", "fat"), "fat", most=3),
+    "ZERO_CHOLESTEROL": _by_fact(lambda: _fact("cholesterol"), "cholesterol", most=5),
+    "NATURAL_QUALITY": _natural,
+    "NO_ARTIFICIAL_COLOURS": _no_colours,
     "CHEMICAL_FREE": _review("Everything is chemical"),
     "MADE_IN_INDIA": _origin,
     "ORGANIC_CERTIFICATION": _organic,
-    "IMMUNITY_BOOSTER": _review("Health claim"),
-    "DISEASE_CURE_TREATMENT": _review("Medical claim"),
-    "CLINICAL_DOCTOR_RECOMMENDED": _review("Medical claim"),
-    "NO_1_OR_BEST_BRAND": _review("Comparative claim"),
-    "BIODEGRADABLE_ECO_FRIENDLY": _review("Environmental claim"),
+    "IMMUNITY_BOOSTER": _immunity,
     "100_PERCENT_PURE": _pure,
 }
+#: Evaluators of categories, for types without one.
+BY_CATEGORY = {"MEDICAL": _review("Medical claim"), "COMPARATIVE": _review("Comparative claim"), "ENVIRONMENTAL": _review("Environmental claim")}
 
 
-def _generic() -> Column:
-    return F.when(F.col("risk_level").isin("HIGH", "CRITICAL"), _out("HUMAN_REVIEW", "Claim of high risk")).otherwise(_out("UNVERIFIED", "No evidence rule"))
-
-
-def flags(claim: Column, risk: Column) -> dict[str, Column]:
-    def any_of(words: tuple[str, ...]) -> Column:
-        out = F.lit(False)
-        for w in words:
-            out = out | F.lower(claim).contains(w)
-        return out
-
-    return {"is_absolute": any_of(ABSOLUTE), "is_comparative": any_of(COMPARATIVE), "is_high_risk": any_of(HIGH_RISK) | risk.isin("HIGH", "CRITICAL")}
+def flags(claim: Column) -> dict[str, Column]:
+    """What its rule and, for claims of a rule, its own words make a claim. Columns FLAGS and rule_id."""
+    own = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.lower(claim).contains(w))
+    return {f: F.col(f) | (F.col("rule_id").isNotNull() & own(words)) for f, words in zip(FLAGS, (ABSOLUTE, COMPARATIVE, HIGH_RISK), strict=True)}
 
 
 def assess(claims: DataFrame, rules: DataFrame, labels: DataFrame) -> DataFrame:
-    """Status, reason, flags and confidence of each claim. labels: label_id, text, ingredients, facts map, country_of_origin."""
-    hits = contradictions(claims, rules, labels.select("label_id", "ingredients"))
-    j = claims.join(labels, "label_id", "left").join(hits, ["label_id", "rule_id"], "left")
+    """Status, reason, contradicting ingredients and confidence of each claim.
+
+    claims: as find_claims gives them; ocr_confidence and has_box where their words
+    are known. labels: label_id, text, ingredients, facts map, country_of_origin, and
+    ingredients_confidence where known.
+    """
+    known = lambda c, d, default: F.coalesce(F.col(c), F.lit(default)) if c in d.columns else F.lit(default)
+    bad = small(rules.select("rule_id", "contradictions"))
+    j = claims.withColumns(flags(F.col("claim"))).withColumns({"ocr_confidence": known("ocr_confidence", claims, TEXT_CONFIDENCE), "has_box": known("has_box", claims, False)})
+    j = j.join(bad, "rule_id", "left").join(labels.withColumn("ingredients_confidence", known("ingredients_confidence", labels, LIST_CONFIDENCE)), "label_id", "left")
+    j = j.withColumn("hits", _hits(F.coalesce("contradictions", F.array().cast("array<string>")), F.col("ingredients")))
     out = None
-    for kind, build in EVALUATORS.items():
-        cond = F.col("claim_type") == kind
+    for cond, build in [*((F.col("claim_type") == k, b) for k, b in EVALUATORS.items()), *((F.col("category") == k, b) for k, b in BY_CATEGORY.items())]:
         out = F.when(cond, build()) if out is None else out.when(cond, build())
-    j = j.withColumn("a", out.otherwise(_generic())).withColumns(flags(F.col("claim"), F.col("risk_level")))
-    evidence = F.when(F.col("a.status").isin("SUPPORTED", "CONTRADICTION"), 90.0).when(F.col("a.status") == "HUMAN_REVIEW", 60.0).otherwise(30.0)
-    sure = F.when(F.col("a.status") == "CONTRADICTION", 95.0).when(F.col("a.status") == "SUPPORTED", 85.0).otherwise(50.0)
-    score = F.greatest(F.lit(10.0), F.least(F.lit(99.0), F.round(0.25 * F.lit(90.0) + 0.20 * F.lit(85.0) + 0.25 * evidence + 0.30 * sure, 1)))
-    keep = [c for c in claims.columns]
-    return j.select(*keep, F.col("a.status").alias("status"), F.col("a.why").alias("why"), "hits", "is_absolute", "is_comparative", "is_high_risk", score.alias("confidence"))
+    out = out.when(F.col("is_high_risk"), _out("HIGH_RISK_REVIEW", "Claim of high risk")).when(F.col("is_absolute"), _out("HIGH_RISK_REVIEW", "Absolute claim"))
+    j = j.withColumn("a", out.otherwise(_out("NOT_ASSESSABLE", "No evidence rule")))
+    keep = [c for c in claims.columns if c not in FLAGS]
+    return j.select(*keep, F.col("a.status").alias("status"), F.col("a.why").alias("why"), "hits", *FLAGS, confidence().alias("confidence"))
+
+
+def confidence() -> Column:
+    """A claim's confidence from what was read, extracted, found as evidence and judged. Columns a, ocr_confidence, has_box."""
+    s, e, ocr = F.col("a.status"), F.col("a.evidence"), F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("ocr_confidence")))
+    extracted = F.when(ocr < 70, ocr).when(F.col("has_box"), 95.0).otherwise(85.0)
+    evidence = F.when(e > 0, e).when(e.isNotNull(), 85.0).when(s == "INSUFFICIENT_EVIDENCE", 60.0).otherwise(75.0)
+    judged = F.when(s == "POTENTIAL_CONTRADICTION", 92.0).when(s == "SUPPORTED", 90.0).when(s == "HIGH_RISK_REVIEW", 85.0).when(s == "INSUFFICIENT_EVIDENCE", 80.0).otherwise(65.0)
+    return F.greatest(F.lit(10.0), F.least(F.lit(99.0), F.round(0.25 * ocr + 0.20 * extracted + 0.25 * evidence + 0.30 * judged, 1)))
 
 
 def claim_job(labels: DataFrame, rules: DataFrame) -> DataFrame:
-    """Found, numbered and assessed claims of a table of labels (see assess for its columns)."""
-    return assess(numbered(find_claims(labels.select("label_id", "text"), rules)), rules, labels)
+    """Found, deduplicated, numbered and assessed claims of a table of labels (see assess for its columns)."""
+    texts = labels.select("label_id", "text")
+    every = find_claims(texts, rules).unionByName(open_claims(texts, rules)).withColumn("panel", F.lit(1))
+    return assess(numbered(deduplicated(every.repartition("label_id"))).drop("panel"), rules, labels)
 
 
 def claim_summary(assessments: DataFrame) -> DataFrame:
     s = F.col("status")
     n = lambda v: F.count_if(s == v).alias(v.lower())
-    return assessments.groupBy("label_id").agg(F.count("*").alias("claims"), n("SUPPORTED"), n("CONTRADICTION"), n("INSUFFICIENT_EVIDENCE"), n("HUMAN_REVIEW"), n("UNVERIFIED"))
+    every = ("SUPPORTED", "INSUFFICIENT_EVIDENCE", "POTENTIAL_CONTRADICTION", "HIGH_RISK_REVIEW", "NOT_ASSESSABLE")
+    return assessments.groupBy("label_id").agg(F.count("*").alias("claims"), *map(n, every), F.count_if(s != "SUPPORTED").alias("needs_review"))
 
 
 def findings_with_evidence(findings: DataFrame, evidence: DataFrame) -> DataFrame:

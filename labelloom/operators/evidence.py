@@ -1,6 +1,6 @@
-"""Words with boxes: where declarations stand, panels, layout, letter heights, artwork checks.
+"""Words with boxes: where declarations stand, which evidence supports a check, panels, layout, artwork checks.
 
-words: label_id, line, pos, word, x, y, w, h, confidence.
+words: label_id, line, pos, word, x, y, w, h, confidence; (line, pos) is the reading order of a label.
 """
 
 from __future__ import annotations
@@ -9,137 +9,420 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from labelloom.functions import columns as C
 from labelloom.operators.common import small
 
-
-def stripped(c: Column) -> Column:
-    return F.regexp_replace(F.lower(c), r"[^a-z0-9]", "")
-
-
-def token_matches(word: Column, target: Column) -> Column:
-    """Equal after stripping; up to three characters only so; else one holds the other with enough of its length."""
-    a, b = stripped(word), stripped(target)
-    ratio = F.length(a) / F.length(b)
-    return (a == b) | ((F.length(b) > 3) & (F.length(a) > 3) & ((a.contains(b) & (ratio <= 2.0)) | (b.contains(a) & (ratio >= 0.7))))
-
-
-def provenance(values: DataFrame, words: DataFrame) -> DataFrame:
-    """Per label and field the words that show its value, and the box around them. values: label_id, field, value."""
-    tokens = values.select("label_id", "field", F.explode(F.array_distinct(F.split(F.lower("value"), r"\s+"))).alias("token")).filter("token <> ''")
-    j = words.join(tokens, (words["label_id"] == tokens["label_id"]) & (F.lower("word") == F.col("token"))).select(words["*"], "field", "token")
-    first = j.withColumn("rn", F.row_number().over(W.partitionBy("label_id", "field", "token").orderBy("line", "pos"))).filter("rn = 1")
-    return first.groupBy("label_id", "field").agg(F.count("*").alias("n"), F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("right"), F.max(F.col("y") + F.col("h")).alias("bottom"))
-
-
-def sequences(words: DataFrame, tokens: list[str], gap: int = 2) -> DataFrame:
-    """Places where consecutive words of a line match tokens in order, with up to ``gap`` words skipped between."""
-    w = W.partitionBy("label_id", "line").orderBy("pos")
-    reach = len(tokens) + gap * (len(tokens) - 1)
-    ahead = F.collect_list(F.struct("word", "x", "w")).over(w.rowsBetween(0, reach - 1))
-    rows = words.select("label_id", "line", "pos", "word", ahead.alias("near"))
-    clean = lambda s: "".join(ch for ch in s.lower() if ch.isalnum())
-
-    def place(token: str, after: Column | None) -> Column:
-        """First place of the token in the words ahead: at the start, or within reach of the one before."""
-        if after is None:
-            return F.array_position(F.transform("near", lambda x: stripped(x["word"]) == token), True)
-        return F.array_position(F.transform("near", lambda x, i: (stripped(x["word"]) == token) & (i + 1 > after) & (i <= after + gap)), True)
-
-    for k, t in enumerate(tokens):
-        rows = rows.withColumn(f"p{k}", place(clean(t), F.col(f"p{k - 1}") if k else None))
-    ok = F.col("p0") == 1
-    for k in range(1, len(tokens)):
-        ok = ok & (F.col(f"p{k}") > 0)
-    last = F.col(f"p{len(tokens) - 1}").cast("int")
-    return rows.filter(ok).select("label_id", "line", "pos", last.alias("n_words"))
-
-
-def same_line(words: DataFrame, anchor: str) -> DataFrame:
-    """Words of the anchor's line, within 0.6 of its height, left to right; the first anchor of each label counts."""
-    a = words.filter(stripped(F.col("word")) == anchor).groupBy("label_id").agg(F.min_by(F.struct("y", "h"), F.struct("line", "pos")).alias("a"))
-    j = words.join(a, "label_id").filter(F.abs(F.col("y") - F.col("a.y")) <= 0.6 * F.col("a.h"))
-    return j.groupBy("label_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "pos", "word"))), lambda x: x["word"]), " ").alias("line_text"))
-
-
-def evidence_choice(words: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Per label and rule the first anchor that is on the label. anchors: rule_id, ord, keyword (one word); a dimension."""
-    a = small(anchors)
-    j = words.join(a, stripped(F.col("word")) == F.col("keyword"))
-    best = j.groupBy("label_id", "rule_id").agg(F.min_by(F.struct("keyword", "line", "pos", "x", "y", "w", "h"), F.struct("ord", "line", "pos")).alias("b"))
-    return best.select("label_id", "rule_id", "b.*")
-
-
-#: Keywords of layout regions, first match wins.
-REGIONS = (("PRICE", ("mrp", "rs.")), ("QUANTITY", ("net", "qty:")), ("LICENCE", ("fssai", "lic.")), ("DATES", ("mfg", "best", "date:")), ("CARE", ("customer", "care:")), ("INGREDIENTS", ("ingredients:",)), ("NUTRITION", ("nutrition", "protein")))
-
-
-def region(word: Column) -> Column:
-    out = None
-    for name, keys in REGIONS:
-        hit = F.lower(word).isin(*keys)
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out
-
-
-def layout(words: DataFrame) -> DataFrame:
-    """Union box and confidence of each region of each label."""
-    g = words.withColumn("region", region(F.col("word"))).filter("region IS NOT NULL").groupBy("label_id", "region")
-    out = g.agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("right"), F.max(F.col("y") + F.col("h")).alias("bottom"), F.count_distinct(F.lower("word")).alias("keywords"))
-    return out.withColumn("confidence", F.least(F.lit(0.95), F.round(0.70 + 0.08 * F.col("keywords"), 2)))
+BOX = ("x", "y", "right", "bottom")
 
 
-def panel_class(words: DataFrame) -> DataFrame:
-    """front, back or side of each label by words, keyword regions and letter heights."""
-    g = words.groupBy("label_id").agg(F.count("*").alias("n"), F.max("h").alias("tall"), F.count_if(region(F.col("word")).isin("NUTRITION", "INGREDIENTS", "CARE")).alias("info"), F.count_if(region(F.col("word")).isin("PRICE", "DATES")).alias("stamp"))
-    front = F.when(F.col("n") < 40, 2).otherwise(0) + F.when(F.col("tall") > 24, 2).otherwise(0) - F.col("info")
-    back, side = F.col("info") * 2 + F.when(F.col("n") >= 40, 1).otherwise(0), F.col("stamp")
-    return g.select("label_id", "n", F.when((front >= back) & (front >= side), "front").when(back >= side, "back").otherwise("side").alias("panel"))
-
-
-def small_text(words: DataFrame, least: int) -> DataFrame:
-    return words.groupBy("label_id").agg(F.count("*").alias("words"), F.count_if(F.col("h") < least).alias("small"))
-
-
-def letter_heights(words: DataFrame, dpi: int = 300, least_mm: float = 1.5) -> DataFrame:
-    """Mean letter height of each region in millimetres and points, against a minimum."""
-    g = words.withColumn("region", region(F.col("word"))).filter("region IS NOT NULL").groupBy("label_id", "region").agg(F.avg("h").alias("px"))
-    mm = F.round(F.col("px") * 25.4 / dpi, 2)
-    return g.select("label_id", "region", mm.alias("mm"), F.round(F.col("px") * 72 / dpi, 1).alias("pt"), (mm >= least_mm).alias("ok"))
-
-
-def heat_map(checks: DataFrame) -> DataFrame:
-    """Density of evidence per screening: 1 for failures, .85 for reviews, .6 for passes, in a tier."""
-    p = F.when(F.col("status") == "FAIL", 100).when(F.col("status").isin("WARNING", "NEEDS_REVIEW", "INSUFFICIENT_EVIDENCE"), 85).when(F.col("status") == "PASS", 60).otherwise(30)
-    g = checks.groupBy("screening_id").agg(F.count("*").alias("points"), F.sum(p).alias("heat"))
-    return g.withColumn("tier", F.when(F.col("heat") >= 400, "HIGH").when(F.col("heat") >= 150, "MEDIUM").otherwise("LOW"))
+def stripped(c: Column) -> Column:
+    """Lower case without anything but letters, digits and underscores of any script."""
+    return F.regexp_replace(F.lower(c), r"(?U)[^\w]", "")
 
 
-MANDATORY = ("PRICE", "QUANTITY", "LICENCE", "DATES", "CARE", "INGREDIENTS", "NUTRITION")
+def _same(a: Column, b: Column) -> Column:
+    """Whether a stripped word matches a stripped target."""
+    stem = (
+        ((b == "mrp") & a.startswith("mrp"))
+        | (b.isin("mfg", "mfd") & (a.startswith("mfg") | a.startswith("mfd")))
+        | (b.isin("exp", "expiry") & a.startswith("exp"))
+        | (b.startswith("ingredient") & (a.startswith("ingred") | a.startswith("inored")))
+        | ((b == "usp") & (a.startswith("usp") | a.contains("saleprice")))
+    )
+    na, nb = F.length(a), F.length(b)
+    part = (na > 3) & (nb > 3) & F.when(a.contains(b), nb >= 0.5 * na).otherwise(b.contains(a) & (na >= 0.7 * nb))
+    return (a != "") & (b != "") & ((a == b) | stem | part)
 
 
-def placement(regions: DataFrame, labels: DataFrame) -> DataFrame:
-    """Each mandatory region of each label: PASS, WARNING if it stands below the lower limit of the panel, or FAIL if missing."""
-    every = labels.select("label_id", F.explode(F.array(*map(F.lit, MANDATORY))).alias("region"))
-    j = every.join(regions, ["label_id", "region"], "left")
-    return j.select("label_id", "region", F.when(F.col("y").isNull(), "FAIL").when(F.col("y") > 400, "WARNING").otherwise("PASS").alias("status"))
+def token_matches(word: Column, target: Column) -> Column:
+    """Equal after stripping, or by a stem; up to three characters only so; else one holds the other with enough of its length."""
+    return _same(stripped(word), stripped(target))
 
 
-def checklist(placements: DataFrame) -> DataFrame:
-    """Present and missing regions of each label."""
-    miss = F.col("status") == "FAIL"
-    return placements.groupBy("label_id").agg(F.count_if(~miss).alias("present"), F.count_if(miss).alias("missing"), F.array_join(F.array_sort(F.collect_list(F.when(miss, F.col("region")))), ",").alias("missing_list"))
+def union_box() -> list[Column]:
+    """Aggregates for the box around words or boxes x, y, w, h."""
+    return [F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("right"), F.max(F.col("y") + F.col("h")).alias("bottom")]
 
 
-def designer_corrections(placements: DataFrame, heights: DataFrame) -> DataFrame:
-    """What a designer has to correct: missing regions, badly placed ones, letters too small; missing ones aren't named twice."""
-    missing = placements.filter("status = 'FAIL'").select("label_id", "region", F.lit("MISSING_DECLARATION").alias("kind"), F.lit("CRITICAL").alias("severity"), F.lit(True).alias("blocking"))
-    placed = placements.filter("status = 'WARNING'").select("label_id", "region", F.lit("PLACEMENT").alias("kind"), F.lit("MEDIUM").alias("severity"), F.lit(False).alias("blocking"))
-    font = heights.filter("NOT ok").select("label_id", "region", F.lit("FONT_SIZE").alias("kind"), F.lit("HIGH").alias("severity"), F.lit(False).alias("blocking"))
-    return missing.unionByName(placed).unionByName(font.join(missing.select("label_id", "region"), ["label_id", "region"], "left_anti"))
+def provenance(values: DataFrame, words: DataFrame) -> DataFrame:
+    """Per label and field the words that show its value, and the box around them. values: label_id, field, value."""
+    tokens = values.select("label_id", "field", F.explode(F.array_distinct(F.transform(F.split("value", r"\s+"), stripped))).alias("token")).filter("token <> ''")
+    own = words.withColumn("s", stripped(F.col("word")))
+    j = own.join(tokens, (own["label_id"] == tokens["label_id"]) & _same(F.col("s"), F.col("token"))).select(own["*"], "field", "token")
+    first = j.groupBy("label_id", "field", "token").agg(F.min_by(F.struct("x", "y", "w", "h"), F.struct("line", "pos")).alias("b"))
+    return first.select("label_id", "field", "b.*").groupBy("label_id", "field").agg(F.count("*").alias("n"), *union_box())
+
+
+#: Words after a start that a sequence may reach.
+REACH = 15
+
+
+def sequences(words: DataFrame, phrases: DataFrame, gap: int = 2) -> DataFrame:
+    """The first place of each label where words match a phrase's targets in order.
+
+    phrases: key columns and targets (array of words); with label_id, for that label only, else for all.
+    The next word may stand on the same or the next line, 1.8 heights below and 3.5
+    heights further at most; ``gap`` words may be skipped; two matches are enough.
+    Gives the phrases' columns, label_id, line, pos, n_words, box and the least confidence.
+    """
+    keys = [c for c in phrases.columns if c not in ("label_id", "targets")]
+    t = phrases.withColumn("t", F.filter(F.transform("targets", stripped), lambda x: x != "")).drop("targets").filter("size(t) > 0")
+    w = W.partitionBy("label_id").orderBy("line", "pos")
+    word = F.struct(stripped(F.col("word")).alias("s"), "x", "y", "w", "h", "confidence")
+    near = words.select("label_id", "line", "pos", word.alias("at")).withColumn("near", F.collect_list("at").over(w.rowsBetween(1, REACH)))
+    hit = _same(F.col("at.s"), F.get("t", F.lit(0)))
+    if "label_id" in phrases.columns:
+        starts = near.join(t.withColumnRenamed("label_id", "__label"), (F.col("label_id") == F.col("__label")) & hit).drop("__label")
+    else:
+        starts = near.join(small(t), hit)
+    at = F.col("at")
+    begin = F.struct(
+        F.lit(1).alias("n"), F.lit(0).alias("off"), F.lit(True).alias("live"), (at["x"] + at["w"]).alias("px"), (at["y"] + at["h"] / 2).alias("py"), at["h"].alias("ph"),
+        at["x"].alias("x"), at["y"].alias("y"), (at["x"] + at["w"]).alias("right"), (at["y"] + at["h"]).alias("bottom"), at["confidence"].alias("confidence"),
+    )
+
+    def step(s: Column, v: Column) -> Column:
+        tall, off = F.greatest(s["ph"], F.lit(10)), s["off"] + 1
+        go = s["live"] & (s["n"] < F.size("t"))
+        close = (F.abs(v["y"] + v["h"] / 2 - s["py"]) <= 1.8 * tall) & (v["x"] - s["px"] <= 3.5 * tall)
+        take = go & close & _same(v["s"], F.get("t", s["n"]))
+        live = s["live"] & (take | ~go | (close & (s["n"] + gap > off)))
+        pick = lambda name, new: F.when(take, new).otherwise(s[name]).alias(name)
+        return F.struct(
+            pick("n", s["n"] + 1), off.alias("off"), live.alias("live"), pick("px", v["x"] + v["w"]), pick("py", v["y"] + v["h"] / 2), pick("ph", v["h"]),
+            pick("x", F.least(s["x"], v["x"])), pick("y", F.least(s["y"], v["y"])), pick("right", F.greatest(s["right"], v["x"] + v["w"])), pick("bottom", F.greatest(s["bottom"], v["y"] + v["h"])), pick("confidence", F.least(s["confidence"], v["confidence"])),
+        )
+
+    found = starts.withColumn("m", F.aggregate("near", begin, step)).filter(F.col("m.n") >= F.least(F.size("t"), F.lit(2)))
+    row = F.struct("line", "pos", F.col("m.n").alias("n_words"), *(F.col(f"m.{c}").alias(c) for c in BOX), F.col("m.confidence").alias("confidence"))
+    return found.groupBy("label_id", *keys).agg(F.min_by(row, F.struct("line", "pos")).alias("b")).select("label_id", *keys, "b.*")
+
+
+def _around(words: DataFrame, anchors: DataFrame, inside: Column) -> DataFrame:
+    """Words of each label's first word that matches an anchor (a.*) for which ``inside`` holds."""
+    keys = [c for c in anchors.columns if c not in ("label_id", "target")]
+    own, t = words.withColumn("s", stripped(F.col("word"))), anchors.withColumn("target", stripped(F.col("target")))
+    hit = _same(F.col("s"), F.col("target"))
+    if "label_id" in anchors.columns:
+        hits = own.join(t.withColumnRenamed("label_id", "__label"), (F.col("label_id") == F.col("__label")) & hit)
+    else:
+        hits = own.join(small(t), hit)
+    first = hits.groupBy("label_id", *keys).agg(F.min_by(F.struct("line", "pos", "x", "y", "w", F.greatest("h", F.lit(10)).alias("tall"), "h"), F.struct("line", "pos")).alias("a"))
+    return words.join(first, "label_id").filter(inside)
+
+
+def _gathered(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), "x", "pos", "word"))), lambda v: v["word"]), " ")
+    return rows.groupBy("label_id", *keys).agg(F.min("a.line").alias("line"), F.min("a.pos").alias("pos"), F.count("*").alias("n_words"), *union_box(), F.min("confidence").alias("confidence"), text.alias("text"))
+
+
+def same_line(words: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Words of each anchor's line, within 0.6 of its height, left to right. anchors: key columns and target, with label_id for that label only."""
+    keys = [c for c in anchors.columns if c not in ("label_id", "target")]
+    middle = lambda y, h: F.col(y) + F.col(h) / 2
+    return _gathered(_around(words, anchors, F.abs(middle("y", "h") - middle("a.y", "a.h")) <= 0.6 * F.col("a.tall")), keys, F.lit(0))
+
+
+def cluster(words: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Words around and below each anchor. anchors: key columns, target, below (lines) and width (pixels)."""
+    keys = [c for c in anchors.columns if c not in ("label_id", "target")]
+    tall = F.col("a.tall")
+    inside = (
+        (F.col("y") >= F.col("a.y") - 0.5 * tall)
+        & (F.col("y") + F.col("h") <= F.col("a.y") + F.col("a.h") + tall * (F.col("below") + 1.2))
+        & (F.col("x") >= F.greatest(F.lit(0), F.col("a.x") - 50))
+        & (F.col("x") + F.col("w") <= F.col("a.x") + F.col("width"))
+    )
+    return _gathered(_around(words, anchors, inside), keys, F.floor(F.col("y") / (0.8 * tall)))
+
+
+#: Where each rule's evidence is looked for after the declared value, in order: rule, kind, words, lines below, width.
+ANCHORS = (
+    ("LM-001", "SEQUENCE", "manufactured by", 0, 0), ("LM-001", "SEQUENCE", "mfg by", 0, 0), ("LM-001", "SEQUENCE", "marketed by", 0, 0), ("LM-001", "SEQUENCE", "mktd by", 0, 0),
+    ("LM-001", "SEQUENCE", "packed by", 0, 0), ("LM-001", "SEQUENCE", "imported by", 0, 0), ("LM-001", "CLUSTER", "manufactured", 2, 400), ("LM-001", "CLUSTER", "marketed", 2, 400), ("LM-001", "CLUSTER", "mfg", 2, 400),
+    ("LM-003", "SEQUENCE", "net weight", 0, 0), ("LM-003", "SEQUENCE", "net quantity", 0, 0), ("LM-003", "SEQUENCE", "net qty", 0, 0), ("LM-003", "SEQUENCE", "net wt", 0, 0), ("LM-003", "SEQUENCE", "net content", 0, 0), ("LM-003", "SEQUENCE", "net mass", 0, 0),
+    ("LM-004", "SEQUENCE", "mrp incl taxes", 0, 0), ("LM-004", "SEQUENCE", "maximum retail price", 0, 0), ("LM-004", "LINE", "mrp", 0, 0),
+    ("LM-005", "SEQUENCE", "consumer care", 0, 0), ("LM-005", "SEQUENCE", "customer care", 0, 0), ("LM-005", "SEQUENCE", "for feedback", 0, 0), ("LM-005", "LINE", "forfeedback", 0, 0), ("LM-005", "LINE", "feedback", 0, 0),
+    ("LM-006", "SEQUENCE", "made in india", 0, 0), ("LM-006", "SEQUENCE", "country of origin", 0, 0), ("LM-006", "SEQUENCE", "product of india", 0, 0), ("LM-006", "LINE", "madeinindia", 0, 0),
+    ("LM-007", "SEQUENCE", "unit sale price", 0, 0), ("LM-007", "SEQUENCE", "unit saleprice", 0, 0), ("LM-007", "SEQUENCE", "unit price", 0, 0), ("LM-007", "LINE", "saleprice", 0, 0), ("LM-007", "LINE", "unitsaleprice", 0, 0),
+    ("FS-001", "SEQUENCE", "fssai lic", 0, 0), ("FS-001", "SEQUENCE", "fssai license", 0, 0), ("FS-001", "LINE", "fssai", 0, 0), ("FS-001", "LINE", "licno", 0, 0),
+    ("FS-003", "SEQUENCE", "list of ingredients", 0, 0), ("FS-003", "SEQUENCE", "ingredients list", 0, 0), ("FS-003", "CLUSTER", "ingredients", 4, 500), ("FS-003", "CLUSTER", "inoredients", 4, 500), ("FS-003", "CLUSTER", "samagri", 4, 500), ("FS-003", "CLUSTER", "oats", 3, 500), ("FS-003", "LINE", "ingredient", 0, 0),
+    ("FS-004", "CLUSTER", "nutritional", 4, 400), ("FS-004", "LINE", "nutrition", 0, 0), ("FS-004", "LINE", "perserve", 0, 0), ("FS-004", "LINE", "per100g", 0, 0),
+    ("FS-005", "SEQUENCE", "best before 12 months", 0, 0), ("FS-005", "SEQUENCE", "months from manufacture", 0, 0), ("FS-005", "SEQUENCE", "best before", 0, 0), ("FS-005", "SEQUENCE", "use by", 0, 0), ("FS-005", "SEQUENCE", "date of manufacture", 0, 0), ("FS-005", "LINE", "bestbefore", 0, 0), ("FS-005", "LINE", "before", 0, 0), ("FS-005", "LINE", "manufacture", 0, 0),
+)
+#: Words of a line that is no quantity or contact, and of a line that is a price.
+TABLE_LINE = ("energy", "protein", "carbohydrate", "carbohydrates", "fat", "fats", "sugar", "sugars", "cholesterol", "sodium", "serving", "per 100g", "per serve", "approximate", "rda", "kcal", "trans fat", "saturated fat", "dietary fiber")
+PRICE_LINE = ("mrp", "rs", "₹", "inr", "taxes", "incl", "price")
+
+
+def anchors(spark) -> DataFrame:
+    """rule_id, ord (from 100 on), kind, phrase, below, width."""
+    return spark.createDataFrame([(r, 100 + i, *rest) for i, (r, *rest) in enumerate(ANCHORS)], "rule_id string, ord int, kind string, phrase string, below int, width int")
+
+
+def value_anchors(d: DataFrame) -> DataFrame:
+    """What the declared values of each label are looked for by: label_id, rule_id, ord, kind, targets. d: declarations."""
+    tokens = lambda c, least: F.filter(F.transform(F.split(F.col(c), r"\s+"), lambda x: F.regexp_replace(x, r"^[.,:\- ]+|[.,:\- ]+$", "")), lambda x: F.length(x) >= least)
+    number, unit = F.regexp_extract("net_quantity", r"(\d+(?:\.\d+)?)", 1), F.regexp_extract("net_quantity", r"\d+(?:\.\d+)?\s*([a-zA-Z]+)", 1)
+    one = lambda c: F.when(c.isNotNull() & (c != ""), F.array(c))
+    a = lambda rule, at, kind, targets: F.struct(F.lit(rule).alias("rule_id"), F.lit(at).alias("ord"), F.lit(kind).alias("kind"), targets.alias("targets"))
+    phone, email = F.col("consumer_care_phone"), F.col("consumer_care_email")
+    digits = F.regexp_replace(phone, r"\D", "")
+    date = F.regexp_replace("best_before", r"[^\d/.\-]", "")
+    rows = F.array(
+        a("LM-001", 0, "SEQUENCE", F.slice(tokens("manufacturer", 3), 1, 4)),
+        a("LM-002", 0, "SEQUENCE", tokens("product_name", 3)), a("LM-002", 1, "SEQUENCE", one(F.col("brand"))),
+        a("FS-002", 0, "SEQUENCE", tokens("product_name", 3)), a("FS-002", 1, "SEQUENCE", one(F.col("brand"))),
+        a("LM-003", 200, "SEQUENCE", F.when(unit != "", F.array(number, unit))), a("LM-003", 201, "LINE", F.when(unit != "", F.array(F.concat(number, unit)))), a("LM-003", 202, "LINE", one(number)),
+        a("LM-004", 0, "LINE", one(F.regexp_extract("mrp", r"(\d+)", 1))),
+        a("LM-005", 0, "LINE", one(phone)), a("LM-005", 1, "LINE", F.when(F.length(digits) >= 6, F.array(F.right(digits, F.lit(6))))),
+        a("LM-005", 2, "LINE", one(email)), a("LM-005", 3, "LINE", one(F.substring_index(email, "@", 1))),
+        a("FS-001", 0, "LINE", one(F.col("fssai_license"))),
+        a("FS-005", 0, "LINE", F.when(F.length(date) >= 5, F.array(date))),
+    )
+    return d.select("label_id", F.explode(rows).alias("a")).select("label_id", "a.*").filter("size(targets) > 0")
+
+
+def evidence_choice(words: DataFrame, values: DataFrame, checks: DataFrame) -> DataFrame:
+    """The evidence of each check: the first way that finds words for its rule, or a default without a box.
+
+    values: value_anchors; checks: label_id, rule_id, status. Gives method, evidence status,
+    place, box, least confidence, quality, reliability and its tier.
+    """
+    fixed = anchors(words.sparkSession)
+    place = ("label_id", "rule_id", "ord", "line", "pos", "n_words", *BOX, "confidence")
+    phrase = fixed.withColumn("targets", F.split("phrase", " "))
+    runs = sequences(words, phrase.filter("kind = 'SEQUENCE'").select("rule_id", "ord", "targets")).unionByName(sequences(words, values.filter("kind = 'SEQUENCE'").select("label_id", "rule_id", "ord", "targets")))
+    lines = same_line(words, fixed.filter("kind = 'LINE'").select("rule_id", "ord", F.col("phrase").alias("target"))).unionByName(same_line(words, values.filter("kind = 'LINE'").select("label_id", "rule_id", "ord", F.get("targets", F.lit(0)).alias("target"))))
+    near = cluster(words, fixed.filter("kind = 'CLUSTER'").select("rule_id", "ord", F.col("phrase").alias("target"), "below", "width"))
+    has = lambda some: F.exists(F.array(*map(F.lit, some)), lambda k: F.lower(F.coalesce("text", F.lit(""))).contains(k))
+    wrong = (F.col("rule_id").isin("LM-003", "LM-005") & has(TABLE_LINE)) | ((F.col("rule_id") == "LM-004") & (F.col("ord") == 0) & ~has(PRICE_LINE))
+    found = runs.select(*place).unionByName(lines.filter(~wrong).select(*place)).unionByName(near.select(*place))
+    best = found.groupBy("label_id", "rule_id").agg(F.min_by(F.struct(*place[2:]), "ord").alias("b"))
+    j = checks.select("label_id", "rule_id", "status").join(best, ["label_id", "rule_id"], "left")
+    rule, status, n, at = F.col("rule_id"), F.col("status"), F.col("b.n_words"), F.col("b.ord")
+    several = F.when(n > 1, "MULTI_TOKEN_OCR").otherwise("DIRECT_OCR")
+    context = ((rule == "LM-004") & (at >= 100)) | ((rule == "LM-005") & (at >= 100)) | ((rule == "LM-007") & (status != "PASS"))
+    none = F.col("b").isNull() | (rule == "LM-009") | ((rule == "LM-008") & (status == "NOT_APPLICABLE"))
+    method = (
+        F.when(rule == "LM-009", "NONE")
+        .when(none, F.when(status == "NEEDS_REVIEW", "SEMANTIC_PANEL").when(status == "PASS", "TOKEN_SEQUENCE").otherwise("NONE"))
+        .when(context, "CONTEXTUAL_OCR")
+        .when(rule.isin("FS-003", "FS-004"), "MULTI_TOKEN_OCR")
+        .when(rule == "LM-003", F.when(n <= 2, "DIRECT_OCR").otherwise("MULTI_TOKEN_OCR"))
+        .when(rule.isin("LM-001", "LM-002", "FS-002", "FS-005"), several)
+        .otherwise("DIRECT_OCR")
+    )
+    default = F.when(status.isin("NOT_APPLICABLE", "NEEDS_REVIEW"), status).when(status == "PASS", "VERIFIED").otherwise("UNAVAILABLE")
+    large = (F.col("b.bottom") - F.col("b.y") > 350) & ~rule.isin("FS-003", "FS-004")
+    state = (
+        F.when(rule == "LM-009", "VERIFIED")
+        .when(none, default)
+        .when(large, "NEEDS_REVIEW")
+        .when(context, "CONTEXTUAL")
+        .when(rule.isin("LM-001", "LM-002", "FS-002"), F.when(status == "PASS", "VERIFIED").otherwise("NEEDS_REVIEW"))
+        .when((rule == "FS-005") & (status == "NEEDS_REVIEW"), "NEEDS_REVIEW")
+        .otherwise("VERIFIED")
+    )
+    out = j.select("label_id", "rule_id", "status", method.alias("method"), state.alias("evidence_status"), *(F.when(~none, F.col(f"b.{c}")).alias(c) for c in place[3:-1]), F.when(none, 0.0).otherwise(F.round(F.col("b.confidence").cast("double"), 1)).alias("confidence"))
+    score, tier = C.reliability(F.col("method"), F.col("confidence"), F.col("evidence_status"))
+    return out.select("*", C.quality_score(F.col("method"), F.col("confidence"), F.col("evidence_status")).alias("quality"), score.alias("reliability"), tier.alias("tier"))
+
+
+#: Keywords of semantic regions; the first of a region that a run of one to four words holds counts.
+REGION_WORDS = {
+    "mrp": ("mrp", "maximum retail price", "max retail price", "incl of all taxes", "incl all taxes", "rs.", "rs ", "₹", "अधिकतम खुदरा मूल्य", "कमाल किरकोळ किंमत", "সর্বোচ্চ খুচরা মূল্য", "મહત્તમ છૂટક કિંમત", "ਵੱਧ ਤੋਂ ਵੱਧ ਪ੍ਰਚੂਨ ਕੀਮਤ", "அதிகபட்ச சில்லறை விலை", "గరిష్ట రిటైల్ ధర", "ಗರಿಷ್ಠ ಚಿಲ್ಲರೆ ಬೆಲೆ", "പരമാവധി ചില്ലറ വിൽപ്പന വില"),
+    "net_quantity": ("net qty", "net quantity", "net wt", "net weight", "net content", "net vol", "शुद्ध मात्रा", "निव्वळ प्रमाण", "নিট পরিমাণ", "ચોખ્ખો જથ્થો", "ਸ਼ੁੱਧ ਮਾਤਰਾ", "நிகர அளவு", "నికర పరిమాణం", "ನಿವ್ವಳ ಪ್ರಮಾಣ", "ശുദ്ധമായ അളവ്", "unit sale price", "usp"),
+    "date_stamp": ("mfg date", "date of mfg", "pkd date", "date of pkd", "manufacture date", "packing date", "best before", "expiry date", "use by", "exp date", "batch no", "lot no", "निर्माण की तारीख", "उत्पादन दिनांक", "প্যাকিংয়ের তারিখ", "તારીખ", "ਮਿਤੀ", "தேதி", "తేదీ", "ದಿನಾಂಕ", "തീയതി"),
+    "manufacturer": ("manufactured by", "mfg by", "packed by", "pkd by", "marketed by", "mkt by", "imported by", "registered office", "regd off", "regd office", "corporate office", "निर्माता", "उत्पादक", "প্রস্তুতকারক", "ઉત્પાદક", "ਨਿਰਮਾਤਾ", "உற்பத்தியாளர்", "తయారీదారు", "ತಯಾರಕರು", "നിർമ്മാതാവ്"),
+    "consumer_care": ("consumer care", "customer care", "helpline", "toll free", "feedback", "complaints", "reach us at", "call us", "email us", "care@", "उपभोक्ता देखभाल", "ग्राहक सेवा", "গ্রাহক পরিষেবা", "ગ્રાહક સેવા", "ਗਾਹਕ ਸੇਵਾ", "வாடிக்கையாளர் சேவை", "వినియోగదారుల సంరక్షణ", "ಗ್ರಾಹಕರ ಕಾಳಜಿ", "ഉപഭോക്തൃ സംരക്ഷണം"),
+    "ingredients": ("ingredients", "ingredient", "composition", "contains", "made from", "सामग्री", "घटक", "উপাদান", "ઘટકો", "ਸਮੱਗਰੀ", "பொருட்கள்", "పదార్థాలు", "ಪದಾರ್ಥಗಳು", "ചേരുവകൾ"),
+    "allergen": ("allergen", "allergy advice", "contains wheat", "contains milk", "contains nuts", "contains soy", "contains gluten", "may contain", "एलर्जी", "অ্যালার্জি", "એલર્જી", "ਐਲਰਜੀ", "ஒவ்வாமை", "అలెర్జీ", "ಅಲರ್ಜಿ", "അലർജി"),
+}
+
+
+def _cleaned(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(c), r"[:;,.\-_()#]", ""))
+
+
+def region_words(spark) -> DataFrame:
+    rows = [(r, i, k) for r, words in REGION_WORDS.items() for i, k in enumerate(words)]
+    return spark.createDataFrame(rows, "region string, ord int, keyword string").withColumn("clean", _cleaned(F.col("keyword")))
+
+
+def layout(words: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Box, number of keywords and confidence of each semantic region of each label. sizes: label_id, width, height.
+
+    A run of one to four words that holds a keyword of the region marks these words
+    and the four after them that stand within 60 pixels; the box is padded by 10 and 8.
+    """
+    w = W.partitionBy("label_id").orderBy("line", "pos")
+    near = F.collect_list(F.struct("word", "x", "y", "w", "h")).over(w.rowsBetween(0, 7))
+    k = region_words(words.sparkSession)
+    runs = words.select("label_id", "line", "pos", near.alias("near")).select("*", F.explode(F.sequence(F.lit(1), F.least(F.size("near"), F.lit(4)))).alias("n"))
+    text = lambda f: F.array_join(F.transform(F.slice("near", 1, F.col("n")), f), " ")
+    runs = runs.select("*", text(lambda v: _cleaned(v["word"])).alias("c"), F.lower(text(lambda v: v["word"])).alias("r"))
+    hits = runs.join(small(k), ((F.col("clean") != "") & F.col("c").contains(F.col("clean"))) | F.col("r").contains(F.col("keyword")))
+    first = hits.groupBy("label_id", "line", "pos", "n", "region").agg(F.min_by(F.struct("keyword", "near"), "ord").alias("b"))
+    own = F.slice(F.col("b.near"), 1, F.col("n"))
+    after = F.filter(F.slice(F.col("b.near"), F.col("n") + 1, 4), lambda v: F.abs(v["y"] - F.get("b.near", F.lit(0))["y"]) < 60)
+    boxes = first.select("label_id", "region", "b.keyword", F.concat(own, after).alias("boxes"))
+    low = lambda f: F.array_min(F.transform("boxes", f))
+    high = lambda f: F.array_max(F.transform("boxes", f))
+    g = boxes.groupBy("label_id", "region").agg(
+        F.min(low(lambda v: v["x"])).alias("x"), F.min(low(lambda v: v["y"])).alias("y"), F.max(high(lambda v: v["x"] + v["w"])).alias("right"), F.max(high(lambda v: v["y"] + v["h"])).alias("bottom"), F.count_distinct("keyword").alias("keywords")
+    )
+    j = g.join(sizes, "label_id")
+    box = C.padded(C.clipped(tuple(F.col(c) for c in BOX), F.col("width"), F.col("height")), 10, 8, F.col("width"), F.col("height"))
+    score = F.round(F.least(F.lit(0.95), 0.70 + 0.08 * F.col("keywords")), 2)
+    return j.select("label_id", "region", *(b.alias(n) for n, b in zip(BOX, box, strict=True)), "keywords", score.alias("confidence"))
+
+
+#: Keywords that tell a front panel and an information panel.
+FRONT = ("classic", "original", "premium", "rich", "flavour", "flavor", "delicious", "tasty", "fresh", "special", "instant", "healthy", "natural", "crunchy")
+BACK = ("ingredients", "nutrition", "nutritional", "manufactured by", "packed by", "marketed by", "consumer care", "customer care", "helpline", "batch no", "net quantity", "mfg date", "exp date", "lic no", "fssai", "storage instructions")
+
+
+def panel_class(panels: DataFrame, words: DataFrame) -> DataFrame:
+    """front_candidate, back_candidate, side_candidate or unknown of each panel, with its confidence.
+
+    panels: label_id, text, width, height, has_nutrition_table, has_barcode.
+    """
+    n = words.groupBy("label_id").agg(F.count("*").alias("n"), F.max("h").alias("tall"), F.avg("h").alias("mean"))
+    j = panels.join(n, "label_id", "left").na.fill(0, ["n"])
+    low, aspect = F.lower(F.coalesce("text", F.lit(""))), F.col("width") / F.greatest(F.col("height"), F.lit(1.0))
+    hits = lambda some: sum((F.when(low.contains(k), 1).otherwise(0) for k in some), F.lit(0))
+    part = lambda cond, v: F.when(cond, F.lit(v)).otherwise(F.lit(0.0))
+    j = j.withColumns({"back_hits": hits(BACK), "front_hits": hits(FRONT), "narrow": (aspect < 0.45) | (aspect > 2.3), "barcode_narrow": F.col("has_barcode") & ((aspect < 0.6) | (aspect > 1.8))})
+    back, front, count = F.col("back_hits"), F.col("front_hits"), F.col("n")
+    large = (F.col("tall") > F.col("mean") * 2.5) & (F.col("tall") > F.col("height") * 0.08)
+    scores = {
+        "front": part(~F.col("narrow"), 0.10) + part((count < 15) & (count > 0), 0.35) + part((front >= 1) & (back <= 1), 0.30) + part(F.coalesce(large, F.lit(False)), 0.25),
+        "back": part(~F.col("narrow"), 0.10) + part(count > 35, 0.40) + F.when(back >= 3, 0.45).when(back >= 1, 0.20).otherwise(0.0) + part(F.col("has_nutrition_table"), 0.35),
+        "side": part(F.col("narrow"), 0.35) + part(F.col("barcode_narrow"), 0.30),
+    }
+    s = j.select("label_id", "n", *(v.alias(k) for k, v in scores.items()))
+    best = F.greatest("front", "back", "side")
+    name = F.when(best < 0.25, "unknown").when(F.col("front") == best, "front_candidate").when(F.col("back") == best, "back_candidate").otherwise("side_candidate")
+    sure = F.round(F.least(F.lit(0.96), F.greatest(F.lit(0.40), best / (F.col("front") + F.col("back") + F.col("side") + 1e-4) * 0.85 + 0.15)), 2)
+    return s.select("label_id", "n", name.alias("panel"), F.when(best < 0.25, 0.35).otherwise(sure).alias("confidence"))
+
+
+def small_text(words: DataFrame, least: float = 12.0) -> DataFrame:
+    """Words of each label, and those lower than ``least`` pixels."""
+    return words.groupBy("label_id").agg(F.count("*").alias("words"), F.count_if(F.abs("h") < least).alias("small"))
+
+
+def heat_points(checks: DataFrame, words: DataFrame) -> DataFrame:
+    """A point for the middle of each evidence box and each word, by image: weight 1 for failures, .85 for reviews, .6 for others, .3 for words.
+
+    checks: label_id, image, rule_id, field, status and box x, y, right, bottom; empty boxes give none. words: label_id, image and box.
+    """
+    middle = [((F.col("x") + F.col("right")) / 2).cast("int").alias("px"), ((F.col("y") + F.col("bottom")) / 2).cast("int").alias("py")]
+    weight = F.when(F.col("status").isin("FAIL", "WARNING"), 1.0).when(F.col("status") == "NEEDS_REVIEW", 0.85).otherwise(0.6)
+    own = checks.filter("x < right AND y < bottom").select("label_id", "image", *middle, weight.alias("weight"), "field", "rule_id")
+    return own.unionByName(words.select("label_id", "image", *middle, F.lit(0.3).alias("weight"), F.lit("ambient_ocr").alias("field"), F.lit(None).cast("string").alias("rule_id")))
+
+
+def heat_map(points: DataFrame) -> DataFrame:
+    """Points, those of evidence, summed weight and density tier of each image."""
+    g = points.groupBy("label_id", "image").agg(F.count("*").alias("points"), F.count("rule_id").alias("evidence_points"), F.round(F.sum(F.col("weight").cast("decimal(10,2)")), 2).cast("double").alias("heat"))
+    return g.withColumn("tier", F.when(F.col("points") > 40, "HIGH").when(F.col("points") > 15, "MODERATE").otherwise("LOW"))
+
+
+#: Classes of an artwork's words, the first with a keyword inside the word wins; the last one needs the upper third of the page.
+ARTWORK = (
+    ("MRP_STAMP", ("mrp", "rs.", "rs", "₹", "incl", "taxes", "tax")),
+    ("NET_QTY_AREA", ("net", "quantity", "qty", "weight", "volume", "200g", "250g", "500g", "1kg", "100g", "100ml", "500ml")),
+    ("NUTRITION_PANEL", ("nutrition", "nutritional", "energy", "protein", "carbohydrate", "fat", "sugar", "sodium")),
+    ("MANUFACTURER_BLOCK", ("manufactured", "mfg", "packed", "marketed", "packer", "importer", "factory", "unit", "plot", "bangalore", "mumbai", "delhi")),
+    ("CONSUMER_CARE", ("consumer", "care", "customer", "feedback", "helpline", "email", "@", "toll", "1800-", "1800")),
+    ("BRAND_HEADER", ("britannia", "parle", "amul", "cadbury", "nestle", "good", "day", "cookies", "biscuits", "butter", "chips", "tea", "atta", "wheat")),
+)
+
+
+def _holds(word: Column, some: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for k in some:
+        out = out | word.contains(k)
+    return out
 
 
-def readiness(corrections: DataFrame, labels: DataFrame) -> DataFrame:
-    """NON_COMPLIANT with more than two missing, NEEDS_CORRECTION with any missing or blocking, else PRINT_READY."""
-    g = corrections.groupBy("label_id").agg(F.count_if(F.col("kind") == "MISSING_DECLARATION").alias("missing"), F.count_if("blocking").alias("blocking"))
-    j = labels.select("label_id").join(g, "label_id", "left").na.fill(0)
-    return j.select("label_id", F.when(F.col("missing") > 2, "NON_COMPLIANT").when((F.col("missing") > 0) | (F.col("blocking") > 0), "NEEDS_CORRECTION").otherwise("PRINT_READY").alias("readiness"))
+def artwork_regions(words: DataFrame, pages: DataFrame) -> DataFrame:
+    """Union box of each class of an artwork's words, as shares of the page to four places. pages: label_id, width, height."""
+    j = words.join(pages, "label_id")
+    low, kind = F.lower("word"), None
+    for name, some in ARTWORK:
+        hit = _holds(low, some) & ((F.col("y") + F.col("h") / 2) / F.greatest(F.col("height"), F.lit(1)) < 0.35 if name == "BRAND_HEADER" else F.lit(True))
+        kind = F.when(hit, name) if kind is None else kind.when(hit, name)
+    g = j.withColumn("region", kind).filter("region IS NOT NULL").groupBy("label_id", "region", "width", "height").agg(F.count("*").alias("n_words"), *union_box())
+    share = C.normalised_box(tuple(F.col(c) for c in BOX), F.col("width"), F.col("height"))
+    return g.select("label_id", "region", "n_words", *BOX, *(s.alias(f"share_{c}") for c, s in zip(BOX, share, strict=True)))
+
+
+#: Fields of an artwork with a least letter height: keywords inside their words, and millimetres.
+HEIGHTS = (
+    ("net_quantity", ("net", "qty", "quantity", "200g", "250g", "500g", "100g", "1kg"), 2.0),
+    ("mrp", ("mrp", "rs.", "rs", "₹", "incl"), 1.5),
+    ("manufacturing_date", ("mfg", "date", "packed", "pkd"), 1.0),
+    ("manufacturer", ("manufactured", "mfg by", "by:", "ltd"), 1.0),
+)
+
+
+def letter_heights(words: DataFrame, dpi: float = 72.0) -> DataFrame:
+    """Mean letter height of each field's words in millimetres and points, against the field's minimum; 72 dots an inch at least."""
+    rows = F.array_compact(F.array(*(F.when(_holds(F.lower("word"), some), F.struct(F.lit(f).alias("field"), F.lit(mm).alias("least_mm"))) for f, some, mm in HEIGHTS)))
+    g = words.select("label_id", "h", F.inline(rows)).groupBy("label_id", "field", "least_mm").agg(F.avg("h").alias("px"))
+    mm = F.round(F.col("px") / max(dpi, 72.0) * 25.4, 2)
+    out = g.select("label_id", "field", "least_mm", mm.alias("mm"))
+    return out.select("label_id", "field", "least_mm", "mm", F.round(F.col("mm") / 0.352778, 1).alias("pt"), (F.col("mm") >= F.col("least_mm")).alias("ok"))
+
+
+#: Fields whose place is checked: region, and words that show the field where the region is missing.
+PLACED = (("mrp", "MRP_STAMP", ("mrp",)), ("net_quantity", "NET_QTY_AREA", ("net", "qty")))
+
+
+def placement(regions: DataFrame, words: DataFrame, labels: DataFrame) -> DataFrame:
+    """Whether price and quantity stand in a zone of their own: PASS, or REVIEW where neither region nor word is seen. regions: artwork_regions."""
+    names = [r for _, r, _ in PLACED]
+    got = regions.filter(F.col("region").isin(*names)).groupBy("label_id").agg(*(F.max(F.when(F.col("region") == r, F.col("share_y"))).alias(f"at_{f}") for f, r, _ in PLACED))
+    seen = words.groupBy("label_id").agg(*(F.bool_or(_holds(F.lower("word"), some)).alias(f"seen_{f}") for f, _, some in PLACED))
+    j = labels.select("label_id").join(got, "label_id", "left").join(seen, "label_id", "left")
+    rows = F.array(*(F.struct(F.lit(f).alias("field"), F.when(F.col(f"at_{f}").isNotNull() | F.coalesce(f"seen_{f}", F.lit(False)), "PASS").otherwise("REVIEW").alias("status"), F.col(f"at_{f}").alias("zone_y")) for f, _, _ in PLACED))
+    return j.select("label_id", F.inline(rows))
+
+
+#: The twelve declarations that an artwork must have, and the columns of declarations that show each.
+CHECKLIST = (
+    ("manufacturer", ("manufacturer",)), ("product_name", ("product_name",)), ("net_quantity", ("net_quantity",)), ("mrp", ("mrp",)), ("manufacturing_date", ("manufacturing_date",)), ("expiry_date", ("best_before",)),
+    ("country_of_origin", ("country_of_origin",)), ("consumer_care", ("consumer_care_phone", "consumer_care_email")), ("fssai_license", ("fssai_license",)), ("ingredients", ("ingredients",)), ("nutritional_info", ("nutrition_facts",)), ("batch_number", ("batch_number",)),
+)
+
+
+def checklist(d: DataFrame) -> DataFrame:
+    """Present and missing declarations of each label, the missing ones in order. d: declarations."""
+    has = lambda cols: F.coalesce(*map(F.col, cols)).isNotNull()
+    missing = F.array_compact(F.array(*(F.when(~has(cols), F.lit(f)) for f, cols in CHECKLIST)))
+    return d.select("label_id", missing.alias("missing_list")).select("label_id", (len(CHECKLIST) - F.size("missing_list")).alias("present"), F.size("missing_list").alias("missing"), "missing_list")
+
+
+def designer_corrections(listed: DataFrame, checks: DataFrame, placements: DataFrame, heights: DataFrame) -> DataFrame:
+    """What a designer has to correct: missing declarations and other failed checks, which block printing, then places and letter heights.
+
+    listed: checklist; checks: label_id, field, status; placements: placement; heights: letter_heights.
+    """
+    row = lambda df, kind, severity, blocking: df.select("label_id", "field", F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), F.lit(blocking).alias("blocking"))
+    missing = row(listed.select("label_id", F.explode("missing_list").alias("field")), "MISSING_DECLARATION", "CRITICAL", True)
+    failed = row(checks.filter("status = 'FAIL'"), "FAILED_CHECK", "CRITICAL", True).join(missing.select("label_id", "field"), ["label_id", "field"], "left_anti")
+    return missing.unionByName(failed).unionByName(row(placements.filter("status <> 'PASS'"), "PLACEMENT", "MAJOR", False)).unionByName(row(heights.filter("NOT ok"), "FONT_SIZE", "MAJOR", False))
+
+
+def readiness(corrections: DataFrame, listed: DataFrame, checks: DataFrame) -> DataFrame:
+    """NON_COMPLIANT with any failed check or more than two missing, NEEDS_REVIEW with any missing or blocking, else COMPLIANT; the workflow status; whether it may be printed."""
+    g = corrections.groupBy("label_id").agg(F.count_if("blocking").alias("blocking"))
+    f = checks.groupBy("label_id").agg(F.bool_or(F.col("status") == "FAIL").alias("fails"))
+    j = listed.select("label_id", "missing").join(g, "label_id", "left").join(f, "label_id", "left").na.fill(0, ["blocking"])
+    state = F.when(F.coalesce("fails", F.lit(False)) | (F.col("missing") > 2), "NON_COMPLIANT").when((F.col("missing") > 0) | (F.col("blocking") > 0), "NEEDS_REVIEW").otherwise("COMPLIANT")
+    j = j.select("label_id", "missing", "blocking", state.alias("readiness"))
+    workflow = F.when(F.col("readiness") == "NON_COMPLIANT", "ACTION_REQUIRED").when(F.col("readiness") == "NEEDS_REVIEW", "CHANGES_REQUESTED").otherwise("DRAFT")
+    return j.select("*", workflow.alias("workflow_status"), (F.col("readiness") == "COMPLIANT").alias("ready"))

@@ -146,13 +146,18 @@ def conflicts(found: DataFrame) -> DataFrame:
 
 def spread(labels: DataFrame) -> DataFrame:
     """Labels dealt by their id. Windows, groups and joins by label keep this partitioning, so nothing is dealt again."""
-    return labels.repartition(int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions")), "label_id")
+    return labels.repartition("label_id")
 
 
 def declarations(labels: DataFrame) -> DataFrame:
     """One row per label: text, a column for each field's best value, and map confidences."""
     labels = spread(labels)
-    top = best(candidates(labels))
+    return declared(labels, candidates(labels))
+
+
+def declared(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """As declarations, from candidates that are there already."""
+    top = best(found)
     extra = ("packer", "marketed_by", "importer", "relative_shelf_life", "allergens", "unit_sale_price", "barcode")
     wide = top.groupBy("label_id").agg(
         *(F.first(F.when(F.col("field") == f, F.col("value")), ignorenulls=True).alias(f) for f in (*FIELDS, *extra)),

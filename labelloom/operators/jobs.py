@@ -61,9 +61,9 @@ def seal_report(screenings: DataFrame) -> DataFrame:
 
 
 def evidence_quality(evidence: DataFrame) -> DataFrame:
-    """Evidence of each rule by quality tier. evidence: rule_id, method, confidence, status."""
-    s = C.quality_score(F.col("method"), F.col("confidence"), F.col("status"))
-    return evidence.withColumn("s", s).groupBy("rule_id", C.quality_tier(F.col("s")).alias("tier")).agg(F.count("*").alias("n"), F.sum(F.round(F.col("s") * 10).cast("long")).alias("tenths"))
+    """Evidence of each rule by reliability tier. evidence: rule_id, method, confidence, evidence_status."""
+    score, tier = C.reliability(F.col("method"), F.col("confidence"), F.col("evidence_status"))
+    return evidence.select("rule_id", score.alias("s"), tier.alias("tier")).groupBy("rule_id", "tier").agg(F.count("*").alias("n"), F.sum(F.round(F.col("s") * 10).cast("long")).alias("tenths"))
 
 
 def box_overlap(words: DataFrame) -> DataFrame:
@@ -105,8 +105,9 @@ def listing_text(listings: DataFrame) -> DataFrame:
 
 
 def combine_panels(panels: DataFrame) -> DataFrame:
-    """Texts of a package's panels in order, with headers where there are several. panels: label_id, panel, text, c (summed confidence), n (words)."""
-    rows = F.array_sort(F.collect_list(F.struct("panel", "text")))
+    """Texts and warnings of a package's panels in order, with headers where there are several. panels: label_id, panel, text, c (summed confidence), n (words), warning."""
+    rows = F.array_sort(F.collect_list(F.struct("panel", "text", "warning")))
     g = panels.groupBy("label_id").agg(rows.alias("r"), F.count("*").alias("panels"), F.round(F.sum("c") / F.sum("n"), 1).alias("mean_confidence"), F.sum("n").alias("n_words"))
-    text = F.array_join(F.transform("r", lambda x: F.when(F.col("panels") > 1, F.concat(F.lit("--- Panel "), x["panel"].cast("string"), F.lit(" ---\n"), x["text"])).otherwise(x["text"])), "\n")
-    return g.select("label_id", "panels", "mean_confidence", "n_words", text.alias("text"))
+    headed = lambda x: F.concat(F.lit("--- Panel "), x["panel"].cast("string"), F.lit(" ---\n"), x["text"])
+    text = F.array_join(F.transform("r", lambda x: F.when(F.col("panels") > 1, headed(x)).otherwise(x["text"])), "\n")
+    return g.select("label_id", "panels", "mean_confidence", "n_words", text.alias("text"), F.array_join(F.array_compact(F.transform("r", lambda x: x["warning"])), "; ").alias("warnings"))

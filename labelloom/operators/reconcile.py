@@ -71,24 +71,40 @@ MOST_SHARED = 100
 SALTS = 16
 
 
+#: What counts as an issue that a version can fix, what a pass can fall to, and what an issue is for resolution.
+FIXABLE = ("FAIL", "WARNING", "NEEDS_REVIEW", "INSUFFICIENT_EVIDENCE")
+DECLINE = ("FAIL", "WARNING", "NEEDS_REVIEW")
+ISSUE = ("FAIL", "WARNING")
+
+
 def rule_diff(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Outcome of each rule in version A and B; a missing side is NOT_APPLICABLE."""
+    """Outcome of each rule in version A and B and how it changed; a missing side is NOT_APPLICABLE (has_a, has_b tell)."""
     left = pairs.join(a.select(F.col("screening_id").alias("version_a"), "rule_id", F.col("status").alias("status_a")), "version_a").select("version_a", "version_b", "rule_id", "status_a")
     right = pairs.join(b.select(F.col("screening_id").alias("version_b"), "rule_id", F.col("status").alias("status_b")), "version_b").select("version_a", "version_b", "rule_id", "status_b")
-    j = left.join(right, ["version_a", "version_b", "rule_id"], "full_outer").na.fill("NOT_APPLICABLE", ["status_a", "status_b"])
+    j = left.join(right, ["version_a", "version_b", "rule_id"], "full_outer").withColumns({"has_a": F.col("status_a").isNotNull(), "has_b": F.col("status_b").isNotNull()})
+    j = j.na.fill("NOT_APPLICABLE", ["status_a", "status_b"])
     x, y = F.col("status_a"), F.col("status_b")
-    change = F.when(x == y, "UNCHANGED").when((x == "FAIL") & (y == "PASS"), "FIXED").when((x == "PASS") & (y == "FAIL"), "REGRESSED").when(x == "NOT_APPLICABLE", "NEWLY_EVALUATED").otherwise("MODIFIED")
+    change = (
+        F.when(x == y, "UNCHANGED")
+        .when(x.isin(*FIXABLE) & (y == "PASS"), "FIXED")
+        .when((x == "PASS") & y.isin(*DECLINE), "REGRESSED")
+        .when((x == "NOT_APPLICABLE") & (y != "NOT_APPLICABLE"), "NEWLY_EVALUATED")
+        .otherwise("MODIFIED")
+    )
     return j.withColumn("change", change)
 
 
-ISSUE = ("FAIL", "WARNING", "NEEDS_REVIEW", "INSUFFICIENT_EVIDENCE")
-
-
 def issue_resolution(diff: DataFrame) -> DataFrame:
-    """What became of A's issues, and B's new ones (A absent or passed). diff: rows of rule_diff."""
+    """What became of A's failures and warnings, and B's new ones (A absent or passed). diff: rows of rule_diff.
+
+    A rule can be resolved for A's issue and can't be a new issue at once, so a rule gives one row at most.
+    """
     x, y = F.col("status_a"), F.col("status_b")
     state = (
-        F.when(x.isin(*ISSUE) & (y == "PASS"), "RESOLVED").when((x == "FAIL") & (y == "FAIL"), "STILL_PRESENT").when(x.isin(*ISSUE) & y.isin(*ISSUE), "UNRESOLVED_REVIEW").when(x.isin(*ISSUE), "RESOLVED").when(y.isin(*ISSUE), "NEW_ISSUE")
+        F.when(x.isin(*ISSUE) & (y == "PASS"), "RESOLVED")
+        .when(x.isin(*ISSUE) & y.isin(*ISSUE), "STILL_PRESENT")
+        .when(x.isin(*ISSUE) & (y == "NEEDS_REVIEW"), "UNRESOLVED_REVIEW")
+        .when(y.isin(*ISSUE) & (~F.col("has_a") | (x == "PASS")), "NEW_ISSUE")
     )
     return diff.withColumn("resolution", state).filter("resolution IS NOT NULL").select("version_a", "version_b", "rule_id", "resolution")
 
@@ -125,17 +141,23 @@ def nutrient_diff(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     return j.withColumn("delta", F.round(F.col("amount_b") - F.col("amount_a"), 2))
 
 
-def version_summary(pairs: DataFrame, resolutions: DataFrame, risks: DataFrame) -> DataFrame:
-    """Score change, risk shift, resolved, remaining and new issues, verdict. risks: screening_id, risk_level."""
-    n = resolutions.groupBy("version_a", "version_b").agg(*(F.count_if(F.col("resolution").isin(*v)).alias(k) for k, v in {"resolved": ("RESOLVED",), "remaining": ("STILL_PRESENT", "UNRESOLVED_REVIEW"), "new_issues": ("NEW_ISSUE",)}.items()))
-    w = F.coalesce(*(F.when(F.col("risk_level") == k, v) for k, v in WEIGHT.items()), F.lit(2))
-    r = risks.select("screening_id", w.alias("w"))
-    j = pairs.join(n, ["version_a", "version_b"], "left").na.fill(0, ["resolved", "remaining", "new_issues"])
-    j = j.join(r.toDF("version_a", "wa"), "version_a", "left").join(r.toDF("version_b", "wb"), "version_b", "left").na.fill(2, ["wa", "wb"])
-    shift = F.when(F.col("wb") < F.col("wa"), "IMPROVED").when(F.col("wb") > F.col("wa"), "WORSENED").otherwise("UNCHANGED")
-    delta = F.round(F.col("score_b") - F.col("score_a"), 1)
-    verdict = F.when((delta > 0) & (F.col("new_issues") == 0), "IMPROVED").when((delta < 0) | (F.col("new_issues") > F.col("resolved")), "REGRESSED").otherwise("NEUTRAL")
-    return j.select("version_a", "version_b", delta.alias("score_delta"), shift.alias("risk_shift"), "resolved", "remaining", "new_issues", verdict.alias("verdict"))
+def version_summary(pairs: DataFrame, resolutions: DataFrame, risks: DataFrame, checks: DataFrame) -> DataFrame:
+    """Score change, risk shift, resolved, remaining and new issues, critical failures and missing declarations of both sides, verdict.
+
+    pairs: version_a, version_b, score_a, score_b; risks: screening_id, risk_level; checks: screening_id, status, severity, required, detected.
+    """
+    states = {"resolved": "RESOLVED", "remaining": "STILL_PRESENT", "new_issues": "NEW_ISSUE"}
+    n = resolutions.groupBy("version_a", "version_b").agg(*(F.count_if(F.col("resolution") == v).alias(k) for k, v in states.items()))
+    w = F.coalesce(*(F.when(F.upper("risk_level") == k, v) for k, v in WEIGHT.items()), F.lit(2))
+    per = checks.groupBy("screening_id").agg(F.count_if((F.col("status") == "FAIL") & (F.col("severity") == "critical")).alias("critical"), F.count_if(~F.col("detected") & F.col("required")).alias("missing"))
+    own = risks.select("screening_id", w.alias("w")).join(per, "screening_id", "full_outer")
+    side = lambda s: own.toDF(f"version_{s}", f"w{s}", f"critical_{s}", f"missing_{s}")
+    j = pairs.join(n, ["version_a", "version_b"], "left").join(side("a"), "version_a", "left").join(side("b"), "version_b", "left")
+    j = j.na.fill(0, [*states, "critical_a", "critical_b", "missing_a", "missing_b"]).na.fill(2, ["wa", "wb"])
+    shift = F.when(F.col("wb") < F.col("wa"), "IMPROVED").when(F.col("wb") > F.col("wa"), "DEGRADED").otherwise("UNCHANGED")
+    delta = F.round(F.round("score_b", 1) - F.round("score_a", 1), 1)
+    verdict = F.when((delta > 0) & (F.col("resolved") > 0), "IMPROVED").when(delta < 0, "REGRESSED").otherwise("CONSISTENT")
+    return j.select("version_a", "version_b", delta.alias("score_delta"), shift.alias("risk_shift"), *states, "critical_a", "critical_b", "missing_a", "missing_b", verdict.alias("verdict"))
 
 
 def package_vs_listing(package: DataFrame, listing: DataFrame) -> DataFrame:
@@ -175,42 +197,85 @@ def lookup(keys: DataFrame, providers: list[DataFrame], key: str, valid: Column)
     return out.select(*keys.columns, source.otherwise("NOT_FOUND").alias("source"), F.coalesce(*(F.col(f"__r{i}") for i in range(len(providers)))).alias("record"))
 
 
+def _plain(c: Column) -> Column:
+    """Lower-case text with single spaces and without punctuation at its ends."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9\s]", " "), r"\s+", " "))
+
+
+def _shared(a: Column, b: Column) -> Column:
+    """Share of a's words that b has."""
+    return F.size(F.array_intersect(F.split(a, " "), F.split(b, " "))) / F.greatest(F.lit(1), F.size(F.array_distinct(F.split(a, " "))))
+
+
 def compared(j: DataFrame, keys: tuple[str, ...], fields: dict[str, tuple[str, str, str]], ratio: float = 0.65) -> DataFrame:
-    """Field-wise comparison of label and registry: MATCH, MISMATCH, NOT_FOUND, NOT_VERIFIED.
+    """Field-wise comparison of label and registry: MATCH, MISMATCH, NOT_FOUND, NOT_VERIFIED, NOT_COMPARABLE.
 
-    fields: name to (label column, registry column, kind), kind is text, price, quantity or digits.
+    fields: name to (label column, registry column, kind). text: equal, one in the other,
+    half of the label's words, or a sequence ratio; brand: equal or one in the other; maker:
+    as text without corporate words and without the ratio; quantity: number, and unit where
+    both have one; digits; price: within 0.05. Where a side is missing, digits and price
+    look for the label's value first, the others for the registry's.
     """
     rows = []
     for f, (a, b, kind) in fields.items():
-        x, y = F.col(a), F.col(b)
+        x, y = F.nullif(F.trim(F.col(a)), F.lit("")), F.nullif(F.trim(F.col(b)), F.lit(""))
         if kind == "price":
-            ok = F.abs(C.price(x).cast("double") - C.price(y).cast("double")) <= 0.05
-        elif kind == "quantity":
-            qx, qy = C.quantity_base(x), C.quantity_base(y)
-            ok = (qx[1] == qy[1]) & (qx[0] == qy[0])
+            px, py = C.price(x).cast("double"), C.price(y).cast("double")
+            found = F.when(y.isNull(), "NOT_COMPARABLE").when(x.isNull(), "NOT_FOUND").when(px.isNull() | py.isNull(), "NOT_COMPARABLE")
+            ok = F.abs(px - py) < 0.05
         elif kind == "digits":
+            found = F.when(x.isNull(), "NOT_FOUND").when(y.isNull(), "NOT_VERIFIED")
             ok = C.licence_digits(x) == C.licence_digits(y)
         else:
-            kx, ky = C.entity_name(x), C.entity_name(y)
-            shared = F.size(F.array_intersect(F.split(kx, " "), F.split(ky, " "))) / F.greatest(F.lit(1), F.size(F.split(ky, " ")))
-            plain = (kx == ky) | kx.contains(ky) | ky.contains(kx) | (shared >= 0.5)
-            ok = F.when(plain, True).otherwise(sequence_ratio(kx, ky) >= ratio)
-        rows.append(F.struct(F.lit(f).alias("field"), F.when(y.isNull(), "NOT_VERIFIED").when(x.isNull(), "NOT_FOUND").when(F.coalesce(ok, F.lit(False)), "MATCH").otherwise("MISMATCH").alias("result")))
+            found = F.when(y.isNull(), "NOT_FOUND").when(x.isNull(), "NOT_VERIFIED")
+            name = C.entity_name if kind == "maker" else _plain
+            kx, ky = name(x), name(y)
+            inside = (kx == ky) | kx.contains(ky) | ky.contains(kx)
+            if kind == "quantity":
+                (qx, ux), (qy, uy) = C.quantity(x), C.quantity(y)
+                ok = F.when(qx.isNotNull() & qy.isNotNull(), (qx == qy) & F.coalesce(ux == uy, F.lit(True))).otherwise(kx == ky)
+            elif kind == "brand":
+                ok = inside
+            elif kind == "maker":
+                ok = inside | (_shared(kx, ky) >= 0.5)
+            else:
+                ok = F.when(inside | (_shared(kx, ky) >= 0.5), True).otherwise(sequence_ratio(kx, ky) >= ratio)
+        rows.append(F.struct(F.lit(f).alias("field"), found.when(F.coalesce(ok, F.lit(False)), "MATCH").otherwise("MISMATCH").alias("result")))
     return j.select(*keys, F.inline(F.array(*rows)))
 
 
-def consistency(results: DataFrame, key: str) -> DataFrame:
-    """Counts of results per key, overall by precedence, and a verification confidence with tier.
+def consistency(results: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Counts of results per key, overall by precedence, a verification confidence with tier, and the pipeline's verdict.
 
-    results: key, field, result; format_ok and registry_hit as columns of the rows.
+    results: key, field, result (MATCH, PARTIAL, MISMATCH; others aren't evaluable), critical.
+    known: key, licence_status and code_status: VERIFIED, NOT_FOUND, UNAVAILABLE, INVALID_FORMAT, NOT_APPLICABLE or null without a record.
     """
     n = lambda v: F.count_if(F.col("result") == v).alias(v.lower())
-    g = results.groupBy(key).agg(n("MATCH"), n("PARTIAL"), n("MISMATCH"), F.bool_or("format_ok").alias("format_ok"), F.bool_or("registry_hit").alias("registry_hit"))
+    g = results.groupBy(key).agg(n("MATCH"), n("PARTIAL"), n("MISMATCH"), F.count_if("critical").alias("critical"))
+    j = known.join(g, key, "left").na.fill(0, ["match", "partial", "mismatch", "critical"])
+    formed = lambda c: F.coalesce(~F.col(c).isin("INVALID_FORMAT", "NOT_APPLICABLE"), F.lit(False))
+    hit = lambda c, v: F.coalesce(F.col(c) == v, F.lit(False))
+    part = lambda cond, v: F.when(cond, v).otherwise(0)
     seen = F.col("match") + F.col("partial") + F.col("mismatch")
+    # Whole hundredths and thousandths, so that nothing depends on how halves are rounded in binary.
+    hundredths = F.coalesce(F.floor(F.try_divide(200 * F.col("match") + 100 * F.col("partial") + seen, 2 * seen)), F.lit(0))
+    raw = part(formed("licence_status"), 150) + part(formed("code_status"), 150) + part(hit("licence_status", "VERIFIED"), 200) + part(hit("code_status", "VERIFIED"), 150) + F.floor((35 * hundredths + 5) / 10)
+    left = F.greatest(F.lit(0), raw - 350 * F.col("critical"))
+    score = F.least(F.lit(100), F.floor((left + 5) / 10)) / 100
+    agreement = hundredths / 100
     overall = F.when(F.col("mismatch") > 0, "MISMATCH").when(F.col("partial") > 0, "PARTIAL").when(F.col("match") > 0, "MATCH").otherwise("UNVERIFIED")
-    raw = F.when(F.col("format_ok"), 0.30).otherwise(0.0) + F.when(F.col("registry_hit"), 0.35).otherwise(0.0) + 0.35 * F.coalesce(F.try_divide(F.col("match") + 0.5 * F.col("partial"), seen), F.lit(0.0)) - 0.35 * F.col("mismatch")
-    score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), 2)
-    return g.select(key, "match", "partial", "mismatch", overall.alias("overall"), score.alias("confidence"), F.when(score >= 0.75, "HIGH").when(score >= 0.45, "MEDIUM").when(score > 0, "LOW").otherwise("NONE").alias("tier"))
+    tier = F.when(F.col("confidence") >= 0.75, "HIGH").when(F.col("confidence") >= 0.45, "MEDIUM").when(F.col("confidence") > 0, "LOW").otherwise("ZERO")
+    down = hit("licence_status", "UNAVAILABLE") & hit("code_status", "UNAVAILABLE")
+    absent = hit("licence_status", "NOT_FOUND") | hit("code_status", "NOT_FOUND")
+    verdict = (
+        F.when(F.col("mismatch") > 0, "REVIEW_REQUIRED")
+        .when(F.col("match") > 0, "MATCH")
+        .when(down, "EXTERNAL_VERIFICATION_UNAVAILABLE")
+        .when(absent, "EXTERNAL_DATA_NOT_FOUND")
+        .otherwise("NOT_VERIFIED")
+    )
+    out = j.select("*", overall.alias("overall"), score.alias("confidence"), agreement.alias("agreement"), verdict.alias("verdict"))
+    return out.select(key, "match", "partial", "mismatch", "critical", "agreement", "overall", "confidence", tier.alias("tier"), "verdict")
 
 
 def barcode_verdict(codes: DataFrame, registry: DataFrame) -> DataFrame:
@@ -230,16 +295,38 @@ def master_record(payloads: DataFrame, columns: dict[str, tuple[str, ...]]) -> D
 
 
 def identity_conflicts(label: DataFrame, licences: DataFrame, codes: DataFrame) -> DataFrame:
-    """Status of each label's identity against registries by licence and code, with what conflicts.
+    """What conflicts between a label, its QR payload and two registries, and the status that follows.
 
-    label: label_id, manufacturer, product_name, fssai_license, barcode; licences: fssai_license, r_maker; codes: barcode, r_name.
+    label: label_id, manufacturer, brand, net_quantity, country_of_origin, fssai_license, barcode, qr_licence, qr_weight,
+    code_country (null where the code's prefix tells none). licences: fssai_license, licence_status, business_name;
+    codes: barcode, code_status, brand_name, net_content: what a lookup gave, VERIFIED or NOT_FOUND; others are unavailable.
     """
     j = label.join(licences, "fssai_license", "left").join(codes, "barcode", "left")
-    differ = lambda a, b: F.col(b).isNotNull() & (F.size(F.array_intersect(F.split(C.entity_name(F.col(a)), " "), F.split(C.entity_name(F.col(b)), " "))) == 0)
-    found = F.array_compact(F.array(F.when(differ("manufacturer", "r_maker"), F.lit("maker")), F.when(differ("product_name", "r_name"), F.lit("product"))))
-    none = F.col("r_maker").isNull() & F.col("r_name").isNull()
-    asked = F.col("fssai_license").isNotNull() | F.col("barcode").isNotNull()
-    status = F.when(F.size(found) > 0, "CONFLICT_DETECTED").when(~asked, "NOT_CHECKED").when(none, "REGISTRY_NOT_FOUND").otherwise("PASS")
+    close = lambda c: F.regexp_replace(F.lower(c), r"\s+", "")
+    letters = lambda c: F.regexp_replace(F.lower(c), r"[^a-z0-9]", "")
+    digits = lambda c: F.nullif(F.regexp_extract(close(c), r"(\d+)", 1), F.lit(""))
+    long_words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"(\w{4,})"), F.lit(1))
+    apart = lambda a, b: ~F.lower(a).contains(F.lower(b)) & ~F.lower(b).contains(F.lower(a))
+    known = F.coalesce((F.col("code_status") == "VERIFIED") & F.coalesce("brand_name", "net_content").isNotNull(), F.lit(False))
+    licensed = F.coalesce((F.col("licence_status") == "VERIFIED") & F.col("business_name").isNotNull(), F.lit(False))
+    maker, firm = F.col("manufacturer"), F.col("business_name")
+    kinds = {
+        "licence": F.col("fssai_license") != F.col("qr_licence"),
+        "quantity_code": close("net_quantity") != close("qr_weight"),
+        "quantity": known & (digits("net_quantity") != digits("net_content")),
+        "brand": known & apart(F.col("brand"), F.col("brand_name")),
+        "maker": licensed & (F.length(maker) > 4) & apart(letters(maker), letters(firm)) & (F.size(F.array_intersect(long_words(maker), long_words(firm))) == 0),
+        "origin": F.col("barcode").isNotNull() & apart(F.col("country_of_origin"), F.col("code_country")),
+    }
+    found = F.array_compact(F.array(*(F.when(F.coalesce(v, F.lit(False)), F.lit(k)) for k, v in kinds.items())))
+    absent = F.coalesce(F.col("licence_status") == "NOT_FOUND", F.lit(False)) | F.coalesce(F.col("code_status") == "NOT_FOUND", F.lit(False))
+    status = (
+        F.when(F.size(found) > 0, "CONFLICT_DETECTED")
+        .when(known | licensed, "PASS")
+        .when(absent, "REGISTRY_NOT_FOUND")
+        .when(F.col("fssai_license").isNull() & F.col("barcode").isNull(), "NOT_CHECKED")
+        .otherwise("REGISTRY_UNAVAILABLE")
+    )
     return j.select("label_id", F.array_join(found, ",").alias("conflicts"), status.alias("status"))
 
 
@@ -297,9 +384,16 @@ def resolve_snapshots(ids: DataFrame, screenings: DataFrame, artworks: DataFrame
 
 
 def approval_gate(decisions: DataFrame, readiness: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Accepted decisions with their workflow status, and refused ones: NON_COMPLIANT artwork can't be approved."""
-    j = decisions.join(readiness, "artwork_id")
-    refused = (F.col("decision") == "APPROVED") & (F.col("readiness") == "NON_COMPLIANT")
-    workflow = F.when(F.col("decision") == "APPROVED", "APPROVED_FOR_PRINT").when(F.col("decision") == "REJECTED", "CORRECTIONS_REQUIRED").otherwise("IN_REVIEW")
-    ok = j.filter(~refused).select("artwork_id", "decision", "readiness", workflow.alias("workflow_status"), (F.col("readiness") == "NEEDS_CORRECTION").alias("needs_acknowledgement"))
-    return ok, j.filter(refused).select("artwork_id", "decision", "readiness")
+    """Accepted decisions with their workflow and approval status, and refused ones with the reason.
+
+    decisions: artwork_id, decision (APPROVED, REJECTED, or anything else for changes), acknowledged. Nothing is decided
+    without the acknowledgement, and NON_COMPLIANT artwork can't be approved; artwork that was never analysed can.
+    """
+    j = decisions.join(readiness.select("artwork_id", "readiness"), "artwork_id", "left")
+    no_ack = ~F.coalesce("acknowledged", F.lit(False))
+    refused = F.when(no_ack, "NOT_ACKNOWLEDGED").when((F.col("decision") == "APPROVED") & (F.col("readiness") == "NON_COMPLIANT"), "NON_COMPLIANT")
+    workflow = F.when(F.col("decision") == "APPROVED", "READY_FOR_PRINT").when(F.col("decision") == "REJECTED", "REJECTED").otherwise("CHANGES_REQUESTED")
+    approval = F.when(F.col("decision").isin("APPROVED", "REJECTED"), F.col("decision")).otherwise("CHANGES_REQUESTED")
+    j = j.withColumn("refused", refused)
+    ok = j.filter("refused IS NULL").select("artwork_id", "decision", "readiness", workflow.alias("workflow_status"), approval.alias("approval_status"))
+    return ok, j.filter("refused IS NOT NULL").select("artwork_id", "decision", "readiness", "refused")

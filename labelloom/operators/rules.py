@@ -213,10 +213,10 @@ def evaluate(d: DataFrame, only: tuple[str, ...] | None = None, applicable_only:
     for name, rule in RULES.items():
         if only is None or name in only:
             _, field, label, domain, severity = known.get(name, (name, name.lower(), name, "OTHER", "medium"))
-            rows.append(F.struct(F.lit(name).alias("rule_id"), F.lit(field).alias("field"), F.lit(label).alias("field_label"), F.lit(domain).alias("domain"), F.lit(severity).alias("severity"), rule().alias("r")))
-    out = c.select("label_id", F.create_map(*(x for k in ("category", "is_food", "is_imported", "is_single") for x in (F.lit(k), F.col(k).cast("string")))).alias("trace"), "is_food", "is_export", F.explode(F.array(*rows)).alias("c"))
+            rows.append(F.struct(F.lit(name).alias("rule_id"), F.lit(field).alias("field"), F.lit(label).alias("field_label"), F.lit(domain).alias("domain"), F.lit(severity).alias("severity"), rule().alias("r"), ((F.lit(domain != "FSSAI") | F.col("is_food")) & ~F.col("is_export")).alias("applies")))
+    out = c.select("label_id", F.create_map(*(x for k in ("category", "is_food", "is_imported", "is_single") for x in (F.lit(k), F.col(k).cast("string")))).alias("trace"), F.explode(F.array(*rows)).alias("c"))
     if applicable_only:
-        out = out.filter(((F.col("c.domain") != "FSSAI") | F.col("is_food")) & ~F.col("is_export"))
+        out = out.filter("c.applies")
     s = F.col("c.r.status")
     return out.select("label_id", "c.rule_id", "c.field", "c.field_label", "c.domain", "c.severity", s.alias("status"), F.col("c.r.reason").alias("reason"), F.col("c.r.value").alias("value"), (s != "NOT_APPLICABLE").alias("required"), F.col("c.r.value").isNotNull().alias("detected"), "trace")
 
@@ -232,11 +232,17 @@ def rule_conflicts(d: DataFrame, candidate_conflicts: DataFrame) -> DataFrame:
         F.when(usp > F.col("mrp").try_cast("double"), kind("PRICE_INCONSISTENCY", "LM-004", "LM-007")),
         F.when((origin != "india") & F.col("importer").isNull() & ~F.lower("text").rlike(r"\bimport"), kind("IMPORT_INCONSISTENCY", "LM-001", "LM-006")),
     ))).alias("k"))
-    rules = rules_df(d.sparkSession).select("rule_id", F.explode("evidence_fields").alias("field"))
-    mapped = candidate_conflicts.join(F.broadcast(rules), "field").groupBy("label_id", "field").agg(F.array_sort(F.collect_list("rule_id")).alias("rule_ids"))  # fourteen rules
+    mapped = conflict_rules(candidate_conflicts)
     return own.select("label_id", "k.conflict_type", "k.rule_ids").unionByName(mapped.select("label_id", F.concat(F.lit("CANDIDATE_CONFLICT:"), "field").alias("conflict_type"), "rule_ids"))
 
 
+def conflict_rules(candidate_conflicts: DataFrame) -> DataFrame:
+    """The rules whose evidence a conflicting field is, as a sorted array. candidate_conflicts: label_id, field."""
+    rules = rules_df(candidate_conflicts.sparkSession).select("rule_id", F.explode("evidence_fields").alias("field"))
+    found = candidate_conflicts.join(F.broadcast(rules), "field")  # fourteen rules
+    return found.groupBy("label_id", "field").agg(F.array_sort(F.collect_list("rule_id")).alias("rule_ids"))
+
+
 def font_heights(d: DataFrame, boxes: DataFrame, px_per_mm: float) -> DataFrame:
     """Least and seen letter heights of the quantity and the price. boxes: label_id, field, h in pixels."""
     grams, _ = C.quantity_base(F.col("net_quantity"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from labelloom.operators import claims as K
 from labelloom.operators.timeline import recommendations
 from labelloom.plans.facts import SQL as FACTS_SQL
-from labelloom.plans.joins import _claims
+from labelloom.plans.joins import CLAIMS, _claims
+from labelloom.plans.labels import CHECKS
 from labelloom.plans.registry import Registry
 from labelloom.sources import exports as X
 from labelloom.sources.shared import new_path
@@ -50,14 +51,15 @@ def k03(spark, d):
 SQL["k03_review_workflow"] = f"SELECT event_id, review_id, status, before, legal FROM ({FACTS_SQL['g12_review_transitions']}) g"
 
 
-@query("k04_screening", "SELECT label_id, 14 AS n FROM label_truth", ("label_truth",))
+@query("k04_screening", f"""WITH {CHECKS}, n AS (SELECT label_id, count(*) FILTER (WHERE r.status <> 'NOT_APPLICABLE') AS applicable, count(*) FILTER (WHERE r.status = 'PASS') AS passed, count(*) FILTER (WHERE r.status = 'FAIL') AS failed, count(*) FILTER (WHERE r.status = 'WARNING') AS warned FROM c GROUP BY 1)
+SELECT label_id, count(*) AS n, CAST(min(passed) AS BIGINT) AS passed, CAST(min(failed) AS BIGINT) AS failed FROM c JOIN n USING (label_id) GROUP BY 1""", ("label_truth",))
 def k04(spark, d):
     labels = frame(spark, d, "label_text")
     path = new_path(spark, "k04")
     labels.write.parquet(f"{path}/labels")
     stream = spark.readStream.schema(labels.schema).parquet(f"{path}/labels")
     out = J.replayed(stream, path, each=J.screening)
-    return out.groupBy("label_id").agg(F.count("*").cast("int").alias("n"))
+    return out.groupBy("label_id").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "PASS").alias("passed"), F.count_if(F.col("status") == "FAIL").alias("failed"))
 
 
 @query("k05_daily_trend", "SELECT CAST(ts AS DATE) AS day, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY 1")
@@ -77,24 +79,31 @@ def a01(spark, d):
     return s.select("id", "passed", "failed").join(n, "id", "left").na.fill(0, ["n"])
 
 
-@query("a07_write_findings", "SELECT label_id, 1 AS n FROM label_truth WHERE label_id % 9 IN (1, 2, 3, 4, 5, 6, 7)", ("label_truth",))
+@query("a07_write_findings", f"WITH {CLAIMS} SELECT label_id, claim, status, confidence, hits AS evidence FROM f", ("label_truth",))
 def a07(spark, d):
     path = new_path(spark, "a07")
     _claims(spark, d).write.parquet(f"{path}/assessments")
     findings, edges = K.split_findings(spark.read.parquet(f"{path}/assessments"))
     X.write_findings(findings, edges, path)
     again = lambda df: df.filter("label_id % 2 = 0")
-    X.write_findings(again(findings), again(edges), path)
-    return spark.read.parquet(f"{path}/findings").groupBy("label_id").agg(F.count("*").cast("int").alias("n"))
+    X.write_findings(again(findings), again(edges), path)  # replaces half of what is stored
+    e = spark.read.parquet(f"{path}/evidence").groupBy("label_id", "claim_id").agg(F.array_join(F.array_sort(F.collect_list("evidence_text")), ",").alias("evidence"))
+    return spark.read.parquet(f"{path}/findings").join(e, ["label_id", "claim_id"], "left").select("label_id", "claim", "status", "confidence", "evidence")
 
 
-@query("a08_a10_export_csv", "SELECT section, count(*) AS n FROM (SELECT 'summary' AS section FROM screenings UNION ALL SELECT 'summary' FROM screenings UNION ALL SELECT 'rules' FROM checks UNION ALL SELECT 'actions' FROM checks) GROUP BY 1", ("screenings", "checks"))
+@query("a08_a10_export_csv", """SELECT 'summary' AS section, CAST(id AS VARCHAR) AS id, '0' AS ordinal, 'product' AS name, product_name AS value FROM screenings UNION ALL SELECT 'summary', CAST(id AS VARCHAR), '1', 'score', CAST(score AS VARCHAR) FROM screenings
+UNION ALL SELECT 'rules', CAST(screening_id AS VARCHAR), rule_id, field_label, status FROM checks
+UNION ALL SELECT 'review', CAST(review_id AS VARCHAR), '0', officer, status FROM reviews
+UNION ALL SELECT 'claims', CAST(label_id AS VARCHAR), 'CLM-001', claim, coalesce(claim_rule, 'none') FROM label_truth WHERE claim IS NOT NULL""", ("screenings", "checks", "reviews", "label_truth"))
 def a08(spark, d):
     path = new_path(spark, "a08")
     checks = frame(spark, d, "checks")
-    actions = recommendations(checks)
-    X.export_csv(X.report_sections(frame(spark, d, "screenings"), checks, actions), path)
-    return spark.read.option("header", True).csv(path).groupBy("section").agg(F.count("*").alias("n"))
+    rules = K.claim_rules(spark)
+    text = frame(spark, d, "label_text")
+    claims = K.numbered(K.find_claims(text, rules).unionByName(K.open_claims(text, rules)))
+    sections = X.report_sections(frame(spark, d, "screenings"), checks, recommendations(checks), frame(spark, d, "reviews"), claims)
+    X.export_csv(sections, path)
+    return spark.read.option("header", True).csv(path).filter("section <> 'actions'").select("section", "id", "ordinal", "name", "value")
 
 
 @query("a09_a11_export_json", "SELECT version_a, version_b, score_a, score_b FROM pairs", ("pairs",))

@@ -34,7 +34,7 @@ _field("d03_price", "mrp", "price")
 _field("d05_phone", "consumer_care_phone", "phone")
 _field("d05_email", "consumer_care_email", "email")
 _field("d06_maker", "manufacturer", "maker")
-_field("d07_origin", "country_of_origin", "coalesce(origin, CASE WHEN label_id % 9 = 7 THEN 'India' END)")
+_field("d07_origin", "country_of_origin", "coalesce(origin, CASE WHEN label_id % 26 = 7 THEN 'India' END)")
 _field("d08_batch", "batch_number", "batch")
 _field("d09_made", "manufacturing_date", "made")
 _field("d09_best_before", "best_before", "best_before")
@@ -59,8 +59,8 @@ def d15(spark, d):
 
 
 @query("d16_field_status", """SELECT label_id, field, CASE WHEN v THEN 'FOUND' WHEN NOT is_food AND field IN ('fssai_license', 'ingredients', 'nutrition_facts', 'best_before') THEN 'NOT_APPLICABLE' ELSE 'NOT_FOUND' END AS status FROM (
-UNPIVOT (SELECT label_id, is_food, true AS product_name, true AS brand, price IS NOT NULL AS mrp, amount IS NOT NULL AS net_quantity, true AS manufacturer, licence IS NOT NULL AS fssai_license, true AS manufacturing_date,
- best_before IS NOT NULL AS best_before, true AS batch_number, true AS consumer_care_phone, true AS consumer_care_email, origin IS NOT NULL OR label_id % 9 = 7 AS country_of_origin, is_food AS ingredients, is_food AS nutrition_facts FROM label_truth)
+UNPIVOT (SELECT label_id, is_food, true AS product_name, true AS brand, price IS NOT NULL AS mrp, amount IS NOT NULL AS net_quantity, true AS manufacturer, licence IS NOT NULL AS fssai_license, made IS NOT NULL AS manufacturing_date,
+ best_before IS NOT NULL AS best_before, true AS batch_number, true AS consumer_care_phone, true AS consumer_care_email, origin IS NOT NULL OR label_id % 26 = 7 AS country_of_origin, is_food AS ingredients, is_food AS nutrition_facts FROM label_truth)
 ON product_name, brand, mrp, net_quantity, manufacturer, fssai_license, manufacturing_date, best_before, batch_number, consumer_care_phone, consumer_care_email, country_of_origin, ingredients, nutrition_facts INTO NAME field VALUE v)""", ("label_truth",))
 def d16(spark, d):
     c = R.context(_declared(spark, d))
@@ -74,9 +74,12 @@ def d17(spark, d):
     return E.merged(base, E.multilingual(_labels(spark, d), words)).filter("method = 'dictionary'").select("label_id", "field", "value")
 
 
-@query("d18_sections", "SELECT label_id, 'Mfg Date: ' || made || ' ' || CASE WHEN best_before IS NULL THEN 'Best before 12 months from manufacture' ELSE 'Best Before: ' || best_before END AS section FROM label_truth", ("label_truth",))
+@query("d18_sections", """SELECT label_id, 'dates' AS kind, 'Mfg Date: ' || made || CASE WHEN has_life THEN ' Best before 12 months from manufacture' WHEN best_before IS NOT NULL THEN ' Best Before: ' || best_before ELSE '' END AS section FROM label_truth WHERE made IS NOT NULL
+UNION ALL SELECT label_id, 'price', concat_ws(' ', CASE WHEN price IS NULL THEN 'MRP Rs.' ELSE 'MRP Rs. ' || CAST(price AS VARCHAR) || CASE WHEN label_id % 2 = 0 THEN ' incl. of all taxes' ELSE '' END END, 'Net Qty: ' || coalesce(CAST(amount AS VARCHAR) || ' ' || unit, 'several zz')) FROM label_truth
+UNION ALL SELECT label_id, 'price', 'MRP Rs. 9.50' FROM label_truth WHERE stamped""", ("label_truth",))
 def d18(spark, d):
-    return E.sections(_labels(spark, d), r"^Mfg Date", r"^Batch").select("label_id", "section")
+    kind = lambda df, k: df.select("label_id", F.lit(k).alias("kind"), "section")
+    return kind(E.sections(_labels(spark, d), r"^Mfg Date", r"^Batch"), "dates").unionByName(kind(E.sections(_labels(spark, d), r"^MRP", r"^Manufactured"), "price"))
 
 
 @query("d20_scripts", r"""WITH n AS (SELECT doc_id, length(regexp_replace(coalesce(text, ''), '[^A-Za-z\x{00C0}-\x{024F}]', '', 'g')) AS latin FROM documents)
@@ -85,50 +88,84 @@ def d20(spark, d):
     return E.scripts(frame(spark, d, "documents").select("doc_id", "text"), "doc_id").withColumn("mixed", F.col("mixed") & (F.col("letters") > 0))
 
 
-@query("g01_best_candidates", "SELECT count(*) AS labels, count(price) AS prices, count(licence) AS licences FROM label_truth", ("label_truth",))
+@query("g01_best_candidates", """SELECT label_id, field, value FROM (UNPIVOT (SELECT label_id, product_name, CAST(brand AS VARCHAR) AS brand, CAST(price AS VARCHAR) AS mrp, CAST(amount AS VARCHAR) || ' ' || unit AS net_quantity, maker AS manufacturer, licence AS fssai_license, made AS manufacturing_date, best_before,
+ CASE WHEN has_life THEN '12 MONTHS FROM MANUFACTURE' END AS relative_shelf_life, batch AS batch_number, phone AS consumer_care_phone, email AS consumer_care_email, coalesce(origin, CASE WHEN label_id % 26 = 7 THEN 'India' END) AS country_of_origin, ingredients, CASE WHEN is_food THEN 'Panel detected' END AS nutrition_facts, 'USP: ' || usp || ' per g' AS unit_sale_price FROM label_truth)
+ON product_name, brand, mrp, net_quantity, manufacturer, fssai_license, manufacturing_date, best_before, relative_shelf_life, batch_number, consumer_care_phone, consumer_care_email, country_of_origin, ingredients, nutrition_facts, unit_sale_price INTO NAME field VALUE value)""", ("label_truth",))
 def g01(spark, d):
-    b = E.best(E.candidates(E.spread(_labels(spark, d))))
-    return b.agg(F.count_if(F.col("field") == "product_name").alias("labels"), F.count_if(F.col("field") == "mrp").alias("prices"), F.count_if(F.col("field") == "fssai_license").alias("licences"))
+    return E.best(E.candidates(E.spread(_labels(spark, d)))).select("label_id", "field", "value")
 
 
-@query("g02_candidate_conflicts", "SELECT label_id, 'mrp' AS field, 2 AS n FROM label_truth WHERE price IS NOT NULL AND label_id % 10 = 0", ("label_truth",))
+@query("g02_candidate_conflicts", """SELECT label_id, 'mrp' AS field, CASE WHEN CAST(price AS VARCHAR) < '9.50' THEN CAST(price AS VARCHAR) || ',9.50' ELSE '9.50,' || CAST(price AS VARCHAR) END AS candidate_values FROM label_truth WHERE stamped
+UNION ALL SELECT label_id, 'country_of_origin', 'India,Nepal' FROM label_truth WHERE origin = 'Nepal' AND label_id % 26 = 7""", ("label_truth",))
 def g02(spark, d):
-    stamped = _labels(spark, d).withColumn("text", F.when(F.col("label_id") % 10 == 0, F.concat("text", F.lit("\nMRP Rs. 9.50"))).otherwise(F.col("text")))
-    return E.conflicts(E.candidates(stamped)).filter("field = 'mrp' AND size(values) = 2").select("label_id", "field", F.size("values").alias("n"))
+    return E.conflicts(E.candidates(_labels(spark, d))).select("label_id", "field", F.array_join("values", ",").alias("candidate_values"))
 
 
-CHECKS = """t AS (SELECT *, price IS NOT NULL AS p, amount IS NOT NULL AS q, licence IS NOT NULL AS l, best_before IS NOT NULL AS b, label_id % 2 = 0 AS tax, label_id % 6 <> 0 AS has_pin, origin IS NOT NULL OR label_id % 9 = 7 AS o FROM label_truth),
+CHECKS = """t AS (SELECT *, price IS NOT NULL AS p, amount IS NOT NULL AS q, licence IS NOT NULL AS l, best_before IS NOT NULL AS b, origin IS NOT NULL OR label_id % 26 = 7 AS o,
+  label_id % 26 = 19 AS single, coalesce(origin, CASE WHEN label_id % 26 = 7 THEN 'India' END) AS from_, phone || ', ' || email AS care,
+  concat_ws('; ', CASE WHEN price IS NOT NULL AND label_id % 2 <> 0 THEN 'price without the tax phrase' END, CASE WHEN stamped THEN 'several prices' END, CASE WHEN label_id % 6 = 0 THEN 'address without a PIN code' END) AS misleading FROM label_truth),
 c AS (SELECT label_id, unnest([
- {'rule_id': 'LM-001', 'status': 'PASS'}, {'rule_id': 'LM-002', 'status': 'PASS'}, {'rule_id': 'LM-003', 'status': CASE WHEN q THEN 'PASS' ELSE 'NEEDS_REVIEW' END},
- {'rule_id': 'LM-004', 'status': CASE WHEN p THEN 'PASS' ELSE 'NEEDS_REVIEW' END}, {'rule_id': 'LM-005', 'status': 'PASS'}, {'rule_id': 'LM-006', 'status': CASE WHEN o THEN 'PASS' ELSE 'NOT_APPLICABLE' END},
- {'rule_id': 'LM-007', 'status': 'NEEDS_REVIEW'}, {'rule_id': 'LM-008', 'status': CASE WHEN is_food THEN 'NOT_APPLICABLE' ELSE 'PASS' END},
- {'rule_id': 'LM-009', 'status': CASE WHEN p AND NOT tax OR NOT has_pin THEN 'WARNING' ELSE 'PASS' END}, {'rule_id': 'FS-001', 'status': CASE WHEN NOT is_food THEN 'NOT_APPLICABLE' WHEN l THEN 'PASS' ELSE 'FAIL' END},
- {'rule_id': 'FS-002', 'status': CASE WHEN is_food THEN 'PASS' ELSE 'NOT_APPLICABLE' END}, {'rule_id': 'FS-003', 'status': CASE WHEN is_food THEN 'PASS' ELSE 'NOT_APPLICABLE' END},
- {'rule_id': 'FS-004', 'status': CASE WHEN is_food THEN 'PASS' ELSE 'NOT_APPLICABLE' END}, {'rule_id': 'FS-005', 'status': CASE WHEN NOT is_food THEN 'NOT_APPLICABLE' ELSE 'PASS' END}]) AS r FROM t)"""
-
-
-@query("e17_rule_checks", f"WITH {CHECKS} SELECT label_id, r.rule_id AS rule_id, r.status AS status, r.status <> 'NOT_APPLICABLE' AS required FROM c", ("label_truth",))
+ {'rule_id': 'LM-001', 'status': 'PASS', 'value': maker}, {'rule_id': 'LM-002', 'status': 'PASS', 'value': product_name}, {'rule_id': 'LM-003', 'status': CASE WHEN q THEN 'PASS' ELSE 'NEEDS_REVIEW' END, 'value': CAST(amount AS VARCHAR) || ' ' || unit},
+ {'rule_id': 'LM-004', 'status': CASE WHEN p THEN 'PASS' ELSE 'NEEDS_REVIEW' END, 'value': coalesce(CAST(price AS VARCHAR), 'MRP marking detected')}, {'rule_id': 'LM-005', 'status': 'PASS', 'value': care}, {'rule_id': 'LM-006', 'status': CASE WHEN o THEN 'PASS' ELSE 'NOT_APPLICABLE' END, 'value': from_},
+ {'rule_id': 'LM-007', 'status': CASE WHEN usp IS NULL THEN 'NEEDS_REVIEW' ELSE 'PASS' END, 'value': 'USP: ' || usp || ' per g'},
+ {'rule_id': 'LM-008', 'status': CASE WHEN is_food THEN 'NOT_APPLICABLE' WHEN made IS NOT NULL THEN 'PASS' ELSE 'FAIL' END, 'value': CASE WHEN is_food THEN coalesce(best_before, CASE WHEN has_life THEN '12 MONTHS FROM MANUFACTURE' END, made) ELSE made END},
+ {'rule_id': 'LM-009', 'status': CASE WHEN misleading = '' THEN 'PASS' ELSE 'WARNING' END, 'value': nullif(misleading, '')}, {'rule_id': 'FS-001', 'status': CASE WHEN NOT is_food THEN 'NOT_APPLICABLE' WHEN l THEN 'PASS' ELSE 'FAIL' END, 'value': CASE WHEN is_food THEN licence END},
+ {'rule_id': 'FS-002', 'status': CASE WHEN is_food THEN 'PASS' ELSE 'NOT_APPLICABLE' END, 'value': CASE WHEN is_food THEN product_name END}, {'rule_id': 'FS-003', 'status': CASE WHEN is_food AND NOT single THEN 'PASS' ELSE 'NOT_APPLICABLE' END, 'value': CASE WHEN is_food AND NOT single THEN ingredients END},
+ {'rule_id': 'FS-004', 'status': CASE WHEN is_food AND NOT single THEN 'PASS' ELSE 'NOT_APPLICABLE' END, 'value': CASE WHEN is_food AND NOT single THEN 'Panel detected' END},
+ {'rule_id': 'FS-005', 'status': CASE WHEN NOT is_food THEN 'NOT_APPLICABLE' WHEN b OR has_life THEN 'PASS' WHEN made IS NOT NULL THEN 'WARNING' ELSE 'FAIL' END,
+  'value': CASE WHEN NOT is_food THEN NULL WHEN b THEN best_before WHEN has_life THEN '12 MONTHS FROM MANUFACTURE (Mfg: ' || made || ')' ELSE made END}]) AS r, is_food, single FROM t)"""
+#: The reason of each rule by its status, as the rules word it; the others depend on the value.
+REASONS = {
+    ("LM-001", "PASS"): "Maker declared", ("LM-002", "PASS"): "Product name declared", ("LM-003", "PASS"): "Net quantity declared", ("LM-003", "NEEDS_REVIEW"): "Quantity marking without a readable number",
+    ("LM-004", "PASS"): "Retail price declared", ("LM-004", "NEEDS_REVIEW"): "Price marking without a readable number", ("LM-005", "PASS"): "Consumer care declared", ("LM-006", "PASS"): "Origin declared", ("LM-006", "NOT_APPLICABLE"): "Domestic package",
+    ("LM-007", "PASS"): "Unit price declared", ("LM-007", "NEEDS_REVIEW"): "No unit price seen", ("LM-008", "PASS"): "Date made declared", ("LM-008", "NOT_APPLICABLE"): "Food dates are judged under the food rules", ("LM-008", "FAIL"): "No date made", ("LM-009", "PASS"): "Nothing misleading",
+    ("FS-001", "PASS"): "Licence number declared", ("FS-002", "PASS"): "Food name declared", ("FS-003", "PASS"): "Ingredients declared", ("FS-004", "PASS"): "Nutrition panel declared", ("FS-005", "WARNING"): "Date made without an expiry", ("FS-005", "FAIL"): "No date marking",
+}
+
+
+_WHY = " ".join(f"WHEN r.rule_id = '{k}' AND r.status = '{s}' THEN '{v}'" for (k, s), v in REASONS.items())
+REASON = f"""CASE {_WHY} WHEN r.rule_id = 'LM-009' THEN r.value WHEN r.rule_id = 'FS-001' AND r.status = 'FAIL' THEN 'No licence number'
+  WHEN r.rule_id = 'FS-005' AND r.status = 'PASS' THEN CASE WHEN r.value LIKE '%Mfg%' THEN 'Shelf life with a reference date' ELSE 'Expiry or best-before date declared' END WHEN NOT is_food THEN 'Not a food package' ELSE 'Single-ingredient food' END"""
+
+
+@query("e17_rule_checks", f"""WITH {CHECKS} SELECT label_id, r.rule_id AS rule_id, r.status AS status, {REASON} AS reason, r.value AS value, r.status <> 'NOT_APPLICABLE' AS required, r.value IS NOT NULL AS detected,
+CASE WHEN is_food THEN 'FOOD' ELSE 'COSMETICS' END || ',' || CAST(is_food AS VARCHAR) || ',' || CAST(single AS VARCHAR) AS trace FROM c""", ("label_truth",))
 def e17(spark, d):
-    return R.evaluate(_declared(spark, d)).select("label_id", "rule_id", "status", "required")
+    trace = F.concat_ws(",", *(F.try_element_at("trace", F.lit(k)) for k in ("category", "is_food", "is_single")))
+    return R.evaluate(_declared(spark, d)).select("label_id", "rule_id", "status", "reason", "value", "required", "detected", trace.alias("trace"))
 
 
-@query("e15_context", "SELECT label_id, is_food, kind = 3 AS is_cosmetics, false AS is_imported, CASE WHEN is_food THEN 'FOOD' ELSE 'COSMETICS' END AS category FROM label_truth", ("label_truth",))
+@query("e15_context", "SELECT label_id, is_food, kind = 3 AS is_cosmetics, coalesce(origin = 'Nepal', false) AND label_id % 26 <> 7 AS is_imported, label_id % 26 = 19 AS is_single, CASE WHEN is_food THEN 'FOOD' ELSE 'COSMETICS' END AS category FROM label_truth", ("label_truth",))
 def e15(spark, d):
-    return R.context(_declared(spark, d)).select("label_id", "is_food", "is_cosmetics", "is_imported", "category")
+    return R.context(_declared(spark, d)).select("label_id", "is_food", "is_cosmetics", "is_imported", "is_single", "category")
 
 
-@query("e16_applicable_rules", f"WITH {CHECKS} SELECT r.rule_id AS rule_id, count(*) AS n FROM c JOIN label_truth USING (label_id) WHERE is_food OR r.rule_id LIKE 'LM%' GROUP BY 1", ("label_truth",))
+@query("e16_applicable_rules", f"WITH {CHECKS} SELECT r.rule_id AS rule_id, count(*) AS n FROM c WHERE is_food OR r.rule_id LIKE 'LM%' GROUP BY 1", ("label_truth",))
 def e16(spark, d):
     return R.evaluate(_declared(spark, d), applicable_only=True).groupBy("rule_id").agg(F.count("*").alias("n"))
 
 
-@query("e18_rule_conflicts", "SELECT label_id, 'CHRONOLOGICAL_INCONSISTENCY' AS conflict_type, 'LM-008,FS-005' AS rule_ids FROM label_truth WHERE right(made, 4) > right(best_before, 4)", ("label_truth",))
+CONFLICTS = """k AS (SELECT label_id, 'CHRONOLOGICAL_INCONSISTENCY' AS conflict_type, 'LM-008,FS-005' AS rule_ids FROM label_truth WHERE right(made, 4) > right(best_before, 4)
+UNION ALL SELECT label_id, 'PRICE_INCONSISTENCY', 'LM-004,LM-007' FROM label_truth WHERE CAST(usp AS DOUBLE) > price
+UNION ALL SELECT label_id, 'IMPORT_INCONSISTENCY', 'LM-001,LM-006' FROM label_truth WHERE origin = 'Nepal'
+UNION ALL SELECT label_id, 'CANDIDATE_CONFLICT:mrp', 'LM-004' FROM label_truth WHERE stamped
+UNION ALL SELECT label_id, 'CANDIDATE_CONFLICT:country_of_origin', 'LM-006' FROM label_truth WHERE origin = 'Nepal' AND label_id % 26 = 7)"""
+
+
+@query("e18_rule_conflicts", f"WITH {CONFLICTS} SELECT * FROM k", ("label_truth",))
 def e18(spark, d):
-    labels = _labels(spark, d)
-    return R.rule_conflicts(E.declarations(labels), E.conflicts(E.candidates(labels))).select("label_id", "conflict_type", F.array_join("rule_ids", ",").alias("rule_ids"))
+    labels = E.spread(_labels(spark, d))
+    found = E.candidates(labels)
+    return R.rule_conflicts(E.declared(labels, found), E.conflicts(found)).select("label_id", "conflict_type", F.array_join("rule_ids", ",").alias("rule_ids"))
 
 
-@query("e19_what_if_imported", "SELECT label_id, 'LM-006' AS rule_id, CASE WHEN origin IS NOT NULL OR label_id % 9 = 7 THEN 'PASS' ELSE 'FAIL' END AS status FROM label_truth", ("label_truth",))
+@query("f26_conflict_rules", f"WITH {CONFLICTS} SELECT replace(conflict_type, 'CANDIDATE_CONFLICT:', '') AS field, rule_ids, count(*) AS labels FROM k WHERE conflict_type LIKE 'CANDIDATE%' GROUP BY ALL", ("label_truth",))
+def f26(spark, d):
+    found = R.conflict_rules(E.conflicts(E.candidates(E.spread(_labels(spark, d)))))
+    return found.groupBy("field", F.array_join("rule_ids", ",").alias("rule_ids")).agg(F.count("*").alias("labels"))
+
+
+@query("e19_what_if_imported", "SELECT label_id, 'LM-006' AS rule_id, CASE WHEN origin IS NOT NULL OR label_id % 26 = 7 THEN 'PASS' ELSE 'FAIL' END AS status FROM label_truth", ("label_truth",))
 def e19(spark, d):
     return R.evaluate(_declared(spark, d), only=("LM-006",), is_imported=True).select("label_id", "rule_id", "status")
 
@@ -172,12 +209,19 @@ def cj5(spark, d):
     return J.seal_report(s.withColumn("stored_seal", stored))
 
 
-@query("cj6_evidence_quality", """WITH q AS (SELECT rule_id, round(greatest(0, least(100, CASE line % 4 WHEN 0 THEN 95 WHEN 1 THEN 85 WHEN 2 THEN 70 ELSE 50 END * 0.6 + least(reliability, 100) * 0.4 - CASE WHEN status = 'FAIL' THEN 15 WHEN status IN ('NEEDS_REVIEW', 'WARNING') THEN 5 ELSE 0 END)), 1) AS s FROM checks)
-SELECT rule_id, CASE WHEN s >= 85 THEN 'EXCELLENT' WHEN s >= 70 THEN 'GOOD' WHEN s >= 50 THEN 'FAIR' ELSE 'POOR' END AS tier, count(*) AS n, CAST(sum(CAST(round(s * 10) AS BIGINT)) AS BIGINT) AS tenths FROM q GROUP BY ALL""", ("checks",))
+METHODS = ("DIRECT_OCR", "MULTI_TOKEN_OCR", "CONTEXTUAL_OCR", "SEMANTIC_PANEL", "TOKEN_SEQUENCE", "NONE")
+
+
+@query("cj6_evidence_quality", f"""WITH e AS (SELECT rule_id, ['{"', '".join(METHODS)}'][line % 6 + 1] AS method, least(reliability, 100)::DOUBLE AS c, CASE status WHEN 'PASS' THEN 'VERIFIED' WHEN 'FAIL' THEN 'UNAVAILABLE' WHEN 'WARNING' THEN 'CONTEXTUAL' ELSE status END AS s FROM checks),
+q AS (SELECT *, s IN ('NOT_APPLICABLE', 'UNAVAILABLE', 'NO_EVIDENCE') AS none, CASE method WHEN 'DIRECT_OCR' THEN round(least(100, greatest(85, c)), 1) WHEN 'MULTI_TOKEN_OCR' THEN round(least(95, greatest(75, c)), 1)
+  WHEN 'CONTEXTUAL_OCR' THEN round(least(75, greatest(60, c * 0.8::DOUBLE)), 1) WHEN 'SEMANTIC_PANEL' THEN 40 WHEN 'TOKEN_SEQUENCE' THEN round(least(90, greatest(70, c)), 1) ELSE 0 END AS q FROM e),
+r AS (SELECT rule_id, none, CASE WHEN none THEN 0 WHEN s = 'NEEDS_REVIEW' THEN least(q, 65) WHEN s = 'VERIFIED' AND q >= 85 THEN greatest(q, 90) ELSE q END AS score FROM q)
+SELECT rule_id, CASE WHEN none THEN 'NOT_APPLICABLE' WHEN score >= 85 THEN 'HIGH' WHEN score >= 70 THEN 'MEDIUM' WHEN score >= 50 THEN 'LOW' ELSE 'NEEDS_VERIFICATION' END AS tier, count(*) AS n, CAST(sum(CAST(round(score * 10) AS BIGINT)) AS BIGINT) AS tenths FROM r GROUP BY ALL""", ("checks",))
 def cj6(spark, d):
-    c = frame(spark, d, "checks")
-    m = F.col("line") % 4
-    return J.evidence_quality(c.withColumn("method", F.when(m == 0, "EXACT").when(m == 1, "LINE").when(m == 2, "CLUSTER").otherwise("PANEL")).withColumn("confidence", F.least("reliability", F.lit(100.0))))
+    c, s = frame(spark, d, "checks"), F.col("status")
+    method = F.element_at(F.array(*map(F.lit, METHODS)), (F.col("line") % 6 + 1).cast("int"))
+    state = F.when(s == "PASS", "VERIFIED").when(s == "FAIL", "UNAVAILABLE").when(s == "WARNING", "CONTEXTUAL").otherwise(s)
+    return J.evidence_quality(c.select("rule_id", method.alias("method"), F.least("reliability", F.lit(100.0)).alias("confidence"), state.alias("evidence_status")))
 
 
 @query("cj8_box_overlap", """SELECT a.label_id, a.line, a.pos AS pos_a, b.pos AS pos_b, round((least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * least(a.h, b.h)::DOUBLE / (a.w * a.h + b.w * b.h - (least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * least(a.h, b.h)), 4) AS iou
@@ -192,7 +236,14 @@ def cj10(spark, d):
     return J.safe_rows(s.withColumn("product_name", F.when(F.col("id") % 5 == 0, F.concat(F.lit("="), "product_name")).otherwise(F.col("product_name"))))
 
 
-@query("a12_page_text")
+@query("a12_page_text", r"""WITH h AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', chr(10), 'g') AS h FROM pages),
+s AS (SELECT page_id, regexp_replace(h, '(?is)<script\b[^>]*>.*?</script\s*>|<script\b[^>]*/?>', chr(10), 'g') AS h FROM h),
+s2 AS (SELECT page_id, regexp_replace(h, '(?is)<style\b[^>]*>.*?</style\s*>|<style\b[^>]*/?>', chr(10), 'g') AS h FROM s),
+s3 AS (SELECT page_id, regexp_replace(h, '(?is)<head\b[^>]*>.*?</head\s*>|<head\b[^>]*/?>', chr(10), 'g') AS h FROM s2),
+s4 AS (SELECT page_id, regexp_replace(h, '(?is)<noscript\b[^>]*>.*?</noscript\s*>|<svg\b[^>]*>.*?</svg\s*>|<iframe\b[^>]*>.*?</iframe\s*>', chr(10), 'g') AS h FROM s3),
+t AS (SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_replace(h, '(?s)<[^>]*>', chr(10), 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&') AS t FROM s4),
+l AS (SELECT page_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS l FROM t)
+SELECT page_id, CAST(len(l) AS INT) AS n_lines, array_to_string(l, chr(10)) AS text FROM l""")
 def a12(spark, d):
     return J.page_text(frame(spark, d, "pages"))
 
@@ -202,8 +253,11 @@ def a13(spark, d):
     return J.listing_text(frame(spark, d, "label_truth"))
 
 
-@query("a14_panels", "SELECT label_id, count(DISTINCT line) AS panels, round(avg(confidence), 1) AS mean_confidence, count(*) AS n_words FROM words GROUP BY 1", ("words",))
+@query("a14_panels", """WITH p AS (SELECT label_id, line, string_agg(word, ' ' ORDER BY pos) AS text, sum(confidence) AS c, count(*) AS n FROM words GROUP BY ALL)
+SELECT label_id, count(*) AS panels, round(sum(c) / sum(n), 1) AS mean_confidence, CAST(sum(n) AS BIGINT) AS n_words, string_agg('--- Panel ' || CAST(line AS VARCHAR) || ' ---' || chr(10) || text, chr(10) ORDER BY line) AS text,
+  coalesce(string_agg(CASE WHEN c / n < 75 THEN 'Panel ' || CAST(line AS VARCHAR) || ': low reading confidence' END, '; ' ORDER BY line), '') AS warnings FROM p GROUP BY 1""", ("words",))
 def a14(spark, d):
     w = frame(spark, d, "words")
     panels = w.groupBy("label_id", F.col("line").alias("panel")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("text"), F.sum("confidence").alias("c"), F.count("*").alias("n"))
-    return J.combine_panels(panels).select("label_id", "panels", "mean_confidence", "n_words")
+    warned = F.when(F.col("c") / F.col("n") < 75, F.concat(F.lit("Panel "), F.col("panel").cast("string"), F.lit(": low reading confidence")))
+    return J.combine_panels(panels.withColumn("warning", warned))

@@ -58,14 +58,19 @@ def write_findings(findings: DataFrame, edges: DataFrame, path: str) -> None:
         spark.read.parquet(fresh).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(at)
 
 
-def report_sections(screenings: DataFrame, checks: DataFrame, recommendations: DataFrame) -> dict[str, DataFrame]:
-    """Report rows by section, all of one shape: id, section, ordinal, name, value."""
+def report_sections(screenings: DataFrame, checks: DataFrame, recommendations: DataFrame, reviews: DataFrame | None = None, claims: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Report rows by section, all of one shape: id, section, ordinal, name, value. reviews: review_id, officer, status; claims: as numbered."""
     shape = lambda df, section, key, ordinal, name, value: df.select(F.col(key).alias("id"), F.lit(section).alias("section"), ordinal.cast("string").alias("ordinal"), name.alias("name"), value.cast("string").alias("value"))
-    return {
+    out = {
         "summary": shape(screenings, "summary", "id", F.lit("0"), F.lit("product"), F.col("product_name")).unionByName(shape(screenings, "summary", "id", F.lit("1"), F.lit("score"), F.col("score"))),
         "rules": shape(checks, "rules", "screening_id", F.col("rule_id"), F.col("field_label"), F.col("status")),
         "actions": shape(recommendations, "actions", "screening_id", F.col("rule_id"), F.col("action"), F.col("step")),
     }
+    if reviews is not None:
+        out["review"] = shape(reviews, "review", "review_id", F.lit("0"), F.col("officer"), F.col("status"))
+    if claims is not None:
+        out["claims"] = shape(claims, "claims", "label_id", F.col("claim_id"), F.col("claim"), F.coalesce("rule_id", F.lit("none")))
+    return out
 
 
 def safe(rows: DataFrame) -> DataFrame:

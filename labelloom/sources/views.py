@@ -79,33 +79,72 @@ VIEWS: dict[str, str] = {
           concat('890', lpad(CAST(p_partkey AS STRING), 9, '0')) AS code12 FROM {part}""",
 }
 
+#: Claims that label texts end with, by label_id % 26 (0 and 8 have none): text, rule (none for the open grammars), claim as found.
+CLAIMS = {
+    1: ("No preservatives", "CLAIM-RULE-ING-001", "no preservatives"),
+    2: ("No added sugar", "CLAIM-RULE-NUT-001", "no added sugar"),
+    3: ("High protein", "CLAIM-RULE-NUT-003", "high protein"),
+    4: ("100% natural", "CLAIM-RULE-ING-002", "100% natural"),
+    5: ("Immunity booster", "CLAIM-RULE-HLT-001", "immunity booster"),
+    6: ("Low fat", "CLAIM-RULE-NUT-004", "low fat"),
+    7: ("Made in India", "CLAIM-RULE-ORG-001", "made in india"),
+    9: ("Sugar free", "CLAIM-RULE-NUT-002", "sugar free"),
+    10: ("Zero cholesterol", "CLAIM-RULE-NUT-005", "zero cholesterol"),
+    11: ("No artificial colours", "CLAIM-RULE-ING-003", "no artificial colours"),
+    12: ("Chemical free", "CLAIM-RULE-ING-004", "chemical free"),
+    13: ("Certified organic", "CLAIM-RULE-CRT-001", "organic"),
+    14: ("Organic, NPOP 77", "CLAIM-RULE-CRT-001", "organic"),
+    15: ("Cures diabetes", "CLAIM-RULE-MED-001", "cures diabetes"),
+    16: ("Clinically proven", "CLAIM-RULE-MED-002", "clinically proven"),
+    17: ("Best in India", "CLAIM-RULE-CMP-001", "best in india"),
+    18: ("Eco friendly", "CLAIM-RULE-ENV-001", "eco friendly"),
+    19: ("100% pure", "CLAIM-RULE-QLT-001", "100% pure"),
+    20: ("ISO certified", "CLAIM-RULE-CRT-002", "iso certified"),
+    21: ("Weight loss", "CLAIM-RULE-HLT-002", "weight loss"),
+    22: ("Completely fresh", None, "completely fresh"),
+    23: ("Treats headaches", None, "treats headaches"),
+    24: ("Best for families", None, "best for families"),
+    25: ("Premium quality", "CLAIM-RULE-QLT-002", "premium quality"),
+}
+
+
+def _claim(at: int) -> str:
+    return "CASE p_partkey % 26 " + " ".join(f"WHEN {n} THEN '{c[at]}'" for n, c in CLAIMS.items() if c[at]) + " END"
+
+
 #: Label texts rendered from part and supplier, so that what an extractor should find is known. Some lines are left out
-#: on purpose: the price where label_id % 7 = 3, the licence where % 13 = 5; a bad unit stands where % 11 = 4.
-VIEWS["label_truth"] = """
+#: or added on purpose: the price is missing where label_id % 7 = 3, the licence where % 13 = 5, all dates where % 19 = 6,
+#: the shelf life where % 23 = 9; a bad unit stands where % 11 = 4, an earlier year of expiry where % 17 = 0, a second price
+#: where % 37 = 8, a unit price where % 29 is 4 (above the price) or 5, another origin than India where % 93 = 0.
+VIEWS["label_truth"] = f"""
     SELECT p_partkey AS label_id, p_partkey % 5 AS kind, s_suppkey AS supplier_id,
       concat(upper(substring(p_name, 1, 1)), substring(p_name, 2, 100), CASE p_partkey % 5 WHEN 0 THEN ' Oats' WHEN 1 THEN ' Juice' WHEN 2 THEN ' Noodles' WHEN 3 THEN ' Shampoo' ELSE ' Biscuit' END) AS product_name,
       p_brand AS brand, p_partkey % 5 <> 3 AS is_food,
-      CASE WHEN p_partkey % 7 <> 3 THEN CAST(p_retailprice AS DECIMAL(12,2)) END AS price,
+      CASE WHEN p_partkey % 7 <> 3 THEN CAST(p_retailprice AS DECIMAL(12,2)) END AS price, p_partkey % 7 <> 3 AND p_partkey % 37 = 8 AS stamped,
+      CASE p_partkey % 29 WHEN 4 THEN '9999' WHEN 5 THEN '1.5' END AS usp,
       CASE WHEN p_partkey % 11 <> 4 THEN p_size * 10 END AS amount, CASE WHEN p_partkey % 11 <> 4 THEN CASE WHEN p_partkey % 5 IN (1, 3) THEN 'ml' ELSE 'g' END END AS unit,
       CASE WHEN p_partkey % 13 <> 5 AND p_partkey % 5 <> 3 THEN concat('1', lpad(CAST(10 + s_nationkey AS STRING), 2, '0'), lpad(CAST(s_suppkey AS STRING), 11, '0')) END AS licence,
       concat('Supplier ', CAST(s_suppkey AS STRING), ' Foods Pvt Ltd') AS maker, concat('395', lpad(CAST(s_suppkey % 1000 AS STRING), 3, '0')) AS pin,
-      concat(lpad(CAST(p_size % 12 + 1 AS STRING), 2, '0'), '/', CAST(2022 + p_size % 3 AS STRING)) AS made,
-      CASE WHEN p_partkey % 4 <> 1 THEN concat(lpad(CAST(p_size % 12 + 1 AS STRING), 2, '0'), '/', CAST(2023 + p_size % 3 - CASE WHEN p_partkey % 17 = 0 THEN 3 ELSE 0 END AS STRING)) END AS best_before,
+      CASE WHEN p_partkey % 19 <> 6 THEN concat(lpad(CAST(p_size % 12 + 1 AS STRING), 2, '0'), '/', CAST(2022 + p_size % 3 AS STRING)) END AS made,
+      CASE WHEN p_partkey % 4 <> 1 AND p_partkey % 19 <> 6 AND p_partkey % 23 <> 9
+        THEN concat(lpad(CAST(p_size % 12 + 1 AS STRING), 2, '0'), '/', CAST(2023 + p_size % 3 - CASE WHEN p_partkey % 17 = 0 THEN 3 ELSE 0 END AS STRING)) END AS best_before,
+      p_partkey % 4 = 1 AND p_partkey % 19 <> 6 AND p_partkey % 23 <> 9 AS has_life,
       concat('B', CAST(p_partkey AS STRING), 'X', CAST(p_size AS STRING)) AS batch, concat('care', CAST(s_suppkey AS STRING), '@example.in') AS email,
       concat('1800-', lpad(CAST(s_suppkey % 1000 AS STRING), 3, '0'), '-', lpad(CAST(p_partkey % 10000 AS STRING), 4, '0')) AS phone,
       CASE p_partkey % 5 WHEN 0 THEN 'rolled oats, salt' WHEN 1 THEN 'water, mango pulp, sugar, ins 211' WHEN 2 THEN 'wheat flour, palm oil, salt' WHEN 4 THEN 'wheat flour, honey, sodium benzoate' END AS ingredients,
       CASE WHEN p_partkey % 5 <> 3 THEN p_size % 25 END AS protein, CASE WHEN p_partkey % 5 <> 3 THEN p_size % 9 END AS sugar, CASE WHEN p_partkey % 5 <> 3 THEN p_size % 7 END AS fat,
-      CASE WHEN p_partkey % 3 = 0 THEN 'India' END AS origin
-    FROM {part} JOIN {supplier} ON p_partkey % (SELECT count(*) FROM {supplier}) = s_suppkey"""
+      CASE WHEN p_partkey % 93 = 0 THEN 'Nepal' WHEN p_partkey % 3 = 0 THEN 'India' END AS origin,
+      {_claim(0)} AS claim_text, {_claim(1)} AS claim_rule, {_claim(2)} AS claim
+    FROM {{part}} JOIN {{supplier}} ON p_partkey % (SELECT count(*) FROM {{supplier}}) = s_suppkey"""
 VIEWS["label_text"] = """
     SELECT label_id, concat_ws(chr(10), product_name, concat('Brand: ', brand),
       CASE WHEN price IS NOT NULL THEN concat('MRP Rs. ', CAST(price AS STRING), CASE WHEN label_id % 2 = 0 THEN ' incl. of all taxes' ELSE '' END) ELSE 'MRP Rs.' END,
       concat('Net Qty: ', coalesce(CAST(amount AS STRING) || ' ' || unit, 'several zz')),
       concat('Manufactured by: ', maker, ', Plot ', CAST(supplier_id % 90 + 1 AS STRING), ', Industrial Estate, Surat', CASE WHEN label_id % 6 <> 0 THEN concat(' - ', pin) ELSE '' END),
-      'FSSAI Lic. No. ' || licence, concat('Mfg Date: ', made), coalesce('Best Before: ' || best_before, 'Best before 12 months from manufacture'), concat('Batch No: ', batch),
+      'FSSAI Lic. No. ' || licence, 'Mfg Date: ' || made, CASE WHEN has_life THEN 'Best before 12 months from manufacture' ELSE 'Best Before: ' || best_before END, concat('Batch No: ', batch),
       concat('Customer care: ', phone, ', ', email), 'Country of Origin: ' || origin, 'Ingredients: ' || ingredients,
       CASE WHEN is_food THEN concat('Nutrition Facts per 100 g: Protein ', CAST(protein AS STRING), ' g, Sugar ', CAST(sugar AS STRING), ' g, Total Fat ', CAST(fat AS STRING), ' g') END,
-      CASE label_id % 9 WHEN 1 THEN 'No preservatives' WHEN 2 THEN 'No added sugar' WHEN 3 THEN 'High protein' WHEN 4 THEN '100% natural' WHEN 5 THEN 'Immunity booster' WHEN 6 THEN 'Low fat' WHEN 7 THEN 'Made in India' END) AS text
+      claim_text, 'USP: ' || usp || ' per g', CASE WHEN stamped THEN 'MRP Rs. 9.50' END) AS text
     FROM {label_truth}"""
 VIEWS["words"] = """
     SELECT label_id, line, pos, word, 20 + 10 * pos AS x, 30 * line AS y, 8 * length(word) AS w, 12 + label_id % 20 AS h, 60 + (label_id * 7 + pos) % 40 AS confidence

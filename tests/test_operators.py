@@ -158,7 +158,7 @@ def test_claims(spark):
         {"ingredients": F.element_at(F.array(F.lit("salt, INS 211"), F.lit("salt"), F.lit(None), F.lit(None)), (F.col("label_id") + 1).cast("int")), "facts": F.create_map(F.lit("protein"), F.lit(15.0)), "country_of_origin": F.lit(None).cast("string")}
     )
     got = {r.label_id: (r.claim_type, r.status, r.claim_id) for r in claims.claim_job(t, claims.claim_rules(spark)).collect()}
-    assert got == {0: ("NO_PRESERVATIVES", "CONTRADICTION", "CLM-001"), 1: ("NO_PRESERVATIVES", "SUPPORTED", "CLM-001"), 3: ("HIGH_PROTEIN", "SUPPORTED", "CLM-001")}
+    assert got == {0: ("NO_PRESERVATIVES", "POTENTIAL_CONTRADICTION", "CLM-001"), 1: ("NO_PRESERVATIVES", "SUPPORTED", "CLM-001"), 3: ("HIGH_PROTEIN", "SUPPORTED", "CLM-001")}
 
 
 def test_similarity(spark):
@@ -174,6 +174,94 @@ def test_rule_diff(spark):
     assert {r.rule_id: r.resolution for r in reconcile.issue_resolution(reconcile.rule_diff(c, c, p)).collect()} == {"A": "RESOLVED", "C": "NEW_ISSUE"}
 
 
+@pytest.mark.parametrize(
+    "a,b,change,resolution",
+    [
+        ("WARNING", "PASS", "FIXED", "RESOLVED"),
+        ("INSUFFICIENT_EVIDENCE", "PASS", "FIXED", None),
+        ("PASS", "WARNING", "REGRESSED", "NEW_ISSUE"),
+        ("PASS", "NEEDS_REVIEW", "REGRESSED", None),
+        ("PASS", "INSUFFICIENT_EVIDENCE", "MODIFIED", None),
+        ("WARNING", "FAIL", "MODIFIED", "STILL_PRESENT"),
+        ("FAIL", "NEEDS_REVIEW", "MODIFIED", "UNRESOLVED_REVIEW"),
+        ("WARNING", "NOT_APPLICABLE", "MODIFIED", None),
+        ("NOT_APPLICABLE", "FAIL", "NEWLY_EVALUATED", None),
+        (None, "FAIL", "NEWLY_EVALUATED", "NEW_ISSUE"),
+        ("FAIL", None, "MODIFIED", None),
+        ("FAIL", "FAIL", "UNCHANGED", "STILL_PRESENT"),
+    ],
+)
+def test_changes_and_resolutions(spark, a, b, change, resolution):
+    p = spark.createDataFrame([(1, 2)], "version_a long, version_b long")
+    c = spark.createDataFrame([r for r in ((1, "A", a), (2, "A", b)) if r[2]], "screening_id long, rule_id string, status string")
+    diff = reconcile.rule_diff(c, c, p)
+    assert [r.change for r in diff.collect()] == [change]
+    assert [r.resolution for r in reconcile.issue_resolution(diff).collect()] == ([resolution] if resolution else [])
+
+
+@pytest.mark.parametrize(
+    "method,confidence,status,score,tier",
+    [
+        ("DIRECT_OCR", 70.0, "VERIFIED", 90.0, "HIGH"),
+        ("DIRECT_OCR", 97.0, "NEEDS_REVIEW", 65.0, "LOW"),
+        ("MULTI_TOKEN_OCR", 80.0, "VERIFIED", 80.0, "MEDIUM"),
+        ("CONTEXTUAL_OCR", 50.0, "CONTEXTUAL", 60.0, "LOW"),
+        ("SEMANTIC_PANEL", 99.0, "NEEDS_REVIEW", 40.0, "NEEDS_VERIFICATION"),
+        ("TOKEN_SEQUENCE", 0.0, "VERIFIED", 70.0, "MEDIUM"),
+        ("NONE", 90.0, "VERIFIED", 0.0, "NEEDS_VERIFICATION"),
+        ("DIRECT_OCR", 90.0, "UNAVAILABLE", 0.0, "NOT_APPLICABLE"),
+    ],
+)
+def test_reliability(spark, method, confidence, status, score, tier):
+    assert one(spark, *C.reliability(F.lit(method), F.lit(confidence), F.lit(status))) == (score, tier)
+
+
+def test_claim_confidence_uses_what_was_read(spark):
+    t = labels(spark, "High protein", "High protein", "Completely new, treats colds").withColumns({"ingredients": F.lit(None).cast("string"), "facts": F.create_map(F.lit("protein"), F.lit(15.0)), "country_of_origin": F.lit(None).cast("string")})
+    rules_ = claims.claim_rules(spark)
+    found = claims.numbered(claims.find_claims(t.select("label_id", "text"), rules_).unionByName(claims.open_claims(t.select("label_id", "text"), rules_)))
+    read = found.withColumns({"ocr_confidence": F.when(F.col("label_id") == 1, 60.0).otherwise(95.0), "has_box": F.col("label_id") != 1})
+    got = {r.claim: (r.status, r.confidence) for r in claims.assess(read, rules_, t).filter("label_id <> 1").collect()}
+    low = claims.assess(read, rules_, t).filter("label_id = 1").first()
+    assert got["high protein"] == ("SUPPORTED", 0.25 * 95 + 0.2 * 95 + 0.25 * 92 + 0.3 * 90 + 0.05)
+    assert low.confidence == 0.25 * 60 + 0.2 * 60 + 0.25 * 92 + 0.3 * 90
+    assert got["completely new"][0] == got["treats colds"][0] == "HIGH_RISK_REVIEW"
+
+
+def test_refused_approvals(spark):
+    d = spark.createDataFrame([(1, "APPROVED", True), (2, "APPROVED", False), (3, "REJECTED", True), (4, "HOLD", True), (5, "APPROVED", True)], "artwork_id long, decision string, acknowledged boolean")
+    r = spark.createDataFrame([(1, "NON_COMPLIANT"), (3, "NON_COMPLIANT"), (4, "NEEDS_REVIEW")], "artwork_id long, readiness string")
+    ok, no = reconcile.approval_gate(d, r)
+    assert {x.artwork_id: x.workflow_status for x in ok.collect()} == {3: "REJECTED", 4: "CHANGES_REQUESTED", 5: "READY_FOR_PRINT"}
+    assert {x.artwork_id: x.refused for x in no.collect()} == {1: "NON_COMPLIANT", 2: "NOT_ACKNOWLEDGED"}
+
+
+def test_readiness_counts_failed_checks(spark):
+    listed = spark.createDataFrame([(i, 12 - n, n, ["x", "y", "z"][:n]) for i, n in ((1, 0), (2, 0), (3, 1), (4, 3))], "label_id long, present int, missing int, missing_list array<string>")
+    c = spark.createDataFrame([(1, "f", "PASS"), (2, "date_marking", "FAIL"), (3, "x", "PASS"), (4, "x", "FAIL")], "label_id long, field string, status string")
+    none = spark.createDataFrame([], "label_id long, field string, status string, zone_y double")
+    heights = spark.createDataFrame([(1, "mrp", 1.0, False)], "label_id long, field string, mm double, ok boolean")
+    fixes = evidence.designer_corrections(listed, c, none, heights)
+    assert sorted((r.label_id, r.field, r.kind) for r in fixes.collect() if r.label_id in (1, 2)) == [(1, "mrp", "FONT_SIZE"), (2, "date_marking", "FAILED_CHECK")]
+    assert {r.label_id: r.readiness for r in evidence.readiness(fixes, listed, c).collect()} == {1: "COMPLIANT", 2: "NON_COMPLIANT", 3: "NEEDS_REVIEW", 4: "NON_COMPLIANT"}
+
+
+def test_sequences_skip_words_and_lines(spark):
+    rows = [(1, 1, 1, "Net", 0, 0), (1, 1, 2, "x", 20, 0), (1, 1, 3, "Wt.", 40, 0), (2, 1, 1, "best", 0, 0), (2, 2, 1, "before", 0, 25), (3, 1, 1, "best", 0, 0), (3, 2, 1, "before", 0, 60), (4, 1, 1, "net", 0, 0), (4, 1, 2, "wt", 300, 0)]
+    w = spark.createDataFrame([(*r, 18, 20, 90) for r in rows], "label_id long, line int, pos int, word string, x int, y int, w int, h int, confidence int")
+    p = spark.createDataFrame([("wt", ["net", "wt"]), ("date", ["best", "before", "end"])], "name string, targets array<string>")
+    got = {(r.label_id, r.name): (r.n_words, r.x, r.right, r.bottom) for r in evidence.sequences(w, p).collect()}
+    assert got == {(1, "wt"): (2, 0, 58, 20), (2, "date"): (2, 0, 18, 45)}  # 3: too far below, 4: too far right
+
+
+def test_boxes(spark):
+    box = tuple(map(F.lit, (-5, 10, 700, 90)))
+    w, h = F.lit(600), F.lit(100)
+    assert one(spark, *C.padded(C.clipped(box, w, h), 10, 8, w, h)) == (0, 2, 600, 98)
+    assert one(spark, *C.normalised_box(box, w, h)) == (0.0, 0.1, 1.0, 0.9) and one(spark, *C.pixel_box(tuple(map(F.lit, (0.0, 0.1, 1.0, 0.9))), w, h)) == (0, 10, 600, 90)
+    assert one(spark, *C.normalised_box(box, F.lit(0), h)) == (0.0, 0.0, 0.0, 0.0)
+
+
 def test_sliding_window_excludes_its_end_and_success_clears(spark):
     ts = lambda s: datetime.datetime(2024, 1, 1, 0, 0, s)
     rows = [(1, 9, ts(0), True, False), (2, 9, ts(10), True, False), (3, 9, ts(11), False, True), (4, 9, ts(12), True, False)]
