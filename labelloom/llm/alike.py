@@ -39,8 +39,8 @@ from labelloom.llm.simhash import links, majority, shingle_hashes
 
 SHINGLE = 5
 BANDS, ROWS = 64, 8
-#: Of the 512 minima, how many must agree in their two bits, and how many make a pair surely alike (0.88, by five deviations).
-LEAST_SAME, SURE = 397, 466
+#: Of the 512 minima, how many must agree in their two bits, how many are expected at 0.8, and how many make a pair surely alike (0.88).
+LEAST_SAME, LIKELY, SURE = 397, 435, 466
 #: Members of a band that are all compared at once, and of a part of a larger one.
 FEW, PART = 12, 2048
 SIGNED = "n long, set long, fp long, bands array<long>, sketch array<long>"
@@ -138,11 +138,13 @@ class _Compared:
         self.sets, self.texts = sets, texts
         self.tried = self.links = sets.sparkSession.createDataFrame([], "a long, b long")
 
-    def add(self, pairs: DataFrame) -> None:
-        """pairs: a, b; repeats are welcome."""
-        side = lambda x: self.sets.select(F.col("set").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-        j = pairs.distinct().join(self.tried, ["a", "b"], "left_anti").join(side("a"), "a").join(side("b"), "b")
-        now = stored(j.filter(_close("na", "nb")).filter(f"{same('sa', 'sb')} >= {LEAST_SAME}").select("a", "b"))
+    def add(self, pairs: DataFrame, sketched: bool = False) -> None:
+        """pairs: a, b; repeats are welcome. sketched: their sketches have been compared."""
+        j = pairs.distinct().join(self.tried, ["a", "b"], "left_anti")
+        if not sketched:
+            side = lambda x: self.sets.select(F.col("set").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+            j = j.join(side("a"), "a").join(side("b"), "b").filter(_close("na", "nb")).filter(f"{same('sa', 'sb')} >= {LEAST_SAME}")
+        now = stored(j.select("a", "b"))
         keys = now.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(self.sets.select("set", "__key"), "set")
         lists = stored(self.texts.join(bounded(keys), "__key").dropDuplicates(["set"]).select("set", "text").mapInArrow(_listed, "set long, h array<long>"))
         both = now.join(lists.toDF("a", "ha"), "a").join(lists.toDF("b", "hb"), "b")
@@ -150,8 +152,8 @@ class _Compared:
         self.links, self.tried = stored(self.links.unionByName(alike)), self.tried.unionByName(now)
 
 
-def _block(h: int, sets: np.ndarray, component: np.ndarray, own: np.ndarray, sketches: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one part of a band to compare: a forest of the sure ones and the doubtful ones between its trees."""
+def _block(h: int, sets: np.ndarray, component: np.ndarray, own: np.ndarray, sketches: np.ndarray, keys: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one part of a band to compare: a forest of the likely ones, or at last of the sure ones with the doubtful ones between its trees."""
     n, inside = len(sets), (own == own[0]).all()
     _, at, size = np.unique(component, return_inverse=True, return_counts=True)
     if len(size) < 2:
@@ -167,7 +169,7 @@ def _block(h: int, sets: np.ndarray, component: np.ndarray, own: np.ndarray, ske
         for w in range(sketches.shape[1]):
             x = sketches[some, w][:, None] ^ sketches[None, :, w]
             agree -= np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(_LOW))
-        near = (agree >= LEAST_SAME) & (at[some][:, None] != at[None, :]) & (place[None, :] < place[some][:, None])
+        near = (agree >= (LEAST_SAME if last else LIKELY)) & (at[some][:, None] != at[None, :]) & (place[None, :] < place[some][:, None])
         if not inside:
             near &= own[some][:, None] != own[None, :]
         r, c = np.nonzero(near)
@@ -176,14 +178,14 @@ def _block(h: int, sets: np.ndarray, component: np.ndarray, own: np.ndarray, ske
         first = keys[a, shared.argmax(axis=1)] == h  # a pair is looked at in the first band that it shares
         found.append((a[first], c[first], agree[r, c][first]))
     a, b, agree = (np.concatenate(x) for x in zip(*found, strict=True))
-    forest, sure = Forest(n), agree >= SURE
+    forest, sure = Forest(n), agree >= (SURE if last else LIKELY)
     fa, fb = forest.join(a[sure], b[sure])
     a, b = a[~sure], b[~sure]
     doubtful = forest.up[a] != forest.up[b]
     return sets[np.concatenate([fa, a[doubtful]])], sets[np.concatenate([fb, b[doubtful]])]
 
 
-def _doubtful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _doubtful(last: bool):
     """Over rows (h, part, set, component, own, sketch, bands) sorted by h and part: pairs a, b of every part."""
 
     def matrix(c: pa.Array) -> np.ndarray:
@@ -192,29 +194,32 @@ def _doubtful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush(rows: list) -> Iterator[pa.RecordBatch]:
         if rows:
             h, _, sets, component, own, sketches, keys = (np.concatenate(x) for x in zip(*rows, strict=True))
-            a, b = _block(np.uint64(h[:1].view(np.uint64)[0]), sets, component, own, sketches, keys)
+            a, b = _block(np.uint64(h[:1].view(np.uint64)[0]), sets, component, own, sketches, keys, last)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    held: list[list[np.ndarray]] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)] + [matrix(batch.column(i)) for i in (5, 6)]
-        turn = (np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])) + 1).tolist()
-        if held and (held[-1][0][-1] != rows[0][0] or held[-1][1][-1] != rows[1][0]):
-            yield from flush(held)
-            held = []
-        edges = [0, *turn, batch.num_rows]
-        for i, j in zip(edges[:-1], edges[1:], strict=True):
-            held.append([r[i:j] for r in rows])
-            if j < batch.num_rows:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)] + [matrix(batch.column(i)) for i in (5, 6)]
+            turn = (np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])) + 1).tolist()
+            if held and (held[-1][0][-1] != rows[0][0] or held[-1][1][-1] != rows[1][0]):
                 yield from flush(held)
                 held = []
-    yield from flush(held)
+            edges = [0, *turn, batch.num_rows]
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                held.append([r[i:j] for r in rows])
+                if j < batch.num_rows:
+                    yield from flush(held)
+                    held = []
+        yield from flush(held)
 
+    return run
 
-def _still_apart(members: DataFrame, nodes: DataFrame, prints: DataFrame, part: int) -> DataFrame:
+
+def _still_apart(members: DataFrame, nodes: DataFrame, prints: DataFrame, part: int, last: bool) -> DataFrame:
     """Pairs (a, b) of different components that larger bands leave to compare. members: h, set."""
     at = members.join(nodes.toDF("set", "component"), "set", "left").select("h", "set", F.coalesce("component", "set").alias("component"))
     open_ = at.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).filter("lo <> hi")
@@ -226,7 +231,7 @@ def _still_apart(members: DataFrame, nodes: DataFrame, prints: DataFrame, part:
     need = bounded(rows.select("set").distinct())
     kept = prints.join(need, "set", "left_semi").groupBy("set").agg(F.min("sketch").alias("sketch"), F.min("bands").alias("bands"))
     rows = rows.select("h", "part", "set", "component", "own").join(kept, "set").select("h", "part", "set", "component", "own", "sketch", "bands")
-    return rows.repartition("h", "part").sortWithinPartitions("h", "part").mapInArrow(_doubtful, "a long, b long")
+    return rows.repartition("h", "part").sortWithinPartitions("h", "part").mapInArrow(_doubtful(last), "a long, b long")
 
 
 def grouped(prints: DataFrame, texts: DataFrame, few: int = FEW, part: int = PART) -> DataFrame:
@@ -246,8 +251,9 @@ def grouped(prints: DataFrame, texts: DataFrame, few: int = FEW, part: int = PAR
     hubs = met.groupBy("h").agg(F.max(F.struct("met", "set")).alias("hub")).select("h", F.col("hub.set").alias("hub"))
     compared.add(found.unionByName(_ordered(every, "set", "other")).unionByName(_ordered(large.join(hubs, "h"), "set", "hub")))
     nodes = stored(components(compared.links))
-    apart = stored(_still_apart(large.select("h", "set"), nodes, prints, part))
-    if not apart.isEmpty():
-        compared.add(_ordered(apart, "a", "b"))
-        nodes = stored(components(compared.links))
+    for last in (False, True):
+        apart = stored(_still_apart(large.select("h", "set"), nodes, prints, part, last))
+        if not apart.isEmpty():
+            compared.add(_ordered(apart, "a", "b"), sketched=True)
+            nodes = stored(components(compared.links))
     return nodes.select(F.col("node").alias("set"), "component")
