@@ -18,6 +18,9 @@ SERVING = r"(?i)serv(?:e|ing)|per\s*100|energy|protein|nutrition|sugar|fat|kcal"
 #: The fields with a status, and those that only food packages carry.
 FIELDS = ("product_name", "brand", "mrp", "net_quantity", "manufacturer", "fssai_license", "manufacturing_date", "best_before", "batch_number", "consumer_care_phone", "consumer_care_email", "country_of_origin", "ingredients", "nutrition_facts")
 FOOD_FIELDS = ("fssai_license", "ingredients", "nutrition_facts", "best_before")
+#: Words that make a number beside them a contact, and beginnings of digit runs that are no codes.
+CONTACT = ("consumer", "customer", "feedback", "complaint", "queries", "helpline", "call us", "tel", "phone", "ph.", "toll free", "contact", "levercare", "care")
+NO_CODE = ("100", "107", "115", "124", "133")
 #: Food categories, first match wins.
 CATEGORIES = (("cereal", ("oats", "cereal", "muesli")), ("beverage", ("juice", "drink", "tea", "coffee")), ("noodles", ("noodle", "pasta")), ("bakery", ("biscuit", "cookie", "bread")), ("dairy", ("milk", "paneer", "ghee")), ("staples", ("rice", "atta", "flour", "dal")), ("spices", ("masala", "spice")), ("confectionery", ("chocolate", "candy")), ("oil", ("edible oil", "sunflower oil")))
 
@@ -66,8 +69,11 @@ def candidates(labels: DataFrame) -> DataFrame:
     life = _found_by(x, ("best",), r"(?i)best\s*before\s*:?\s*(\d+\s*(?:months?|days?|years?)\s*from\s*\w+)")
     batch = F.when(_any(x, ("batch", "lot")) & x.rlike(r"(?i)\b(?:batch|lot)\b"), F.nullif(C.repaired_batch(x), F.lit("")))
     email = _found_by(x, ("@",), r"([A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,})")
-    tollfree = _found_by(x, ("1800",), r"\b(1800[\-\s]?\d{3}[\-\s]?\d{3,4})\b")
-    mobile = F.when(_any(x, ("care", "contact", "phone", "helpline", "call")), _found(x, r"(?:^|\D)([6-9]\d{9})(?:\D|$)"))
+    tollfree = _found_by(x, ("1800",), r"\b(1800[\s\-]?(?:\d{3}[\s\-]?\d{3,4}|\d{2}[\s\-]?\d{2}[\s\-]?\d{3,4}|\d{6,8}))\b")
+    contact = _any(x, CONTACT)
+    landline = F.when(contact & x.rlike(r"\b0\d{2,4}"), _found(x, r"\b(0\d{2,4}[-\s]?\d{6,8})\b"))
+    abroad = _found_by(x, ("+91",), r"(\+91[-\s]?[6-9]\d{4}[-\s]?\d{5})(?!\d)")
+    mobile = F.when(contact, _found(x, r"(?:^|[^\d])((?:\+91[-\s]?)?[6-9]\d{4}[-\s]?\d{5})(?:\D|$)"))
     origin = _found_by(x, ("origin",), r"(?i)country\s*of\s*origin\s*:?\s*([A-Za-z ]+)")
     made_in = _found_by(x, ("made", "product",), r"(?i)(?:made\s*in|product\s*of)\s+([A-Za-z]+)")
     ingredients = _found_by(x, ("redient",), r"(?i)^\s*in[gqo]redients?\s*:?\s*(.{8,350})")
@@ -75,12 +81,13 @@ def candidates(labels: DataFrame) -> DataFrame:
     brand = _found_by(x, ("brand",), r"(?i)^\s*brand\s*:\s*(.+)$")
     nutrition = F.when(x.rlike(r"(?i)nutrition"), F.lit("Panel detected"))
     usp = _found_by(x, ("usp", "unit",), r"(?i)((?:unit\s*sale\s*price|usp)[^0-9]{0,10}\d+(?:\.\d+)?\s*(?:per|/)\s*\d*\s*(?:g|kg|ml|l|unit))")
-    code = _found_by(x, ("barcode", "ean", "gtin",), r"(?i)(?:barcode|ean|gtin)\D{0,5}(\d{12,14})\b")
+    code = _found_by(x, ("barcode", "ean", "gtin", "upc"), r"(?i)(?:barcode|ean|gtin|ean-?13|gtin-?13|upc)[\s.:\-]*\b(\d{8,14})\b")
     digits = F.when(lic.isNull() & x.contains("890"), _found(x, r"(?:^|\D)(890\d{10})(?:\D|$)"))
+    run = F.when(lic.isNull() & x.rlike(r"\d{12}"), _found(x, rf"(?:^|[^\w])((?!890\d{{10}}(?:\D|$))(?!{'|'.join(NO_CODE)})\d{{12,14}})(?:[^\w]|$)"))
     # Each pattern runs once a line; the candidates below refer to its result.
-    raw = {"mrp": mrp, "loose": loose, "q_anchor": q_anchor, "q_loose": q_loose, "lic": lic, "maker": maker, "packer": packer, "marketer": marketer, "importer": importer, "made": made, "before": before, "life": life, "batch": batch, "email": email, "tollfree": tollfree, "mobile": mobile, "origin": origin, "made_in": made_in, "ingredients": ingredients, "allergen": allergen, "brand": brand, "nutrition": nutrition, "usp": usp, "code": code, "digits": digits}
+    raw = {"mrp": mrp, "loose": loose, "q_anchor": q_anchor, "q_loose": q_loose, "lic": lic, "maker": maker, "packer": packer, "marketer": marketer, "importer": importer, "made": made, "before": before, "life": life, "batch": batch, "email": email, "tollfree": tollfree, "landline": landline, "abroad": abroad, "mobile": mobile, "origin": origin, "made_in": made_in, "ingredients": ingredients, "allergen": allergen, "brand": brand, "nutrition": nutrition, "usp": usp, "code": code, "digits": digits, "run": run}
     lines = lines_of(labels).select("label_id", "line", "content", *(c.alias(f"__{n}") for n, c in raw.items()))
-    mrp, loose, q_anchor, q_loose, lic, maker, packer, marketer, importer, made, before, life, batch, email, tollfree, mobile, origin, made_in, ingredients, allergen, brand, nutrition, usp, code, digits = (F.col(f"__{n}") for n in raw)
+    mrp, loose, q_anchor, q_loose, lic, maker, packer, marketer, importer, made, before, life, batch, email, tollfree, landline, abroad, mobile, origin, made_in, ingredients, allergen, brand, nutrition, usp, code, digits, run = (F.col(f"__{n}") for n in raw)
     rows = F.array(
         _candidate("mrp", mrp, C.repaired_price(mrp), 92, "anchored"),
         _candidate("mrp", F.when(mrp.isNull(), loose), F.when(mrp.isNull(), C.repaired_price(loose)), 85, "fallback"),
@@ -97,7 +104,9 @@ def candidates(labels: DataFrame) -> DataFrame:
         _candidate("batch_number", batch, batch, F.when(batch.rlike(r"\d"), 85.0).otherwise(65.0), "anchored"),
         _candidate("consumer_care_email", email, email, 95, "pattern"),
         _candidate("consumer_care_phone", tollfree, tollfree, 95, "toll-free"),
+        _candidate("consumer_care_phone", landline, landline, 93, "landline"),
         _candidate("consumer_care_phone", mobile, mobile, 92, "mobile"),
+        _candidate("consumer_care_phone", abroad, abroad, 90, "international"),
         _candidate("country_of_origin", origin, origin, 94, "declared"),
         _candidate("country_of_origin", F.when(origin.isNull(), made_in), F.when(origin.isNull(), F.when(F.upper(made_in).isin("USA", "UAE", "UK"), F.upper(made_in)).otherwise(F.initcap(made_in))), 90, "pattern"),
         _candidate("ingredients", ingredients, ingredients, 88, "header"),
@@ -107,6 +116,7 @@ def candidates(labels: DataFrame) -> DataFrame:
         _candidate("unit_sale_price", usp, usp, 90, "rate"),
         _candidate("barcode", code, code, 92, "labelled"),
         _candidate("barcode", F.when(code.isNull(), digits), F.when(code.isNull(), digits), 88, "prefix"),
+        _candidate("barcode", F.when(code.isNull() & digits.isNull(), run), F.when(code.isNull() & digits.isNull(), run), 90, "digits"),
         _candidate("product_name", F.when((F.col("line") == 0) & (F.size(F.split(x, " ")) <= 6), x), F.when((F.col("line") == 0) & (F.size(F.split(x, " ")) <= 6), x), F.least(F.lit(94.0), 70 + 0.3 * name_score(x, F.col("line"))), "phrase"),
     )
     return lines.select("label_id", F.col("line").alias("pos"), F.explode(rows).alias("c")).filter("c.value IS NOT NULL").select("label_id", "c.*", "pos")

@@ -136,6 +136,25 @@ def test_extraction_of_one_label(spark):
     assert (d.fssai_license, d.manufacturing_date, d.relative_shelf_life, d.consumer_care_phone) == ("10012345678901", "01/2024", "12 MONTHS FROM MANUFACTURE", "1800-123-4567")
 
 
+@pytest.mark.parametrize(
+    "line,field,value,confidence",
+    [
+        ("Customer care: 0120-2400286", "consumer_care_phone", "0120-2400286", 93.0),
+        ("Call us +91-98765 43210", "consumer_care_phone", "+91-98765 43210", 92.0),
+        ("+91 9876543210", "consumer_care_phone", "+91 9876543210", 90.0),
+        ("Toll Free 1800-10-22-221", "consumer_care_phone", "1800-10-22-221", 95.0),
+        ("UPC: 12345678", "barcode", "12345678", 92.0),
+        ("501234567890", "barcode", "501234567890", 90.0),
+        ("8901234567894", "barcode", "8901234567894", 88.0),
+        ("10012345678901", "barcode", None, None),
+        ("B 133123456789 x", "barcode", None, None),
+    ],
+)
+def test_contacts_and_codes(spark, line, field, value, confidence):
+    got = [(r.value, r.confidence) for r in extraction.best(extraction.candidates(labels(spark, "Name\n" + line))).filter(F.col("field") == field).collect()]
+    assert got == ([(value, confidence)] if value else [])
+
+
 def test_rules_of_one_label(spark):
     got = {r.rule_id: r.status for r in rules.evaluate(extraction.declarations(labels(spark, LABEL))).collect()}
     assert {k for k, v in got.items() if v == "PASS"} == {"LM-001", "LM-002", "LM-003", "LM-004", "LM-005", "LM-009", "FS-001", "FS-002", "FS-003", "FS-004", "FS-005"}
