@@ -145,7 +145,8 @@ class _Compared:
             side = lambda x: self.sets.select(F.col("set").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
             j = j.join(side("a"), "a").join(side("b"), "b").filter(_close("na", "nb")).filter(f"{same('sa', 'sb')} >= {LEAST_SAME}")
         now = stored(j.select("a", "b"))
-        keys = now.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(self.sets.select("set", "__key"), "set")
+        either = now.select(F.col("a").alias("set")).distinct().union(now.select("b").distinct()).distinct()
+        keys = either.join(self.sets.select("set", "__key"), "set")
         lists = stored(self.texts.join(bounded(keys), "__key").dropDuplicates(["set"]).select("set", "text").mapInArrow(_listed, "set long, h array<long>"))
         both = now.join(lists.toDF("a", "ha"), "a").join(lists.toDF("b", "hb"), "b")
         alike = both.filter(9 * F.size(F.array_intersect("ha", "hb")) >= 4 * (F.size("ha") + F.size("hb"))).select("a", "b")
