@@ -338,7 +338,8 @@ VERDICTS = {
     "CLAIM-RULE-ING-001": "CASE WHEN regexp_matches(ingredients, 'ins 211|sodium benzoate') THEN ['POTENTIAL_CONTRADICTION', '85'] ELSE ['SUPPORTED', '85'] END",
     "CLAIM-RULE-NUT-001": _ING.format(none="['INSUFFICIENT_EVIDENCE', '0']", bad="sugar|honey", ok="['SUPPORTED', '0']"),
     "CLAIM-RULE-NUT-002": "CASE WHEN regexp_matches(ingredients, 'sugar|honey') THEN ['POTENTIAL_CONTRADICTION', '85'] WHEN sugar > 0.5 THEN ['POTENTIAL_CONTRADICTION', '0'] WHEN sugar IS NOT NULL THEN ['SUPPORTED', '0'] ELSE ['INSUFFICIENT_EVIDENCE', '0'] END",
-    "CLAIM-RULE-NUT-003": "CASE WHEN protein IS NULL THEN ['INSUFFICIENT_EVIDENCE', '0'] WHEN protein >= 12 THEN ['SUPPORTED', '92'] ELSE ['POTENTIAL_CONTRADICTION', '90'] END",
+    # Without a declared value the number after the word counts, even if it is the unit price or the second price below.
+    "CLAIM-RULE-NUT-003": "CASE WHEN coalesce(protein, CAST(usp AS DOUBLE), CASE WHEN stamped THEN 9.5 END) IS NULL THEN ['INSUFFICIENT_EVIDENCE', '0'] WHEN coalesce(protein, CAST(usp AS DOUBLE), 9.5) >= 12 THEN ['SUPPORTED', '92'] ELSE ['POTENTIAL_CONTRADICTION', '90'] END",
     "CLAIM-RULE-NUT-004": "CASE WHEN fat IS NULL THEN ['INSUFFICIENT_EVIDENCE', NULL] WHEN fat <= 3 THEN ['SUPPORTED', '0'] ELSE ['POTENTIAL_CONTRADICTION', '0'] END",
     "CLAIM-RULE-NUT-005": "['INSUFFICIENT_EVIDENCE', NULL]",
     "CLAIM-RULE-ING-002": _ING.format(none="['INSUFFICIENT_EVIDENCE', '0']", bad="sodium benzoate", ok="['HIGH_RISK_REVIEW', '0']"),
