@@ -160,27 +160,60 @@ def version_summary(pairs: DataFrame, resolutions: DataFrame, risks: DataFrame,
     return j.select("version_a", "version_b", delta.alias("score_delta"), shift.alias("risk_shift"), *states, "critical_a", "critical_b", "missing_a", "missing_b", verdict.alias("verdict"))
 
 
+#: Severity of each field of a listing by what was found.
+LISTING_SEVERITY = {
+    "product_name": {"MISMATCH": "HIGH", "INSUFFICIENT_DATA": "MEDIUM"},
+    "net_quantity": {"MISMATCH": "CRITICAL", "INSUFFICIENT_DATA": "HIGH"},
+    "mrp": {"MISMATCH": "HIGH", "INSUFFICIENT_DATA": "HIGH"},
+    "manufacturer": {"MISMATCH": "HIGH", "INSUFFICIENT_DATA": "MEDIUM"},
+    "fssai_license": {"MISMATCH": "CRITICAL", "INSUFFICIENT_DATA": "HIGH"},
+    "country_of_origin": {"MISMATCH": "CRITICAL", "INSUFFICIENT_DATA": "HIGH"},
+}
+
+
 def package_vs_listing(package: DataFrame, listing: DataFrame) -> DataFrame:
-    """Six fields of package and listing: MATCH, MISMATCH or INSUFFICIENT_DATA; a listing price above the package's is CRITICAL."""
+    """Fields that the package declares against its listing: label_id, field, package, listing, result, severity.
+
+    MATCH, MISMATCH, or INSUFFICIENT_DATA where the listing has nothing. Names agree by a word
+    of three characters or more, makers by one of four letters; quantities and prices by their
+    first number to 0.01 (one without a number is compared as text, a quantity then differs);
+    a listing price above the package's is CRITICAL. A label without a listing has no row.
+    """
     j = package.join(listing.toDF(*(f"l_{c}" if c != "label_id" else c for c in listing.columns)), "label_id")
-    tokens = lambda c: F.split(C.entity_name(F.col(c)), " ")
-    share = lambda a, b: F.size(F.array_intersect(tokens(a), tokens(b))) > 0
-    near = lambda a, b: F.abs(a - b) <= 0.01
-    p, lp = C.price(F.col("mrp")).cast("double"), C.price(F.col("l_mrp")).cast("double")
-    q, lq = C.quantity_base(F.col("net_quantity")), C.quantity_base(F.col("l_net_quantity"))
+    tokens = lambda c, p: F.regexp_extract_all(F.lower(c), F.lit(rf"\b({p})\b"), 1)
+    share = lambda f, p: F.arrays_overlap(tokens(f, p), tokens(f"l_{f}", p))
+    number = lambda c: F.regexp_extract(c, r"(\d+(?:\.\d+)?)", 1).try_cast("double")
+    near = lambda f: F.abs(number(f) - number(f"l_{f}")) < 0.01
+    plain = lambda f: F.lower(f) == F.lower(f"l_{f}")
+    digits = lambda c: F.regexp_replace(c, r"\D", "")
+    prices = number("mrp").isNotNull() & number("l_mrp").isNotNull()
     tests = {
-        "product_name": share("product_name", "l_product_name"),
-        "net_quantity": near(q[0].cast("double"), lq[0].cast("double")) & (q[1] == lq[1]),
-        "mrp": near(p, lp),
-        "manufacturer": share("manufacturer", "l_manufacturer"),
-        "fssai_license": C.licence_digits(F.col("fssai_license")) == C.licence_digits(F.col("l_fssai_license")),
-        "country_of_origin": F.lower("country_of_origin") == F.lower("l_country_of_origin"),
+        "product_name": share("product_name", "[a-z0-9]{3,}"),
+        "net_quantity": F.coalesce(near("net_quantity"), F.lit(False)),
+        "mrp": F.when(prices, near("mrp")).otherwise(plain("mrp")),
+        "manufacturer": share("manufacturer", "[a-z]{4,}"),
+        "fssai_license": digits("fssai_license") == digits("l_fssai_license"),
+        "country_of_origin": plain("country_of_origin"),
     }
-    rows = [
-        F.struct(F.lit(f).alias("field"), F.col(f).alias("package"), F.col(f"l_{f}").alias("listing"), F.when(t.isNull(), "INSUFFICIENT_DATA").when(t, "MATCH").otherwise("MISMATCH").alias("result"), (F.coalesce(lp > p + 0.01, F.lit(False)) if f == "mrp" else F.lit(False)).alias("critical"))
-        for f, t in tests.items()
-    ]
-    return j.select("label_id", F.inline(F.array(*rows)))
+    known = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
+    rows = []
+    for f, t in tests.items():
+        result = F.when(~known(f"l_{f}"), "INSUFFICIENT_DATA").when(t, "MATCH").otherwise("MISMATCH")
+        level = F.when(result == "MATCH", "INFO")
+        if f == "mrp":
+            level = F.when(known("l_mrp") & ~prices, "MEDIUM").when(known("l_mrp") & (number("l_mrp") >= number("mrp") + 0.01), "CRITICAL").when(result == "MATCH", "INFO")
+        for state, severity in LISTING_SEVERITY[f].items():
+            level = level.when(result == state, severity)
+        row = F.struct(F.lit(f).alias("field"), F.trim(f).alias("package"), F.when(known(f"l_{f}"), F.trim(f"l_{f}")).alias("listing"), result.alias("result"), level.alias("severity"))
+        rows.append(F.when(known(f), row))
+    return j.select("label_id", F.inline(F.array_compact(F.array(*rows))))
+
+
+def listing_verdict(fields: DataFrame) -> DataFrame:
+    """Verdict and counts of each label's compared fields. fields: package_vs_listing."""
+    counts = {"matches": "MATCH", "mismatches": "MISMATCH", "insufficient": "INSUFFICIENT_DATA"}
+    n = fields.groupBy("label_id").agg(*(F.count_if(F.col("result") == v).alias(k) for k, v in counts.items()))
+    return n.select("label_id", F.when(F.col("mismatches") > 0, "MISMATCH_DETECTED").when(F.col("insufficient") > 0, "INSUFFICIENT_ONLINE_DATA").otherwise("COMPLIANT_MATCH").alias("verdict"), *counts)
 
 
 def lookup(keys: DataFrame, providers: list[DataFrame], key: str, valid: Column) -> DataFrame:

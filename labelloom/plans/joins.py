@@ -115,19 +115,51 @@ def f05(spark, d):
     return R.nutrient_diff(_label_pairs(spark, d, 1), E.nutrition_facts(frame(spark, d, "label_text")))
 
 
-@query("f07_package_vs_listing", """WITH l AS (SELECT *, CASE WHEN label_id % 5 = 0 THEN price * 2 ELSE price END AS l_price FROM label_truth),
-r AS (SELECT label_id, unnest([{'field': 'product_name', 'package': product_name, 'listing': product_name, 'result': 'MATCH', 'critical': false},
- {'field': 'net_quantity', 'package': CAST(amount AS VARCHAR) || ' ' || unit, 'listing': CAST(amount AS VARCHAR) || ' ' || unit, 'result': CASE WHEN amount IS NULL THEN 'INSUFFICIENT_DATA' ELSE 'MATCH' END, 'critical': false},
- {'field': 'mrp', 'package': CAST(price AS VARCHAR), 'listing': CAST(CAST(l_price AS DECIMAL(12,2)) AS VARCHAR), 'result': CASE WHEN price IS NULL THEN 'INSUFFICIENT_DATA' WHEN label_id % 5 = 0 THEN 'MISMATCH' ELSE 'MATCH' END, 'critical': price IS NOT NULL AND label_id % 5 = 0},
- {'field': 'manufacturer', 'package': maker, 'listing': maker, 'result': 'MATCH', 'critical': false},
- {'field': 'fssai_license', 'package': licence, 'listing': licence, 'result': CASE WHEN licence IS NULL THEN 'INSUFFICIENT_DATA' ELSE 'MATCH' END, 'critical': false},
- {'field': 'country_of_origin', 'package': origin, 'listing': 'India', 'result': CASE WHEN origin IS NULL THEN 'INSUFFICIENT_DATA' ELSE 'MATCH' END, 'critical': false}]) AS r FROM l) SELECT label_id, r.field AS field, r.package AS package, r.listing AS listing, r.result AS result, r.critical AS critical FROM r""", ("label_truth",))
-def f07(spark, d):
+#: The listing of a label: a fifth ask twice the price, a sixth leave the quantity out, others name another maker, licence or unit.
+LISTED = """l AS (SELECT label_id, product_name, CAST(amount AS VARCHAR) || ' ' || unit AS quantity, CAST(price AS VARCHAR) AS mrp, maker, licence, origin,
+  CASE WHEN label_id % 9 = 0 THEN 'Zz' ELSE product_name END AS l_product_name, CASE WHEN label_id % 6 <> 0 THEN CAST(CASE WHEN label_id % 7 = 0 THEN amount * 10 ELSE amount END AS VARCHAR) || ' ' || unit END AS l_quantity,
+  CASE WHEN label_id % 11 <> 0 THEN CAST(CAST(CASE WHEN label_id % 5 = 0 THEN price * 2 WHEN label_id % 5 = 1 THEN price / 2 ELSE price END AS DECIMAL(12,2)) AS VARCHAR) END AS l_mrp,
+  CASE WHEN label_id % 13 = 0 THEN 'Zzyzx Qwk' ELSE maker END AS l_maker, CASE WHEN label_id % 8 = 0 THEN reverse(licence) WHEN label_id % 8 <> 1 THEN licence END AS l_licence, CASE WHEN label_id % 10 <> 0 THEN 'INDIA' END AS l_origin FROM label_truth),
+v AS (SELECT label_id, unnest([
+ {'field': 'product_name', 'package': product_name, 'listing': l_product_name, 'same': label_id % 9 <> 0, 'high': 'HIGH', 'none': 'MEDIUM'},
+ {'field': 'net_quantity', 'package': quantity, 'listing': l_quantity, 'same': label_id % 7 <> 0, 'high': 'CRITICAL', 'none': 'HIGH'},
+ {'field': 'mrp', 'package': mrp, 'listing': l_mrp, 'same': abs(CAST(mrp AS DOUBLE) - CAST(l_mrp AS DOUBLE)) < 0.01, 'high': CASE WHEN label_id % 5 = 0 THEN 'CRITICAL' ELSE 'HIGH' END, 'none': 'HIGH'},
+ {'field': 'manufacturer', 'package': maker, 'listing': l_maker, 'same': label_id % 13 <> 0, 'high': 'HIGH', 'none': 'MEDIUM'},
+ {'field': 'fssai_license', 'package': licence, 'listing': l_licence, 'same': licence = l_licence, 'high': 'CRITICAL', 'none': 'HIGH'},
+ {'field': 'country_of_origin', 'package': origin, 'listing': l_origin, 'same': lower(origin) = 'india', 'high': 'CRITICAL', 'none': 'HIGH'}]) AS v FROM l),
+r AS (SELECT label_id, v.field AS field, v.package AS package, v.listing AS listing, CASE WHEN v.listing IS NULL THEN 'INSUFFICIENT_DATA' WHEN v.same THEN 'MATCH' ELSE 'MISMATCH' END AS result,
+ CASE WHEN v.listing IS NULL THEN v.none WHEN v.same THEN 'INFO' ELSE v.high END AS severity FROM v WHERE v.package IS NOT NULL)"""
+
+
+def _listed(spark, d):
     own = _as_declared(_truth(spark, d)).select("label_id", "product_name", "net_quantity", "mrp", "manufacturer", "fssai_license", "country_of_origin")
-    listing = own.withColumns({"mrp": F.when(F.col("label_id") % 5 == 0, (F.col("mrp").cast("decimal(12,2)") * 2).cast("decimal(12,2)").cast("string")).otherwise(F.col("mrp")), "country_of_origin": F.lit("India")})
+    n = lambda k, r=0: F.col("label_id") % k == r
+    price = F.col("mrp").cast("decimal(12,2)")
+    amount, unit = F.split("net_quantity", " ")[0], F.split("net_quantity", " ")[1]
+    listing = own.withColumns(
+        {
+            "product_name": F.when(n(9), "Zz").otherwise(F.col("product_name")),
+            "net_quantity": F.when(~n(6), F.concat(F.when(n(7), (amount.cast("int") * 10).cast("string")).otherwise(amount), F.lit(" "), unit)),
+            "mrp": F.when(~n(11), F.when(n(5), price * 2).when(n(5, 1), price / 2).otherwise(price).cast("decimal(12,2)").cast("string")),
+            "manufacturer": F.when(n(13), "Zzyzx Qwk").otherwise(F.col("manufacturer")),
+            "fssai_license": F.when(n(8), F.reverse("fssai_license")).when(~n(8, 1), F.col("fssai_license")),
+            "country_of_origin": F.when(~n(10), "INDIA"),
+        }
+    )
     return R.package_vs_listing(own, listing)
 
 
+@query("f07_package_vs_listing", f"WITH {LISTED} SELECT * FROM r", ("label_truth",))
+def f07(spark, d):
+    return _listed(spark, d)
+
+
+@query("f07_listing_verdict", f"""WITH {LISTED}, n AS (SELECT label_id, count(*) FILTER (result = 'MATCH') AS matches, count(*) FILTER (result = 'MISMATCH') AS mismatches, count(*) FILTER (result = 'INSUFFICIENT_DATA') AS insufficient FROM r GROUP BY 1)
+SELECT *, CASE WHEN mismatches > 0 THEN 'MISMATCH_DETECTED' WHEN insufficient > 0 THEN 'INSUFFICIENT_ONLINE_DATA' ELSE 'COMPLIANT_MATCH' END AS verdict FROM n""", ("label_truth",))
+def f07_verdict(spark, d):
+    return R.listing_verdict(_listed(spark, d))
+
+
 def _licences(spark, d, every: int):
     t = _truth(spark, d).filter(f"licence IS NOT NULL AND supplier_id % {every} = 0")
     return t.select(F.col("licence").alias("fssai_license"), F.col("maker").alias("record")).distinct()
