@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from labelloom.llm import chat, decontaminate, langid, mixing, quality, scoring, sharding, simhash, substrings, tokens
+from labelloom.llm import audit, bpe, chat, decontaminate, langid, mixing, quality, scoring, sharding, simhash, substrings, tokens, whitening
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_source_mixing": mixing.op8_source_mixing,
     "op9_sharding": sharding.op9_sharding,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
+    "op11_filter_audit": audit.op11_filter_audit,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
+    "op13_byte_bpe": bpe.op13_byte_bpe,
 }
 
 SQL = {
@@ -24,4 +27,5 @@ SQL = {
     "op6_quality_rules": quality.OP6_SQL,
     "op8_source_mixing": mixing.OP8_SQL,
     "op9_sharding": sharding.OP9_SQL,
+    "op11_filter_audit": audit.OP11_SQL,
 }
