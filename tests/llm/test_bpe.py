@@ -55,7 +55,7 @@ def test_long_pieces(own, library, make):
 
 def test_leftmost_lowest_pair():
     ranks = {bytes([c]): c for c in range(256)} | {b"ab": 300, b"ba": 299, b"aa": 301, b"aba": 302, b"aab": 303}
-    assert bpe.merged(b"aba", ranks) == [302] and bpe.merged(b"abab", ranks) == [97, 299, 98]
+    assert bpe.merged(b"aba", ranks) == [302] and bpe.merged(b"abab", ranks) == [302, 98]
     assert bpe.merged(b"aaa", ranks) == [301, 97]  # the leftmost of equal ranks
 
 
