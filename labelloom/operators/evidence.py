@@ -5,40 +5,20 @@ words: label_id, line, pos, word, x, y, w, h, confidence; (line, pos) is the rea
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelloom.functions import columns as C
 from labelloom.operators.common import small
+from labelloom.operators.locate import box, geometry, reading, same, spans, starts, stripped, target_keys, text_of, word_keys
+from labelloom.sources.shared import stored
 
 BOX = ("x", "y", "right", "bottom")
 
 
-def stripped(c: Column) -> Column:
-    """Lower case without anything but letters, digits and underscores of any script."""
-    return F.regexp_replace(F.lower(c), r"(?U)[^\w]", "")
-
-
-def _same(a: Column, b: Column) -> Column:
-    """Whether a stripped word matches a stripped target."""
-    stem = (
-        ((b == "mrp") & a.startswith("mrp"))
-        | (b.isin("mfg", "mfd") & (a.startswith("mfg") | a.startswith("mfd")))
-        | (b.isin("exp", "expiry") & a.startswith("exp"))
-        | (b.startswith("ingredient") & (a.startswith("ingred") | a.startswith("inored")))
-        | ((b == "usp") & (a.startswith("usp") | a.contains("saleprice")))
-    )
-    na, nb = F.length(a), F.length(b)
-    part = (na > 3) & (nb > 3) & F.when(a.contains(b), nb >= 0.5 * na).otherwise(b.contains(a) & (na >= 0.7 * nb))
-    return (a != "") & (b != "") & ((a == b) | stem | part)
-
-
-def token_matches(word: Column, target: Column) -> Column:
-    """Equal after stripping, or by a stem; up to three characters only so; else one holds the other with enough of its length."""
-    return _same(stripped(word), stripped(target))
-
-
 def union_box() -> list[Column]:
     """Aggregates for the box around words or boxes x, y, w, h."""
     return [F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("right"), F.max(F.col("y") + F.col("h")).alias("bottom")]
@@ -47,95 +27,12 @@ def union_box() -> list[Column]:
 def provenance(values: DataFrame, words: DataFrame) -> DataFrame:
     """Per label and field the words that show its value, and the box around them. values: label_id, field, value."""
     tokens = values.select("label_id", "field", F.explode(F.array_distinct(F.transform(F.split("value", r"\s+"), stripped))).alias("token")).filter("token <> ''")
-    own = words.withColumn("s", stripped(F.col("word")))
-    j = own.join(tokens, (own["label_id"] == tokens["label_id"]) & _same(F.col("s"), F.col("token"))).select(own["*"], "field", "token")
+    own = words.select("label_id", "line", "pos", "x", "y", "w", "h", stripped(F.col("word")).alias("s")).withColumn("key", F.explode(word_keys(F.col("s"))))
+    j = own.join(tokens.withColumn("key", F.explode(target_keys(F.col("token")))), ["label_id", "key"]).filter(same(F.col("s"), F.col("token")))
     first = j.groupBy("label_id", "field", "token").agg(F.min_by(F.struct("x", "y", "w", "h"), F.struct("line", "pos")).alias("b"))
     return first.select("label_id", "field", "b.*").groupBy("label_id", "field").agg(F.count("*").alias("n"), *union_box())
 
 
-#: Words after a start that a sequence may reach.
-REACH = 15
-
-
-def sequences(words: DataFrame, phrases: DataFrame, gap: int = 2) -> DataFrame:
-    """The first place of each label where words match a phrase's targets in order.
-
-    phrases: key columns and targets (array of words); with label_id, for that label only, else for all.
-    The next word may stand on the same or the next line, 1.8 heights below and 3.5
-    heights further at most; ``gap`` words may be skipped; two matches are enough.
-    Gives the phrases' columns, label_id, line, pos, n_words, box and the least confidence.
-    """
-    keys = [c for c in phrases.columns if c not in ("label_id", "targets")]
-    t = phrases.withColumn("t", F.filter(F.transform("targets", stripped), lambda x: x != "")).drop("targets").filter("size(t) > 0")
-    w = W.partitionBy("label_id").orderBy("line", "pos")
-    word = F.struct(stripped(F.col("word")).alias("s"), "x", "y", "w", "h", "confidence")
-    near = words.select("label_id", "line", "pos", word.alias("at")).withColumn("near", F.collect_list("at").over(w.rowsBetween(1, REACH)))
-    hit = _same(F.col("at.s"), F.get("t", F.lit(0)))
-    if "label_id" in phrases.columns:
-        starts = near.join(t.withColumnRenamed("label_id", "__label"), (F.col("label_id") == F.col("__label")) & hit).drop("__label")
-    else:
-        starts = near.join(small(t), hit)
-    at = F.col("at")
-    begin = F.struct(
-        F.lit(1).alias("n"), F.lit(0).alias("off"), F.lit(True).alias("live"), (at["x"] + at["w"]).alias("px"), (at["y"] + at["h"] / 2).alias("py"), at["h"].alias("ph"),
-        at["x"].alias("x"), at["y"].alias("y"), (at["x"] + at["w"]).alias("right"), (at["y"] + at["h"]).alias("bottom"), at["confidence"].alias("confidence"),
-    )
-
-    def step(s: Column, v: Column) -> Column:
-        tall, off = F.greatest(s["ph"], F.lit(10)), s["off"] + 1
-        go = s["live"] & (s["n"] < F.size("t"))
-        close = (F.abs(v["y"] + v["h"] / 2 - s["py"]) <= 1.8 * tall) & (v["x"] - s["px"] <= 3.5 * tall)
-        take = go & close & _same(v["s"], F.get("t", s["n"]))
-        live = s["live"] & (take | ~go | (close & (s["n"] + gap > off)))
-        pick = lambda name, new: F.when(take, new).otherwise(s[name]).alias(name)
-        return F.struct(
-            pick("n", s["n"] + 1), off.alias("off"), live.alias("live"), pick("px", v["x"] + v["w"]), pick("py", v["y"] + v["h"] / 2), pick("ph", v["h"]),
-            pick("x", F.least(s["x"], v["x"])), pick("y", F.least(s["y"], v["y"])), pick("right", F.greatest(s["right"], v["x"] + v["w"])), pick("bottom", F.greatest(s["bottom"], v["y"] + v["h"])), pick("confidence", F.least(s["confidence"], v["confidence"])),
-        )
-
-    found = starts.withColumn("m", F.aggregate("near", begin, step)).filter(F.col("m.n") >= F.least(F.size("t"), F.lit(2)))
-    row = F.struct("line", "pos", F.col("m.n").alias("n_words"), *(F.col(f"m.{c}").alias(c) for c in BOX), F.col("m.confidence").alias("confidence"))
-    return found.groupBy("label_id", *keys).agg(F.min_by(row, F.struct("line", "pos")).alias("b")).select("label_id", *keys, "b.*")
-
-
-def _around(words: DataFrame, anchors: DataFrame, inside: Column) -> DataFrame:
-    """Words of each label's first word that matches an anchor (a.*) for which ``inside`` holds."""
-    keys = [c for c in anchors.columns if c not in ("label_id", "target")]
-    own, t = words.withColumn("s", stripped(F.col("word"))), anchors.withColumn("target", stripped(F.col("target")))
-    hit = _same(F.col("s"), F.col("target"))
-    if "label_id" in anchors.columns:
-        hits = own.join(t.withColumnRenamed("label_id", "__label"), (F.col("label_id") == F.col("__label")) & hit)
-    else:
-        hits = own.join(small(t), hit)
-    first = hits.groupBy("label_id", *keys).agg(F.min_by(F.struct("line", "pos", "x", "y", "w", F.greatest("h", F.lit(10)).alias("tall"), "h"), F.struct("line", "pos")).alias("a"))
-    return words.join(first, "label_id").filter(inside)
-
-
-def _gathered(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), "x", "pos", "word"))), lambda v: v["word"]), " ")
-    return rows.groupBy("label_id", *keys).agg(F.min("a.line").alias("line"), F.min("a.pos").alias("pos"), F.count("*").alias("n_words"), *union_box(), F.min("confidence").alias("confidence"), text.alias("text"))
-
-
-def same_line(words: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Words of each anchor's line, within 0.6 of its height, left to right. anchors: key columns and target, with label_id for that label only."""
-    keys = [c for c in anchors.columns if c not in ("label_id", "target")]
-    middle = lambda y, h: F.col(y) + F.col(h) / 2
-    return _gathered(_around(words, anchors, F.abs(middle("y", "h") - middle("a.y", "a.h")) <= 0.6 * F.col("a.tall")), keys, F.lit(0))
-
-
-def cluster(words: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Words around and below each anchor. anchors: key columns, target, below (lines) and width (pixels)."""
-    keys = [c for c in anchors.columns if c not in ("label_id", "target")]
-    tall = F.col("a.tall")
-    inside = (
-        (F.col("y") >= F.col("a.y") - 0.5 * tall)
-        & (F.col("y") + F.col("h") <= F.col("a.y") + F.col("a.h") + tall * (F.col("below") + 1.2))
-        & (F.col("x") >= F.greatest(F.lit(0), F.col("a.x") - 50))
-        & (F.col("x") + F.col("w") <= F.col("a.x") + F.col("width"))
-    )
-    return _gathered(_around(words, anchors, inside), keys, F.floor(F.col("y") / (0.8 * tall)))
-
-
 #: Where each rule's evidence is looked for after the declared value, in order: rule, kind, words, lines below, width.
 ANCHORS = (
     ("LM-001", "SEQUENCE", "manufactured by", 0, 0), ("LM-001", "SEQUENCE", "mfg by", 0, 0), ("LM-001", "SEQUENCE", "marketed by", 0, 0), ("LM-001", "SEQUENCE", "mktd by", 0, 0),
@@ -155,55 +52,100 @@ TABLE_LINE = ("energy", "protein", "carbohydrate", "carbohydrates", "fat", "fats
 PRICE_LINE = ("mrp", "rs", "₹", "inr", "taxes", "incl", "price")
 
 
+#: Words that a maker's handle is split at, and how a rate looks in a line.
+HANDLE_WORDS = ("health", "foods", "food", "snacks", "snack", "beverages", "beverage", "products", "product", "india", "pvt", "ltd", "limited", "care", "organics", "organic", "naturals", "natural", "agro", "consumer", "industries", "industry", "nutrition", "kitchen", "mills")
+RATE = r"(?:₹|rs\.?|inr|\d+\.?\d*)\s*(?:/|per)\s*(?:g|kg|100g|ml|l)\b"
+#: A box taller than this many pixels is no single declaration, but for the rules whose evidence is a panel.
+TALLEST, PANELS = 350, ("FS-003", "FS-004")
+ANCHOR = "rule_id string, item string, ord int, kind string, targets array<string>, below int, width int"
+
+
 def anchors(spark) -> DataFrame:
-    """rule_id, ord (from 100 on), kind, phrase, below, width."""
-    return spark.createDataFrame([(r, 100 + i, *rest) for i, (r, *rest) in enumerate(ANCHORS)], "rule_id string, ord int, kind string, phrase string, below int, width int")
+    """The anchors of all rules that hold for every label: rule_id, item, ord (from 100 on), kind, targets, below, width."""
+    item = lambda rule: "header" if rule == "LM-005" else "main"
+    return spark.createDataFrame([(r, item(r), 100 + i, kind, words.split(" "), *rest) for i, (r, kind, words, *rest) in enumerate(ANCHORS)], ANCHOR)
+
+
+def handle_words(handle: Column) -> Column:
+    """The parts of a name written as one word, cut at known words; those of three letters or more."""
+    low = F.lower(F.regexp_replace(handle, r"[^a-zA-Z]", ""))
+
+    def cut(s: Column, w: Column) -> Column:
+        at = F.position(w, s["rest"])
+        hit = (at > 0) & (F.length(s["rest"]) > F.length(w))
+        parts = F.concat(s["parts"], F.when(at > 1, F.array(s["rest"].substr(F.lit(1), at - 1))).otherwise(F.array().cast("array<string>")), F.array(w))
+        return F.struct(F.when(hit, parts).otherwise(s["parts"]).alias("parts"), F.when(hit, s["rest"].substr(at + F.length(w), F.length(s["rest"]))).otherwise(s["rest"]).alias("rest"))
+
+    begin = F.struct(F.array().cast("array<string>").alias("parts"), low.alias("rest"))
+    parts = F.aggregate(F.array(*map(F.lit, HANDLE_WORDS)), begin, cut, lambda s: F.concat(s["parts"], F.array(s["rest"])))
+    return F.when(F.length(low) < 6, F.array(low)).otherwise(F.filter(parts, lambda x: F.length(x) >= 3))
 
 
 def value_anchors(d: DataFrame) -> DataFrame:
-    """What the declared values of each label are looked for by: label_id, rule_id, ord, kind, targets. d: declarations."""
+    """What the declared values of each label are looked for by: label_id and the columns of anchors. d: declarations, with manufacturer_address if known."""
     tokens = lambda c, least: F.filter(F.transform(F.split(F.col(c), r"\s+"), lambda x: F.regexp_replace(x, r"^[.,:\- ]+|[.,:\- ]+$", "")), lambda x: F.length(x) >= least)
     number, unit = F.regexp_extract("net_quantity", r"(\d+(?:\.\d+)?)", 1), F.regexp_extract("net_quantity", r"\d+(?:\.\d+)?\s*([a-zA-Z]+)", 1)
     one = lambda c: F.when(c.isNotNull() & (c != ""), F.array(c))
-    a = lambda rule, at, kind, targets: F.struct(F.lit(rule).alias("rule_id"), F.lit(at).alias("ord"), F.lit(kind).alias("kind"), targets.alias("targets"))
+    a = lambda rule, item, at, kind, targets: F.struct(F.lit(rule).alias("rule_id"), F.lit(item).alias("item"), F.lit(at).alias("ord"), F.lit(kind).alias("kind"), targets.alias("targets"))
     phone, email = F.col("consumer_care_phone"), F.col("consumer_care_email")
     digits = F.regexp_replace(phone, r"\D", "")
     date = F.regexp_replace("best_before", r"[^\d/.\-]", "")
+    handle = handle_words(F.col("manufacturer"))
+    if "manufacturer_address" not in d.columns:
+        d = d.withColumn("manufacturer_address", F.lit(None).cast("string"))
     rows = F.array(
-        a("LM-001", 0, "SEQUENCE", F.slice(tokens("manufacturer", 3), 1, 4)),
-        a("LM-002", 0, "SEQUENCE", tokens("product_name", 3)), a("LM-002", 1, "SEQUENCE", one(F.col("brand"))),
-        a("FS-002", 0, "SEQUENCE", tokens("product_name", 3)), a("FS-002", 1, "SEQUENCE", one(F.col("brand"))),
-        a("LM-003", 200, "SEQUENCE", F.when(unit != "", F.array(number, unit))), a("LM-003", 201, "LINE", F.when(unit != "", F.array(F.concat(number, unit)))), a("LM-003", 202, "LINE", one(number)),
-        a("LM-004", 0, "LINE", one(F.regexp_extract("mrp", r"(\d+)", 1))),
-        a("LM-005", 0, "LINE", one(phone)), a("LM-005", 1, "LINE", F.when(F.length(digits) >= 6, F.array(F.right(digits, F.lit(6))))),
-        a("LM-005", 2, "LINE", one(email)), a("LM-005", 3, "LINE", one(F.substring_index(email, "@", 1))),
-        a("FS-001", 0, "LINE", one(F.col("fssai_license"))),
-        a("FS-005", 0, "LINE", F.when(F.length(date) >= 5, F.array(date))),
+        a("LM-001", "main", 0, "SEQUENCE", F.slice(tokens("manufacturer", 3), 1, 4)),
+        a("LM-001", "main", 1, "SEQUENCE", F.when((F.size(F.split(F.trim("manufacturer"), r"\s+")) == 1) & (F.size(handle) >= 2), handle)),
+        a("LM-001", "second", 0, "SEQUENCE", F.slice(tokens("manufacturer_address", 4), 1, 3)),
+        a("LM-002", "main", 0, "SEQUENCE", tokens("product_name", 3)), a("LM-002", "main", 1, "SEQUENCE", one(F.col("brand"))),
+        a("FS-002", "main", 0, "SEQUENCE", tokens("product_name", 3)), a("FS-002", "main", 1, "SEQUENCE", one(F.col("brand"))),
+        a("LM-003", "main", 200, "SEQUENCE", F.when(unit != "", F.array(number, unit))), a("LM-003", "main", 201, "LINE", F.when(unit != "", F.array(F.concat(number, unit)))), a("LM-003", "main", 202, "LINE", one(number)),
+        a("LM-004", "declared", 0, "LINE", one(F.regexp_extract("mrp", r"(\d+)", 1))),
+        a("LM-005", "declared", 0, "LINE", one(phone)), a("LM-005", "declared", 1, "LINE", F.when(F.length(digits) >= 6, F.array(F.right(digits, F.lit(6))))),
+        a("LM-005", "email", 2, "LINE", one(email)), a("LM-005", "email", 3, "LINE", one(F.substring_index(email, "@", 1))),
+        a("FS-001", "main", 0, "LINE", one(F.col("fssai_license"))),
+        a("FS-005", "main", 0, "LINE", F.when(F.length(date) >= 5, F.array(date))),
     )
-    return d.select("label_id", F.explode(rows).alias("a")).select("label_id", "a.*").filter("size(targets) > 0")
+    return d.select("label_id", F.explode(rows).alias("a")).select("label_id", "a.*", F.lit(0).alias("below"), F.lit(0).alias("width")).filter("size(targets) > 0")
 
 
 def evidence_choice(words: DataFrame, values: DataFrame, checks: DataFrame) -> DataFrame:
-    """The evidence of each check: the first way that finds words for its rule, or a default without a box.
+    """The evidence items of each check: what the first anchor that is met shows, or a default without a box.
 
-    values: value_anchors; checks: label_id, rule_id, status. Gives method, evidence status,
-    place, box, least confidence, quality, reliability and its tier.
+    values: value_anchors; checks: label_id, rule_id, status, value. Items (from 1): of a maker also the address
+    if it stands elsewhere; of consumer care telephone and e-mail, or a heading if neither is found. A price counts in
+    a line that says so, else its heading; a quantity or contact not in a nutrition table; a unit price is told
+    by the numbers of its line. Gives method, evidence status, geometry, text, box, least confidence, quality, reliability
+    and tier.
     """
-    fixed = anchors(words.sparkSession)
-    place = ("label_id", "rule_id", "ord", "line", "pos", "n_words", *BOX, "confidence")
-    phrase = fixed.withColumn("targets", F.split("phrase", " "))
-    runs = sequences(words, phrase.filter("kind = 'SEQUENCE'").select("rule_id", "ord", "targets")).unionByName(sequences(words, values.filter("kind = 'SEQUENCE'").select("label_id", "rule_id", "ord", "targets")))
-    lines = same_line(words, fixed.filter("kind = 'LINE'").select("rule_id", "ord", F.col("phrase").alias("target"))).unionByName(same_line(words, values.filter("kind = 'LINE'").select("label_id", "rule_id", "ord", F.get("targets", F.lit(0)).alias("target"))))
-    near = cluster(words, fixed.filter("kind = 'CLUSTER'").select("rule_id", "ord", F.col("phrase").alias("target"), "below", "width"))
-    has = lambda some: F.exists(F.array(*map(F.lit, some)), lambda k: F.lower(F.coalesce("text", F.lit(""))).contains(k))
-    wrong = (F.col("rule_id").isin("LM-003", "LM-005") & has(TABLE_LINE)) | ((F.col("rule_id") == "LM-004") & (F.col("ord") == 0) & ~has(PRICE_LINE))
-    found = runs.select(*place).unionByName(lines.filter(~wrong).select(*place)).unionByName(near.select(*place))
-    best = found.groupBy("label_id", "rule_id").agg(F.min_by(F.struct(*place[2:]), "ord").alias("b"))
-    j = checks.select("label_id", "rule_id", "status").join(best, ["label_id", "rule_id"], "left")
-    rule, status, n, at = F.col("rule_id"), F.col("status"), F.col("b.n_words"), F.col("b.ord")
+    read = stored(reading(words))
+    found = starts(read, anchors(words.sparkSession)).unionByName(starts(read, values))
+    s = spans(read, found, ("rule_id", "item"))
+    rule, item = F.col("rule_id"), F.col("item")
+    has = lambda text, some: F.lower(text).rlike("|".join(map(re.escape, some)))
+    unit = rule == "LM-007"
+    rank = F.when(item == "declared", 0).when(item.isin("email", "main"), 1).otherwise(2)
+    place = [*BOX, "n_words", "confidence"]
+    text = text_of(F.col("got"))
+    wrong = F.when(rule.isin("LM-003", "LM-005"), has(text, TABLE_LINE)).when((rule == "LM-004") & (item == "declared"), ~has(text, PRICE_LINE)).otherwise(False)
+    e = F.struct(
+        rank.alias("rank"), "item", text.alias("text"), wrong.alias("wrong"), geometry(F.col("got")).alias("geometry"), F.struct(*box(F.col("got"))).alias("own"),
+        F.when(unit, F.lower(text_of(F.col("beside"))).rlike(RATE)).alias("rate"), F.when(unit, F.struct(*box(F.col("beside")))).alias("wide"),
+    )
+    # What is wrong is left out after the rows are grouped: a filter before would be pushed below and its text computed again.
+    grouped = s.select("label_id", "rule_id", e.alias("e")).groupBy("label_id", "rule_id").agg(F.sort_array(F.collect_list("e")).alias("e"))
+    items = grouped.select("label_id", "rule_id", F.filter("e", lambda x: ~x["wrong"]).alias("e"))
+    same_box = lambda a, b: F.forall(F.array(*(a["own"][c] == b["own"][c] for c in BOX)), lambda x: x)
+    first = F.col("e")[0]
+    kept = F.filter("e", lambda x, i: (i == 0) | F.when(rule == "LM-004", False).when(rule == "LM-005", x["item"] != "header").when(x["item"] == "second", ~same_box(x, first)).otherwise(True))
+    j = checks.select("label_id", "rule_id", "status", "value").join(items.select("label_id", "rule_id", kept.alias("e")), ["label_id", "rule_id"], "left")
+    j = j.select("label_id", "rule_id", "status", "value", F.posexplode_outer("e").alias("k", "e"))
+    status, none = F.col("status"), F.col("e").isNull()
+    numeric = unit & (F.col("e.rate") | ((status == "PASS") & F.col("value").isNotNull()))
+    j = j.withColumn("b", F.when(numeric, F.col("e.wide")).otherwise(F.col("e.own")))
+    n, rule_item = F.col("b.n_words"), F.col("e.item")
+    context = ((rule == "LM-004") & (rule_item == "main")) | (rule_item == "header") | (unit & ~numeric)
     several = F.when(n > 1, "MULTI_TOKEN_OCR").otherwise("DIRECT_OCR")
-    context = ((rule == "LM-004") & (at >= 100)) | ((rule == "LM-005") & (at >= 100)) | ((rule == "LM-007") & (status != "PASS"))
-    none = F.col("b").isNull() | (rule == "LM-009") | ((rule == "LM-008") & (status == "NOT_APPLICABLE"))
     method = (
         F.when(rule == "LM-009", "NONE")
         .when(none, F.when(status == "NEEDS_REVIEW", "SEMANTIC_PANEL").when(status == "PASS", "TOKEN_SEQUENCE").otherwise("NONE"))
@@ -214,19 +156,24 @@ def evidence_choice(words: DataFrame, values: DataFrame, checks: DataFrame) -> D
         .otherwise("DIRECT_OCR")
     )
     default = F.when(status.isin("NOT_APPLICABLE", "NEEDS_REVIEW"), status).when(status == "PASS", "VERIFIED").otherwise("UNAVAILABLE")
-    large = (F.col("b.bottom") - F.col("b.y") > 350) & ~rule.isin("FS-003", "FS-004")
     state = (
         F.when(rule == "LM-009", "VERIFIED")
         .when(none, default)
-        .when(large, "NEEDS_REVIEW")
-        .when(context, "CONTEXTUAL")
+        .when(context | (unit & (status != "PASS")), "CONTEXTUAL")
         .when(rule.isin("LM-001", "LM-002", "FS-002"), F.when(status == "PASS", "VERIFIED").otherwise("NEEDS_REVIEW"))
         .when((rule == "FS-005") & (status == "NEEDS_REVIEW"), "NEEDS_REVIEW")
         .otherwise("VERIFIED")
     )
-    out = j.select("label_id", "rule_id", "status", method.alias("method"), state.alias("evidence_status"), *(F.when(~none, F.col(f"b.{c}")).alias(c) for c in place[3:-1]), F.when(none, 0.0).otherwise(F.round(F.col("b.confidence").cast("double"), 1)).alias("confidence"))
+    leading = F.coalesce(F.col("k"), F.lit(0)) == 0
+    bad = leading & ~none & ((F.col("b.x") < 0) | (F.col("b.y") < 0) | (F.col("b.x") >= F.col("b.right")) | (F.col("b.y") >= F.col("b.bottom")))
+    large = leading & ~none & (F.col("b.bottom") - F.col("b.y") > TALLEST) & ~rule.isin(*PANELS)
+    shape = F.when(none, "NONE").when(rule == "LM-005", "LINE").when(rule.isin("LM-003", "LM-006"), F.when(F.col("e.own.n_words") > 1, "LINE").otherwise("TOKEN")).otherwise(F.col("e.geometry"))
+    confidence = F.when(none, 0.0).otherwise(F.round(F.col("b.confidence").cast("double"), 1))
+    out = j.select("label_id", "rule_id", (F.coalesce("k", F.lit(0)) + 1).alias("item"), "status", method.alias("__method"), state.alias("__state"), shape.alias("geometry"), F.coalesce("e.text", "value").alias("text"), *(F.when(~bad, F.col(f"b.{c}")).alias(c) for c in place[:-1]), confidence.alias("confidence"), bad.alias("__bad"), large.alias("__large"))
+    quality = C.quality_score(F.col("__method"), F.col("confidence"), F.col("__state"))
+    out = out.withColumn("quality", quality).withColumn("evidence_status", F.when(F.col("__bad") | F.col("__large"), "NEEDS_REVIEW").otherwise(F.col("__state"))).withColumn("method", F.when(F.col("__bad"), "SEMANTIC_PANEL").otherwise(F.col("__method")))
     score, tier = C.reliability(F.col("method"), F.col("confidence"), F.col("evidence_status"))
-    return out.select("*", C.quality_score(F.col("method"), F.col("confidence"), F.col("evidence_status")).alias("quality"), score.alias("reliability"), tier.alias("tier"))
+    return out.select("label_id", "rule_id", "item", "status", "method", "evidence_status", "geometry", "text", "n_words", *BOX, "confidence", "quality", score.alias("reliability"), tier.alias("tier"))
 
 
 #: Keywords of semantic regions; the first of a region that a run of one to four words holds counts.

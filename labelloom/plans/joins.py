@@ -9,6 +9,7 @@ from labelloom.operators import claims as K
 from labelloom.operators import evidence as V
 from labelloom.operators import extraction as E
 from labelloom.operators import jobs as J
+from labelloom.operators import locate as LO
 from labelloom.operators import reconcile as R
 from labelloom.operators import rules as RU
 from labelloom.operators import scoring as S
@@ -518,7 +519,7 @@ UNION ALL SELECT label_id, 'best', line, pos, CAST(2 AS INT) FROM words WHERE wo
 UNION ALL SELECT label_id, 'best', min(line), 1, CAST(2 AS INT) FROM words WHERE word = 'Best' AND label_id IN (SELECT label_id FROM label_truth WHERE best_before IS NOT NULL OR has_life) AND label_id % 26 IN (17, 24) GROUP BY 1""", ("words", "label_truth"))
 def g08(spark, d):
     phrases = spark.createDataFrame([("origin", ["country", "of", "origin"]), ("care", ["customer", "care"]), ("best", ["best", "before"])], "phrase string, targets array<string>")
-    return V.sequences(frame(spark, d, "words"), phrases).select("label_id", "phrase", "line", "pos", "n_words")
+    return LO.sequences(frame(spark, d, "words"), phrases).select("label_id", "phrase", "line", "pos", "n_words")
 
 
 @query("g09_same_line", """WITH l AS (SELECT label_id, 'mrp' AS target, string_agg(word, ' ' ORDER BY x, pos) AS text FROM words WHERE line = 3 GROUP BY 1 UNION ALL SELECT w.label_id, 'fssai', string_agg(word, ' ' ORDER BY x, pos) FROM words w JOIN label_truth t ON w.label_id = t.label_id AND licence IS NOT NULL WHERE line = 6 GROUP BY 1),
@@ -526,33 +527,11 @@ c AS (SELECT w.label_id, 'below' AS target, string_agg(w.word, ' ' ORDER BY floo
   WHERE w.y >= a.y - 0.5 * a.h AND w.y + w.h <= a.y + a.h + a.h * 3.2 AND w.x >= greatest(0, a.x - 50) AND w.x + w.w <= a.x + 400 GROUP BY 1) SELECT * FROM l UNION ALL SELECT * FROM c""", ("words", "label_truth"))
 def g09(spark, d):
     w = frame(spark, d, "words")
-    lines = V.same_line(w, spark.createDataFrame([("mrp",), ("fssai",)], "target string").withColumn("name", F.col("target"))).select("label_id", F.col("name").alias("target"), "text")
-    below = V.cluster(w, spark.createDataFrame([("below", "mrp", 2, 400)], "name string, target string, below int, width int")).select("label_id", F.col("name").alias("target"), "text")
+    lines = LO.same_line(w, spark.createDataFrame([("mrp",), ("fssai",)], "target string").withColumn("name", F.col("target"))).select("label_id", F.col("name").alias("target"), "text")
+    below = LO.cluster(w, spark.createDataFrame([("below", "mrp", 2, 400)], "name string, target string, below int, width int")).select("label_id", F.col("name").alias("target"), "text")
     return lines.unionByName(below)
 
 
-#: Where the fixture's lines put each rule's evidence: line by the lines that are there, first word and number of words.
-CHOICE = f"""{CHECKS}, w AS (SELECT label_id, line, pos, count(*) OVER (PARTITION BY label_id, line) AS n, word, confidence FROM words),
-spots AS (SELECT label_id, min(line) FILTER (WHERE word = 'Manufactured') AS maker, min(line) FILTER (WHERE word = 'FSSAI') AS lic, min(line) FILTER (WHERE word = 'Customer') AS care FROM words GROUP BY 1),
-e AS (SELECT c.label_id, r.rule_id AS rule_id, r.status AS status,
-  CASE r.rule_id WHEN 'LM-001' THEN a.maker WHEN 'LM-003' THEN 4 WHEN 'LM-004' THEN 3 WHEN 'LM-005' THEN a.care WHEN 'FS-001' THEN a.lic END AS line,
-  CASE r.rule_id WHEN 'LM-001' THEN 3 ELSE 1 END AS pos FROM c JOIN spots a ON a.label_id = c.label_id WHERE r.rule_id IN ('LM-001', 'LM-003', 'LM-004', 'LM-005', 'LM-009', 'FS-001')),
-m AS (SELECT e.*, (SELECT count(*) FROM words x WHERE x.label_id = e.label_id AND x.line = e.line) AS n FROM e)"""
-
-
-#: A price of three digits is no token of its own, so that its line counts as context only.
-@query("g10_evidence_choice", f"""WITH {CHOICE}, f AS (SELECT m.label_id, rule_id, status, CASE WHEN rule_id = 'LM-009' THEN NULL ELSE line END AS line,
-  CASE WHEN rule_id = 'LM-001' THEN 4 WHEN rule_id = 'LM-003' THEN 2 WHEN rule_id = 'LM-009' OR line IS NULL THEN NULL WHEN rule_id = 'LM-004' AND price < 1000 AND m.label_id % 2 = 0 THEN 2 ELSE n END AS n_words,
-  CASE rule_id WHEN 'LM-001' THEN 'MULTI_TOKEN_OCR' WHEN 'LM-003' THEN 'DIRECT_OCR' WHEN 'LM-004' THEN CASE WHEN price >= 1000 THEN 'DIRECT_OCR' ELSE 'CONTEXTUAL_OCR' END WHEN 'LM-005' THEN 'DIRECT_OCR' WHEN 'FS-001' THEN CASE WHEN line IS NULL THEN 'NONE' ELSE 'DIRECT_OCR' END ELSE 'NONE' END AS method,
-  CASE rule_id WHEN 'LM-004' THEN CASE WHEN price >= 1000 THEN 'VERIFIED' ELSE 'CONTEXTUAL' END WHEN 'FS-001' THEN CASE WHEN line IS NOT NULL THEN 'VERIFIED' WHEN status = 'NOT_APPLICABLE' THEN 'NOT_APPLICABLE' ELSE 'UNAVAILABLE' END ELSE 'VERIFIED' END AS evidence_status FROM m JOIN label_truth USING (label_id))
-SELECT label_id, rule_id, line, CAST(n_words AS BIGINT) AS n_words, method, evidence_status FROM f""", ("words", "label_truth"))
-def g10(spark, d):
-    dec = stored(E.declarations(frame(spark, d, "label_text")))
-    some = ("LM-001", "LM-003", "LM-004", "LM-005", "LM-009", "FS-001")
-    out = V.evidence_choice(frame(spark, d, "words"), V.value_anchors(dec), RU.evaluate(dec, only=some).select("label_id", "rule_id", "status"))
-    return out.select("label_id", "rule_id", "line", F.col("n_words").cast("long"), "method", "evidence_status")
-
-
 @query("i19_heat_map", """WITH e AS (SELECT screening_id AS label_id, line % 2 AS image, CASE WHEN status IN ('FAIL', 'WARNING') THEN 100 WHEN status = 'NEEDS_REVIEW' THEN 85 ELSE 60 END AS w, 1 AS own FROM checks WHERE line % 3 <> 0 UNION ALL SELECT label_id, line % 2, 30, 0 FROM words),
 g AS (SELECT label_id, CAST(image AS INT) AS image, count(*) AS points, CAST(sum(own) AS BIGINT) AS evidence_points, CAST(sum(w) AS BIGINT) / 100 AS heat FROM e GROUP BY ALL) SELECT *, CASE WHEN points > 40 THEN 'HIGH' WHEN points > 15 THEN 'MODERATE' ELSE 'LOW' END AS tier FROM g""", ("checks", "words"))
 def i19(spark, d):

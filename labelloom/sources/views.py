@@ -151,6 +151,23 @@ VIEWS["words"] = """
     FROM {label_words}"""
 
 
+#: Words of labels with what evidence is told by: a maker's words missing where label_id % 10 = 3 ("by:" too where % 20 = 3), contacts where % 9 = 4, price
+#: where % 14 = 5, tall words where % 16 = 1, and lines of their own for unit prices, origin, ingredients, nutrition and headings.
+VIEWS["pack_words"] = """
+    SELECT label_id, line, pos, word, x, y, w, CASE WHEN label_id % 16 = 1 AND line > 3 THEN h * 12 ELSE h END AS h, confidence FROM {words}
+    WHERE NOT (label_id % 10 = 3 AND line = 5 AND pos > 2) AND NOT (label_id % 20 = 3 AND word = 'by:') AND NOT (label_id % 9 = 4 AND (word LIKE '1800-%' OR word LIKE 'care%@%')) AND NOT (label_id % 14 = 5 AND line = 3 AND pos > 1)
+    UNION ALL
+    SELECT label_id, line, pos, word, 30 + 90 * pos AS x, 30 * line AS y, 9 * length(word) AS w, 20 AS h, 50 + (label_id + pos) % 50 AS confidence
+    FROM {label_truth} JOIN (
+      SELECT 6 AS every, 0 AS rest, 40 AS line, 1 AS pos, 'UNIT' AS word UNION ALL SELECT 6, 0, 40, 2, 'SALE' UNION ALL SELECT 6, 0, 40, 3, 'PRICE' UNION ALL SELECT 6, 0, 40, 4, 'Rs' UNION ALL SELECT 6, 0, 40, 5, '2' UNION ALL SELECT 6, 0, 40, 6, '/' UNION ALL SELECT 6, 0, 40, 7, 'g'
+      UNION ALL SELECT 6, 1, 40, 1, 'Unit' UNION ALL SELECT 6, 1, 40, 2, 'SalePrice:' UNION ALL SELECT 6, 2, 40, 1, 'unitsaleprice' UNION ALL SELECT 6, 2, 40, 2, 'stamp'
+      UNION ALL SELECT 5, 1, 42, 1, 'List' UNION ALL SELECT 5, 1, 42, 2, 'of' UNION ALL SELECT 5, 1, 42, 3, 'Inoredients' UNION ALL SELECT 5, 3, 43, 1, 'SAMAGRI' UNION ALL SELECT 5, 3, 44, 1, 'namak'
+      UNION ALL SELECT 4, 2, 46, 1, 'Nutritional' UNION ALL SELECT 4, 2, 46, 2, 'information' UNION ALL SELECT 4, 2, 47, 1, 'Energy' UNION ALL SELECT 4, 2, 47, 2, '50' UNION ALL SELECT 4, 2, 47, 3, 'kcal'
+      UNION ALL SELECT 7, 1, 49, 1, 'MADEININDIA' UNION ALL SELECT 7, 2, 49, 1, 'Made' UNION ALL SELECT 7, 2, 49, 2, 'with' UNION ALL SELECT 7, 2, 49, 3, 'love' UNION ALL SELECT 7, 2, 49, 4, 'in' UNION ALL SELECT 7, 2, 49, 5, 'India'
+      UNION ALL SELECT 3, 1, 51, 1, 'For' UNION ALL SELECT 3, 1, 51, 2, 'Feedback' UNION ALL SELECT 3, 1, 51, 3, 'write' UNION ALL SELECT 8, 5, 52, 1, 'Date' UNION ALL SELECT 8, 5, 52, 2, 'of' UNION ALL SELECT 8, 5, 52, 3, 'Manufacture'
+    ) e ON label_id % every = rest"""
+
+
 def _names(sql: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
 
@@ -200,4 +217,5 @@ def with_views(sql: str, *names: str) -> str:
     body = sql.strip()
     if not parts:
         return body
-    return f"WITH {', '.join(parts)}, {body[5:]}" if body.startswith("WITH ") else f"WITH {', '.join(parts)} {body}"
+    start = next((k for k in ("WITH RECURSIVE ", "WITH ") if body.startswith(k)), None)
+    return f"{start}{', '.join(parts)}, {body[len(start):]}" if start else f"WITH {', '.join(parts)} {body}"

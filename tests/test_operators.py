@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelloom.functions import columns as C
-from labelloom.operators import claims, dashboards, evidence, extraction, jobs, reconcile, rules, scoring, selection, timeline
+from labelloom.operators import claims, dashboards, evidence, extraction, jobs, locate, reconcile, rules, scoring, selection, timeline
 from labelloom.sources import exports
 
 
@@ -269,7 +269,7 @@ def test_sequences_skip_words_and_lines(spark):
     rows = [(1, 1, 1, "Net", 0, 0), (1, 1, 2, "x", 20, 0), (1, 1, 3, "Wt.", 40, 0), (2, 1, 1, "best", 0, 0), (2, 2, 1, "before", 0, 25), (3, 1, 1, "best", 0, 0), (3, 2, 1, "before", 0, 60), (4, 1, 1, "net", 0, 0), (4, 1, 2, "wt", 300, 0)]
     w = spark.createDataFrame([(*r, 18, 20, 90) for r in rows], "label_id long, line int, pos int, word string, x int, y int, w int, h int, confidence int")
     p = spark.createDataFrame([("wt", ["net", "wt"]), ("date", ["best", "before", "end"])], "name string, targets array<string>")
-    got = {(r.label_id, r.name): (r.n_words, r.x, r.right, r.bottom) for r in evidence.sequences(w, p).collect()}
+    got = {(r.label_id, r.name): (r.n_words, r.x, r.right, r.bottom) for r in locate.sequences(w, p).collect()}
     assert got == {(1, "wt"): (2, 0, 58, 20), (2, "date"): (2, 0, 18, 45)}  # 3: too far below, 4: too far right
 
 
@@ -309,7 +309,7 @@ def test_page_text(spark):
 
 
 def test_token_match(spark):
-    m = lambda a, b: one(spark, evidence.token_matches(F.lit(a), F.lit(b)))[0]
+    m = lambda a, b: one(spark, locate.token_matches(F.lit(a), F.lit(b)))[0]
     assert [m("MRP:", "mrp"), m("ab", "abc"), m("ingredients", "ingredient"), m("xyz", "abcd")] == [True, False, True, False]
 
 
