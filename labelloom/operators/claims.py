@@ -1,9 +1,8 @@
 """Marketing claims: found in label texts, set against ingredients and nutrition, scored and summed.
 
 claim rules: rule_id, claim_type, category, risk_level, patterns, contradictions,
-is_absolute, is_comparative, is_high_risk, ord. A text is first tested once against
-an alternation of all patterns; only texts with a hit meet the (small, broadcast)
-rule table, where each rule gives its first pattern without a further shuffle.
+is_absolute, is_comparative, is_high_risk, ord. Patterns and texts meet in a join on a
+pattern's first run of letters and digits, however many rules there are.
 
 Statuses: SUPPORTED, INSUFFICIENT_EVIDENCE, POTENTIAL_CONTRADICTION,
 HIGH_RISK_REVIEW, NOT_ASSESSABLE; all but the first ask for a human review.
@@ -11,7 +10,6 @@ HIGH_RISK_REVIEW, NOT_ASSESSABLE; all but the first ask for a human review.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -88,32 +86,36 @@ def read_claim_rules(spark, path: str) -> DataFrame:
 
 
 def _word(p: Column) -> Column:
-    """A regular expression for a literal between word borders."""
-    return F.concat(F.lit(r"(?:^|[^a-z0-9])"), F.regexp_replace(p, r"([^a-zA-Z0-9 ])", r"\\$1"), F.lit(r"(?:[^a-z0-9]|$)"))
+    """A regular expression for a literal with a word border, or the text's end, on both sides."""
+    return F.concat(F.lit(r"(?U)(?:\b|^)"), F.regexp_replace(p, r"(?U)([^\w\s])", r"\\$1"), F.lit(r"(?:\b|$)"))
 
 
-#: Patterns up to which one alternation tries a text; more are joined by their first run of letters and digits.
-ALTERNATION = 5000
+def _norm(p: Column) -> Column:
+    return F.lower(F.trim(p))
+
+
+#: Runs of letters, digits and underscores of any script.
+RUN = r"(?U)(\w+)"
 
 
 def find_claims(texts: DataFrame, rules: DataFrame) -> DataFrame:
-    """Claims per text and rule: the first pattern of the rule that the text has, with the rule's flags. texts: label_id, text."""
-    known = [r[0] for r in rules.select(F.explode("patterns").alias("pattern")).distinct().limit(ALTERNATION + 1).collect()]
+    """Claims per text and rule: the first pattern of the rule that the text has, in lower case, with the rule's flags. texts: label_id, text.
+
+    Patterns and texts are compared without regard to case. A pattern meets the texts that have its
+    first run of letters and digits, which the borders make a whole one of the text, so any number of
+    rules is one join; patterns of signs alone are tried on every text.
+    """
     some = texts.select("label_id", F.lower("text").alias("low"))
-    rules = _flagged(rules)
-    has = lambda p: F.col("low").contains(p) & F.rlike("low", _word(p))
+    has = F.col("low").contains(F.col("pattern")) & F.rlike("low", _word(F.col("pattern")))
     keep = ("label_id", "rule_id", "claim_type", "category", "risk_level", *FLAGS, "ord")
-    if len(known) > ALTERNATION:  # a border before and after makes a pattern's first run of letters and digits a whole one of the text
-        patterns = rules.select(*keep[1:], F.posexplode("patterns").alias("p_ord", "pattern")).withColumn("run", F.regexp_extract("pattern", "[a-z0-9]+", 0))
-        runs = some.select("label_id", "low", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit("[a-z0-9]+"), F.lit(0)))).alias("run"))
-        hits = runs.join(patterns.filter("run <> ''"), "run").filter(has(F.col("pattern"))).drop("run")
-        hits = hits.unionByName(some.join(small(patterns.filter("run = ''").drop("run")), has(F.col("pattern"))))
-        found = hits.groupBy(*keep).agg(F.min_by("pattern", "p_ord").alias("claim"))
-    else:
-        every = "|".join(re.sub(r"([^a-zA-Z0-9 ])", r"\\\1", p) for p in sorted(p for p in known if p is not None))
-        some = some.filter(F.col("low").rlike(f"(?:{every})")) if every else some.limit(0)
-        hits = some.join(small(rules), F.exists("patterns", has)).withColumn("claim", F.get(F.filter("patterns", has), F.lit(0)))
-        found = hits.select(*keep, "claim")
+    patterns = _flagged(rules).select(*keep[1:], F.posexplode("patterns").alias("p_ord", "pattern")).withColumn("pattern", _norm(F.col("pattern"))).filter("pattern <> ''")
+    patterns = patterns.withColumn("run", F.regexp_extract("pattern", RUN, 1))
+    runs = some.select("label_id", "low", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(RUN), F.lit(1)))).alias("run"))
+    hits = runs.join(small(patterns.filter("run <> ''")), "run").filter(has).drop("run")
+    signs = patterns.filter("run = ''").drop("run")
+    if not signs.isEmpty():
+        hits = hits.unionByName(some.join(small(signs), has))
+    found = hits.groupBy(*keep).agg(F.min_by("pattern", "p_ord").alias("claim"))
     return found.select("label_id", "rule_id", "claim_type", "category", "risk_level", "ord", "claim", *FLAGS)
 
 
@@ -134,7 +136,7 @@ def open_claims(texts: DataFrame, rules: DataFrame) -> DataFrame:
 
     every = F.concat(*(found(k, category, tuple(flags), pattern) for k, (category, *flags, pattern) in enumerate(OPEN)))
     rows = texts.select("label_id", F.explode(every).alias("c")).select("label_id", "c.*")
-    p = small(rules.select(F.explode("patterns").alias("p")))
+    p = small(rules.select(F.explode(F.transform("patterns", _norm)).alias("p")).filter("p <> ''"))
     left = rows.join(p, F.col("claim").contains(F.col("p")) | F.col("p").contains(F.col("claim")), "left_anti")
     none = F.lit(None).cast("string")
     return left.select("label_id", none.alias("rule_id"), none.alias("claim_type"), "category", none.alias("risk_level"), "ord", "claim", *FLAGS)
@@ -154,7 +156,7 @@ def numbered(claims: DataFrame) -> DataFrame:
 
 def matching_rule(claims: DataFrame, rules: DataFrame) -> DataFrame:
     """First rule in order with a pattern that holds the claim or is held by it. claims: key columns and claim."""
-    p = small(rules.select("rule_id", "ord", F.explode("patterns").alias("pattern")))
+    p = small(rules.select("rule_id", "ord", F.explode(F.transform("patterns", _norm)).alias("pattern")).filter("pattern <> ''"))
     keys = claims.columns
     j = claims.join(p, F.lower("claim").contains(F.col("pattern")) | F.col("pattern").contains(F.lower("claim")))
     return j.groupBy(*keys).agg(F.min_by("rule_id", "ord").alias("rule_id"))
@@ -163,7 +165,7 @@ def matching_rule(claims: DataFrame, rules: DataFrame) -> DataFrame:
 def _hits(bad: Column, ingredients: Column) -> Column:
     """Those of an array of words that stand in an ingredient list, in their order; null if none."""
     low = F.lower(F.coalesce(ingredients, F.lit("")))
-    found = F.filter(bad, lambda b: low.contains(b) & F.rlike(low, _word(b)))
+    found = F.filter(bad, lambda b: low.contains(_norm(b)) & F.rlike(low, _word(_norm(b))))
     return F.when(F.size(found) > 0, F.array_join(found, ", "))
 
 
