@@ -53,10 +53,14 @@ def test_long_pieces(own, library, make):
     assert ids(own, text) == library.encode_ordinary(text)
 
 
+def merged(piece, ranks):
+    return bpe.merged(piece, ranks, bpe.byte_pairs(ranks))
+
+
 def test_leftmost_lowest_pair():
     ranks = {bytes([c]): c for c in range(256)} | {b"ab": 300, b"ba": 299, b"aa": 301, b"aba": 302, b"aab": 303}
-    assert bpe.merged(b"aba", ranks) == [302] and bpe.merged(b"abab", ranks) == [302, 98]
-    assert bpe.merged(b"aaa", ranks) == [301, 97]  # the leftmost of equal ranks
+    assert merged(b"aba", ranks) == [302] and merged(b"abab", ranks) == [302, 98]
+    assert merged(b"aaa", ranks) == [301, 97]  # the leftmost of equal ranks
 
 
 def slow(piece, ranks):
@@ -83,7 +87,11 @@ def test_tree_equals_scan():
                 tokens.append(new)
         for _ in range(40):
             piece = bytes(rng.choice(b"abcd") for _ in range(rng.randint(1, 40)))
-            assert bpe.merged(piece, ranks) == ([ranks[piece]] if piece in ranks else slow(piece, ranks))
+            want = [ranks[piece]] if piece in ranks else slow(piece, ranks)
+            assert merged(piece, ranks) == want
+            if piece not in ranks:
+                together = bpe.Forest(ranks).merged([piece, b"d" * len(piece)], 64)
+                assert np.frombuffer(together[0], "<i4").tolist() == want and len(together[1]) == 4 * len(piece)
 
 
 def test_query_equals_library(spark, sf_dir, library):
@@ -112,7 +120,7 @@ def test_memory_is_bounded(own, monkeypatch):
     monkeypatch.setattr(bpe, "MEMO", 50)
     for k in range(40):
         own.encode(" ".join(f"q{k}y{i}" for i in range(30)))
-        assert len(own.known) <= 50 + 30
+        assert len(own.known) <= 50 + 30 and len(own.seen) <= 50 + 30
 
 
 def test_vocabulary_bound(spark, tmp_path, monkeypatch):
