@@ -89,7 +89,8 @@ def postings(rows: DataFrame, size: int = RANGE) -> DataFrame:
 
     The rows of a range, which are ``size`` at most, are brought together by its number.
     """
-    spot = rows.withColumn("range", F.expr(f"row div {int(size)}L"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spot = rows.withColumn("range", F.expr(f"row div {int(size)}L")).repartition(parts, "range", "part")  # a number given is kept: the lists are small but long to merge
     fail = [F.col("fails").bitwiseAND(1 << i) != 0 for i in range(len(FILTERS))]
     lists = [F.sort_array(F.collect_list(F.when(c, F.col("row")))) for c in [*fail, F.col("good"), F.col("toxic")]]
     return spot.groupBy("range", "part").agg(F.count("*").alias("n"), F.array(*lists).alias("lists"))
