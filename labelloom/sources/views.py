@@ -168,6 +168,23 @@ VIEWS["pack_words"] = """
     ) e ON label_id % every = rest"""
 
 
+#: Texts whose name, brand and companies stand in changing places: by label_id % 4 the name first, after a slogan, after a recipe, or over two
+#: lines; by % 6 a trademark, an owner, a handle, a site or no brand; by % 5 a marketer over lines, a manufacturer on one, packer and importer, no heading, no company.
+VIEWS["pack_truth"] = """
+    SELECT label_id, supplier_id, replace(product_name, ' Noodles', ' Pasta') AS name, label_id % 5 <> 3 AS goods FROM {label_truth}"""
+VIEWS["pack_text"] = """
+    SELECT label_id, concat_ws(chr(10),
+      CASE label_id % 4 WHEN 1 THEN 'ENJOY THE TASTE' WHEN 2 THEN concat_ws(chr(10), 'RECIPE IDEAS', 'Potato chips', 'Tea biscuits', 'Rice cake', 'Sweet bread', 'Rolled oats') END,
+      CASE WHEN label_id % 4 = 3 THEN concat(substring(name, 1, length(name) - length(kind) - 1), chr(10), kind) ELSE name END,
+      CASE label_id % 6 WHEN 0 THEN concat('Acme', k, ' IS A REGISTERED TRADEMARK') WHEN 1 THEN concat('TM of Zeta', k, ' Holdings') WHEN 3 THEN concat('@sunny', k, 'official') WHEN 4 THEN concat('www.moon', k, '.com') END,
+      CASE label_id % 5
+        WHEN 0 THEN concat_ws(chr(10), 'Marketed by:', concat('Supplier ', k, ' Foods Pvt Ltd'), 'Plot 5, Ring Road', 'Surat, Gujarat 395007', 'Best Before 12 months, see pack')
+        WHEN 1 THEN concat_ws(chr(10), concat('Manufactured by: Supplier ', k, ' Foods Pvt Ltd, Plot 9, Estate'), 'Delhi, 110001', 'MRP Rs 10')
+        WHEN 2 THEN concat_ws(chr(10), concat('Packed by: Packhouse ', k, ' Agro, Nagar Road'), concat('Imported by: Harbour ', k, ' Enterprises, Sector 4'))
+        WHEN 3 THEN concat_ws(chr(10), concat('Trade name: Supplier ', k, ' Foods Private Limited'), 'Plot 3, Ring Road, Delhi') END) AS text
+    FROM (SELECT *, CAST(supplier_id AS STRING) AS k, reverse(substring(reverse(name), 1, position(' ' IN reverse(name)) - 1)) AS kind FROM {pack_truth}) p"""
+
+
 def _names(sql: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
 
