@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labelloom.operators import claims as K
-from labelloom.operators.timeline import recommendations
+from labelloom.operators.timeline import MOVES, recommendations
 from labelloom.plans.facts import SQL as FACTS_SQL
 from labelloom.plans.joins import CLAIMS, _claims
 from labelloom.plans.labels import CHECKS
 from labelloom.plans.registry import Registry
 from labelloom.sources import exports as X
 from labelloom.sources.shared import new_path
-from labelloom.sources.views import frame
+from labelloom.sources.views import frame, with_views
 from labelloom.streaming import jobs as J
+from labelloom.streaming import timed as T
 
 QUERIES, SQL, query = Registry.new()
 
@@ -25,19 +26,20 @@ def _events(spark, d):
 @query("k01_limiter")
 def k01(spark, d):
     e = _events(spark, d).filter("event_type IN ('error', 'signup')").select("event_id", F.col("user_id").alias("key"), "ts", (F.col("event_type") == "error").alias("failure"), (F.col("event_type") == "signup").alias("success"))
-    return J.replayed(J.limiter(e, 6 * 3600, 5), new_path(spark, "k01"))
+    return J.replayed(T.limiter(e, 6 * 3600, 5), new_path(spark, "k01"), **T.SETTINGS)
 
 
 SQL["k01_limiter"] = FACTS_SQL["g11_attempts"]
 
 
-@query("k02_cache", "SELECT event_id, identifier_type, identifier_value, cached_at, ttl FROM cache_rows QUALIFY row_number() OVER (PARTITION BY identifier_type, identifier_value ORDER BY cached_at DESC, event_id DESC) = 1", ("cache_rows",))
+#: Expiry as timers tell it, in milliseconds against the watermark, which ends at the last event.
+@query("k02_cache", """SELECT event_id, identifier_type, identifier_value, cached_at, ttl * 3600 AS ttl, (epoch_us(cached_at) + ttl * 3600000000 + 999) // 1000 <= (SELECT max(epoch_us(cached_at)) // 1000 FROM cache_rows) AS expired FROM cache_rows
+QUALIFY row_number() OVER (PARTITION BY identifier_type, identifier_value ORDER BY cached_at DESC, event_id DESC) = 1""", ("cache_rows",))
 def k02(spark, d):
-    rows = _events(spark, d).select("event_id", F.col("event_type").alias("identifier_type"), (F.col("user_id") % 100).cast("string").alias("identifier_value"), F.col("ts").alias("cached_at"), F.floor(F.coalesce("value", F.lit(0.0))).cast("long").alias("ttl"))
-    out = J.replayed(J.cache(rows), new_path(spark, "k02"), "update")
-    from labelloom.operators.selection import latest
-
-    return latest(out, ["identifier_type", "identifier_value"], "cached_at", "event_id")
+    rows = _events(spark, d).select("event_id", F.col("event_type").alias("identifier_type"), (F.col("user_id") % 100).cast("string").alias("identifier_value"), F.col("ts").alias("cached_at"), (3600 * F.floor(F.coalesce("value", F.lit(0.0)))).cast("long").alias("ttl"))
+    out = J.replayed(T.cache(rows), new_path(spark, "k02"), **T.SETTINGS)
+    last = F.max_by(F.struct("event_id", "cached_at", "ttl", "expired"), F.struct("cached_at", "event_id", "expired")).alias("__c")
+    return out.groupBy("identifier_type", "identifier_value").agg(last).select("identifier_type", "identifier_value", "__c.*")
 
 
 @query("k03_review_workflow")
@@ -45,10 +47,18 @@ def k03(spark, d):
     kind = F.col("event_type")
     status = F.when(kind == "view", "PENDING_REVIEW").when(kind == "click", "UNDER_REVIEW").when(kind == "purchase", "VERIFIED_COMPLIANT").when(kind == "error", "RESCAN_REQUESTED").otherwise("VERIFIED_NON_COMPLIANT")
     log = _events(spark, d).select("event_id", F.col("user_id").alias("review_id"), "ts", status.alias("status"))
-    return J.replayed(J.review_workflow(log), new_path(spark, "k03"))
+    out = J.replayed(T.review_workflow(log), new_path(spark, "k03"), parts={"accepted": "legal", "rejected": "NOT legal"}, **T.SETTINGS)
+    return out["accepted"].withColumn("place", F.lit("accepted")).unionByName(out["rejected"].withColumn("place", F.lit("rejected")))
 
 
-SQL["k03_review_workflow"] = f"SELECT event_id, review_id, status, before, legal FROM ({FACTS_SQL['g12_review_transitions']}) g"
+_LEGAL = " OR ".join(f"(r.state = '{a}' AND s.status IN ({', '.join(repr(x) for x in to)}))" for a, to in MOVES.items() if to)
+SQL["k03_review_workflow"] = with_views(
+    f"""WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY ts, event_id) AS rn FROM reviews_log),
+r AS (SELECT review_id, rn, event_id, status, CAST(NULL AS VARCHAR) AS before, true AS legal, status AS state FROM s WHERE rn = 1 UNION ALL
+  SELECT s.review_id, s.rn, s.event_id, s.status, r.state, r.state = s.status OR {_LEGAL}, CASE WHEN r.state = s.status OR {_LEGAL} THEN s.status ELSE r.state END FROM r JOIN s ON s.review_id = r.review_id AND s.rn = r.rn + 1)
+SELECT event_id, review_id, status, before, legal, CASE WHEN legal THEN 'accepted' ELSE 'rejected' END AS place FROM r""",
+    "reviews_log",
+)
 
 
 @query("k04_screening", f"""WITH {CHECKS}, n AS (SELECT label_id, count(*) FILTER (WHERE r.status <> 'NOT_APPLICABLE') AS applicable, count(*) FILTER (WHERE r.status = 'PASS') AS passed, count(*) FILTER (WHERE r.status = 'FAIL') AS failed, count(*) FILTER (WHERE r.status = 'WARNING') AS warned FROM c GROUP BY 1)
@@ -64,7 +74,7 @@ def k04(spark, d):
 
 @query("k05_daily_trend", "SELECT CAST(ts AS DATE) AS day, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY 1")
 def k05(spark, d):
-    return J.replayed(J.daily_trend(_events(spark, d)), new_path(spark, "k05"), "complete")
+    return J.replayed(J.daily_trend(_events(spark, d)), new_path(spark, "k05"), "update", last=("day",))
 
 
 @query("a01_a02_read_screenings", """SELECT screening_id AS id, CASE WHEN screening_id % 10 = 0 THEN 0 WHEN screening_id % 10 = 1 THEN 3 ELSE count(*) FILTER (WHERE status = 'PASS') END AS passed,

@@ -1,73 +1,14 @@
-"""Streaming twins: rate limiting, expiring cache, review workflow, continuous screening, daily trend.
+"""Streams: continuous screening, daily trend, and how a stream is run over what is there (see timed for those with state).
 
-Each job takes a streaming DataFrame and gives one. State is kept per key and
-serialised as numbers and texts; events of a batch are put in order of time
-inside their key. Late events are dropped by the watermark where there is one.
+Each job takes a streaming DataFrame and gives one. Late events are dropped by the watermark.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from labelloom.operators.timeline import MOVES
-
-
-def limiter(attempts: DataFrame, seconds: int, most: int) -> DataFrame:
-    """For each failure the failures of its key in the window before it since the last success, and whether it is blocked.
-
-    attempts: event_id, key, ts, failure, success. State: the times of a key's failures inside the window.
-    """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = list(state.get[0]) if state.exists else []
-        rows = []
-        for e in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples():
-            at = e.ts.value // 1000
-            if e.success:
-                seen = []
-            if e.failure:
-                seen = [t for t in seen if t > at - seconds * 1_000_000] + [at]
-                rows.append((e.event_id, key[0], e.ts, len(seen), len(seen) >= most))
-        state.update((seen,))
-        yield pd.DataFrame(rows, columns=["event_id", "key", "ts", "failures", "blocked"])
-
-    return attempts.groupBy("key").applyInPandasWithState(step, "event_id long, key long, ts timestamp, failures long, blocked boolean", "times array<long>", "append", GroupStateTimeout.NoTimeout)
-
-
-def cache(rows: DataFrame) -> DataFrame:
-    """Each key's cached row whenever it changes: last write by time wins. rows: event_id, identifier_type, identifier_value, cached_at, ttl."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(batches)).sort_values(["cached_at", "event_id"]).iloc[-1]
-        now = (int(new.cached_at.value // 1000), int(new.event_id), int(new.ttl))
-        if not state.exists or tuple(state.get)[:2] < now[:2]:
-            state.update(now)
-            yield pd.DataFrame([(int(new.event_id), *key, new.cached_at, int(new.ttl))], columns=["event_id", "identifier_type", "identifier_value", "cached_at", "ttl"])
-
-    return rows.groupBy("identifier_type", "identifier_value").applyInPandasWithState(
-        step, "event_id long, identifier_type string, identifier_value string, cached_at timestamp, ttl long", "at long, event long, ttl long", "update", GroupStateTimeout.NoTimeout
-    )
-
-
-def review_workflow(log: DataFrame) -> DataFrame:
-    """Every move of a review with the state before it and whether it is legal. log: event_id, review_id, ts, status."""
-    legal = {(a, b) for a, to in MOVES.items() for b in to}
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = state.get[0] if state.exists else None
-        rows = []
-        for e in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples():
-            rows.append((e.event_id, key[0], e.status, before, before is None or before == e.status or (before, e.status) in legal))
-            before = e.status
-        state.update((before,))
-        yield pd.DataFrame(rows, columns=["event_id", "review_id", "status", "before", "legal"])
-
-    return log.groupBy("review_id").applyInPandasWithState(step, "event_id long, review_id long, status string, before string, legal boolean", "status string", "append", GroupStateTimeout.NoTimeout)
 
 
 def daily_trend(events: DataFrame, late: str = "1 day") -> DataFrame:
@@ -89,12 +30,36 @@ def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/{name}.parquet*")
 
 
-def replayed(stream: DataFrame, path: str, mode: str = "append", each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Runs a stream over what is there and gives what it wrote below path. each: a batch job for every micro-batch."""
+def replayed(stream: DataFrame, path: str, mode: str = "append", each: Callable[[DataFrame], DataFrame] | None = None, parts: dict[str, str] | None = None, last: tuple[str, ...] = (), **settings: str) -> DataFrame | dict[str, DataFrame]:
+    """Runs a stream over what is there and gives what it wrote below path.
 
-    def write(batch: DataFrame, number: int) -> None:
-        (each(batch) if each else batch).write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+    each: a batch job for every micro-batch. parts: tables by name and condition, instead of one; they are
+    given by name. last: keys of which only the rows of the last batch count, for the update mode.
+    settings: of the session, while it runs. A batch that is repeated writes its own folders anew.
+    """
+    spark = stream.sparkSession
+    tables = parts or {"out": "true"}
 
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start()
-    q.awaitTermination()
-    return stream.sparkSession.read.parquet(f"{path}/out").drop("batch")
+    def write(batch: DataFrame, number: int) -> None:
+        made = (each(batch) if each else batch).persist()
+        for name, condition in tables.items():
+            made.filter(condition).write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        made.unpersist()
+
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start()
+        q.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+    def read(name: str) -> DataFrame:
+        rows = spark.read.parquet(f"{path}/{name}")
+        if last:
+            rows = rows.join(rows.groupBy(*last).agg(F.max("batch").alias("batch")), [*last, "batch"], "left_semi")
+        return rows.drop("batch")
+
+    return {name: read(name) for name in tables} if parts else read("out")
