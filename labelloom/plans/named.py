@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from labelloom.operators import blocks as B
+from labelloom.operators import extraction as E
 from labelloom.operators import identity as I
 from labelloom.plans.registry import Registry
 from labelloom.sources.shared import stored
@@ -48,3 +50,15 @@ SELECT label_id, phrase, {TITLE('phrase')} AS product_name, score, least(94, gre
 def d13_product_name(spark, d):
     text, brand = _brands(spark, d)
     return I.product_names(text, stored(brand))
+
+
+@query("d11_ingredient_lists", """SELECT label_id, CASE label_id % 5 WHEN 0 THEN 'Rolled oats, salt (5%) sugar; milk ' || supplier_id WHEN 1 THEN 'wheat flour ' || supplier_id || ' (palm oil) salt' WHEN 2 THEN 'qwrtpsdfghjkl zxcvbnmlkjhgf oats salt' ELSE 'one two three four five six seven qwrtpsdfghjkl tail' END AS ingredients,
+CASE label_id % 5 WHEN 2 THEN 55 WHEN 3 THEN 68 ELSE 88 END::DOUBLE AS confidence FROM label_truth WHERE label_id % 5 <> 4""", ("label_truth",))
+def d11_ingredient_lists(spark, d):
+    return B.ingredient_lists(frame(spark, d, "list_text"))
+
+
+@query("d03_price_states", f"""SELECT label_id, CASE WHEN stamped AND price <> 9.50 THEN 'CONFLICT' WHEN price IS NOT NULL THEN 'FOUND' ELSE 'UNCERTAIN' END AS status, coalesce(CAST(price AS VARCHAR), '{B.UNPRINTED}') AS value, CASE WHEN price IS NULL THEN 50 ELSE 92 END::DOUBLE AS confidence FROM label_truth""", ("label_truth",))
+def d03_price_states(spark, d):
+    labels = E.spread(frame(spark, d, "label_text"))
+    return B.price_states(labels, E.candidates(labels))

@@ -185,6 +185,17 @@ VIEWS["pack_text"] = """
     FROM (SELECT *, CAST(supplier_id AS STRING) AS k, reverse(substring(reverse(name), 1, position(' ' IN reverse(name)) - 1)) AS kind FROM {pack_truth}) p"""
 
 
+#: Texts with ingredient lists of several lines, by label_id % 5: brackets and separators without spaces, a heading of its own, damaged words
+#: (half and a ninth of all), and a list that is too short.
+VIEWS["list_text"] = """
+    SELECT label_id, concat_ws(chr(10), product_name, CASE label_id % 5
+      WHEN 0 THEN concat_ws(chr(10), 'INGREDIENTS: Rolled oats,salt(5%)', concat('sugar;milk ', CAST(supplier_id AS STRING)), 'Allergen advice: nuts', 'none')
+      WHEN 1 THEN concat_ws(chr(10), 'Inoredients', concat('wheat flour ', CAST(supplier_id AS STRING)), '(palm oil)salt', 'STORE IN a cool place')
+      WHEN 2 THEN concat_ws(chr(10), 'Samagri: qwrtpsdfghjkl zxcvbnmlkjhgf oats', 'salt', 'MRP Rs 5')
+      WHEN 3 THEN concat_ws(chr(10), 'COMPOSITION - one two three four five six seven', 'qwrtpsdfghjkl tail', 'Batch 7')
+      ELSE concat_ws(chr(10), 'Ingredients: salt', 'MRP Rs 5') END) AS text FROM {label_truth}"""
+
+
 def _names(sql: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
 
