@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from labelloom.functions import languages as L
 from labelloom.operators import blocks as B
 from labelloom.operators import extraction as E
 from labelloom.operators import identity as I
@@ -62,3 +63,27 @@ def d11_ingredient_lists(spark, d):
 def d03_price_states(spark, d):
     labels = E.spread(frame(spark, d, "label_text"))
     return B.price_states(labels, E.candidates(labels))
+
+
+#: A month's name in one of the languages by label_id % 10 (the last one numbers), with a day where label_id is even, digits of the script in Hindi.
+_MONTH = "CASE label_id % 10 " + " ".join(f"WHEN {k} THEN CASE substr(made, 1, 2) " + " ".join(f"WHEN '{i:02d}' THEN '{some.split('|')[-1]}'" for i, some in enumerate(names.split(" "), 1)) + " END" for k, names in enumerate(L.MONTH_NAMES.values())) + " ELSE substr(made, 1, 2) END"
+_YEAR = "CASE WHEN label_id % 10 = 1 THEN translate(substr(made, 4, 4), '0123456789', '०१२३४५६७८९') WHEN label_id % 3 = 0 THEN substr(made, 6, 2) ELSE substr(made, 4, 4) END"
+DATES = f"SELECT label_id, concat(CASE WHEN label_id % 2 = 0 THEN concat(CAST(label_id % 28 + 1 AS STRING), CASE WHEN label_id % 10 = 9 THEN '-' ELSE ' ' END) ELSE '' END, {_MONTH}, CASE WHEN label_id % 10 = 9 THEN '.' ELSE ' ' END, {_YEAR}) AS text FROM {{label_truth}} WHERE made IS NOT NULL"
+
+
+@query("c04_local_dates", "SELECT label_id, CASE WHEN label_id % 2 = 0 THEN lpad(CAST(label_id % 28 + 1 AS VARCHAR), 2, '0') || '/' ELSE '' END || made AS date FROM label_truth WHERE made IS NOT NULL", ("label_truth",))
+def c04_local_dates(spark, d):
+    text = spark.sql(DATES, label_truth=frame(spark, d, "label_truth"))
+    return text.select("label_id", L.local_date(F.col("text")).alias("date"))
+
+
+#: Every second label in full-width letters, with currency, quantity and digits of a script.
+WIDE = "translate({}, 'abcdefghijklmnopqrstuvwxyz0123456789', 'ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ０１２３４５６７８９')"
+
+
+@query("c05_normalized", "SELECT label_id, product_name || ' ₹' || CAST(amount AS VARCHAR) || ' ' || unit AS text FROM label_truth WHERE amount IS NOT NULL", ("label_truth",))
+def c05_normalized(spark, d):
+    t = frame(spark, d, "label_truth").filter("amount IS NOT NULL")
+    name = F.when(F.col("label_id") % 2 == 0, F.expr(WIDE.format("product_name"))).otherwise(F.col("product_name"))
+    digits = F.when(F.col("label_id") % 4 == 1, F.translate(F.col("amount").cast("string"), "0123456789", "०१२३४५६७८९")).otherwise(F.col("amount").cast("string"))
+    return L.normalized(t.select("label_id", F.concat(name, F.lit("  Rs. "), digits, F.when(F.col("label_id") % 3 == 0, "").otherwise(" "), "unit").alias("text")), "text")
