@@ -24,6 +24,16 @@ def screening(labels: DataFrame) -> DataFrame:
     return evaluate(declarations(labels))
 
 
+def scored_screening(labels: DataFrame) -> DataFrame:
+    """A row for each label of a batch: score, status, risk and its checks (fourteen), to be appended as one."""
+    from labelloom.operators.scoring import scores
+
+    checks = screening(labels).withColumnRenamed("label_id", "screening_id")
+    own = checks.groupBy("screening_id").agg(F.sort_array(F.collect_list(F.struct("rule_id", "status", "reason", "value"))).alias("checks"))
+    out = scores(checks).select("screening_id", "score", F.col("status"), "risk_level", "risk_score").join(own, "screening_id")
+    return out.withColumnRenamed("screening_id", "label_id")
+
+
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the given folder as a stream."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
