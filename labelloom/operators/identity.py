@@ -71,8 +71,11 @@ def role_blocks(labels: DataFrame) -> DataFrame:
 def entities(labels: DataFrame) -> DataFrame:
     """label_id, role, company and address: the best block of each role, and for labels without any what their whole text has."""
     lines = role_blocks(labels).select("label_id", "role", "at", F.posexplode(F.split("block", "\n")).alias("n", "line")).withColumn("line", F.trim("line")).filter((F.col("line") != "") & ~F.col("line").rlike(NO_ENTITY))
-    raw = F.regexp_extract("line", COMPANY, 0)
-    lines = lines.select("*", F.when(raw != "", company_name(F.regexp_extract("line", COMPANY, 1))).alias("c"), F.when(raw != "", _trimmed(F.trim(F.expr("substring(line, position(regexp_extract(line, pat, 0), line) + length(regexp_extract(line, pat, 0)))".replace("pat", "r'" + COMPANY.replace("'", "") + "'"))), r",.:\- ")).alias("rest"))
+    # The pattern of companies is the dearest, so its match is a column that the next ones read.
+    lines = lines.withColumn("m", F.regexp_extract("line", COMPANY, 0))
+    lines = lines.withColumn("raw", F.when(F.col("m") != "", F.regexp_extract("m", COMPANY, 1)))
+    rest = F.expr("substring(line, position(m, line) + length(m))")
+    lines = lines.select("*", company_name(F.col("raw")).alias("c"), F.when(F.col("raw").isNotNull(), _trimmed(F.trim(rest), r",.:\- ")).alias("rest"))
     clean = F.trim(F.regexp_replace("line", r"(?U)^[^\w]+|[^\w\)]+$", ""))
     lines = lines.select("label_id", "role", "at", "n", F.when(F.length("c") >= 4, F.col("c")).alias("c"), F.when(F.length("rest") >= 4, F.col("rest")).alias("rest"), F.when(F.col("line").rlike(ADDRESS_LINE) & (F.length(clean) >= 4) & ~clean.rlike(NO_ADDRESS), clean).alias("place"))
     blocks = lines.groupBy("label_id", "role", "at").agg(F.sort_array(F.collect_list(F.struct("n", "c", "rest", "place"))).alias("l"), F.min_by("c", F.when(F.col("c").isNotNull(), F.col("n"))).alias("company"), F.min(F.when(F.col("c").isNotNull(), F.col("n"))).alias("own"))
@@ -83,10 +86,10 @@ def entities(labels: DataFrame) -> DataFrame:
     j = labels.join(wide, "label_id", "left")
     three = ("marketed_by", "manufacturer", "packer")
     missing = lambda f: F.coalesce(*(F.col(r)[f] for r in three)).isNull()
-    whole = company_name(F.nullif(F.regexp_extract("text", COMPANY, 1), F.lit("")))
-    spot = F.trim(F.nullif(F.regexp_extract("text", ADDRESS, 1), F.lit("")))
-    spot = F.when(F.upper(spot).startswith("NGALOW"), F.concat(F.lit("BU"), spot)).otherwise(spot)
-    j = j.select("label_id", *ROLES, F.col("text").rlike(ROLES["marketed_by"]).alias("market"), F.when(missing("company"), F.when(F.length(whole) >= 4, whole)).alias("any_company"), F.when(missing("address"), spot).alias("any_address"))
+    j = j.withColumn("raw", F.when(missing("company"), F.nullif(F.regexp_extract("text", COMPANY, 1), F.lit("")))).withColumn("spot", F.when(missing("address"), F.trim(F.nullif(F.regexp_extract("text", ADDRESS, 1), F.lit("")))))
+    j = j.withColumn("whole", company_name(F.col("raw")))
+    spot = F.when(F.upper("spot").startswith("NGALOW"), F.concat(F.lit("BU"), "spot")).otherwise(F.col("spot"))
+    j = j.select("label_id", *ROLES, F.col("text").rlike(ROLES["marketed_by"]).alias("market"), F.when(F.length("whole") >= 4, F.col("whole")).alias("any_company"), spot.alias("any_address"))
     sold = F.col("market") | F.col("marketed_by.company").isNotNull()
     company = lambda r, here: F.coalesce(F.col(r)["company"], F.when(here, F.col("any_company")))
     address = lambda r, here: F.coalesce(F.col(r)["address"], F.when(here, F.col("any_address")))
@@ -246,8 +249,9 @@ def product_names(labels: DataFrame, brand: DataFrame, words: DataFrame | None =
     found = phrases(labels)
     if words is not None:
         found = found.unionByName(tall_words(words))
-    scored = found.withColumn("score", name_score(F.col("phrase"), F.col("idx"))).filter(F.col("score") >= LEAST_SCORE)
-    best = scored.groupBy("label_id").agg(F.max_by(F.struct("phrase", "score"), F.struct("score", -F.col("idx"), -F.length("phrase"), "phrase")).alias("__p")).select("label_id", "__p.*")
+    scored = found.withColumn("score", name_score(F.col("phrase"), F.col("idx")))
+    order = F.when(F.col("score").isNotNull(), F.struct("score", -F.col("idx"), -F.length("phrase"), "phrase"))
+    best = scored.groupBy("label_id").agg(F.max_by(F.struct("phrase", "score"), order).alias("__p")).select("label_id", "__p.*").filter(F.col("score") >= LEAST_SCORE)
     name = F.regexp_replace(title(F.trim(F.regexp_replace("phrase", r"(?U)^[^\w\s]+|[^\w\s)]+$", ""))), r"(?i)\bKetchupo\b", "Ketchup")
     j = best.join(brand.select("label_id", "brand"), "label_id", "left").withColumn("n", name)
     bare = F.lower("n").isin(*SHORT_NAMES) & ~F.contains(F.lower("n"), F.lower("brand"))

@@ -35,7 +35,7 @@ def _companies(found):
 
 
 def _brands(spark, d):
-    text = frame(spark, d, "pack_text")
+    text = stored(frame(spark, d, "pack_text"))
     return text, I.brands(text, _companies(I.entities(text)))
 
 
