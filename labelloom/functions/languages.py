@@ -26,7 +26,7 @@ MONTH_NAMES = {
 
 
 #: Words of currency, and of units with the short form of each, in all languages; longer units come first.
-CURRENCY = r"(?:\bINR\b|\bRupees?\b|\bRupaye\b|\bRs\b\.?|₨|ரூபாய்|రూపాయలు|ರೂಪಾಯಿ|രൂപ|रु\.?|रू\.?|টাকা|ਰੁ\.?|ரூ\.?|రూ\.?|ರೂ\.?|₹)"
+CURRENCY = r"(?:\bINR\b|\bRupees?\b|\bRupaye\b|\bRs\b\.?|₨|(?<![\p{L}\p{M}])(?:ரூபாய்|రూపాయలు|ರೂಪಾಯಿ|രൂപ|रु\.?|रू\.?|টাকা|ਰੁ\.?|ரூ\.?|రూ\.?|ರೂ\.?)(?![\p{L}\p{M}])|₹)"
 UNITS = (
     ("kg", r"किलोग्राम|kilograms?|kilogram|kilo|किग्रा|कि\.?\s*ग्रा\.?|ਕਿਲੋ|கிலோகிராம்|கிலோ|కిలోగ్రాములు|కిలో|ಕಿಲೋಗ್ರಾಂ|কেজি|કિલોગ્રામ|કિગ્રા|કિ\.?\s*ગ્રા\.?|કિલો|kg|kgs"),
     ("mg", r"milligrams?|milligram|mg|mgs|मि\.?\s*ग्रा\.?|மி\.?\s*கி|ಮಿ\.?\s*ಗ್ರಾಂ"),
@@ -87,7 +87,7 @@ def compatible(df: DataFrame, column: str) -> DataFrame:
 def normalized(df: DataFrame, column: str) -> DataFrame:
     """df with a text column normalised: NFKC, ASCII digits, one rupee sign before a price, short units after a number, single spaces.
 
-    Latin words of currency count as whole words only, so that no other word is cut.
+    Words of currency count as whole words only, so that no other word is cut (a month's name holds one).
     """
     text = F.regexp_replace(C.indic_digits(F.coalesce(column, F.lit(""))), rf"(?i){CURRENCY}(?:\s*{CURRENCY})*\s*", "₹")
     for short, words in UNITS:

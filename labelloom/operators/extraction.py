@@ -59,10 +59,10 @@ def candidates(labels: DataFrame) -> DataFrame:
     q_anchor = _found_by(x, ("net",), r"(?i)net\s*(?:qty|quantity|wt|weight|content)[^0-9]{0,10}(\d+(?:\.\d+)?\s*(?:kg|mg|g|gm|ml|l|ltr|pcs|n)\b)")
     q_loose = F.when(~x.rlike(SERVING), _found(x, r"(?i)\b(\d+(?:\.\d+)?\s*(?:kg|g|gm|ml|l|ltr)\b)"))
     lic = F.when(_any(x, ("fssai", "lic")) | x.rlike(r"\d{14}"), C.repaired_licence(x))
-    maker = _found_by(x, ("by",), r"(?i)(?:manufactured|mfd\.?|mfg\.?)\s*by\s*:?\s*([^,\n]+)")
-    packer = _found_by(x, ("packed",), r"(?i)packed\s*by\s*:?\s*([^,\n]+)")
-    marketer = _found_by(x, ("marketed", "mktd",), r"(?i)(?:marketed|mktd\.?)\s*by\s*:?\s*([^,\n]+)")
-    importer = _found_by(x, ("imported",), r"(?i)imported\s*by\s*:?\s*([^,\n]+)")
+    maker = _found_by(x, ("by",), r"(?i)(?:manufactured|mfd\.?|mfg\.?)\s*by[:\s]*([^,:\s][^,\n]*)")
+    packer = _found_by(x, ("packed",), r"(?i)packed\s*by[:\s]*([^,:\s][^,\n]*)")
+    marketer = _found_by(x, ("marketed", "mktd",), r"(?i)(?:marketed|mktd\.?)\s*by[:\s]*([^,:\s][^,\n]*)")
+    importer = _found_by(x, ("imported",), r"(?i)imported\s*by[:\s]*([^,:\s][^,\n]*)")
     date = r"(\d{1,2}[/\-.]\d{2,4}(?:[/\-.]\d{2,4})?)"
     made = _found_by(x, ("mfg", "mfd", "pkd", "packed", "manufactured",), rf"(?i)(?:mfg|mfd|pkd|packed\s*on|manufactured\s*on|date\s*of\s*mfg)\.?\s*(?:date)?\s*:?\s*{date}")
     before = _found_by(x, ("best", "exp", "use",), rf"(?i)(?:best\s*before|exp(?:iry)?\.?\s*(?:date)?|use\s*by)\s*:?\s*{date}")
