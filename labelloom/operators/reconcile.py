@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelloom.functions import columns as C
+from labelloom.sources.shared import stored
 
 WEIGHT = {"LOW": 1, "MEDIUM": 2, "HIGH": 3, "CRITICAL": 4}
 
@@ -399,15 +401,22 @@ def duplicate_boxes(evidence: DataFrame) -> DataFrame:
 
 
 def artwork_chain(artworks: DataFrame) -> DataFrame:
-    """Root, iteration and ancestors of each artwork. artworks: id, parent_id. Recursion in SQL; a chain is as deep as it is."""
-    spark = artworks.sparkSession
-    return spark.sql(
-        """WITH RECURSIVE chain(id, root, iteration, ancestors) AS (
-          SELECT id, id, 1, CAST('' AS STRING) FROM {a} WHERE parent_id IS NULL
-          UNION ALL SELECT b.id, c.root, c.iteration + 1, concat_ws('/', nullif(c.ancestors, ''), CAST(c.id AS STRING)) FROM {a} b JOIN chain c ON b.parent_id = c.id)
-        SELECT * FROM chain""",
-        a=artworks,
-    )
+    """Root, iteration and ancestors of each artwork. artworks: id, parent_id. A chain is as deep as it is.
+
+    One join a level, whose rows are written before the next; a recursive query in SQL ends at a million rows.
+    """
+    left = stored(artworks.select("id", "parent_id"))
+    level = left.filter("parent_id IS NULL").select("id", F.col("id").alias("root"), F.lit(1).alias("iteration"), F.lit("").alias("ancestors"))
+    levels = []
+    while True:
+        level = stored(level)
+        if level.isEmpty():
+            break
+        levels.append(level)
+        above = level.select(F.col("id").alias("parent_id"), "root", "iteration", "ancestors")
+        path = F.concat_ws("/", F.nullif("ancestors", F.lit("")), F.col("parent_id").cast("string"))
+        level = left.join(above, "parent_id").select("id", "root", (F.col("iteration") + 1).alias("iteration"), path.alias("ancestors"))
+    return reduce(DataFrame.unionByName, levels, level)
 
 
 def resolve_snapshots(ids: DataFrame, screenings: DataFrame, artworks: DataFrame) -> DataFrame:
