@@ -224,7 +224,12 @@ def frame(spark: SparkSession, sf_dir: str, name: str, _seen: dict[str, DataFram
         elif name == "label_words":
             seen[name] = label_words(frame(spark, sf_dir, "label_text", seen))
         else:
-            seen[name] = spark.sql(VIEWS[name], **{d: frame(spark, sf_dir, d, seen) for d in _names(VIEWS[name])})
+            parts = {d: frame(spark, sf_dir, d, seen) for d in _names(VIEWS[name])}
+            if name == "label_truth":
+                # A short row of part becomes a long text and some eighty words. A file of few splits would be rendered by few
+                # tasks, and without a number Spark would merge the short rows into few partitions again.
+                parts["part"] = parts["part"].repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+            seen[name] = spark.sql(VIEWS[name], **parts)
     return seen[name]
 
 

@@ -1,6 +1,7 @@
 """What broke or slowed down on larger tables: limits of an engine, estimates, few splits."""
 
 from labelloom.operators import reconcile
+from labelloom.sources.views import frame
 
 
 def test_artwork_chain_is_not_cut_by_a_limit_of_rows(spark):
@@ -12,3 +13,9 @@ def test_artwork_chain_is_not_cut_by_a_limit_of_rows(spark):
     finally:
         spark.conf.unset("spark.sql.cteRecursionRowLimit")
     assert got == {1: (1, 1, "")} | {i: (1, 2, "1") for i in range(2, 8)} | {20: (1, 3, "1/2"), 30: (1, 4, "1/2/20")}
+
+
+def test_labels_are_rendered_by_many_tasks(spark, sf_dir):
+    """part is a file of one split; its rows are dealt before they become texts and words."""
+    assert frame(spark, sf_dir, "part").rdd.getNumPartitions() == 1
+    assert frame(spark, sf_dir, "words").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
