@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelloom.functions import columns as C
+from labelloom.operators.common import by_label, small
 
 #: Serving and nutrition words that disqualify a line for the net quantity.
 SERVING = r"(?i)serv(?:e|ing)|per\s*100|energy|protein|nutrition|sugar|fat|kcal"
@@ -34,16 +35,17 @@ def _found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.trim(F.regexp_extract(text, pattern, group)), F.lit(""))
 
 
-def _any(text: Column, words: tuple[str, ...]) -> Column:
-    low, out = F.lower(text), F.lit(False)
+def _any(low: Column, words: tuple[str, ...]) -> Column:
+    """Whether a lower-cased text has one of the words."""
+    out = F.lit(False)
     for w in words:
         out = out | low.contains(w)
     return out
 
 
-def _found_by(text: Column, words: tuple[str, ...], pattern: str) -> Column:
-    """_found, tried only where the text has one of the words that the pattern can't do without."""
-    return F.when(_any(text, words), _found(text, pattern))
+def _found_by(text: Column, low: Column, words: tuple[str, ...], pattern: str) -> Column:
+    """_found, tried only where the text, in lower case in low, has one of the words that the pattern can't do without."""
+    return F.when(_any(low, words), _found(text, pattern))
 
 
 def _candidate(field: str, raw: Column, value: Column, confidence: float | Column, method: str) -> Column:
@@ -51,44 +53,45 @@ def _candidate(field: str, raw: Column, value: Column, confidence: float | Colum
     return F.struct(F.lit(field).alias("field"), raw.alias("raw"), value.cast("string").alias("value"), c.cast("double").alias("confidence"), F.lit(method).alias("method"))
 
 
-def candidates(labels: DataFrame) -> DataFrame:
-    """All candidates of all fields. labels: label_id, text."""
-    x = F.col("content")
-    mrp = _found_by(x, ("mrp", "m.r.p", "retail",), r"(?i)(?:mrp|m\.r\.p\.?|maximum\s*retail\s*price)[^0-9]{0,15}(\d+(?:[.,]\d{1,2})?)")
-    loose = _found_by(x, ("rs", "₹",), r"(?i)(?:₹|rs\.?)\s*(\d+(?:\.\d{1,2})?)")
-    q_anchor = _found_by(x, ("net",), r"(?i)net\s*(?:qty|quantity|wt|weight|content)[^0-9]{0,10}(\d+(?:\.\d+)?\s*(?:kg|mg|g|gm|ml|l|ltr|pcs|n)\b)")
+def candidates(labels: DataFrame, fields: tuple[str, ...] | None = None) -> DataFrame:
+    """All candidates of all fields, or of some. labels: label_id, text."""
+    x, low = F.col("content"), F.col("low")
+    mrp = _found_by(x, low, ("mrp", "m.r.p", "retail",), r"(?i)(?:mrp|m\.r\.p\.?|maximum\s*retail\s*price)[^0-9]{0,15}(\d+(?:[.,]\d{1,2})?)")
+    loose = _found_by(x, low, ("rs", "₹",), r"(?i)(?:₹|rs\.?)\s*(\d+(?:\.\d{1,2})?)")
+    q_anchor = _found_by(x, low, ("net",), r"(?i)net\s*(?:qty|quantity|wt|weight|content)[^0-9]{0,10}(\d+(?:\.\d+)?\s*(?:kg|mg|g|gm|ml|l|ltr|pcs|n)\b)")
     q_loose = F.when(~x.rlike(SERVING), _found(x, r"(?i)\b(\d+(?:\.\d+)?\s*(?:kg|g|gm|ml|l|ltr)\b)"))
-    lic = F.when(_any(x, ("fssai", "lic")) | x.rlike(r"\d{14}"), C.repaired_licence(x))
-    maker = _found_by(x, ("by",), r"(?i)(?:manufactured|mfd\.?|mfg\.?)\s*by[:\s]*([^,:\s][^,\n]*)")
-    packer = _found_by(x, ("packed",), r"(?i)packed\s*by[:\s]*([^,:\s][^,\n]*)")
-    marketer = _found_by(x, ("marketed", "mktd",), r"(?i)(?:marketed|mktd\.?)\s*by[:\s]*([^,:\s][^,\n]*)")
-    importer = _found_by(x, ("imported",), r"(?i)imported\s*by[:\s]*([^,:\s][^,\n]*)")
+    lic = F.when(_any(low, ("fssai", "lic")) | x.rlike(r"\d{14}"), C.repaired_licence(x))
+    maker = _found_by(x, low, ("by",), r"(?i)(?:manufactured|mfd\.?|mfg\.?)\s*by[:\s]*([^,:\s][^,\n]*)")
+    packer = _found_by(x, low, ("packed",), r"(?i)packed\s*by[:\s]*([^,:\s][^,\n]*)")
+    marketer = _found_by(x, low, ("marketed", "mktd",), r"(?i)(?:marketed|mktd\.?)\s*by[:\s]*([^,:\s][^,\n]*)")
+    importer = _found_by(x, low, ("imported",), r"(?i)imported\s*by[:\s]*([^,:\s][^,\n]*)")
     date = r"(\d{1,2}[/\-.]\d{2,4}(?:[/\-.]\d{2,4})?)"
-    made = _found_by(x, ("mfg", "mfd", "pkd", "packed", "manufactured",), rf"(?i)(?:mfg|mfd|pkd|packed\s*on|manufactured\s*on|date\s*of\s*mfg)\.?\s*(?:date)?\s*:?\s*{date}")
-    before = _found_by(x, ("best", "exp", "use",), rf"(?i)(?:best\s*before|exp(?:iry)?\.?\s*(?:date)?|use\s*by)\s*:?\s*{date}")
-    life = _found_by(x, ("best",), r"(?i)best\s*before\s*:?\s*(\d+\s*(?:months?|days?|years?)\s*from\s*\w+)")
-    batch = F.when(_any(x, ("batch", "lot")) & x.rlike(r"(?i)\b(?:batch|lot)\b"), F.nullif(C.repaired_batch(x), F.lit("")))
-    email = _found_by(x, ("@",), r"([A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,})")
-    tollfree = _found_by(x, ("1800",), r"\b(1800[\s\-]?(?:\d{3}[\s\-]?\d{3,4}|\d{2}[\s\-]?\d{2}[\s\-]?\d{3,4}|\d{6,8}))\b")
-    contact = _any(x, CONTACT)
+    made = _found_by(x, low, ("mfg", "mfd", "pkd", "packed", "manufactured",), rf"(?i)(?:mfg|mfd|pkd|packed\s*on|manufactured\s*on|date\s*of\s*mfg)\.?\s*(?:date)?\s*:?\s*{date}")
+    before = _found_by(x, low, ("best", "exp", "use",), rf"(?i)(?:best\s*before|exp(?:iry)?\.?\s*(?:date)?|use\s*by)\s*:?\s*{date}")
+    life = _found_by(x, low, ("best",), r"(?i)best\s*before\s*:?\s*(\d+\s*(?:months?|days?|years?)\s*from\s*\w+)")
+    batch = F.when(_any(low, ("batch", "lot")) & x.rlike(r"(?i)\b(?:batch|lot)\b"), F.nullif(C.repaired_batch(x), F.lit("")))
+    email = _found_by(x, low, ("@",), r"([A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,})")
+    tollfree = _found_by(x, low, ("1800",), r"\b(1800[\s\-]?(?:\d{3}[\s\-]?\d{3,4}|\d{2}[\s\-]?\d{2}[\s\-]?\d{3,4}|\d{6,8}))\b")
+    contact = _any(low, CONTACT)
     landline = F.when(contact & x.rlike(r"\b0\d{2,4}"), _found(x, r"\b(0\d{2,4}[-\s]?\d{6,8})\b"))
-    abroad = _found_by(x, ("+91",), r"(\+91[-\s]?[6-9]\d{4}[-\s]?\d{5})(?!\d)")
+    abroad = _found_by(x, low, ("+91",), r"(\+91[-\s]?[6-9]\d{4}[-\s]?\d{5})(?!\d)")
     mobile = F.when(contact, _found(x, r"(?:^|[^\d])((?:\+91[-\s]?)?[6-9]\d{4}[-\s]?\d{5})(?:\D|$)"))
-    origin = _found_by(x, ("origin",), r"(?i)country\s*of\s*origin\s*:?\s*([A-Za-z ]+)")
-    made_in = _found_by(x, ("made", "product",), r"(?i)(?:made\s*in|product\s*of)\s+([A-Za-z]+)")
-    ingredients = _found_by(x, ("redient",), r"(?i)^\s*in[gqo]redients?\s*:?\s*(.{8,350})")
-    allergen = _found_by(x, ("allergen", "contains",), r"(?i)(?:allergen[^:]*:|contains\s*:)\s*(.{3,150})")
-    brand = _found_by(x, ("brand",), r"(?i)^\s*brand\s*:\s*(.+)$")
-    nutrition = F.when(x.rlike(r"(?i)nutrition"), F.lit("Panel detected"))
-    usp = _found_by(x, ("usp", "unit",), r"(?i)((?:unit\s*sale\s*price|usp)[^0-9]{0,10}\d+(?:\.\d+)?\s*(?:per|/)\s*\d*\s*(?:g|kg|ml|l|unit))")
-    code = _found_by(x, ("barcode", "ean", "gtin", "upc"), r"(?i)(?:barcode|ean|gtin|ean-?13|gtin-?13|upc)[\s.:\-]*\b(\d{8,14})\b")
+    origin = _found_by(x, low, ("origin",), r"(?i)country\s*of\s*origin\s*:?\s*([A-Za-z ]+)")
+    made_in = _found_by(x, low, ("made", "product",), r"(?i)(?:made\s*in|product\s*of)\s+([A-Za-z]+)")
+    ingredients = _found_by(x, low, ("redient",), r"(?i)^\s*in[gqo]redients?\s*:?\s*(.{8,350})")
+    allergen = _found_by(x, low, ("allergen", "contains",), r"(?i)(?:allergen[^:]*:|contains\s*:)\s*(.{3,150})")
+    brand = _found_by(x, low, ("brand",), r"(?i)^\s*brand\s*:\s*(.+)$")
+    nutrition = F.when(low.contains("nutrition"), F.lit("Panel detected"))
+    usp = _found_by(x, low, ("usp", "unit",), r"(?i)((?:unit\s*sale\s*price|usp)[^0-9]{0,10}\d+(?:\.\d+)?\s*(?:per|/)\s*\d*\s*(?:g|kg|ml|l|unit))")
+    code = _found_by(x, low, ("barcode", "ean", "gtin", "upc"), r"(?i)(?:barcode|ean|gtin|ean-?13|gtin-?13|upc)[\s.:\-]*\b(\d{8,14})\b")
     digits = F.when(lic.isNull() & x.contains("890"), _found(x, r"(?:^|\D)(890\d{10})(?:\D|$)"))
     run = F.when(lic.isNull() & x.rlike(r"\d{12}"), _found(x, rf"(?:^|[^\w])((?!890\d{{10}}(?:\D|$))(?!{'|'.join(NO_CODE)})\d{{12,14}})(?:[^\w]|$)"))
     # Each pattern runs once a line; the candidates below refer to its result.
     raw = {"mrp": mrp, "loose": loose, "q_anchor": q_anchor, "q_loose": q_loose, "lic": lic, "maker": maker, "packer": packer, "marketer": marketer, "importer": importer, "made": made, "before": before, "life": life, "batch": batch, "email": email, "tollfree": tollfree, "landline": landline, "abroad": abroad, "mobile": mobile, "origin": origin, "made_in": made_in, "ingredients": ingredients, "allergen": allergen, "brand": brand, "nutrition": nutrition, "usp": usp, "code": code, "digits": digits, "run": run}
-    lines = lines_of(labels).select("label_id", "line", "content", *(c.alias(f"__{n}") for n, c in raw.items()))
+    lines = lines_of(labels).withColumn("low", F.lower("content")).select("label_id", "line", "content", *(c.alias(f"__{n}") for n, c in raw.items()))
     mrp, loose, q_anchor, q_loose, lic, maker, packer, marketer, importer, made, before, life, batch, email, tollfree, landline, abroad, mobile, origin, made_in, ingredients, allergen, brand, nutrition, usp, code, digits, run = (F.col(f"__{n}") for n in raw)
-    rows = F.array(
+    name = F.when((F.col("line") == 0) & (F.size(F.split(x, " ")) <= 6), x)
+    rows = (
         _candidate("mrp", mrp, C.repaired_price(mrp), 92, "anchored"),
         _candidate("mrp", F.when(mrp.isNull(), loose), F.when(mrp.isNull(), C.repaired_price(loose)), 85, "fallback"),
         _candidate("net_quantity", q_anchor, C.repaired_quantity(q_anchor), 92, "anchored"),
@@ -117,9 +120,11 @@ def candidates(labels: DataFrame) -> DataFrame:
         _candidate("barcode", code, code, 92, "labelled"),
         _candidate("barcode", F.when(code.isNull(), digits), F.when(code.isNull(), digits), 88, "prefix"),
         _candidate("barcode", F.when(code.isNull() & digits.isNull(), run), F.when(code.isNull() & digits.isNull(), run), 90, "digits"),
-        _candidate("product_name", F.when((F.col("line") == 0) & (F.size(F.split(x, " ")) <= 6), x), F.when((F.col("line") == 0) & (F.size(F.split(x, " ")) <= 6), x), F.least(F.lit(94.0), 70 + 0.3 * name_score(x, F.col("line"))), "phrase"),
+        _candidate("product_name", name, name, F.when(F.col("line") == 0, F.least(F.lit(94.0), 70 + 0.3 * name_score(x, F.col("line")))), "phrase"),
     )
-    return lines.select("label_id", F.col("line").alias("pos"), F.explode(rows).alias("c")).filter("c.value IS NOT NULL").select("label_id", "c.*", "pos")
+    at = ("mrp", "mrp", "net_quantity", "net_quantity", "fssai_license", "manufacturer", "packer", "marketed_by", "importer", "manufacturing_date", "best_before", "relative_shelf_life", "batch_number", "consumer_care_email", "consumer_care_phone", "consumer_care_phone", "consumer_care_phone", "consumer_care_phone", "country_of_origin", "country_of_origin", "ingredients", "allergens", "brand", "nutrition_facts", "unit_sale_price", "barcode", "barcode", "barcode", "product_name")
+    some = [r for f, r in zip(at, rows, strict=True) if fields is None or f in fields]
+    return lines.select("label_id", F.col("line").alias("pos"), F.explode(F.array(*some)).alias("c")).filter("c.value IS NOT NULL").select("label_id", "c.*", "pos")
 
 
 COMMODITY = ("oats", "juice", "noodles", "biscuit", "shampoo", "soap", "rice", "oil", "tea", "coffee", "atta", "salt")
@@ -173,7 +178,7 @@ def declared(labels: DataFrame, found: DataFrame) -> DataFrame:
         *(F.first(F.when(F.col("field") == f, F.col("value")), ignorenulls=True).alias(f) for f in (*FIELDS, *extra)),
         F.map_from_entries(F.collect_list(F.struct("field", "confidence"))).alias("confidences"),
     )
-    return labels.join(wide, "label_id", "left")
+    return labels.join(by_label(wide), "label_id", "left")
 
 
 def nutrition(text: Column) -> Column:
@@ -242,8 +247,6 @@ def multilingual(labels: DataFrame, keywords: DataFrame) -> DataFrame:
 
     keywords: language, field, keyword; a dimension of a few hundred rows, broadcast up to a checked count.
     """
-    from labelloom.operators.common import small
-
     k = small(keywords.select("language", "field", F.lower("keyword").alias("keyword")))
     hits = lines_of(labels).join(k, F.lower("content").contains(F.col("keyword")))
     w = W.partitionBy("label_id", "field").orderBy(F.desc(F.length("keyword")), "line", "language")
@@ -253,5 +256,5 @@ def multilingual(labels: DataFrame, keywords: DataFrame) -> DataFrame:
 
 def merged(base: DataFrame, more: DataFrame) -> DataFrame:
     """base candidates, and of more those that fill a (label, field) gap, at confidence 80."""
-    gaps = more.join(base.select("label_id", "field").distinct(), ["label_id", "field"], "left_anti")
+    gaps = more.join(by_label(base.select("label_id", "field").distinct()), ["label_id", "field"], "left_anti")
     return best(base).unionByName(gaps.select("label_id", "field", F.col("value").alias("raw"), "value", F.lit(80.0).alias("confidence"), F.lit("dictionary").alias("method"), "pos"))

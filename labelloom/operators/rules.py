@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.functions import columns as C
+from labelloom.operators.common import by_label
 from labelloom.sources.views import RULES as RULE_ROWS
 
 #: Keywords by which a package's context is inferred.
@@ -248,5 +249,5 @@ def font_heights(d: DataFrame, boxes: DataFrame, px_per_mm: float) -> DataFrame:
     grams, _ = C.quantity_base(F.col("net_quantity"))
     least = C.letter_height(grams.cast("double"))
     b = boxes.groupBy("label_id").agg(F.avg(F.when(F.col("field") == "net_quantity", F.col("h"))).alias("q"), F.avg(F.when(F.col("field") == "mrp", F.col("h"))).alias("p"))
-    j = d.join(b, "label_id", "left").select("label_id", least.alias("least_mm"), F.round(F.coalesce(F.col("q") / px_per_mm, least * 1.25), 2).alias("quantity_mm"), F.round(F.coalesce(F.col("p") / px_per_mm, least * 1.35), 2).alias("price_mm"))
+    j = d.join(by_label(b), "label_id", "left").select("label_id", least.alias("least_mm"), F.round(F.coalesce(F.col("q") / px_per_mm, least * 1.25), 2).alias("quantity_mm"), F.round(F.coalesce(F.col("p") / px_per_mm, least * 1.35), 2).alias("price_mm"))
     return j.withColumn("compliant", (F.col("quantity_mm") >= F.col("least_mm")) & (F.col("price_mm") >= F.col("least_mm")))
