@@ -52,7 +52,11 @@ def local_date(c: Column) -> Column:
     The year is a number of four digits, or of two after the month, or of two anywhere; the day a number before the month.
     """
     d = F.trim(C.indic_digits(c))
-    low = F.lower(d)
+    # Bound once: the text is asked for every name.
+    return F.get(F.transform(F.array(F.struct(d.alias("d"), F.lower(d).alias("low"))), lambda t: _local_date(t["d"], t["low"])), F.lit(0))
+
+
+def _local_date(d: Column, low: Column) -> Column:
     names = F.array(*(F.struct(F.lit(w).alias("w"), F.lit(n).alias("n")) for w, n in months()))
     hit = F.get(F.filter(names, lambda m: low.contains(m["w"])), F.lit(0))
 

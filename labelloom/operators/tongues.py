@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from labelloom.functions import columns as C
 from labelloom.functions import languages as L
-from labelloom.operators.common import small
+from labelloom.operators.common import by_label, small
 from labelloom.operators.extraction import best
 
 #: Languages with their names and scripts.
@@ -38,8 +38,8 @@ PRICE = r"(?i)(?:₹|Rs\.?|INR)\s*(\d+(?:\.\d{1,2})?)"
 DATES = ("manufacturing_date", "packaging_date", "expiry_date", "best_before")
 SECTIONS = ("ingredients", "nutritional_info", "allergens")
 MAKERS = ("manufacturer", "marketed_by")
-#: Letters of a keyword that the index is read by; a shorter keyword is read by all of its own.
-INDEX = 3
+#: Letters of a keyword that the index is read by, a shorter keyword by all of its own; beginnings up to which a line is searched for these alone.
+INDEX, BEGINNINGS = 3, 2_000
 
 
 def _any_of(words: list[str]) -> str:
@@ -139,9 +139,21 @@ def _index(keywords: DataFrame) -> DataFrame:
     return k.withColumn("head", F.left("keyword", F.lit(INDEX)))
 
 
-def _heads(line: Column, widths: list[int]) -> Column:
-    """All runs of letters of a line of the given widths, overlapping ones too, each once."""
-    return F.array_distinct(F.flatten(F.array(*(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{w}}}))"), F.lit(1)) for w in widths))))
+def _beginnings(index: DataFrame) -> list[str]:
+    """Patterns for the heads of an index, one for each of their lengths; for any letters if there are more than BEGINNINGS."""
+    heads = index.select("head").distinct()
+    known = sorted(r[0] for r in heads.limit(BEGINNINGS + 1).collect())
+    if len(known) > BEGINNINGS:
+        return [f".{{{r[0]}}}" for r in heads.select(F.length("head")).distinct().collect()]  # no more than INDEX numbers
+    quoted = lambda x: "".join(c if c.isalnum() else f"\\x{{{ord(c):X}}}" for c in x)
+    # The letters that heads begin with turn most places of a line away at once.
+    some = {w: [quoted(h) for h in known if len(h) == w] for w in sorted(set(map(len, known)))}
+    return [f"(?=[{''.join(sorted({quoted(h[0]) for h in known if len(h) == w}))}])(?:{'|'.join(hs)})" for w, hs in some.items()]
+
+
+def _heads(line: Column, beginnings: list[str]) -> Column:
+    """All runs of letters of a line that match a pattern, overlapping ones too, each once."""
+    return F.array_distinct(F.flatten(F.array(*(F.regexp_extract_all(line, F.lit(f"(?s)(?=({p}))"), F.lit(1)) for p in beginnings))))
 
 
 def keyword_hits(labels: DataFrame, keywords: DataFrame) -> DataFrame:
@@ -156,8 +168,7 @@ def keyword_hits(labels: DataFrame, keywords: DataFrame) -> DataFrame:
     each = L.normalized(labels.select("label_id", F.inline(rows)).filter(F.trim("raw") != ""), "content")
     each = each.withColumn("low", F.lower("content"))
     index = _index(keywords)
-    widths = sorted(r[0] for r in index.select(F.length("head")).distinct().collect()) or [INDEX]  # no more than INDEX numbers
-    met = each.withColumn("head", F.explode(_heads(F.col("low"), widths))).join(small(index), "head")
+    met = each.withColumn("head", F.explode(_heads(F.col("low"), _beginnings(index) or [f".{{{INDEX}}}"]))).join(small(index), "head")
     return met.withColumn("at", F.expr("position(keyword, low)")).filter("at > 0").drop("head", "low")
 
 
@@ -204,5 +215,5 @@ def local_declarations(labels: DataFrame, keywords: DataFrame) -> DataFrame:
 def filled(base: DataFrame, local: DataFrame) -> DataFrame:
     """The best candidates of base, and local declarations of the (label, field) gaps, with their own confidence. base: extraction.candidates."""
     top = best(base)
-    gaps = local.join(top.select("label_id", "field"), ["label_id", "field"], "left_anti")
+    gaps = local.join(by_label(top.select("label_id", "field")), ["label_id", "field"], "left_anti")
     return top.unionByName(gaps.select("label_id", "field", F.col("value").alias("raw"), "value", "confidence", F.lit("multilingual").alias("method"), "pos"))
