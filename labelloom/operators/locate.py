@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelloom.operators.common import by_label
+
 #: Stems by which a printed word stands for a target: class, beginnings of the word, parts of it, targets.
 STEMS = (
     ("mrp", ("mrp",), (), ("mrp",)),
@@ -101,7 +103,7 @@ def starts(read: DataFrame, anchors: DataFrame) -> DataFrame:
     t = t.withColumn("key", F.explode(target_keys(F.col("targets")[0])))
     spots = read.select("label_id", F.posexplode("ws.s").alias("i", "s")).filter("s <> ''").select("label_id", "i", "s", F.explode(word_keys(F.col("s"))).alias("key"))
     own = "label_id" in anchors.columns
-    met = spots.join(t if own else F.broadcast(t), ["label_id", "key"] if own else "key").filter(same(F.col("s"), F.col("targets")[0]))
+    met = spots.join(by_label(t) if own else F.broadcast(t), ["label_id", "key"] if own else "key").filter(same(F.col("s"), F.col("targets")[0]))
     return met.groupBy("label_id", *columns).agg(F.sort_array(F.collect_set("i")).alias("at"))
 
 
@@ -208,7 +210,7 @@ def spans(read: DataFrame, found: DataFrame, group: tuple[str, ...] = (), gap: i
     """
     columns = [c for c in found.columns if c not in ("label_id", "at")]
     each = found.groupBy("label_id").agg(F.collect_list(F.struct(*columns, "at")).alias("c"))
-    j = read.join(each, "label_id").select("label_id", "ws", "c")
+    j = read.join(by_label(each), "label_id").select("label_id", "ws", "c")
     schema = T.StructType([*j.schema.fields, T.StructField("picks", T.ArrayType(T.StructType([T.StructField("k", T.IntegerType()), T.StructField("got", T.ArrayType(T.IntegerType())), T.StructField("beside", T.ArrayType(T.IntegerType()))])))])
     e = j.mapInArrow(_grown(columns, group, gap), schema).select("label_id", "ws", "c", F.explode("picks").alias("p"))
     e = e.withColumn("o", F.get("c", F.col("p.k")))

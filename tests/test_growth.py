@@ -1,6 +1,8 @@
 """What broke or slowed down on larger tables: limits of an engine, estimates, few splits."""
 
-from labelloom.operators import reconcile
+from pyspark.sql import functions as F
+
+from labelloom.operators import evidence, extraction, locate, reconcile, tongues
 from labelloom.sources.views import frame
 
 
@@ -19,3 +21,28 @@ def test_labels_are_rendered_by_many_tasks(spark, sf_dir):
     """part is a file of one split; its rows are dealt before they become texts and words."""
     assert frame(spark, sf_dir, "part").rdd.getNumPartitions() == 1
     assert frame(spark, sf_dir, "words").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_lines_meet_only_beginnings_of_keywords(spark):
+    """A line gave a row for every run of letters in it; now only for those that some keyword begins with."""
+    k = tongues._index(spark.createDataFrame([("en", "mrp", "M.R.P"), ("en", "care", "care"), ("en", "mrp", "a"), ("hi", "mrp", "मूल्य")], "language string, field string, keyword string"))
+    line = spark.createDataFrame([("mxrxp, careful m.r.p मूल्य",)], "low string")
+    assert sorted(line.select(tongues._heads(F.col("low"), tongues._beginnings(k))).first()[0]) == ["a", "car", "m.r", "मूल"]
+
+
+def test_tables_of_all_labels_are_not_broadcast(spark):
+    """Spark takes their size for that of the columns that texts are made from; the limit is 10 MB, as by default."""
+    words = spark.createDataFrame([(1, 1, 1, "MRP", 0, 0, 10, 10, 90)], "label_id long, line int, pos int, word string, x int, y int, w int, h int, confidence int")
+    own = words.select("label_id", F.array("word").alias("targets"), F.lit("LINE").alias("kind"), F.lit(0).alias("below"), F.lit(0).alias("width"))
+    values = words.select("label_id", F.lit("brand").alias("field"), F.col("word").alias("value"))
+    labels = words.select("label_id", F.col("word").alias("text"))
+    read = locate.reading(words)
+    for df in (locate.starts(read, own), locate.spans(read, locate.starts(read, own)), evidence.provenance(values, words), extraction.declarations(labels)):
+        assert df.count() == 1
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_candidates_of_some_fields(spark):
+    labels = spark.createDataFrame([(1, "Fine Oats\nMRP Rs. 20\nNet Qty: 5 g\nBatch No: B7")], "label_id long, text string")
+    every = {tuple(r) for r in extraction.candidates(labels).collect()}
+    assert {tuple(r) for r in extraction.candidates(labels, ("mrp", "product_name")).collect()} == {r for r in every if r[1] in ("mrp", "product_name")} != set()
