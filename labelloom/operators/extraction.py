@@ -230,12 +230,16 @@ def sections(labels: DataFrame, heading: str, stop: str, most: int = 3) -> DataF
 
 #: Unicode ranges of the scripts that labels use.
 SCRIPTS = {"Devanagari": r"[\x{0900}-\x{097F}]", "Bengali": r"[\x{0980}-\x{09FF}]", "Gurmukhi": r"[\x{0A00}-\x{0A7F}]", "Gujarati": r"[\x{0A80}-\x{0AFF}]", "Tamil": r"[\x{0B80}-\x{0BFF}]", "Telugu": r"[\x{0C00}-\x{0C7F}]", "Kannada": r"[\x{0C80}-\x{0CFF}]", "Malayalam": r"[\x{0D00}-\x{0D7F}]", "Latin": r"[A-Za-z\x{00C0}-\x{024F}]"}
+INDIC = r"[\x{0900}-\x{0D7F}]"
 
 
 def scripts(docs: DataFrame, key: str) -> DataFrame:
     """Each document's letters by script, its main script, its share and whether scripts are mixed."""
     text = F.coalesce("text", F.lit(""))
-    counts = F.array(*(F.struct(F.length(F.regexp_replace(text, p.replace("[", "[^"), "")).alias("n"), F.lit(s).alias("script")) for s, p in SCRIPTS.items()))
+    # The eight other scripts lie in one range; only texts with a letter of it are read for each.
+    docs = docs.select(key, text.alias("text"), text.rlike(INDIC).alias("indic"))
+    n = {s: F.length(F.regexp_replace("text", p.replace("[", "[^") + "+", "")) for s, p in SCRIPTS.items()}
+    counts = F.array(*(F.struct((c if s == "Latin" else F.when(F.col("indic"), c).otherwise(0)).alias("n"), F.lit(s).alias("script")) for s, c in n.items()))
     top = docs.select(key, F.array_sort(counts).alias("c")).select(key, F.get("c", F.size("c") - 1).alias("top"), F.get("c", F.size("c") - 2).alias("next"), F.aggregate("c", F.lit(0), lambda a, x: a + x["n"]).alias("letters"))
     share = F.try_divide(F.col("top.n"), F.col("letters"))
     return top.select(key, F.when(F.col("letters") > 0, F.col("top.script")).alias("script"), "letters", F.round(share, 4).alias("share"),

@@ -46,3 +46,10 @@ def test_candidates_of_some_fields(spark):
     labels = spark.createDataFrame([(1, "Fine Oats\nMRP Rs. 20\nNet Qty: 5 g\nBatch No: B7")], "label_id long, text string")
     every = {tuple(r) for r in extraction.candidates(labels).collect()}
     assert {tuple(r) for r in extraction.candidates(labels, ("mrp", "product_name")).collect()} == {r for r in every if r[1] in ("mrp", "product_name")} != set()
+
+
+def test_scripts_beyond_latin_lie_in_one_range(spark):
+    """Texts without a letter of that range are not read for each of the eight scripts."""
+    rows = [(i, s) for i, s in enumerate([chr(0x900), chr(0xD7F), "é जल ab", "ok", None, "඀"])]
+    got = {r.id: (r.script, r.letters) for r in extraction.scripts(spark.createDataFrame(rows, "id int, text string"), "id").collect()}
+    assert got == {0: ("Devanagari", 1), 1: ("Malayalam", 1), 2: ("Latin", 5), 3: ("Latin", 2), 4: (None, 0), 5: (None, 0)}
