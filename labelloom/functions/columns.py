@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,22 +46,32 @@ def comparison_key(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(indic_digits(c), r"\s+", " ")))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use of a value that is computed once, however often it stands in use."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def label_date(c: Column) -> Column:
     """DD/MM/YYYY or MM/YYYY from numeric and month-name dates; else the text as it was."""
-    t = F.lower(F.trim(indic_digits(c)))
-    word = F.regexp_extract(t, r"([a-z]{3})[a-z]*", 1)
-    month = F.coalesce(*(F.when(word == m, f"{i:02d}") for m, i in MONTHS.items()))
+    return bound(F.struct(c.alias("c"), F.lower(F.trim(indic_digits(c))).alias("t")), lambda v: F.coalesce(_named_date(v["t"]), _numeric_date(v["t"]), v["c"]))
+
+
+def _named_date(t: Column) -> Column:
+    number = F.create_map(*(F.lit(x) for m, i in MONTHS.items() for x in (m, f"{i:02d}")))
+    month = F.try_element_at(number, F.regexp_extract(t, r"([a-z]{3})[a-z]*", 1))
     year4 = F.nullif(F.regexp_extract(t, r"\b(\d{4})\b", 1), F.lit(""))
     year2 = F.nullif(F.regexp_extract(t, r"(?:^|[^\d])(\d{2})$", 1), F.lit(""))
     year = F.coalesce(year4, F.concat(F.lit("20"), year2))
     day = F.nullif(F.regexp_extract(t, r"\b([0-2]?\d|3[01])(?:st|nd|rd|th)?[\s\-./]+[a-z]", 1), F.lit(""))
-    named = F.when(month.isNotNull() & year.isNotNull(), F.concat_ws("/", F.lpad(day, 2, "0"), month, year))
+    return F.when(t.rlike(r"[a-z]{3}") & month.isNotNull() & year.isNotNull(), F.concat_ws("/", F.lpad(day, 2, "0"), month, year))
+
+
+def _numeric_date(t: Column) -> Column:
     full = r"^(\d{1,2})[\-./](\d{1,2})[\-./](\d{2}|\d{4})$"
     short = r"^(\d{1,2})[\-./](\d{2}|\d{4})$"
     yr = lambda p, i: F.when(F.length(F.regexp_extract(t, p, i)) == 2, F.concat(F.lit("20"), F.regexp_extract(t, p, i))).otherwise(F.regexp_extract(t, p, i))
     two = lambda p, i: F.lpad(F.regexp_extract(t, p, i), 2, "0")
-    numeric = F.when(t.rlike(full), F.concat_ws("/", two(full, 1), two(full, 2), yr(full, 3))).when(t.rlike(short), F.concat_ws("/", two(short, 1), yr(short, 2)))
-    return F.coalesce(named, numeric, c)
+    return F.when(t.rlike(full), F.concat_ws("/", two(full, 1), two(full, 2), yr(full, 3))).when(t.rlike(short), F.concat_ws("/", two(short, 1), yr(short, 2)))
 
 
 def price(c: Column) -> Column:
@@ -153,8 +165,8 @@ def repaired_quantity(c: Column) -> Column:
 
 def repaired_price(c: Column) -> Column:
     """A price between 1 and 50000; dates and runs of eight digits are no prices."""
-    p = price(F.regexp_replace(c, r"(\d),(\d{2})\b(?!\d)", "$1.$2"))
-    return F.when(~c.rlike(r"\d{8,}") & ~c.rlike(r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}") & p.between(1, 50000), p)
+    read = price(F.regexp_replace(c, r"(\d),(\d{2})\b(?!\d)", "$1.$2"))
+    return F.when(~c.rlike(r"\d{8,}") & ~c.rlike(r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}"), bound(read, lambda p: F.when(p.between(1, 50000), p)))
 
 
 def repaired_date(c: Column) -> Column:

@@ -32,7 +32,8 @@ def lines_of(labels: DataFrame) -> DataFrame:
 
 
 def _found(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.nullif(F.trim(F.regexp_extract(text, pattern, group)), F.lit(""))
+    """What the pattern finds, empty if nothing."""
+    return F.trim(F.regexp_extract(text, pattern, group))
 
 
 def _any(low: Column, words: tuple[str, ...]) -> Column:
@@ -49,8 +50,9 @@ def _found_by(text: Column, low: Column, words: tuple[str, ...], pattern: str) -
 
 
 def _candidate(field: str, raw: Column, value: Column, confidence: float | Column, method: str) -> Column:
+    """Null where raw is, so that a line is not repaired for every field that it lacks."""
     c = confidence if isinstance(confidence, Column) else F.lit(float(confidence))
-    return F.struct(F.lit(field).alias("field"), raw.alias("raw"), value.cast("string").alias("value"), c.cast("double").alias("confidence"), F.lit(method).alias("method"))
+    return F.when(raw.isNotNull(), F.struct(F.lit(field).alias("field"), raw.alias("raw"), value.cast("string").alias("value"), c.cast("double").alias("confidence"), F.lit(method).alias("method")))
 
 
 def candidates(labels: DataFrame, fields: tuple[str, ...] | None = None) -> DataFrame:
@@ -59,7 +61,7 @@ def candidates(labels: DataFrame, fields: tuple[str, ...] | None = None) -> Data
     mrp = _found_by(x, low, ("mrp", "m.r.p", "retail",), r"(?i)(?:mrp|m\.r\.p\.?|maximum\s*retail\s*price)[^0-9]{0,15}(\d+(?:[.,]\d{1,2})?)")
     loose = _found_by(x, low, ("rs", "₹",), r"(?i)(?:₹|rs\.?)\s*(\d+(?:\.\d{1,2})?)")
     q_anchor = _found_by(x, low, ("net",), r"(?i)net\s*(?:qty|quantity|wt|weight|content)[^0-9]{0,10}(\d+(?:\.\d+)?\s*(?:kg|mg|g|gm|ml|l|ltr|pcs|n)\b)")
-    q_loose = F.when(~x.rlike(SERVING), _found(x, r"(?i)\b(\d+(?:\.\d+)?\s*(?:kg|g|gm|ml|l|ltr)\b)"))
+    q_loose = F.when(x.rlike(r"\d\s*[kKgGmMlL]") & ~x.rlike(SERVING), _found(x, r"(?i)\b(\d+(?:\.\d+)?\s*(?:kg|g|gm|ml|l|ltr)\b)"))
     lic = F.when(_any(low, ("fssai", "lic")) | x.rlike(r"\d{14}"), C.repaired_licence(x))
     maker = _found_by(x, low, ("by",), r"(?i)(?:manufactured|mfd\.?|mfg\.?)\s*by[:\s]*([^,:\s][^,\n]*)")
     packer = _found_by(x, low, ("packed",), r"(?i)packed\s*by[:\s]*([^,:\s][^,\n]*)")
@@ -84,11 +86,12 @@ def candidates(labels: DataFrame, fields: tuple[str, ...] | None = None) -> Data
     nutrition = F.when(low.contains("nutrition"), F.lit("Panel detected"))
     usp = _found_by(x, low, ("usp", "unit",), r"(?i)((?:unit\s*sale\s*price|usp)[^0-9]{0,10}\d+(?:\.\d+)?\s*(?:per|/)\s*\d*\s*(?:g|kg|ml|l|unit))")
     code = _found_by(x, low, ("barcode", "ean", "gtin", "upc"), r"(?i)(?:barcode|ean|gtin|ean-?13|gtin-?13|upc)[\s.:\-]*\b(\d{8,14})\b")
-    digits = F.when(lic.isNull() & x.contains("890"), _found(x, r"(?:^|\D)(890\d{10})(?:\D|$)"))
-    run = F.when(lic.isNull() & x.rlike(r"\d{12}"), _found(x, rf"(?:^|[^\w])((?!890\d{{10}}(?:\D|$))(?!{'|'.join(NO_CODE)})\d{{12,14}})(?:[^\w]|$)"))
-    # Each pattern runs once a line; the candidates below refer to its result.
+    digits = F.when(x.contains("890") & lic.isNull(), _found(x, r"(?:^|\D)(890\d{10})(?:\D|$)"))
+    run = F.when(x.rlike(r"\d{12}") & lic.isNull(), _found(x, rf"(?:^|[^\w])((?!890\d{{10}}(?:\D|$))(?!{'|'.join(NO_CODE)})\d{{12,14}})(?:[^\w]|$)"))
+    # Each pattern runs once a line; the candidates below refer to its result, null where it is empty.
     raw = {"mrp": mrp, "loose": loose, "q_anchor": q_anchor, "q_loose": q_loose, "lic": lic, "maker": maker, "packer": packer, "marketer": marketer, "importer": importer, "made": made, "before": before, "life": life, "batch": batch, "email": email, "tollfree": tollfree, "landline": landline, "abroad": abroad, "mobile": mobile, "origin": origin, "made_in": made_in, "ingredients": ingredients, "allergen": allergen, "brand": brand, "nutrition": nutrition, "usp": usp, "code": code, "digits": digits, "run": run}
     lines = lines_of(labels).withColumn("low", F.lower("content")).select("label_id", "line", "content", *(c.alias(f"__{n}") for n, c in raw.items()))
+    lines = lines.select("label_id", "line", "content", *(F.nullif(f"__{n}", F.lit("")).alias(f"__{n}") for n in raw))
     mrp, loose, q_anchor, q_loose, lic, maker, packer, marketer, importer, made, before, life, batch, email, tollfree, landline, abroad, mobile, origin, made_in, ingredients, allergen, brand, nutrition, usp, code, digits, run = (F.col(f"__{n}") for n in raw)
     name = F.when((F.col("line") == 0) & (F.size(F.split(x, " ")) <= 6), x)
     rows = (
@@ -164,10 +167,10 @@ def spread(labels: DataFrame) -> DataFrame:
     return labels.repartition("label_id")
 
 
-def declarations(labels: DataFrame) -> DataFrame:
-    """One row per label: text, a column for each field's best value, and map confidences."""
+def declarations(labels: DataFrame, fields: tuple[str, ...] | None = None) -> DataFrame:
+    """One row per label: text, a column for each field's best value, and map confidences. fields: those that are looked for, by default all; others are null."""
     labels = spread(labels)
-    return declared(labels, candidates(labels))
+    return declared(labels, candidates(labels, fields))
 
 
 def declared(labels: DataFrame, found: DataFrame) -> DataFrame:
@@ -252,13 +255,16 @@ def multilingual(labels: DataFrame, keywords: DataFrame) -> DataFrame:
     keywords: language, field, keyword; a dimension of a few hundred rows, broadcast up to a checked count.
     """
     k = small(keywords.select("language", "field", F.lower("keyword").alias("keyword")))
-    hits = lines_of(labels).join(k, F.lower("content").contains(F.col("keyword")))
+    hits = lines_of(labels).withColumn("low", F.lower("content")).join(k, F.col("low").contains(F.col("keyword")))
     w = W.partitionBy("label_id", "field").orderBy(F.desc(F.length("keyword")), "line", "language")
-    rest = F.trim(F.regexp_replace(F.expr("substring(content, position(keyword, lower(content)) + length(keyword))"), r"^[\s:.\-]+", ""))
+    rest = F.trim(F.regexp_replace(F.expr("substring(content, position(keyword, low) + length(keyword))"), r"^[\s:.\-]+", ""))
     return hits.withColumn("value", rest).filter("value <> ''").withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("label_id", "field", "language", "keyword", "value", F.col("line").alias("pos"))
 
 
 def merged(base: DataFrame, more: DataFrame) -> DataFrame:
-    """base candidates, and of more those that fill a (label, field) gap, at confidence 80."""
-    gaps = more.join(by_label(base.select("label_id", "field").distinct()), ["label_id", "field"], "left_anti")
-    return best(base).unionByName(gaps.select("label_id", "field", F.col("value").alias("raw"), "value", F.lit(80.0).alias("confidence"), F.lit("dictionary").alias("method"), "pos"))
+    """base candidates, and of more those that fill a (label, field) gap, at confidence 80. Both meet in one window, so that base is made once."""
+    fills = more.select("label_id", "field", F.col("value").alias("raw"), "value", F.lit(80.0).alias("confidence"), F.lit("dictionary").alias("method"), "pos")
+    every = base.withColumn("__more", F.lit(False)).unionByName(fills.withColumn("__more", F.lit(True)))
+    w = W.partitionBy("label_id", "field").orderBy("__more", F.desc("confidence"), "pos", "value")
+    ranked = every.withColumns({"__rn": F.row_number().over(w), "__gap": F.first("__more").over(w)})
+    return ranked.filter("__gap OR __rn = 1").drop("__more", "__rn", "__gap")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from labelloom.functions import columns
 from labelloom.operators import evidence, extraction, locate, reconcile, tongues
 from labelloom.sources.views import frame
 
@@ -53,3 +54,21 @@ def test_scripts_beyond_latin_lie_in_one_range(spark):
     rows = [(i, s) for i, s in enumerate([chr(0x900), chr(0xD7F), "é जल ab", "ok", None, "඀"])]
     got = {r.id: (r.script, r.letters) for r in extraction.scripts(spark.createDataFrame(rows, "id int, text string"), "id").collect()}
     assert got == {0: ("Devanagari", 1), 1: ("Malayalam", 1), 2: ("Latin", 5), 3: ("Latin", 2), 4: (None, 0), 5: (None, 0)}
+
+
+def test_dates_are_computed_once(spark):
+    """A date's text stood in its months, years and patterns some fifty times, and each was computed anew."""
+    text = spark.createDataFrame([("15 mar 2024", "Rs 45,50")], "d string, p string")
+    plan = text.select(columns.label_date(F.reverse("d")).alias("date"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("reverse(") <= 2
+    assert text.select(columns.label_date(F.col("d")), columns.repaired_price(F.col("p")).cast("string")).first()[:] == ("15/03/2024", "45.50")
+
+
+def test_candidates_are_made_once_for_a_merge(spark):
+    """They were made for their best and again for the gaps."""
+    labels = spark.createDataFrame([(1, "Fine Oats\nMRP Rs. 20\nPlot 5")], "label_id long, text string")
+    words = spark.createDataFrame([("en", "plot", "plot"), ("en", "mrp", "fine"), ("en", "plot", "no")], "language string, field string, keyword string")
+    base = extraction.candidates(labels)
+    got = extraction.merged(base, extraction.multilingual(labels, words))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("posexplode") == 2
+    assert {(r.field, r.method) for r in got.collect()} == {(r.field, r.method) for r in extraction.best(base).collect()} | {("plot", "dictionary")}
