@@ -13,6 +13,7 @@ from labelloom.operators import locate as LO
 from labelloom.operators import reconcile as R
 from labelloom.operators import rules as RU
 from labelloom.operators import scoring as S
+from labelloom.operators.common import by_label
 from labelloom.plans.facts import SCORES
 from labelloom.plans.labels import CHECKS
 from labelloom.plans.registry import Registry
@@ -301,8 +302,9 @@ def f18(spark, d):
 @query("f19_identity_record", """WITH r AS (SELECT label_id, is_food, unnest([{'field': 'brand', 'v': CAST(brand AS VARCHAR)}, {'field': 'mrp', 'v': CAST(price AS VARCHAR)}, {'field': 'fssai_license', 'v': licence}]) AS r FROM label_truth)
 SELECT label_id, r.field AS field, CASE WHEN r.v IS NOT NULL THEN 'FOUND' WHEN r.field = 'fssai_license' AND NOT is_food THEN 'NOT_APPLICABLE' ELSE 'NOT_FOUND' END AS status FROM r""", ("label_truth",))
 def f19(spark, d):
-    dec = E.declarations(frame(spark, d, "label_text")).join(_truth(spark, d).select("label_id", "is_food"), "label_id")
-    return R.identity_record(dec, ("brand", "mrp", "fssai_license"), ("fssai_license",), F.col("is_food")).select("label_id", "field", "status")
+    fields = ("brand", "mrp", "fssai_license")
+    dec = E.declarations(frame(spark, d, "label_text"), fields).join(by_label(_truth(spark, d).select("label_id", "is_food")), "label_id")
+    return R.identity_record(dec, fields, ("fssai_license",), F.col("is_food")).select("label_id", "field", "status")
 
 
 def _corrections(spark, d):
