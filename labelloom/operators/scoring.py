@@ -57,8 +57,8 @@ def rule_points(checks: DataFrame, cfg: dict[str, int] = CONFIG) -> DataFrame:
     )
 
 
-def check_counts(checks: DataFrame, *keys: str) -> DataFrame:
-    """Counters by status for each key; insufficient evidence counts as review too."""
+def check_counts(checks: DataFrame, *keys: str, more: dict[str, Column] | None = None) -> DataFrame:
+    """Counters by status for each key; insufficient evidence counts as review too. more: aggregates of the same checks, by name."""
     n = lambda c: F.count_if(c).alias
     severe = F.lower("severity").isin("high", "critical")
     return checks.groupBy(*keys).agg(
@@ -72,12 +72,13 @@ def check_counts(checks: DataFrame, *keys: str) -> DataFrame:
         n(is_("NOT_APPLICABLE"))("not_applicable"),
         n(is_("FAIL") & severe)("critical"),
         F.coalesce(F.sum(points()), F.lit(0)).cast("long").alias("earned"),
+        *(c.alias(k) for k, c in (more or {}).items()),
     )
 
 
-def scores(checks: DataFrame, conflicts: DataFrame | None = None, cfg: dict[str, int] = CONFIG) -> DataFrame:
-    """One row per screening: score, status, risk level and risk score."""
-    c = check_counts(checks, "screening_id")
+def scores(checks: DataFrame, conflicts: DataFrame | None = None, cfg: dict[str, int] = CONFIG, more: dict[str, Column] | None = None) -> DataFrame:
+    """One row per screening: score, status, risk level and risk score; then more, aggregates of its checks, by name."""
+    c = check_counts(checks, "screening_id", more=more)
     if conflicts is not None:
         found = conflicts.groupBy("screening_id").agg(F.count("*").alias("conflicts"), F.count_if(F.col("conflict_type") == "CHRONOLOGICAL_INCONSISTENCY").alias("chronological"))
         c = c.join(found, "screening_id", "left").na.fill(0, ["conflicts", "chronological"])
@@ -104,7 +105,7 @@ def scores(checks: DataFrame, conflicts: DataFrame | None = None, cfg: dict[str,
     with_score = c.withColumn("score", score)
     return with_score.select(
         "screening_id", "score", status.alias("status"), level.alias("risk_level"), risk.alias("risk_score"), "total", "applicable", "passed", "failed", "warnings",
-        "needs_review", "insufficient", "not_applicable", F.col("critical").alias("critical_count"), review.alias("review_count"),
+        "needs_review", "insufficient", "not_applicable", F.col("critical").alias("critical_count"), review.alias("review_count"), *(more or {}),
     )
 
 

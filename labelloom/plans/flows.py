@@ -77,15 +77,16 @@ def k04(spark, d):
 _SEVERE = ", ".join(f"'{r[0]}'" for r in RULE_ROWS if r[4] in ("high", "critical"))
 
 
-#: Scores, risks and checks of labels as they arrive, a file a batch, appended by the number of the batch.
+#: Scores, risks and checks of labels as they arrive, half of the files a batch, appended by the number of the batch.
 @query("k04_scores", f"""WITH {CHECKS}, checks AS (SELECT label_id AS screening_id, r.rule_id AS rule_id, r.status AS status, CASE WHEN r.rule_id IN ({_SEVERE}) THEN 'high' ELSE 'low' END AS severity FROM c), {SCORES},
 n AS (SELECT screening_id, string_agg(rule_id || '=' || status, ',' ORDER BY rule_id) AS checks FROM checks GROUP BY 1)
 SELECT risks.screening_id AS label_id, score, risks.status AS status, risk_level, risk_score, n.checks AS checks FROM risks JOIN n ON n.screening_id = risks.screening_id""", ("label_truth",))
 def k04_scores(spark, d):
     labels = frame(spark, d, "label_text")
     path = new_path(spark, "k04-scores")
-    labels.repartition(2).write.parquet(f"{path}/labels")
-    stream = spark.readStream.schema(labels.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/labels")
+    labels.write.parquet(f"{path}/labels")
+    files = len(spark.read.schema(labels.schema).parquet(f"{path}/labels").inputFiles())
+    stream = spark.readStream.schema(labels.schema).option("maxFilesPerTrigger", (files + 1) // 2).parquet(f"{path}/labels")
     out = J.replayed(stream, path, each=J.scored_screening)
     return out.withColumn("checks", F.array_join(F.transform("checks", lambda c: F.concat(c["rule_id"], F.lit("="), c["status"])), ","))
 

@@ -29,9 +29,8 @@ def scored_screening(labels: DataFrame) -> DataFrame:
     from labelloom.operators.scoring import scores
 
     checks = screening(labels).withColumnRenamed("label_id", "screening_id")
-    own = checks.groupBy("screening_id").agg(F.sort_array(F.collect_list(F.struct("rule_id", "status", "reason", "value"))).alias("checks"))
-    out = scores(checks).select("screening_id", "score", F.col("status"), "risk_level", "risk_score").join(own, "screening_id")
-    return out.withColumnRenamed("screening_id", "label_id")
+    own = F.sort_array(F.collect_list(F.struct("rule_id", "status", "reason", "value")))
+    return scores(checks, more={"checks": own}).select(F.col("screening_id").alias("label_id"), "score", "status", "risk_level", "risk_score", "checks")
 
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

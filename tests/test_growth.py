@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from labelloom.functions import columns
-from labelloom.operators import evidence, extraction, locate, reconcile, tongues
+from labelloom.operators import evidence, extraction, locate, reconcile, reviews, tongues
+from labelloom.plans import joins
 from labelloom.sources.views import frame
+from labelloom.streaming import jobs
 
 
 def test_artwork_chain_is_not_cut_by_a_limit_of_rows(spark):
@@ -72,3 +74,11 @@ def test_candidates_are_made_once_for_a_merge(spark):
     got = extraction.merged(base, extraction.multilingual(labels, words))
     assert got._jdf.queryExecution().optimizedPlan().toString().count("posexplode") == 2
     assert {(r.field, r.method) for r in got.collect()} == {(r.field, r.method) for r in extraction.best(base).collect()} | {("plot", "dictionary")}
+
+
+def test_screening_extracts_once(spark):
+    """Scores and checks of a batch were joined, each from an extraction of its own."""
+    labels = spark.createDataFrame([(1, "Fine Oats\nMRP Rs. 20")], "label_id long, text string")
+    out = jobs.scored_screening(labels)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("posexplode") == 1
+    assert len(out.first().checks) == 14
