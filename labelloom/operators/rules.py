@@ -33,7 +33,8 @@ def _has(text: Column, words: tuple[str, ...]) -> Column:
 
 def context(d: DataFrame) -> DataFrame:
     """Adds is_food, is_cosmetics, is_medical, is_imported, is_export, is_single, is_retail, category and n_words."""
-    low, name, origin = F.lower(F.coalesce("text", F.lit(""))), F.lower(F.coalesce("product_name", F.lit(""))), F.lower(F.coalesce("country_of_origin", F.lit("")))
+    d = d.withColumn("__low", F.lower(F.coalesce("text", F.lit(""))))  # once, not for each keyword
+    low, name, origin = F.col("__low"), F.lower(F.coalesce("product_name", F.lit(""))), F.lower(F.coalesce("country_of_origin", F.lit("")))
     food = F.col("fssai_license").isNotNull() | F.col("nutrition_facts").isNotNull() | F.col("ingredients").isNotNull() | _has(name, FOOD) | _has(low, ("ingredients:", "nutrition facts", "fssai"))
     cosmetics = _has(name, COSMETICS) | _has(low, ("for external use only", "dermatologically tested", "cosmetic licence"))
     medical = _has(name, MEDICAL) | _has(low, ("mfg. lic. no.", "sterile eo", "single use only"))
@@ -50,7 +51,7 @@ def context(d: DataFrame) -> DataFrame:
             "is_retail": ~_has(low, ("wholesale only", "industrial use", "institutional pack")),
             "n_words": F.size(F.filter(F.split(low, r"\s+"), lambda w: w != "")),
         }
-    )
+    ).drop("__low")
     return out.withColumn("category", F.when(F.col("is_food"), "FOOD").when(F.col("is_cosmetics"), "COSMETICS").when(F.col("is_medical"), "MEDICAL_DEVICES").when(F.col("is_export"), "EXPORT").otherwise("NON_FOOD"))
 
 

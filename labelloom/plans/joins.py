@@ -576,10 +576,10 @@ READY = f"""{FIXES}, rd AS (SELECT l.label_id, CAST(len(missing_list) AS INT) AS
 
 
 def _artwork(spark, d):
-    """Declarations, checks, checklist, placements and heights, with the extraction done once."""
+    """Checks, checklist, placements and heights, with extraction and rules done once."""
     dec = stored(E.declarations(frame(spark, d, "label_text")))
     w = _printed(spark, d)
-    checks = RU.evaluate(dec).select("label_id", "field", "status")
+    checks = stored(RU.evaluate(dec).select("label_id", "field", "status"))
     return checks, V.checklist(dec), V.placement(V.artwork_regions(w, _sizes(spark, d)), w, _truth(spark, d)), V.letter_heights(frame(spark, d, "words"), 150)
 
 

@@ -82,3 +82,10 @@ def test_screening_extracts_once(spark):
     out = jobs.scored_screening(labels)
     assert out._jdf.queryExecution().optimizedPlan().toString().count("posexplode") == 1
     assert len(out.first().checks) == 14
+
+
+def test_artwork_checks_are_evaluated_once(spark, sf_dir):
+    """Corrections and readiness both read the checks; the rules ran for each."""
+    checks = joins._artwork(spark, sf_dir)[0]
+    assert "Generate" not in checks._jdf.queryExecution().optimizedPlan().toString()
+    assert checks.count() == 14 * checks.select("label_id").distinct().count()
