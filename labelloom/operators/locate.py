@@ -244,8 +244,9 @@ def geometry(got: Column) -> Column:
     return F.when(F.size(got) == 1, "TOKEN").when(F.array_max(middles) - F.array_min(middles) < 0.9 * mean, "LINE").otherwise("WORD_UNION")
 
 
-def _located(words: DataFrame, anchors: DataFrame, kind: str, gap: int = 2) -> DataFrame:
-    a = anchors.withColumn("kind", F.lit(kind))
+def _located(words: DataFrame, anchors: DataFrame, kind: str | None = None, gap: int = 2) -> DataFrame:
+    """kind: of all anchors; by default they have a column of it."""
+    a = anchors.withColumn("kind", F.lit(kind)) if kind else anchors
     for c in ("below", "width"):
         if c not in a.columns:
             a = a.withColumn(c, F.lit(0))
@@ -263,7 +264,8 @@ def sequences(words: DataFrame, phrases: DataFrame, gap: int = 2) -> DataFrame:
     return _located(words, phrases, "SEQUENCE", gap).select("label_id", *keys, first["line"].alias("line"), first["pos"].alias("pos"), *box(F.col("got")))
 
 
-def _gathered(words: DataFrame, anchors: DataFrame, kind: str) -> DataFrame:
+def gathered(words: DataFrame, anchors: DataFrame, kind: str | None = None) -> DataFrame:
+    """Words of lines and clusters in one pass over a label's words. anchors: key columns, target, kind (LINE or CLUSTER), below and width."""
     keys = [c for c in anchors.columns if c not in ("label_id", "target")]
     s = _located(words, anchors.select(*(c for c in anchors.columns if c != "target"), F.array("target").alias("targets")), kind)
     return s.select("label_id", *keys, F.col("anchor.line").alias("line"), F.col("anchor.pos").alias("pos"), *box(F.col("got")), text_of(F.col("got")).alias("text"))
@@ -271,9 +273,9 @@ def _gathered(words: DataFrame, anchors: DataFrame, kind: str) -> DataFrame:
 
 def same_line(words: DataFrame, anchors: DataFrame) -> DataFrame:
     """Words of each anchor's line, left to right. anchors: key columns and target, with label_id for that label only."""
-    return _gathered(words, anchors, "LINE")
+    return gathered(words, anchors, "LINE")
 
 
 def cluster(words: DataFrame, anchors: DataFrame) -> DataFrame:
     """Words around and below each anchor. anchors: key columns, target, below (lines) and width (pixels)."""
-    return _gathered(words, anchors, "CLUSTER")
+    return gathered(words, anchors, "CLUSTER")

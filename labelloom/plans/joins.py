@@ -528,10 +528,8 @@ def g08(spark, d):
 c AS (SELECT w.label_id, 'below' AS target, string_agg(w.word, ' ' ORDER BY floor(w.y / (0.8 * a.h)), w.x, w.pos, w.word) AS text FROM words w JOIN words a ON a.label_id = w.label_id AND a.line = 3 AND a.pos = 1
   WHERE w.y >= a.y - 0.5 * a.h AND w.y + w.h <= a.y + a.h + a.h * 3.2 AND w.x >= greatest(0, a.x - 50) AND w.x + w.w <= a.x + 400 GROUP BY 1) SELECT * FROM l UNION ALL SELECT * FROM c""", ("words", "label_truth"))
 def g09(spark, d):
-    w = frame(spark, d, "words")
-    lines = LO.same_line(w, spark.createDataFrame([("mrp",), ("fssai",)], "target string").withColumn("name", F.col("target"))).select("label_id", F.col("name").alias("target"), "text")
-    below = LO.cluster(w, spark.createDataFrame([("below", "mrp", 2, 400)], "name string, target string, below int, width int")).select("label_id", F.col("name").alias("target"), "text")
-    return lines.unionByName(below)
+    anchors = spark.createDataFrame([("mrp", "mrp", "LINE", 0, 0), ("fssai", "fssai", "LINE", 0, 0), ("below", "mrp", "CLUSTER", 2, 400)], "name string, target string, kind string, below int, width int")
+    return LO.gathered(frame(spark, d, "words"), anchors).select("label_id", F.col("name").alias("target"), "text")
 
 
 @query("i19_heat_map", """WITH e AS (SELECT screening_id AS label_id, line % 2 AS image, CASE WHEN status IN ('FAIL', 'WARNING') THEN 100 WHEN status = 'NEEDS_REVIEW' THEN 85 ELSE 60 END AS w, 1 AS own FROM checks WHERE line % 3 <> 0 UNION ALL SELECT label_id, line % 2, 30, 0 FROM words),

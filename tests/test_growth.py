@@ -89,3 +89,8 @@ def test_artwork_checks_are_evaluated_once(spark, sf_dir):
     checks = joins._artwork(spark, sf_dir)[0]
     assert "Generate" not in checks._jdf.queryExecution().optimizedPlan().toString()
     assert checks.count() == 14 * checks.select("label_id").distinct().count()
+
+
+def test_lines_and_clusters_are_gathered_in_one_pass(spark, sf_dir):
+    plan = joins.QUERIES["g09_same_line"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
