@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from labelloom.operators import rules as R
 from labelloom.operators import scoring as S
+from labelloom.operators.common import by_label
 
 #: The fields that machine and officer are compared by, and the columns of declarations that hold them.
 FIELDS = {"product_name": "product_name", "brand": "brand", "mrp": "mrp", "net_quantity": "net_quantity", "manufacturer": "manufacturer", "marketed_by": "marketed_by", "fssai_license": "fssai_license", "consumer_care": "consumer_care", "country_of_origin": "country_of_origin", "manufacture_date": "manufacturing_date", "expiry_date": "best_before", "batch_number": "batch_number", "ingredients": "ingredients", "nutritional_info": "nutrition_facts"}
@@ -39,7 +40,7 @@ def corrected(declared: DataFrame, corrections: DataFrame, text: bool = False) -
     declared: extraction.declarations. The printed text is left out, as the officer's values are what counts;
     text=True keeps it as evidence for the rules that read it.
     """
-    d = declared.join(last_corrections(corrections), "label_id")
+    d = declared.join(by_label(last_corrections(corrections)), "label_id")
     fix = lambda f: F.try_element_at("fixes", F.lit(f))["value"]
     new = {c: F.coalesce(fix(f), F.col(c)) for f, c in FIELDS.items() if c != "consumer_care"}
     new[CARE[0]] = F.coalesce(fix("consumer_care"), F.col(CARE[0]))
@@ -59,7 +60,7 @@ def machine_vs_human(declared: DataFrame, human: DataFrame, corrections: DataFra
     CORRECTED, whatever its value; one that differs without a correction CORRECTED, ADDED or REMOVED by which side is empty.
     """
     side = lambda d, name: d.select("label_id", F.struct(*(_held(c).cast("string").alias(f) for f, c in FIELDS.items())).alias(name))
-    j = side(declared, "a").join(side(human, "h"), "label_id", "left").join(last_corrections(corrections), "label_id", "left").withColumn("h", F.coalesce("h", "a"))
+    j = side(declared, "a").join(by_label(side(human, "h")), "label_id", "left").join(by_label(last_corrections(corrections)), "label_id", "left").withColumn("h", F.coalesce("h", "a"))
     rows = F.array(*(F.struct(F.lit(f).alias("field"), F.col("a")[f].alias("ai_value"), F.col("h")[f].alias("human_value"), F.try_element_at("fixes", F.lit(f)).alias("fix")) for f in FIELDS))
     j = j.select("label_id", F.inline(rows))
     a, h = (F.trim(F.coalesce(c, F.lit(""))) for c in ("ai_value", "human_value"))

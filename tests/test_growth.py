@@ -94,3 +94,11 @@ def test_artwork_checks_are_evaluated_once(spark, sf_dir):
 def test_lines_and_clusters_are_gathered_in_one_pass(spark, sf_dir):
     plan = joins.QUERIES["g09_same_line"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def test_corrections_are_not_broadcast(spark):
+    declared = extraction.declarations(spark.createDataFrame([(1, "Fine Oats\nMRP Rs. 20")], "label_id long, text string"))
+    fixes = spark.createDataFrame([(1, "mrp", "30", "asha", "misread", 1)], "label_id long, field string, value string, officer string, reason string, at int")
+    df = reviews.machine_vs_human(declared, reviews.corrected(declared, fixes), fixes)
+    assert {r.field: r.human_value for r in df.collect()}["mrp"] == "30"
+    assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
