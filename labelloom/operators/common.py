@@ -14,6 +14,11 @@ def by_label(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def looked_up(df: DataFrame) -> DataFrame:
+    """df, hashed by partition in a join, never broadcast, so that the longer side (words) is not sorted. For a few short rows of every label."""
+    return df.hint("shuffle_hash")
+
+
 def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     """df, broadcast if it has no more than ``rows`` rows; else Spark chooses the join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

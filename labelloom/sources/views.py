@@ -196,6 +196,10 @@ VIEWS["list_text"] = """
       ELSE concat_ws(chr(10), 'Ingredients: salt', 'MRP Rs 5') END) AS text FROM {label_truth}"""
 
 
+#: Labels that one task renders, at most, as keys are spread evenly.
+TASK_LABELS = 50_000
+
+
 def _names(sql: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
 
@@ -228,7 +232,9 @@ def frame(spark: SparkSession, sf_dir: str, name: str, _seen: dict[str, DataFram
             if name == "label_truth":
                 # A short row of part becomes a long text and some eighty words. A file of few splits would be rendered by few
                 # tasks, and without a number Spark would merge the short rows into few partitions again.
-                parts["part"] = parts["part"].repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+                # More labels make more partitions, so that what a task sorts or hashes does not grow with the table.
+                tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-parts["part"].count() // TASK_LABELS))
+                parts["part"] = parts["part"].repartition(tasks, "p_partkey")
             seen[name] = spark.sql(VIEWS[name], **parts)
     return seen[name]
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from labelloom.functions import columns
 from labelloom.operators import evidence, extraction, locate, reconcile, reviews, tongues
 from labelloom.plans import joins
+from labelloom.sources import views
 from labelloom.sources.views import frame
 from labelloom.streaming import jobs
 
@@ -102,3 +103,17 @@ def test_corrections_are_not_broadcast(spark):
     df = reviews.machine_vs_human(declared, reviews.corrected(declared, fixes), fixes)
     assert {r.field: r.human_value for r in df.collect()}["mrp"] == "30"
     assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_more_labels_make_more_tasks(spark, sf_dir, monkeypatch):
+    """Labels were dealt into spark.sql.shuffle.partitions partitions however many there were, and each was sorted whole."""
+    monkeypatch.setattr(views, "TASK_LABELS", 10, raising=False)
+    assert frame(spark, sf_dir, "words").rdd.getNumPartitions() == frame(spark, sf_dir, "part").count() / 10
+
+
+def test_words_are_not_sorted_for_provenance(spark, sf_dir):
+    """All words were sorted to meet a few tokens, and stripped twice: once for a filter of empty ones."""
+    df = joins.QUERIES["d19_provenance"](spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(lower(word") == 1
