@@ -578,7 +578,7 @@ def _artwork(spark, d):
     dec = stored(E.declarations(frame(spark, d, "label_text")))
     w = _printed(spark, d)
     checks = stored(RU.evaluate(dec).select("label_id", "field", "status"))
-    return checks, V.checklist(dec), V.placement(V.artwork_regions(w, _sizes(spark, d)), w, _truth(spark, d)), V.letter_heights(frame(spark, d, "words"), 150)
+    return checks, V.checklist(dec), V.placement(w, _sizes(spark, d), _truth(spark, d)), V.letter_heights(frame(spark, d, "words"), 150)
 
 
 @query("d24_artwork_regions", f"WITH {ARTWORK} SELECT label_id, region, n_words, x, y, r AS \"right\", b AS bottom, round(least(1, x / 600), 4)::DOUBLE AS share_x, round(least(1, y / 900), 4)::DOUBLE AS share_y, round(least(1, r / 600), 4)::DOUBLE AS share_right, round(least(1, b / 900), 4)::DOUBLE AS share_bottom FROM rg", ("words",))
@@ -588,8 +588,7 @@ def d24(spark, d):
 
 @query("i27_placement", f"WITH {PLACED} SELECT * FROM pl", ("words", "label_truth"))
 def i27(spark, d):
-    w = _printed(spark, d)
-    return V.placement(V.artwork_regions(w, _sizes(spark, d)), w, _truth(spark, d))
+    return V.placement(_printed(spark, d), _sizes(spark, d), _truth(spark, d))
 
 
 @query("i28_checklist", f"WITH {LISTED} SELECT label_id, CAST(12 - len(missing_list) AS INT) AS present, CAST(len(missing_list) AS INT) AS missing, array_to_string(missing_list, ',') AS missing_list FROM ls", ("label_truth",))

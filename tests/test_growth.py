@@ -117,3 +117,22 @@ def test_words_are_not_sorted_for_provenance(spark, sf_dir):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(lower(word") == 1
+
+
+def test_words_are_classified_once_for_placement(spark, sf_dir):
+    """Words were rendered and read for regions and again for words seen, sorted by label, and classified twice for a filter."""
+    optimized = joins.QUERIES["i27_placement"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("Generate posexplode") == 2  # lines, words
+    regions = joins.QUERIES["d24_artwork_regions"](spark, sf_dir)._jdf.queryExecution()
+    assert "SortMergeJoin" not in regions.executedPlan().toString()
+    assert regions.optimizedPlan().toString().count(", helpline)") == 1
+
+
+def test_placement_of_labels_without_page_or_region(spark):
+    words = spark.createDataFrame([(1, "MRP", 90), (1, "netrs", 30), (2, "mrp", 45), (3, "oats", 9), (4, "Net", 1800)], "label_id long, word string, y int")
+    pages = spark.createDataFrame([(1, 600, 900), (3, 600, 900), (4, 600, 900)], "label_id long, width int, height int")
+    got = {(r.label_id, r.field): (r.status, r.zone_y) for r in evidence.placement(words, pages, spark.range(1, 6).toDF("label_id")).collect()}
+    assert got == {
+        (1, "mrp"): ("PASS", 0.0333), (1, "net_quantity"): ("PASS", None), (2, "mrp"): ("PASS", None), (2, "net_quantity"): ("REVIEW", None), (3, "mrp"): ("REVIEW", None), (3, "net_quantity"): ("REVIEW", None),
+        (4, "mrp"): ("REVIEW", None), (4, "net_quantity"): ("PASS", 1.0), (5, "mrp"): ("REVIEW", None), (5, "net_quantity"): ("REVIEW", None),
+    }
