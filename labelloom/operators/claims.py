@@ -94,29 +94,40 @@ def _norm(p: Column) -> Column:
     return F.lower(F.trim(p))
 
 
-#: Runs of letters, digits and underscores of any script.
-RUN = r"(?U)(\w+)"
+#: Runs of letters, digits and underscores of any script, and the same for texts of ASCII, where the classes of Unicode only take time.
+RUN, ASCII_RUN = r"(?U)(\w+)", r"(\w+)"
+
+
+def _runs(text: Column) -> Column:
+    every = lambda run: F.regexp_extract_all(text, F.lit(run), F.lit(1))
+    return F.array_distinct(F.when(F.octet_length(text) == F.length(text), every(ASCII_RUN)).otherwise(every(RUN)))
+
+
+def _keys(texts: DataFrame) -> list[str]:
+    """label_id and what else tells texts apart, such as a panel."""
+    return [c for c in texts.columns if c != "text"]
 
 
 def find_claims(texts: DataFrame, rules: DataFrame) -> DataFrame:
-    """Claims per text and rule: the first pattern of the rule that the text has, in lower case, with the rule's flags. texts: label_id, text.
+    """Claims per text and rule: the first pattern of the rule that the text has, in lower case, with the rule's flags. texts: label_id, text, and a panel or other columns that a label's texts are told apart by.
 
     Patterns and texts are compared without regard to case. A pattern meets the texts that have its
     first run of letters and digits, which the borders make a whole one of the text, so any number of
     rules is one join; patterns of signs alone are tried on every text.
     """
-    some = texts.select("label_id", F.lower("text").alias("low"))
+    own = _keys(texts)
+    some = texts.select(*own, F.lower("text").alias("low"))
     has = F.col("low").contains(F.col("pattern")) & F.rlike("low", _word(F.col("pattern")))
-    keep = ("label_id", "rule_id", "claim_type", "category", "risk_level", *FLAGS, "ord")
-    patterns = _flagged(rules).select(*keep[1:], F.posexplode("patterns").alias("p_ord", "pattern")).withColumn("pattern", _norm(F.col("pattern"))).filter("pattern <> ''")
+    keep = ("rule_id", "claim_type", "category", "risk_level", *FLAGS, "ord")
+    patterns = _flagged(rules).select(*keep, F.posexplode("patterns").alias("p_ord", "pattern")).withColumn("pattern", _norm(F.col("pattern"))).filter("pattern <> ''")
     patterns = patterns.withColumn("run", F.regexp_extract("pattern", RUN, 1))
-    runs = some.select("label_id", "low", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(RUN), F.lit(1)))).alias("run"))
+    runs = some.select(*own, "low", F.explode(_runs(F.col("low"))).alias("run"))
     hits = runs.join(small(patterns.filter("run <> ''")), "run").filter(has).drop("run")
     signs = patterns.filter("run = ''").drop("run")
     if not signs.isEmpty():
         hits = hits.unionByName(some.join(small(signs), has))
-    found = hits.groupBy(*keep).agg(F.min_by("pattern", "p_ord").alias("claim"))
-    return found.select("label_id", "rule_id", "claim_type", "category", "risk_level", "ord", "claim", *FLAGS)
+    found = hits.groupBy(*own, *keep).agg(F.min_by("pattern", "p_ord").alias("claim"))
+    return found.select(*own, "rule_id", "claim_type", "category", "risk_level", "ord", "claim", *FLAGS)
 
 
 def _flagged(rules: DataFrame) -> DataFrame:
@@ -135,11 +146,12 @@ def open_claims(texts: DataFrame, rules: DataFrame) -> DataFrame:
         return F.transform(once, lambda x, i: F.struct(*fixed, (F.lit(OPEN_ORD * (at + 1)) + i).alias("ord"), x.alias("claim")))
 
     every = F.concat(*(found(k, category, tuple(flags), pattern) for k, (category, *flags, pattern) in enumerate(OPEN)))
-    rows = texts.select("label_id", F.explode(every).alias("c")).select("label_id", "c.*")
+    own = _keys(texts)
+    rows = texts.select(*own, F.explode(every).alias("c")).select(*own, "c.*")
     p = small(rules.select(F.explode(F.transform("patterns", _norm)).alias("p")).filter("p <> ''"))
     left = rows.join(p, F.col("claim").contains(F.col("p")) | F.col("p").contains(F.col("claim")), "left_anti")
     none = F.lit(None).cast("string")
-    return left.select("label_id", none.alias("rule_id"), none.alias("claim_type"), "category", none.alias("risk_level"), "ord", "claim", *FLAGS)
+    return left.select(*own, none.alias("rule_id"), none.alias("claim_type"), "category", none.alias("risk_level"), "ord", "claim", *FLAGS)
 
 
 def deduplicated(claims: DataFrame) -> DataFrame:

@@ -453,10 +453,10 @@ UNION ALL SELECT label_id, CASE WHEN claim_rule < 'CLAIM-RULE-NUT-004' THEN 'CLM
 def g04(spark, d):
     """Claims of two panels, the second with a claim that most labels lack on the first, numbered once each."""
     rules = K.claim_rules(spark)
-    t = frame(spark, d, "label_text")
-    panel = lambda texts, n: K.find_claims(texts, rules).unionByName(K.open_claims(texts, rules)).withColumn("panel", F.lit(n))
-    twice = panel(t, 1).unionByName(panel(t.withColumn("text", F.concat("text", F.lit("\nLOW FAT"))), 2))
-    return K.numbered(K.deduplicated(twice)).select("label_id", "claim_id", "claim")
+    t = frame(spark, d, "label_text").select("label_id", "text", F.explode(F.array(F.lit(1), F.lit(2))).alias("panel"))
+    panels = t.withColumn("text", F.when(F.col("panel") == 2, F.concat("text", F.lit("\nLOW FAT"))).otherwise(F.col("text")))
+    claims = K.find_claims(panels, rules).unionByName(K.open_claims(panels, rules))
+    return K.numbered(K.deduplicated(claims)).select("label_id", "claim_id", "claim")
 
 
 @query("d19_provenance", """WITH t AS (SELECT label_id, 'brand' AS field, unnest(string_split(lower(brand), ' ')) AS token FROM label_truth UNION ALL SELECT label_id, 'phone', replace(phone, '-', '') FROM label_truth),

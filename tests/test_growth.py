@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from labelloom.functions import columns
-from labelloom.operators import evidence, extraction, locate, reconcile, reviews, tongues
+from labelloom.operators import claims, evidence, extraction, locate, reconcile, reviews, tongues
 from labelloom.plans import joins
 from labelloom.sources import views
 from labelloom.sources.views import frame
@@ -145,3 +145,21 @@ def test_letter_heights_make_no_rows_of_words(spark, sf_dir):
     assert plan.count("lower(word") == 1
     words = spark.createDataFrame([(1, "MRP", 10), (1, "incl", 20), (1, "date", None), (2, "oats", 9), (2, None, 9)], "label_id long, word string, h int")
     assert {(r.label_id, r.field, r.mm, r.ok) for r in evidence.letter_heights(words, 254).collect()} == {(1, "mrp", 1.5, True), (1, "manufacturing_date", None, None)}
+
+
+def test_claims_of_panels_are_found_together(spark, sf_dir):
+    """Each label was rendered for the rules and the grammars of each of its panels: four times."""
+    plan = joins.QUERIES["g04_g07_claim_numbers"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat_ws(") == 2
+    texts = spark.createDataFrame([(1, 1, "Low fat, zero fuss"), (1, 2, "LOW FAT"), (2, 1, "é low fat")], "label_id long, panel int, text string")
+    rules = claims.claim_rules(spark)
+    found = claims.find_claims(texts, rules).unionByName(claims.open_claims(texts, rules))
+    assert sorted(tuple(r) for r in found.select("label_id", "panel", "claim").collect()) == [(1, 1, "low fat"), (1, 1, "zero fuss"), (1, 2, "low fat"), (2, 1, "low fat")]
+
+
+def test_runs_of_ascii_are_those_of_any_script(spark):
+    texts = ["no 1 brand_x, 100%", "जल low-fat é1", "", None, "a\u200db K\u0301"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(claims._runs(F.col("t"))).collect()]
+    assert got == [r[0] for r in df.select(F.array_distinct(F.regexp_extract_all("t", F.lit(claims.RUN), F.lit(1)))).collect()]
+    assert got[:4] == [["no", "1", "brand_x", "100"], ["जल", "low", "fat", "é1"], [], None]
