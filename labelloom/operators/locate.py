@@ -14,6 +14,7 @@ and width (pixels) of a cluster; with label_id they are that label's, else all l
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -91,10 +92,10 @@ def target_keys(t: Column) -> Column:
     return F.concat(F.array_compact(F.array(*own)), _runs(t, 1 - PART_OF_TARGET, ">"))
 
 
-def reading(words: DataFrame) -> DataFrame:
-    """label_id and ws: its words in reading order, each with s, the stripped word."""
+def reading(words: DataFrame, dealt: bool = False) -> DataFrame:
+    """label_id and ws: its words in reading order, each with s, the stripped word. dealt: a label's words lie in one partition already."""
     row = F.struct("line", "pos", stripped(F.col("word")).alias("s"), "word", "x", "y", "w", "h", "confidence")
-    return words.repartition("label_id").groupBy("label_id").agg(F.sort_array(F.collect_list(row)).alias("ws"))
+    return (words if dealt else words.repartition("label_id")).groupBy("label_id").agg(F.sort_array(F.collect_list(row)).alias("ws"))
 
 
 def starts(read: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -123,15 +124,52 @@ def same_text(word: str, target: str) -> bool:
     return m >= PART_OF_WORD * n if target in word else word in target and n >= PART_OF_TARGET * m
 
 
+def _parts(s: str, share: float) -> list[str]:
+    """_runs, of a string."""
+    return [s[p : p + RUN] for p in range(min(len(s) - RUN + 1, int(share * len(s)) + 1))]
+
+
+@lru_cache(1 << 16)
+def _keys_of_word(s: str) -> frozenset[str]:
+    """word_keys, of a string, without marks."""
+    return frozenset((s, *_parts(s, 1 - PART_OF_WORD), *(f"~{stem}" for stem, begins, parts, _ in STEMS if s.startswith(begins) or any(p in s for p in parts))))
+
+
+@lru_cache(1 << 16)
+def _keys_of_target(t: str) -> frozenset[str]:
+    """target_keys, of a string, without marks."""
+    return frozenset((t, *_parts(t, 1 - PART_OF_TARGET), *(f"~{stem}" for stem, *_, targets in STEMS if (t.startswith(stem) if stem == "ingredient" else t in targets))))
+
+
 class Page:
     """The words of one label as lists, for spans that grow step by step."""
 
     def __init__(self, s: list[str], x: list, y: list, w: list, h: list):
-        self.s, self.x, self.y, self.right = s, x, y, [a + b for a, b in zip(x, w, strict=True)]
+        self.index: dict[str, list[int]] | None = None
+        self.s, self.x, self.y, self.h, self.right = s, x, y, h, [a + b for a, b in zip(x, w, strict=True)]
         self.bottom = [a + b for a, b in zip(y, h, strict=True)]
         self.middle = [a + b / 2 for a, b in zip(y, h, strict=True)]
         self.tall = [max(v, 10) for v in h]
 
+    def places(self, target: str) -> list[int]:
+        """Places of the words that a target matches, by the index of the words' keys."""
+        if self.index is None:
+            self.index = {}
+            for i, s in enumerate(self.s):
+                for k in _keys_of_word(s) if s else ():
+                    self.index.setdefault(k, []).append(i)
+        lists = [self.index[k] for k in _keys_of_target(target) if k in self.index]
+        return [i for i in sorted(set().union(*lists)) if same_text(self.s[i], target)] if lists else []
+
+    def show(self, got: list[int], word: list, confidence: list) -> dict:
+        """text_of and box of the words at some places; geometry: TOKEN, LINE if the middles lie within 0.9 of the mean height, else WORD_UNION."""
+        middles, sure = [self.middle[j] for j in got], [confidence[j] for j in got if confidence[j] is not None]
+        level = max(middles) - min(middles) < 0.9 * (sum(self.h[j] for j in got) / len(got))
+        return {
+            "text": " ".join(word[j] for j in got if word[j] is not None), "geometry": "TOKEN" if len(got) == 1 else "LINE" if level else "WORD_UNION", "n_words": len(got),
+            "x": min(self.x[j] for j in got), "y": min(self.y[j] for j in got), "right": max(self.right[j] for j in got), "bottom": max(self.bottom[j] for j in got), "confidence": min(sure, default=None),
+        }
+
     def walk(self, i: int, targets: list[str], gap: int) -> list[int]:
         """Places matched from i on; next words may stand 1.8 heights below and 3.5 further on at most, and ``gap`` in all may be skipped."""
         got = [i]
@@ -169,31 +207,27 @@ class Page:
         inside = [j for j in range(len(self.s)) if self.y[j] >= top and self.bottom[j] <= bottom and self.x[j] >= left and self.right[j] <= x + width]
         return sorted(inside, key=lambda j: (self.y[j] // (0.8 * tall), self.x[j], j)) or [i]
 
+    def span(self, kind: str, at: list[int], targets: list[str], below: int, width: int, gap: int = 2) -> list[int] | None:
+        """Places of what an anchor shows that is met at some places, one at least."""
+        if kind == "SEQUENCE":
+            return self.sequence(at, targets, gap)
+        return self.line(at[0]) if kind == "LINE" else self.cluster(at[0], below, width)
+
 
-def _grown(fields: list[str], group: tuple[str, ...], gap: int):
+def _grown(gap: int):
     """Rows (label_id, ws, c) and picks: for each span its candidate's place in c, its words' places, and those of its first word's line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = {f: i for i, f in enumerate(fields)}
-        order = lambda c: tuple((c[g] is None, c[g]) for g in group)
         for b in batches:
             ws, cs, out = b.column(1), b.column(2), []
             ends = ws.offsets.to_pylist()
             flat = {k: ws.values.field(k).to_pylist() for k in ("s", "x", "y", "w", "h")}
             for r, candidates in enumerate(cs.to_pylist()):
                 page = Page(*(flat[k][ends[r] : ends[r + 1]] for k in ("s", "x", "y", "w", "h")))
-                taken, picks = set(), []
-                ranked = sorted(range(len(candidates)), key=lambda k: candidates[k]["ord"]) if "ord" in at and group else range(len(candidates))
-                for k in ranked:
-                    c = candidates[k]
-                    if group and order(c) in taken:
-                        continue
-                    if c["kind"] == "SEQUENCE":
-                        got = page.sequence(c["at"], c["targets"], gap)
-                    else:
-                        got = page.line(c["at"][0]) if c["kind"] == "LINE" else page.cluster(c["at"][0], c["below"], c["width"])
+                picks = []
+                for k, c in enumerate(candidates):
+                    got = page.span(c["kind"], c["at"], c["targets"], c["below"], c["width"], gap)
                     if got:
-                        taken.add(order(c))
                         picks.append({"k": k, "got": got, "beside": page.beside(got[0])})
                 out.append(picks)
             kind = pa.list_(pa.struct([("k", pa.int32()), ("got", pa.list_(pa.int32())), ("beside", pa.list_(pa.int32()))]))
@@ -202,10 +236,9 @@ def _grown(fields: list[str], group: tuple[str, ...], gap: int):
     return run
 
 
-def spans(read: DataFrame, found: DataFrame, group: tuple[str, ...] = (), gap: int = 2) -> DataFrame:
+def spans(read: DataFrame, found: DataFrame, gap: int = 2) -> DataFrame:
     """label_id, the anchors' columns, anchor (the first word met), got (words) and beside (words of the first one's line) of what starts found.
 
-    group: of the anchors that share these columns only the first by ord that has a span.
     A span grows word by word from where the last one stands, which no join or window
     expresses, so a label's words and hits go through one Arrow function together.
     """
@@ -213,7 +246,7 @@ def spans(read: DataFrame, found: DataFrame, group: tuple[str, ...] = (), gap: i
     each = found.groupBy("label_id").agg(F.collect_list(F.struct(*columns, "at")).alias("c"))
     j = read.join(by_label(each), "label_id").select("label_id", "ws", "c")
     schema = T.StructType([*j.schema.fields, T.StructField("picks", T.ArrayType(T.StructType([T.StructField("k", T.IntegerType()), T.StructField("got", T.ArrayType(T.IntegerType())), T.StructField("beside", T.ArrayType(T.IntegerType()))])))])
-    e = j.mapInArrow(_grown(columns, group, gap), schema).select("label_id", "ws", "c", F.explode("picks").alias("p"))
+    e = j.mapInArrow(_grown(gap), schema).select("label_id", "ws", "c", F.explode("picks").alias("p"))
     e = e.withColumn("o", F.get("c", F.col("p.k")))
     words = lambda places: F.transform(places, lambda i: F.get("ws", i))
     first = F.get("ws", F.when(F.col("o.kind") == "SEQUENCE", F.col("p.got")[0]).otherwise(F.col("o.at")[0]))
@@ -238,13 +271,6 @@ def text_of(got: Column) -> Column:
     return F.array_join(F.transform(got, lambda w: w["word"]), " ")
 
 
-def geometry(got: Column) -> Column:
-    """TOKEN, LINE if the middles lie within 0.9 of the mean height, else WORD_UNION."""
-    middles = F.transform(got, lambda w: w["y"] + w["h"] / 2)
-    mean = F.aggregate(got, F.lit(0.0), lambda a, w: a + w["h"]) / F.size(got)
-    return F.when(F.size(got) == 1, "TOKEN").when(F.array_max(middles) - F.array_min(middles) < 0.9 * mean, "LINE").otherwise("WORD_UNION")
-
-
 def _located(words: DataFrame, anchors: DataFrame, kind: str | None = None, gap: int = 2) -> DataFrame:
     """kind: of all anchors; by default they have a column of it."""
     a = anchors.withColumn("kind", F.lit(kind)) if kind else anchors

@@ -202,6 +202,13 @@ def rules_df(spark) -> DataFrame:
     return spark.createDataFrame(rows, "rule_id string, field string, field_label string, domain string, severity string, evidence_fields array<string>, categories array<string>")
 
 
+def judged(d: DataFrame) -> DataFrame:
+    """d with checks, an array of rule_id, status and value of every rule: evaluate for those that go on with a row of each label."""
+    rows = F.array(*(F.struct(F.lit(name).alias("rule_id"), rule().alias("r")) for name, rule in RULES.items()))
+    short = F.transform(rows, lambda x: F.struct(x["rule_id"].alias("rule_id"), x["r"]["status"].alias("status"), x["r"]["value"].alias("value")))
+    return context(d).select(*d.columns, short.alias("checks"))
+
+
 def evaluate(d: DataFrame, only: tuple[str, ...] | None = None, applicable_only: bool = False, **override: bool) -> DataFrame:
     """Checks of every (label, rule): status, reason, value, required, detected and the inputs used.
 

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from labelloom.operators import evidence as V
 from labelloom.operators import extraction as E
+from labelloom.operators import locate as LO
 from labelloom.operators import rules as RU
 from labelloom.plans.labels import CHECKS
 from labelloom.plans.registry import Registry
-from labelloom.sources.shared import stored
-from labelloom.sources.views import frame
+from labelloom.sources.views import dealt
 
 QUERIES, SQL, query = Registry.new()
 
@@ -79,8 +79,8 @@ rl AS (SELECT *, CASE WHEN evidence_status IN ('NOT_APPLICABLE', 'UNAVAILABLE')
 @query("g10_evidence_choice", f"""WITH RECURSIVE {CHOICE} SELECT label_id, rule_id, item, status, method, evidence_status, geometry, text, CAST(n AS INT) AS n_words, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(r AS INT) AS "right", CAST(b AS INT) AS bottom, conf AS confidence, quality, reliability,
   CASE WHEN evidence_status IN ('NOT_APPLICABLE', 'UNAVAILABLE') THEN 'NOT_APPLICABLE' WHEN reliability >= 85 THEN 'HIGH' WHEN reliability >= 70 THEN 'MEDIUM' WHEN reliability >= 50 THEN 'LOW' ELSE 'NEEDS_VERIFICATION' END AS tier FROM rl""", ("pack_words", "label_truth"))
 def g10(spark, d):
-    dec = stored(E.declarations(frame(spark, d, "label_text")))
-    values = V.value_anchors(dec.withColumn("manufacturer_address", F.lit("Industrial Estate, Surat")))
-    out = V.evidence_choice(frame(spark, d, "pack_words"), values, RU.evaluate(dec).select("label_id", "rule_id", "status", "value"))
+    labels, words = dealt(spark, d, "label_text", "pack_words")
+    dec = E.declared(labels, E.candidates(labels)).withColumn("manufacturer_address", F.lit("Industrial Estate, Surat"))
+    out = V.evidence_items(LO.reading(words, dealt=True), V.asked(RU.judged(dec)))
     whole = {c: F.col(c).cast("int") for c in ("n_words", "x", "y", "right", "bottom")}
     return out.withColumns(whole)

@@ -196,8 +196,8 @@ VIEWS["list_text"] = """
       ELSE concat_ws(chr(10), 'Ingredients: salt', 'MRP Rs 5') END) AS text FROM {label_truth}"""
 
 
-#: Labels that one task renders, at most, as keys are spread evenly.
-TASK_LABELS = 50_000
+#: Labels that one task renders, at most, as keys are spread evenly; and those that one task renders and groups into whole labels again.
+TASK_LABELS, TASK_PAGES = 50_000, 10_000
 
 
 def _names(sql: str) -> list[str]:
@@ -219,6 +219,27 @@ def label_words(label_text: DataFrame) -> DataFrame:
     return words.select("label_id", "line", (F.col("pos") + 1).alias("pos"), "word")
 
 
+#: The lines of their own of pack_words: label_id % every = rest, line, words.
+PACK_LINES = (
+    (6, 0, 40, "UNIT SALE PRICE Rs 2 / g"), (6, 1, 40, "Unit SalePrice:"), (6, 2, 40, "unitsaleprice stamp"), (5, 1, 42, "List of Inoredients"), (5, 3, 43, "SAMAGRI"), (5, 3, 44, "namak"), (4, 2, 46, "Nutritional information"),
+    (4, 2, 47, "Energy 50 kcal"), (7, 1, 49, "MADEININDIA"), (7, 2, 49, "Made with love in India"), (3, 1, 51, "For Feedback write"), (8, 5, 52, "Date of Manufacture"),
+)
+
+
+def pack_words(label_text: DataFrame) -> DataFrame:
+    """The view of that name, without its union: a label's words all come from its row, so they stay where that is."""
+    own = F.transform(F.split("text", "\n"), lambda content, i: F.struct((i + 1).alias("line"), content.alias("content")))
+    more = F.array_compact(F.array(*(F.when(F.col("label_id") % every == rest, F.struct(F.lit(line).alias("line"), F.lit(words).alias("content"))) for every, rest, line, words in PACK_LINES)))
+    lines = label_text.select("label_id", F.inline(F.concat(own, more)))
+    words = lines.select("label_id", "line", F.posexplode(F.split("content", " ")).alias("pos", "word")).select("label_id", "line", (F.col("pos") + 1).alias("pos"), "word")
+    left_out = """label_id % 10 = 3 AND line = 5 AND pos > 2 OR label_id % 20 = 3 AND word = 'by:' OR label_id % 9 = 4 AND (word LIKE '1800-%' OR word LIKE 'care%@%') OR label_id % 14 = 5 AND line = 3 AND pos > 1"""
+    added = lambda a, b: f"CASE WHEN line >= {PACK_LINES[0][2]} THEN {a} ELSE {b} END"
+    return words.filter(added("true", f"NOT ({left_out})")).selectExpr(
+        "label_id", "line", "pos", "word", f"{added('30 + 90 * pos', '20 + 10 * pos')} AS x", "30 * line AS y", f"{added('9', '8')} * length(word) AS w",
+        f"{added('20', '(12 + label_id % 20) * CASE WHEN label_id % 16 = 1 AND line > 3 THEN 12 ELSE 1 END')} AS h", f"{added('50 + (label_id + pos) % 50', '60 + (label_id * 7 + pos) % 40')} AS confidence",
+    )
+
+
 def frame(spark: SparkSession, sf_dir: str, name: str, _seen: dict[str, DataFrame] | None = None) -> DataFrame:
     """A base table or view as a DataFrame."""
     seen = {} if _seen is None else _seen
@@ -227,6 +248,8 @@ def frame(spark: SparkSession, sf_dir: str, name: str, _seen: dict[str, DataFram
             seen[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         elif name == "label_words":
             seen[name] = label_words(frame(spark, sf_dir, "label_text", seen))
+        elif name == "pack_words":
+            seen[name] = pack_words(frame(spark, sf_dir, "label_text", seen))
         else:
             parts = {d: frame(spark, sf_dir, d, seen) for d in _names(VIEWS[name])}
             if name == "label_truth":
@@ -239,6 +262,13 @@ def frame(spark: SparkSession, sf_dir: str, name: str, _seen: dict[str, DataFram
     return seen[name]
 
 
+def dealt(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
+    """Views of label_truth as frame gives them, the rows of a label in one partition and by label_id alike in all of them."""
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-frame(spark, sf_dir, "part").count() // TASK_PAGES))
+    seen = {"label_truth": frame(spark, sf_dir, "label_truth").repartition(tasks, "label_id")}
+    return [frame(spark, sf_dir, n, seen) for n in names]
+
+
 def with_views(sql: str, *names: str) -> str:
     """sql with the named views, and those that they need, as common table expressions."""
     order: list[str] = []

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from labelloom.functions import columns
 from labelloom.operators import claims, evidence, extraction, locate, reconcile, reviews, tongues
-from labelloom.plans import joins
+from labelloom.plans import joins, located
 from labelloom.sources import views
 from labelloom.sources.views import frame
 from labelloom.streaming import jobs
@@ -163,3 +163,26 @@ def test_runs_of_ascii_are_those_of_any_script(spark):
     got = [r[0] for r in df.select(claims._runs(F.col("t"))).collect()]
     assert got == [r[0] for r in df.select(F.array_distinct(F.regexp_extract_all("t", F.lit(claims.RUN), F.lit(1)))).collect()]
     assert got[:4] == [["no", "1", "brand_x", "100"], ["जल", "low", "fat", "é1"], [], None]
+
+
+def test_evidence_moves_no_words(spark, sf_dir):
+    """A label's words were dealt once for every key of theirs, sorted to meet the label's anchors and written to the shared folder; now rows of part and supplier only are."""
+    plan = located.QUERIES["g10_evidence_choice"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert dealt and all("p_partkey" in line and "REPARTITION_BY_NUM" in line for line in dealt)
+    assert plan.count("MapInArrow") == plan.count("SortMergeJoin [label_id") - 1 == 1
+
+
+def test_labels_are_dealt_for_whole_pages(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(views, "TASK_PAGES", 10)
+    labels, words = views.dealt(spark, sf_dir, "label_text", "pack_words")
+    assert labels.rdd.getNumPartitions() == words.rdd.getNumPartitions() == labels.count() / 10
+    at = [df.select("label_id", F.spark_partition_id().alias("at")).distinct() for df in (labels, words)]
+    assert at[0].exceptAll(at[1]).count() == 0 == at[1].count() - labels.count()
+
+
+def test_pack_words_without_a_union(spark, sf_dir):
+    view = spark.sql(views.VIEWS["pack_words"], words=frame(spark, sf_dir, "words"), label_truth=frame(spark, sf_dir, "label_truth"))
+    words = frame(spark, sf_dir, "pack_words")
+    assert words.dtypes == view.dtypes and words.count() == view.count()
+    assert words.exceptAll(view).count() == 0

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from labelloom.operators import evidence, locate
@@ -27,6 +28,14 @@ def test_keys_meet_all_that_match(spark):
     assert all(r.meets for r in rows if r.same)
 
 
+def test_places_are_those_of_all_that_match():
+    words, targets = (sorted(x) for x in map(set, zip(*some_pairs(), strict=True)))
+    flat = [1] * len(words)
+    p = locate.Page(words, flat, flat, flat, flat)
+    assert all(p.places(t) == [i for i, w in enumerate(words) if locate.same_text(w, t)] for t in targets)
+    assert sum(len(p.places(t)) for t in targets) > 100
+
+
 def page(text, dx=40, dy=30, h=20):
     return [(1, i, j, w, dx * j, dy * i, 8 * len(w), h, 90 - j) for i, line in enumerate(text.split("\n"), 1) for j, w in enumerate(line.split(" "), 1)]
 
@@ -104,3 +113,20 @@ def test_bad_and_large_boxes_are_reviewed(spark):
 def test_no_words_give_defaults(spark):
     got = choose(spark, "nothing here", {}, [(r, s, None) for r, s in (("LM-009", "WARNING"), ("LM-008", "NOT_APPLICABLE"), ("LM-003", "FAIL"), ("FS-005", "NEEDS_REVIEW"), ("LM-006", "PASS"))])
     assert {k[0]: (r.method, r.evidence_status) for k, r in got.items()} == {"LM-009": ("NONE", "VERIFIED"), "LM-008": ("NONE", "NOT_APPLICABLE"), "LM-003": ("NONE", "UNAVAILABLE"), "FS-005": ("SEMANTIC_PANEL", "NEEDS_REVIEW"), "LM-006": ("TOKEN_SEQUENCE", "VERIFIED")}
+
+
+def test_labels_of_a_batch_are_told_apart(monkeypatch):
+    """Rows go in slices; words, anchors or both may be missing."""
+    monkeypatch.setattr(evidence, "PAGES", 2)
+    anchor = lambda *targets: dict(zip(evidence.ANCHOR, ("R", "main", 0, "LINE", list(targets), 0, 0), strict=True))
+    own = pa.list_(pa.struct([(c, pa.list_(pa.string()) if c == "targets" else pa.int32() if c in ("ord", "below", "width") else pa.string()) for c in evidence.ANCHOR]))
+    some = [["mrp", "oats"], None, ["oats"], [], ["salt", "oats"]]
+    number = pa.array([None if s is None else list(range(len(s))) for s in some], pa.list_(pa.int32()))
+    words = pa.array(some, pa.list_(pa.string()))
+    ids, nothing = pa.array(range(5)), pa.nulls(5)
+    b = pa.RecordBatch.from_arrays([ids, nothing, pa.array([[anchor("oats")], [anchor("oats")], None, [], [anchor("sugar"), anchor("salt")]], own), words, words, number, number, number, number, number], names=["label_id", "checks", "anchors", *evidence._WORD])
+    fixed = [("F", "main", 100, "LINE", ["oats"], 0, 0)]
+    out = [r for x in evidence._first_met(fixed, ("F",))(iter([b])) for r in x.to_pylist()]
+    got = {r["label_id"]: {p["rule_id"]: (p["own"]["text"], p["own"]["n_words"], p["beside"] and p["beside"]["right"]) for p in r["shown"]} for r in out}
+    both = ("mrp oats", 2, None)
+    assert got == {0: {"R": both, "F": (*both[:2], 2.0)}, 1: {}, 2: {"F": ("oats", 1, 0.0)}, 3: {}, 4: {"R": ("salt oats", 2, None), "F": ("salt oats", 2, 2.0)}}
